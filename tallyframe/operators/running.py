@@ -24,16 +24,18 @@ DEFAULT_BLOCK = 1 << 20
 
 
 def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str],
-                  date_col: str, id_col: str, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                  date_col: str | None, id_col: str, block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same partition up to this row,
-    ordered by (``date_col``, ``id_col``); ``id_col`` must be unique within a partition."""
+    ordered by (``date_col``, ``id_col``); ``id_col`` must be unique within a partition and
+    ``date_col`` may be None (order by the id alone)."""
     blk = "__blk"
     v = "__v"
-    keys = [*partition_by, date_col, blk]
+    lead = [date_col] if date_col else []
+    keys = [*partition_by, *lead, blk]
     x = df.withColumn(blk, F.floor(F.col(id_col) / F.lit(block_size))).withColumn(v, value)
 
     block_sums = x.groupBy(*keys).agg(F.sum(v).alias("__bsum"))
-    w_blocks = Window.orderBy(F.col(date_col).asc_nulls_first(), F.col(blk))
+    w_blocks = Window.orderBy(*[F.col(c).asc_nulls_first() for c in lead], F.col(blk))
     if partition_by:
         w_blocks = w_blocks.partitionBy(*partition_by)
     w_blocks = w_blocks.rowsBetween(Window.unboundedPreceding, -1)
@@ -46,3 +48,12 @@ def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str
     w_rows = (Window.partitionBy(*keys).orderBy(F.col(id_col))
               .rowsBetween(Window.unboundedPreceding, 0))
     return joined.withColumn(out, F.col("__carry") + F.sum(v).over(w_rows)).drop(blk, v, "__carry")
+
+
+def dense_number(df: DataFrame, order_col: str, out: str, start: Column | int = 0,
+                 block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """``out`` = start + 1, start + 2, ... in ``order_col`` order (unique, non-null),
+    without a single-task global window: a running count in two levels."""
+    numbered = running_total(df, F.lit(1).cast("long"), out, [], None, order_col, block_size)
+    base = start if isinstance(start, Column) else F.lit(start)
+    return numbered.withColumn(out, (base + F.col(out)).cast("long"))

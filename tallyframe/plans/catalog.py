@@ -178,3 +178,43 @@ def q_party_list(spark, sf_dir):
 @query("audit_trail")
 def q_audit_trail(spark, sf_dir):
     return R.audit_trail(Books(spark, sf_dir).audit_logs, "default")
+
+
+# ---- import and entry validation --------------------------------------------------------
+
+def _import(spark, sf_dir):
+    from ..operators.importing import import_transactions
+    from ..sources.fixtures import PIVOT_YEAR
+
+    b = Books(spark, sf_dir)
+    return import_transactions(b.raw_import, b.parties, b.transactions, pivot_year=PIVOT_YEAR)
+
+
+@query("import_accepted")
+def q_import_accepted(spark, sf_dir):
+    from ..operators.importing import accepted_contract
+
+    return accepted_contract(_import(spark, sf_dir).accepted)
+
+
+@query("import_rejected")
+def q_import_rejected(spark, sf_dir):
+    return _import(spark, sf_dir).rejected
+
+
+@query("import_counts")
+def q_import_counts(spark, sf_dir):
+    return _import(spark, sf_dir).counts
+
+
+@query("import_new_parties")
+def q_import_new_parties(spark, sf_dir):
+    return _import(spark, sf_dir).new_parties.select("name", "normalized_name", "type", "credit_allowed")
+
+
+@query("entry_validation")
+def q_entry_validation(spark, sf_dir):
+    from ..operators.importing import validate_entries
+
+    b = Books(spark, sf_dir)
+    return validate_entries(b.entries, b.parties, strict=True).select("row_id", "reason")

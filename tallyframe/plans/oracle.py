@@ -331,3 +331,54 @@ SELECT CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN strftime(timestamp, '
             ELSE strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') END AS timestamp,
   username, action, details
 FROM audit_logs WHERE company = 'default'""", "audit_logs"))
+
+# ---- import: the per-row checks of the reference, for the date layouts of the file ----
+
+_TITLE = "array_to_string(list_transform(regexp_extract_all(lower({x}), '(\\p{{L}}+|\\P{{L}}+)'), lambda w: upper(w[1]) || w[2:]), '')"
+
+_IMPORT = f"""c AS (SELECT row_id, "Date" AS dr, "Customer Name" AS party, COALESCE("Bill No",'') AS bill_no,
+    "Type" AS ty, "Payment Mode" AS mo, "Amount" AS am,
+    CASE WHEN regexp_full_match("Date", '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN try_strptime("Date", '%d/%m/%Y')::DATE
+         WHEN regexp_full_match("Date", '[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{2}}') THEN TRY_CAST(printf('%04d-%02d-%02d',
+              CASE WHEN 2000 + CAST(split_part("Date",'.',3) AS INT) >= 2076 THEN 1900 + CAST(split_part("Date",'.',3) AS INT)
+                   ELSE 2000 + CAST(split_part("Date",'.',3) AS INT) END,
+              CAST(split_part("Date",'.',2) AS INT), CAST(split_part("Date",'.',1) AS INT)) AS DATE) END AS d
+  FROM raw_import),
+r AS (SELECT *, CASE WHEN dr IS NULL OR dr = '' THEN 'Missing date'
+                     WHEN d IS NULL THEN 'Invalid date format: ' || dr
+                     WHEN party IS NULL OR party = '' THEN 'Missing party name' END AS reason FROM c),
+ok AS (SELECT row_id, d, bill_no, party, lower(replace(party,' ','_')) AS party_key,
+    CASE WHEN ty IS NULL OR ty = '' THEN 'Sale' ELSE {_TITLE.format(x='ty')} END AS type,
+    CASE WHEN mo IS NULL OR mo = '' THEN 'Cash' ELSE {_TITLE.format(x='mo')} END AS mode,
+    COALESCE(TRY_CAST(am AS DECIMAL(18,2)), 0) AS amount
+  FROM r WHERE reason IS NULL)"""
+
+oracle("import_accepted", with_views("""
+SELECT row_id, CAST(d AS VARCHAR) AS date, bill_no, party_key, type, mode, CAST(amount AS DOUBLE) AS amount FROM ok""",
+                                     "raw_import", extra=_IMPORT))
+oracle("import_rejected", with_views("SELECT row_id, reason FROM r WHERE reason IS NOT NULL",
+                                     "raw_import", extra=_IMPORT))
+oracle("import_counts", with_views("""
+SELECT 'success' AS status, CAST(COUNT(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS n FROM r
+UNION ALL SELECT 'error', CAST(COUNT(*) FILTER (WHERE reason IS NOT NULL) AS BIGINT) FROM r""",
+                                   "raw_import", extra=_IMPORT))
+oracle("import_new_parties", with_views("""
+SELECT arg_min(party, row_id) AS name, party_key AS normalized_name, 'Customer' AS type, true AS credit_allowed
+FROM ok WHERE party_key NOT IN (SELECT normalized_name FROM parties WHERE normalized_name IS NOT NULL)
+GROUP BY party_key""", "raw_import", PT, extra=_IMPORT))
+
+_ENTRIES = """e AS (SELECT t.txn_id AS row_id, CAST(t.txn_date AS VARCHAR) AS date, t.bill_no, trim(r."Customer Name") AS party,
+    t.txn_type, t.payment_mode AS mode, CAST(t.amount AS VARCHAR) AS amount
+  FROM transactions t JOIN raw_import r ON r.row_id = t.txn_id),
+pn AS (SELECT name, arg_max(type, party_id) AS ptype FROM parties GROUP BY name)"""
+
+oracle("entry_validation", with_views("""
+SELECT e.row_id,
+  CASE WHEN e.date IS NULL OR e.date = '' OR e.amount IS NULL OR e.amount = '' OR e.txn_type IS NULL OR e.txn_type = ''
+            OR e.mode IS NULL OR e.mode = '' OR e.party IS NULL OR e.party = ''
+         THEN 'All fields (Date, Party, Type, Mode, Amount) are mandatory.'
+       WHEN e.mode = 'Credit' AND pn.ptype IS NOT NULL AND pn.ptype <> '' AND pn.ptype <> 'Credit Customer'
+         THEN 'Credit Mode is NOT allowed for ''' || e.party || ''' (Type: ' || pn.ptype || '). Only ''Credit Customer'' can take credit.'
+       WHEN pn.name IS NULL THEN 'Party ''' || e.party || ''' not found. Create it in ''Manage > Add Party'' first.'
+  END AS reason
+FROM e LEFT JOIN pn ON pn.name = e.party""", TX, PT, "raw_import", extra=_ENTRIES))

@@ -33,3 +33,7 @@ class Books:
     @property
     def raw_import(self) -> DataFrame:
         return fixtures.raw_import(self.spark, self.sf_dir)
+
+    @property
+    def entries(self) -> DataFrame:
+        return fixtures.entries(self.spark, self.sf_dir)

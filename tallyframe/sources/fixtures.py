@@ -110,6 +110,14 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _import_name() -> Column:
+    k = F.col("o_orderkey")
+    return _when_chain([
+        (k % 83 == 0, F.lit(None).cast("string")),
+        (k % 7 == 0, F.concat(F.lit("New Party "), (F.col("o_custkey") % 40).cast("string"))),
+    ], F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")))
+
+
 def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An import file as text columns, keyed by ``row_id`` (the file's line order)."""
     o = read_table(spark, sf_dir, "orders").select(
@@ -125,10 +133,7 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 89 == 0, F.lit("not-a-date")),
         (k % 3 == 0, F.concat(dd, F.lit("/"), mm, F.lit("/"), yyyy)),
     ], F.concat(dd, F.lit("."), mm, F.lit("."), F.substring(yyyy, 3, 2)))
-    name = _when_chain([
-        (k % 83 == 0, F.lit(None).cast("string")),
-        (k % 7 == 0, F.concat(F.lit("New Party "), (F.col("o_custkey") % 40).cast("string"))),
-    ], F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")))
+    name = _import_name()
     ttype = _when_chain([
         (k % 13 == 0, F.lit(None).cast("string")),
         (k % 10 < 5, F.lit("SALE")),
@@ -165,3 +170,17 @@ def app_settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [("company_name", COMPANY_NAME), ("opening_cash_seed", str(float(OPENING_CASH_SEED)))],
         APP_SETTINGS)
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry-form rows: a transaction's fields as text, with the party typed by name as in
+    the import file of the same order (so some names are unknown and some are missing)."""
+    tx = transactions(spark, sf_dir)
+    names = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("txn_id"), _import_name().alias("party"))
+    return tx.join(names, "txn_id").select(
+        F.col("txn_id").alias("row_id"),
+        F.col("txn_date").cast("string").alias("date"),
+        "bill_no", "party", "txn_type",
+        F.col("payment_mode").alias("mode"),
+        F.col("amount").cast("string").alias("amount"))
