@@ -218,3 +218,144 @@ def q_entry_validation(spark, sf_dir):
 
     b = Books(spark, sf_dir)
     return validate_entries(b.entries, b.parties, strict=True).select("row_id", "reason")
+
+
+# ---- batch changes ----------------------------------------------------------------------
+
+def _changes():
+    from ..operators import changes as CH
+
+    return CH
+
+
+def _outcome_contract(df: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from ..functions.dates import iso_text
+
+    out = []
+    for name, dtype in df.dtypes:
+        if dtype == "date":
+            out.append(iso_text(name).alias(name))
+        elif dtype.startswith("decimal"):
+            out.append(F.col(name).cast("double").alias(name))
+        else:
+            out.append(F.col(name))
+    return df.select(*out)
+
+
+@query("add_transactions")
+def q_add_transactions(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    return _outcome_contract(_changes().add_transactions(b.transactions, b.parties, b.batch("adds")).outcome)
+
+
+@query("create_parties")
+def q_create_parties(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    return _changes().create_parties(b.parties, b.batch("creates")).outcome
+
+
+def _edit(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    return _changes().edit_transactions(b.transactions, b.batch("edits"))
+
+
+@query("edit_transactions")
+def q_edit_transactions(spark, sf_dir):
+    return _changes().transactions_contract(_edit(spark, sf_dir).table)
+
+
+@query("edit_audit")
+def q_edit_audit(spark, sf_dir):
+    return _edit(spark, sf_dir).audit.select("username", "action", "details")
+
+
+def _delete(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    return _changes().delete_transactions(b.transactions, b.batch("deletes"))
+
+
+@query("delete_transactions")
+def q_delete_transactions(spark, sf_dir):
+    return _changes().transactions_contract(_delete(spark, sf_dir).table)
+
+
+@query("delete_audit")
+def q_delete_audit(spark, sf_dir):
+    return _delete(spark, sf_dir).audit.select("username", "action", "details")
+
+
+@query("rename_parties")
+def q_rename_parties(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    return _changes().rename_parties(b.parties, b.batch("renames")).table.select(
+        "party_id", "name", "normalized_name")
+
+
+@query("upsert_cash")
+def q_upsert_cash(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions.dates import iso_text
+
+    b = Books(spark, sf_dir)
+    t = _changes().upsert_cash(b.daily_cash, b.batch("cash_counts")).table
+    return t.select(iso_text("cash_date").alias("key"), F.col("cash_in_hand").cast("double").alias("value"))
+
+
+def _settings_after_changes(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    return _changes().upsert_settings(b.app_settings, b.batch("setting_changes"))
+
+
+@query("upsert_setting")
+def q_upsert_setting(spark, sf_dir):
+    return _settings_after_changes(spark, sf_dir).selectExpr("setting_key AS key", "setting_value AS value")
+
+
+@query("seed_if_absent")
+def q_seed_if_absent(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    return _changes().seed_if_absent(b.app_settings, b.batch("setting_seeds"))
+
+
+@query("setting_value")
+def q_setting_value(spark, sf_dir):
+    return _changes().setting_value(_settings_after_changes(spark, sf_dir), "opening_cash_seed", 0.0,
+                                    alias="opening_cash")
+
+
+@query("company_list")
+def q_company_list(spark, sf_dir):
+    b = Books(spark, sf_dir)
+    settings = _changes().seed_if_absent(b.app_settings, b.batch("setting_seeds"))
+    return _changes().company_list(settings)
+
+
+@query("audit_append")
+def q_audit_append(spark, sf_dir):
+    from ..sources.fixtures import COMPANY_NAME
+
+    b = Books(spark, sf_dir)
+    CH = _changes()
+    from pyspark.sql import functions as F
+
+    # The three batches number their requests independently; order the appended rows
+    # edits first, then deletes, then renames, each in its own request order.
+    step = F.lit(10 ** 13)
+    rows = (CH.edit_transactions(b.transactions, b.batch("edits")).audit
+            .unionByName(CH.delete_transactions(b.transactions, b.batch("deletes")).audit
+                         .withColumn("seq", F.col("seq") + step))
+            .unionByName(CH.rename_parties(b.parties, b.batch("renames")).audit
+                         .withColumn("seq", F.col("seq") + 2 * step)))
+    log = CH.audit_append(b.audit_logs, rows, company=COMPANY_NAME)
+    return log.select("username", "action", "details", "company")
+
+
+@query("audit_backfill")
+def q_audit_backfill(spark, sf_dir):
+    from ..sources.fixtures import COMPANY_NAME
+
+    log = _changes().backfill_company(Books(spark, sf_dir).audit_logs, COMPANY_NAME)
+    return log.groupBy("company").count().withColumnRenamed("count", "n")

@@ -382,3 +382,188 @@ SELECT e.row_id,
        WHEN pn.name IS NULL THEN 'Party ''' || e.party || ''' not found. Create it in ''Manage > Add Party'' first.'
   END AS reason
 FROM e LEFT JOIN pn ON pn.name = e.party""", TX, PT, "raw_import", extra=_ENTRIES))
+
+# ---- change batches ---------------------------------------------------------------------
+
+FIXTURE_SQL["app_settings"] = """
+SELECT * FROM (VALUES ('company_name','Alpha Traders'), ('opening_cash_seed','50000.0')) v(setting_key, setting_value)"""
+
+FIXTURE_SQL["adds"] = """
+SELECT t.txn_id AS seq, CAST(t.txn_date AS VARCHAR) AS date, t.bill_no, r."Customer Name" AS party, t.txn_type,
+  t.payment_mode AS mode, CAST(t.amount AS VARCHAR) AS amount
+FROM transactions t JOIN raw_import r ON r.row_id = t.txn_id"""
+
+FIXTURE_SQL["creates"] = """
+SELECT row_id AS seq, "Customer Name" AS name,
+  CASE WHEN "Payment Mode" = 'bank' THEN 'Bank' WHEN "Payment Mode" = 'CREDIT' THEN 'Credit Customer' ELSE 'Customer' END AS ptype,
+  COALESCE("Payment Mode" = 'CREDIT', false) AS credit
+FROM raw_import"""
+
+_CYCLE = "['txn_date','bill_no','txn_type','payment_mode','amount','party']"
+FIXTURE_SQL["edits"] = f"""
+SELECT row_id AS seq, row_id AS txn_id, 'admin' AS admin_user, {_CYCLE}[row_id % 6 + 1] AS field,
+  CASE {_CYCLE}[row_id % 6 + 1] WHEN 'txn_date' THEN "Date" WHEN 'bill_no' THEN "Bill No" WHEN 'txn_type' THEN "Type"
+       WHEN 'payment_mode' THEN "Payment Mode" WHEN 'amount' THEN "Amount" ELSE "Customer Name" END AS new_value
+FROM raw_import
+UNION ALL
+SELECT txn_id + 1000000000000, txn_id + 1, 'auditor', {_CYCLE}[(txn_id + 1) % 6 + 1],
+  CASE {_CYCLE}[(txn_id + 1) % 6 + 1] WHEN 'txn_date' THEN CAST(txn_date + 1 AS VARCHAR)
+       WHEN 'bill_no' THEN COALESCE(bill_no, 'INV') || '-R' WHEN 'txn_type' THEN 'Receipt' WHEN 'payment_mode' THEN 'Cash'
+       WHEN 'amount' THEN CAST(CAST(COALESCE(amount, 0) + 1 AS DECIMAL(18,2)) AS VARCHAR) ELSE 'x' END
+FROM transactions"""
+
+FIXTURE_SQL["deletes"] = """
+SELECT txn_id AS seq, txn_id, 'admin' AS admin_user FROM transactions WHERE txn_type = 'Purchase'
+UNION ALL SELECT event_id + 1000000000000, event_id * 2, 'user_' || CAST(user_id AS VARCHAR) FROM events"""
+
+_IMPORT_NAME = """CASE WHEN o_orderkey%83=0 THEN NULL WHEN o_orderkey%7=0 THEN concat('New Party ',CAST(o_custkey%40 AS STRING))
+       ELSE concat('Customer#',lpad(CAST(o_custkey AS STRING),9,'0')) END"""
+FIXTURE_SQL["renames"] = f"""
+SELECT o_orderkey AS seq, {_IMPORT_NAME} AS old_name,
+  CASE WHEN o_orderkey % 5 = 0 THEN concat('Customer#', lpad(CAST(o_custkey + 1 AS STRING), 9, '0'))
+       ELSE concat({_IMPORT_NAME}, ' & Co') END AS new_name, 'admin' AS admin_user
+FROM orders"""
+
+FIXTURE_SQL["cash_counts"] = """
+SELECT l_orderkey * 8 + l_linenumber AS seq, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,
+  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS cash_in_hand, 'admin' AS admin_user
+FROM lineitem"""
+
+FIXTURE_SQL["setting_changes"] = """
+SELECT event_id AS seq, 'pref_' || event_type AS setting_key, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS setting_value
+FROM events"""
+
+FIXTURE_SQL["setting_seeds"] = """
+SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN 'company_name' ELSE 'seed_' || event_type END AS setting_key,
+  props AS setting_value
+FROM events"""
+
+_ADD = """a AS (SELECT adds.*, p.party_id AS pid, TRY_CAST(date AS DATE) AS d, TRY_CAST(amount AS DECIMAL(18,2)) AS amt
+  FROM adds LEFT JOIN parties p ON p.normalized_name = lower(replace(adds.party,' ','_'))),
+chk AS (SELECT *, CASE WHEN pid IS NULL THEN 'Party not found' WHEN d IS NULL THEN 'Invalid date'
+                       WHEN amt IS NULL THEN 'Invalid amount' END AS reason FROM a)"""
+
+oracle("add_transactions", with_views("""
+SELECT seq, CASE WHEN reason IS NULL THEN (SELECT max(txn_id) FROM transactions)
+                 + row_number() OVER (PARTITION BY reason IS NULL ORDER BY seq) END AS txn_id,
+  CAST(d AS VARCHAR) AS txn_date, bill_no, pid AS party_id, txn_type, mode AS payment_mode,
+  CAST(amt AS DOUBLE) AS amount, reason
+FROM chk""", TX, PT, "raw_import", "adds", extra=_ADD))
+
+_CREATE = """c AS (SELECT seq, name, ptype, credit, lower(replace(name,' ','_')) AS k,
+    COALESCE(lower(replace(name,' ','_')) IN (SELECT normalized_name FROM parties WHERE normalized_name IS NOT NULL), false) AS ex
+  FROM creates),
+c2 AS (SELECT *, min(seq) OVER (PARTITION BY k) AS fa FROM c),
+fb AS (SELECT min(seq) AS s FROM c2 WHERE lower(ptype) = 'bank' AND seq = fa AND NOT ex AND name IS NOT NULL),
+bt AS (SELECT COALESCE(bool_or(COALESCE(lower(type) = 'bank', false)), false) AS b FROM parties),
+c3 AS (SELECT c2.*, COALESCE(ptype = 'Bank' AND (bt.b OR seq > fb.s), false) AS blocked FROM c2, bt, fb),
+c4 AS (SELECT *, min(CASE WHEN NOT blocked THEN seq END) OVER (PARTITION BY k) AS fo FROM c3),
+chk AS (SELECT *, CASE WHEN name IS NULL THEN 'Missing name' WHEN blocked THEN 'Only one Bank account is allowed.'
+                       WHEN ex OR seq <> fo THEN 'Party already exists' END AS reason FROM c4)"""
+
+oracle("create_parties", with_views("""
+SELECT seq, CASE WHEN reason IS NULL THEN (SELECT max(party_id) FROM parties)
+                 + row_number() OVER (PARTITION BY reason IS NULL ORDER BY seq) END AS party_id,
+  name, k AS normalized_name, ptype AS type, credit AS credit_allowed, reason
+FROM chk""", PT, "raw_import", "creates", extra=_CREATE))
+
+_EDIT = """chk AS (SELECT e.*, CASE
+      WHEN field IS NULL OR field NOT IN ('txn_date','bill_no','txn_type','payment_mode','amount') THEN 'Invalid field'
+      WHEN t.txn_id IS NULL THEN 'Transaction not found'
+      WHEN new_value IS NULL OR new_value = '' THEN 'Enter a value'
+      WHEN field = 'txn_date' AND TRY_CAST(new_value AS DATE) IS NULL THEN 'Invalid value for txn_date'
+      WHEN field = 'amount' AND TRY_CAST(new_value AS DECIMAL(18,2)) IS NULL THEN 'Invalid value for amount' END AS reason,
+    CASE field WHEN 'txn_date' THEN COALESCE(CAST(t.txn_date AS VARCHAR), 'None') WHEN 'bill_no' THEN COALESCE(t.bill_no, 'None')
+      WHEN 'txn_type' THEN COALESCE(t.txn_type, 'None') WHEN 'payment_mode' THEN COALESCE(t.payment_mode, 'None')
+      WHEN 'amount' THEN COALESCE(CAST(t.amount AS VARCHAR), 'None') END AS table_text
+  FROM edits e LEFT JOIN transactions t ON t.txn_id = e.txn_id),
+okd AS (SELECT *, lag(new_value) OVER (PARTITION BY txn_id, field ORDER BY seq) AS pv FROM chk WHERE reason IS NULL),
+last AS (SELECT txn_id, field, arg_max(new_value, seq) AS v FROM okd GROUP BY txn_id, field),
+piv AS (SELECT txn_id, max(v) FILTER (WHERE field = 'txn_date') AS n_date, max(v) FILTER (WHERE field = 'bill_no') AS n_bill,
+    max(v) FILTER (WHERE field = 'txn_type') AS n_type, max(v) FILTER (WHERE field = 'payment_mode') AS n_mode,
+    max(v) FILTER (WHERE field = 'amount') AS n_amount FROM last GROUP BY txn_id)"""
+
+oracle("edit_transactions", with_views("""
+SELECT t.txn_id, CAST(COALESCE(CAST(p.n_date AS DATE), t.txn_date) AS VARCHAR) AS txn_date,
+  COALESCE(p.n_bill, t.bill_no) AS bill_no, t.party_id, COALESCE(p.n_type, t.txn_type) AS txn_type,
+  COALESCE(p.n_mode, t.payment_mode) AS payment_mode,
+  CAST(COALESCE(CAST(p.n_amount AS DECIMAL(18,2)), t.amount) AS DOUBLE) AS amount
+FROM transactions t LEFT JOIN piv p ON p.txn_id = t.txn_id""", TX, "raw_import", "edits", extra=_EDIT))
+
+_EDIT_AUDIT_SELECT = """SELECT admin_user AS username, 'Edit Transaction' AS action,
+  'Changed ' || field || ' from ' || COALESCE(pv, table_text) || ' to ' || new_value || ' for Txn ID ' || CAST(txn_id AS VARCHAR) AS details
+FROM okd"""
+oracle("edit_audit", with_views(_EDIT_AUDIT_SELECT, TX, "raw_import", "edits", extra=_EDIT))
+
+_DELETE = """dchk AS (SELECT d.seq, d.txn_id, d.admin_user, t.txn_date, t.bill_no, t.amount,
+    CASE WHEN t.txn_id IS NULL OR d.seq <> f.fs THEN 'Transaction not found' END AS reason
+  FROM deletes d JOIN (SELECT txn_id, min(seq) AS fs FROM deletes GROUP BY txn_id) f ON f.txn_id = d.txn_id
+  LEFT JOIN transactions t ON t.txn_id = d.txn_id)"""
+
+oracle("delete_transactions", with_views("""
+SELECT txn_id, CAST(txn_date AS VARCHAR) AS txn_date, bill_no, party_id, txn_type, payment_mode, CAST(amount AS DOUBLE) AS amount
+FROM transactions WHERE txn_id NOT IN (SELECT txn_id FROM dchk WHERE reason IS NULL)""", TX, "deletes", extra=_DELETE))
+
+_DELETE_AUDIT_SELECT = """SELECT admin_user AS username, 'Delete Transaction' AS action,
+  'Deleted Txn ID ' || CAST(txn_id AS VARCHAR) || '. Date: ' || COALESCE(CAST(txn_date AS VARCHAR), 'None')
+  || ', Bill: ' || COALESCE(bill_no, 'None') || ', Amount: ' || COALESCE(CAST(amount AS VARCHAR), 'None') AS details
+FROM dchk WHERE reason IS NULL"""
+oracle("delete_audit", with_views(_DELETE_AUDIT_SELECT, TX, "deletes", extra=_DELETE))
+
+_RENAME = """rk AS (SELECT renames.*, lower(replace(old_name,' ','_')) AS okey, lower(replace(new_name,' ','_')) AS nk FROM renames),
+rj AS (SELECT rk.*, p.party_id AS pid, q.party_id AS owner FROM rk
+  LEFT JOIN parties p ON p.normalized_name = rk.okey LEFT JOIN parties q ON q.normalized_name = rk.nk),
+rf AS (SELECT rj.*, min(CASE WHEN pid IS NOT NULL THEN seq END) OVER (PARTITION BY pid) AS fp,
+    min(CASE WHEN pid IS NOT NULL THEN seq END) OVER (PARTITION BY nk) AS fk FROM rj),
+rchk AS (SELECT *, CASE WHEN pid IS NULL OR seq <> fp THEN 'Party not found'
+                        WHEN (owner IS NOT NULL AND owner <> pid) OR seq <> fk THEN 'New name already exists' END AS reason FROM rf)"""
+
+oracle("rename_parties", with_views("""
+SELECT p.party_id, COALESCE(c.new_name, p.name) AS name, COALESCE(c.nk, p.normalized_name) AS normalized_name
+FROM parties p LEFT JOIN (SELECT * FROM rchk WHERE reason IS NULL) c ON c.pid = p.party_id""",
+                                    PT, "renames", extra=_RENAME))
+
+_RENAME_AUDIT_SELECT = """SELECT admin_user AS username, 'Rename Party' AS action,
+  'Renamed ' || old_name || ' to ' || new_name AS details FROM rchk WHERE reason IS NULL"""
+
+_CASH_UPSERT = """okc AS (SELECT TRY_CAST(date AS DATE) AS cash_date, TRY_CAST(cash_in_hand AS DECIMAL(18,2)) AS v, seq
+  FROM cash_counts WHERE TRY_CAST(date AS DATE) IS NOT NULL AND TRY_CAST(cash_in_hand AS DECIMAL(18,2)) IS NOT NULL),
+lastc AS (SELECT cash_date, arg_max(v, seq) AS v FROM okc GROUP BY cash_date)"""
+
+oracle("upsert_cash", with_views("""
+SELECT CAST(COALESCE(l.cash_date, d.cash_date) AS VARCHAR) AS key, CAST(COALESCE(l.v, d.cash_in_hand) AS DOUBLE) AS value
+FROM daily_cash d FULL OUTER JOIN lastc l ON l.cash_date = d.cash_date""", "daily_cash", "cash_counts", extra=_CASH_UPSERT))
+
+_SETTINGS = """lasts AS (SELECT setting_key, arg_max(setting_value, seq) AS v FROM setting_changes GROUP BY setting_key),
+settings AS (SELECT COALESCE(l.setting_key, s.setting_key) AS setting_key, COALESCE(l.v, s.setting_value) AS setting_value
+  FROM app_settings s FULL OUTER JOIN lasts l ON l.setting_key = s.setting_key)"""
+
+oracle("upsert_setting", with_views("SELECT setting_key AS key, setting_value AS value FROM settings",
+                                    "app_settings", "setting_changes", extra=_SETTINGS))
+oracle("setting_value", with_views("""
+SELECT COALESCE(max(TRY_CAST(setting_value AS DOUBLE)), 0.0) AS opening_cash FROM settings
+WHERE setting_key = 'opening_cash_seed'""", "app_settings", "setting_changes", extra=_SETTINGS))
+
+_SEEDED = """firsts AS (SELECT setting_key, arg_min(setting_value, seq) AS setting_value FROM setting_seeds GROUP BY setting_key),
+seeded AS (SELECT setting_key, setting_value FROM app_settings
+  UNION ALL SELECT setting_key, setting_value FROM firsts WHERE setting_key NOT IN (SELECT setting_key FROM app_settings))"""
+
+oracle("seed_if_absent", with_views("SELECT setting_key, setting_value FROM seeded",
+                                    "app_settings", "setting_seeds", extra=_SEEDED))
+_COMPANY = """nm AS (SELECT COALESCE(max(NULLIF(setting_value, '')) FILTER (WHERE setting_key = 'company_name'),
+    'default') AS name FROM seeded)"""
+
+oracle("company_list", with_views("""
+SELECT name, COALESCE(NULLIF(regexp_replace(regexp_replace(lower(trim(name)), '\\s+', '_', 'g'), '[^a-z0-9_]+', '', 'g'), ''),
+                      'default') AS key FROM nm""", "app_settings", "setting_seeds", extra=_SEEDED + ",\n" + _COMPANY))
+
+oracle("audit_append", with_views(f"""
+SELECT username, action, details, company FROM audit_logs
+UNION ALL SELECT username, action, details, 'Alpha Traders' FROM ({_EDIT_AUDIT_SELECT}) ea
+UNION ALL SELECT username, action, details, 'Alpha Traders' FROM ({_DELETE_AUDIT_SELECT}) da
+UNION ALL SELECT username, action, details, 'Alpha Traders' FROM ({_RENAME_AUDIT_SELECT}) ra""",
+                                  TX, PT, "raw_import", "edits", "deletes", "renames", "audit_logs",
+                                  extra=",\n".join([_EDIT, _DELETE, _RENAME])))
+
+oracle("audit_backfill", with_views("""
+SELECT COALESCE(company, 'Alpha Traders') AS company, COUNT(*) AS n FROM audit_logs GROUP BY 1""", "audit_logs"))

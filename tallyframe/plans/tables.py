@@ -37,3 +37,10 @@ class Books:
     @property
     def entries(self) -> DataFrame:
         return fixtures.entries(self.spark, self.sf_dir)
+
+    def batch(self, name: str) -> DataFrame:
+        return getattr(fixtures, name)(self.spark, self.sf_dir)
+
+    @property
+    def app_settings(self) -> DataFrame:
+        return fixtures.app_settings(self.spark)

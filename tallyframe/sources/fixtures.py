@@ -184,3 +184,99 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bill_no", "party", "txn_type",
         F.col("payment_mode").alias("mode"),
         F.col("amount").cast("string").alias("amount"))
+
+
+# ---- change batches, derived from the same tables ------------------------
+
+EDIT_FIELD_CYCLE = ["txn_date", "bill_no", "txn_type", "payment_mode", "amount", "party"]
+SECOND_BATCH = 1_000_000_000_000
+
+
+def _field_at(i: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(f) for f in EDIT_FIELD_CYCLE]), (i % len(EDIT_FIELD_CYCLE) + 1).cast("int"))
+
+
+def adds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add requests: the entry rows, in row order."""
+    return entries(spark, sf_dir).withColumnRenamed("row_id", "seq")
+
+
+def creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create-party requests: every name of the import file, typed by its payment mode."""
+    r = raw_import(spark, sf_dir)
+    ptype = (F.when(F.col("Payment Mode") == "bank", F.lit("Bank"))
+              .when(F.col("Payment Mode") == "CREDIT", F.lit("Credit Customer"))
+              .otherwise(F.lit("Customer")))
+    return r.select(F.col("row_id").alias("seq"), F.col("Customer Name").alias("name"), ptype.alias("ptype"),
+                    (ptype == "Credit Customer").alias("credit"))
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit requests: a first batch takes the import file's text as new values; a second,
+    later batch edits the same field of the next transaction, so most fields are edited
+    twice and the audit must show the first edit's value as the old one."""
+    r = raw_import(spark, sf_dir)
+    f1 = _field_at(F.col("row_id"))
+    v1 = (F.when(f1 == "txn_date", F.col("Date")).when(f1 == "bill_no", F.col("Bill No"))
+           .when(f1 == "txn_type", F.col("Type")).when(f1 == "payment_mode", F.col("Payment Mode"))
+           .when(f1 == "amount", F.col("Amount")).otherwise(F.col("Customer Name")))
+    first = r.select(F.col("row_id").alias("seq"), F.col("row_id").alias("txn_id"), F.lit("admin").alias("admin_user"),
+                     f1.alias("field"), v1.alias("new_value"))
+    t = transactions(spark, sf_dir)
+    target = F.col("txn_id") + 1
+    f2 = _field_at(target)
+    v2 = (F.when(f2 == "txn_date", F.date_add("txn_date", 1).cast("string"))
+           .when(f2 == "bill_no", F.concat(F.coalesce(F.col("bill_no"), F.lit("INV")), F.lit("-R")))
+           .when(f2 == "txn_type", F.lit("Receipt")).when(f2 == "payment_mode", F.lit("Cash"))
+           .when(f2 == "amount", (F.coalesce(F.col("amount"), F.lit(0)) + 1).cast(MONEY).cast("string"))
+           .otherwise(F.lit("x")))
+    second = t.select((F.col("txn_id") + SECOND_BATCH).alias("seq"), target.alias("txn_id"),
+                      F.lit("auditor").alias("admin_user"), f2.alias("field"), v2.alias("new_value"))
+    return first.unionByName(second)
+
+
+def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete requests: every purchase, then one request per event naming an id (some do
+    not exist, some were deleted already)."""
+    t = transactions(spark, sf_dir).where(F.col("txn_type") == "Purchase")
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    return t.select(F.col("txn_id").alias("seq"), "txn_id", F.lit("admin").alias("admin_user")).unionByName(
+        ev.select((F.col("event_id") + SECOND_BATCH).alias("seq"), (F.col("event_id") * 2).alias("txn_id"),
+                  F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("admin_user")))
+
+
+def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rename requests, one per order: the order's party name gets a suffix, or (every fifth
+    order) the name of the next customer, which is taken."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    old = _import_name()
+    new = F.when(F.col("o_orderkey") % 5 == 0,
+                 F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") + 1).cast("string"), 9, "0"))) \
+           .otherwise(F.concat(old, F.lit(" & Co")))
+    return o.select(F.col("o_orderkey").alias("seq"), old.alias("old_name"), new.alias("new_name"),
+                    F.lit("admin").alias("admin_user"))
+
+
+def cash_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash counts, one per line item: many per day, the last by ``seq`` wins."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate",
+                                                      "l_extendedprice")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+                     F.col("l_shipdate").cast("date").cast("string").alias("date"),
+                     F.col("l_extendedprice").cast(MONEY).cast("string").alias("cash_in_hand"),
+                     F.lit("admin").alias("admin_user"))
+
+
+def setting_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings changes, one per event: key by event type, value the event's value as text."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return ev.select(F.col("event_id").alias("seq"), F.concat(F.lit("pref_"), F.col("event_type")).alias("setting_key"),
+                     F.col("value").cast(MONEY).cast("string").alias("setting_value"))
+
+
+def setting_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert-if-absent seeds, one per event: signups try to seed ``company_name``."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    key = F.when(F.col("event_type") == "signup", F.lit("company_name")) \
+           .otherwise(F.concat(F.lit("seed_"), F.col("event_type")))
+    return ev.select(F.col("event_id").alias("seq"), key.alias("setting_key"), F.col("props").alias("setting_value"))
