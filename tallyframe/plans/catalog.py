@@ -359,3 +359,127 @@ def q_audit_backfill(spark, sf_dir):
 
     log = _changes().backfill_company(Books(spark, sf_dir).audit_logs, COMPANY_NAME)
     return log.groupBy("company").count().withColumnRenamed("count", "n")
+
+
+# ---- scalar functions over whole columns ------------------------------------------------
+
+@query("normalise_keys")
+def q_normalise_keys(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions import text as X
+
+    b = Books(spark, sf_dir)
+    names = b.parties.select("name").unionByName(
+        b.raw_import.select(F.col("Customer Name").alias("name"))).where(F.col("name").isNotNull())
+    return names.select("name", X.company_key("name").alias("company_key"),
+                        X.server_key("name").alias("server_key"), X.client_key("name").alias("client_key"))
+
+
+@query("normalise_modes")
+def q_normalise_modes(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions import text as X
+
+    tx = Books(spark, sf_dir).transactions
+    g = tx.groupBy("txn_type", "payment_mode").agg(F.count(F.lit(1)).alias("n"))
+    m = X.mode_norm("payment_mode")
+    return g.select("txn_type", "payment_mode", X.type_norm("txn_type").alias("type_norm"), m.alias("mode_norm"),
+                    X.is_bank_norm(m).alias("is_bank_group"), "n")
+
+
+@query("title_case")
+def q_title_case(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions import text as X
+
+    r = Books(spark, sf_dir).raw_import
+    raw = (r.select(F.col("Type").alias("raw")).unionByName(r.select(F.col("Payment Mode").alias("raw")))
+           .unionByName(r.select(F.col("Customer Name").alias("raw"))).where(F.col("raw").isNotNull()).distinct())
+    return raw.select("raw", X.title_case("raw").alias("title"))
+
+
+@query("next_bill")
+def q_next_bill(spark, sf_dir):
+    from ..functions import text as X
+
+    tx = Books(spark, sf_dir).transactions
+    return tx.select("bill_no", X.next_bill_number("bill_no").alias("next_bill_no"))
+
+
+@query("display_formats")
+def q_display_formats(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions import dates as D
+    from ..functions import money as M
+    from ..functions import text as X
+    from ..operators.lists import joined_list
+
+    b = Books(spark, sf_dir)
+    rows = joined_list(b.transactions, b.parties)
+    return rows.select("id", D.date_text("date").alias("date_text"), D.month_key("date").alias("month"),
+                       M.indian_money("amount").alias("money_text"), M.fixed2("amount").alias("fixed_text"),
+                       M.balance_label("amount").alias("label"), X.sheet_name("party").alias("sheet_name"))
+
+
+# ---- sinks, snapshots and the streaming import ------------------------------------------
+
+BOOK_TABLES = ["parties", "transactions", "daily_cash", "audit_logs"]
+
+
+@query("snapshot_roundtrip")
+def q_snapshot_roundtrip(spark, sf_dir):
+    """S7 + S8: snapshot the books, restore the snapshot to a new place, count what came back."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from ..session import shared_work_dir
+    from ..sources import io
+
+    b = Books(spark, sf_dir)
+    work = shared_work_dir(spark, "snapshot")
+    folder = io.snapshot({t: getattr(b, t) for t in BOOK_TABLES}, f"{work}/backups", "books", prefix="auto_")
+    restored = io.restore(spark, folder, BOOK_TABLES, f"{work}/current")
+    counts = [restored[t].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows")
+              for t in BOOK_TABLES]
+    return reduce(lambda a, c: a.unionByName(c), counts)
+
+
+@query("export_csv_roundtrip")
+def q_export_csv_roundtrip(spark, sf_dir):
+    """Export every party's transactions as CSV, one folder per sheet, and read it back."""
+    from pyspark.sql import functions as F
+
+    from ..operators.lists import joined_list
+    from ..session import shared_work_dir
+    from ..sources import io
+
+    b = Books(spark, sf_dir)
+    path = shared_work_dir(spark, "export")
+    report = joined_list(b.transactions, b.parties).drop("txn_date")
+    io.export_report_csv(report, path, sheet_col="party")
+    back = spark.read.option("header", True).csv(path)
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("sheet").alias("sheets")).select(
+        F.lit("transactions_list").alias("table"), "rows", "sheets")
+
+
+@query("stream_import")
+def q_stream_import(spark, sf_dir):
+    """The import file dropped as CSV files, imported by a stream in several micro-batches."""
+    from ..operators.importing import accepted_contract
+    from ..session import shared_work_dir
+    from ..sources.fixtures import PIVOT_YEAR
+    from ..streaming.stream_import import read_accepted, start_stream_import
+
+    b = Books(spark, sf_dir)
+    work = shared_work_dir(spark, "stream")
+    raw = b.raw_import
+    raw.repartition(8).write.option("header", True).csv(f"{work}/drop")
+    q = start_stream_import(spark, f"{work}/drop", raw.columns, b.parties, b.transactions, f"{work}/out",
+                            f"{work}/checkpoint", pivot_year=PIVOT_YEAR, files_per_batch=3)
+    q.awaitTermination()
+    return accepted_contract(read_accepted(spark, f"{work}/out"))

@@ -567,3 +567,70 @@ UNION ALL SELECT username, action, details, 'Alpha Traders' FROM ({_RENAME_AUDIT
 
 oracle("audit_backfill", with_views("""
 SELECT COALESCE(company, 'Alpha Traders') AS company, COUNT(*) AS n FROM audit_logs GROUP BY 1""", "audit_logs"))
+
+# ---- scalar functions -------------------------------------------------------------------
+
+_F1 = ("COALESCE(NULLIF(regexp_replace(regexp_replace(lower(trim({x})), '\\s+', '_', 'g'), '[^a-z0-9_]+', '', 'g'), ''),"
+       " 'default')")
+
+oracle("normalise_keys", with_views(f"""
+SELECT name, {_F1.format(x='name')} AS company_key, lower(replace(name, ' ', '_')) AS server_key,
+  regexp_replace(lower(name), '\\s+', '_', 'g') AS client_key
+FROM nm WHERE name IS NOT NULL""", PT, "raw_import",
+    extra='nm AS (SELECT name FROM parties UNION ALL SELECT "Customer Name" FROM raw_import)'))
+
+_LADDER_T = """CASE WHEN starts_with(tt,'rec') THEN 'receipt' WHEN starts_with(tt,'sal') THEN 'sale'
+         WHEN starts_with(tt,'exp') THEN 'expense' ELSE tt END"""
+_LADDER_M = """CASE WHEN starts_with(mm,'cas') THEN 'cash' WHEN starts_with(mm,'ban') THEN 'bank'
+         WHEN starts_with(mm,'upi') THEN 'upi' WHEN starts_with(mm,'cre') THEN 'credit'
+         WHEN mm IN ('gpay','g-pay','googlepay','google pay','gp') THEN 'gpay' ELSE mm END"""
+
+oracle("normalise_modes", with_views(f"""
+SELECT txn_type, payment_mode, {_LADDER_T} AS type_norm, {_LADDER_M} AS mode_norm,
+  ({_LADDER_M}) IN ('bank','upi','gpay') AS is_bank_group, n
+FROM (SELECT txn_type, payment_mode, COALESCE(lower(trim(txn_type)),'none') AS tt,
+        COALESCE(lower(trim(payment_mode)),'none') AS mm, COUNT(*) AS n
+      FROM transactions GROUP BY txn_type, payment_mode) g""", TX))
+
+oracle("title_case", with_views(f"""
+SELECT raw, {_TITLE.format(x='raw')} AS title FROM (
+  SELECT "Type" AS raw FROM raw_import UNION SELECT "Payment Mode" FROM raw_import
+  UNION SELECT "Customer Name" FROM raw_import) u WHERE raw IS NOT NULL""", "raw_import"))
+
+_DIGITS = "regexp_extract(bill_no, '^(.*?)([0-9]+)$', 2)"
+_INC = f"CAST(CAST({_DIGITS} AS HUGEINT) + 1 AS VARCHAR)"
+oracle("next_bill", with_views(f"""
+SELECT bill_no, CASE WHEN bill_no IS NULL OR trim(bill_no) = '' THEN ''
+                     WHEN {_DIGITS} = '' THEN bill_no
+                     ELSE regexp_extract(bill_no, '^(.*?)([0-9]+)$', 1)
+                          || lpad({_INC}, CAST(greatest(length({_DIGITS}), length({_INC})) AS INTEGER), '0') END AS next_bill_no
+FROM transactions""", TX))
+
+_MONEY_S = "CAST(CAST(COALESCE(t.amount, 0) AS DECIMAL(18,2)) AS VARCHAR)"
+oracle("display_formats", with_views(f"""
+, m AS (SELECT t.txn_id, t.txn_date, t.amount, p.name,
+    CASE WHEN {_MONEY_S} LIKE '-%' THEN '-' ELSE '' END AS sgn,
+    split_part(ltrim({_MONEY_S}, '-'), '.', 1) AS ip, split_part({_MONEY_S}, '.', 2) AS fp
+  FROM {_J1})
+SELECT txn_id AS id, strftime(txn_date, '%d-%m-%Y') AS date_text, substr(CAST(txn_date AS VARCHAR), 1, 7) AS month,
+  sgn || CASE WHEN length(ip) <= 3 THEN ip
+              ELSE reverse(rtrim(regexp_replace(reverse(left(ip, length(ip) - 3)), '([0-9]{{2}})', '\\1,', 'g'), ','))
+                   || ',' || right(ip, 3) END || '.' || fp AS money_text,
+  CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR) AS fixed_text,
+  CASE WHEN amount < 0 THEN CAST(CAST(-amount AS DECIMAL(38,2)) AS VARCHAR) || ' Cr'
+       ELSE CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR) || ' Dr' END AS label,
+  left(regexp_replace(name, '[/\\\\?*\\[\\]]', '_', 'g'), 31) AS sheet_name
+FROM m""", TX, PT))
+
+oracle("snapshot_roundtrip", with_views("""
+SELECT 'parties' AS "table", COUNT(*) AS rows FROM parties
+UNION ALL SELECT 'transactions', COUNT(*) FROM transactions
+UNION ALL SELECT 'daily_cash', COUNT(*) FROM daily_cash
+UNION ALL SELECT 'audit_logs', COUNT(*) FROM audit_logs""", TX, PT, "daily_cash", "audit_logs"))
+
+oracle("export_csv_roundtrip", with_views(f"""
+SELECT 'transactions_list' AS "table", COUNT(*) AS rows,
+  COUNT(DISTINCT left(regexp_replace(p.name, '[/\\\\?*\\[\\]]', '_', 'g'), 31)) AS sheets
+FROM {_J1}""", TX, PT))
+
+oracle("stream_import", _ORACLE["import_accepted"])
