@@ -8,21 +8,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Day-first patterns tried in order; month-first comes last, as the reader falls back to
-# it only when the day-first reading is impossible.
+# it only when the day-first reading is impossible. Each pattern has a cheap shape test,
+# so a row is parsed only with the patterns it can match (a failed parse is costly).
+_D, _M2, _Y4, _Y2 = r"\d{1,2}", r"\d{1,2}", r"\d{4}", r"\d{2}"
+ISO_FORMATS = [
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"),
+]
 FOUR_DIGIT_YEAR_FORMATS = [
-    "d.M.yyyy", "d/M/yyyy", "d-M-yyyy", "M/d/yyyy",
-    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M/d", "yyyyMMdd",
+    ("d.M.yyyy", rf"^{_D}\.{_M2}\.{_Y4}$"),
+    ("d/M/yyyy", rf"^{_D}/{_M2}/{_Y4}$"),
+    ("d-M-yyyy", rf"^{_D}-{_M2}-{_Y4}$"),
+    ("M/d/yyyy", rf"^{_D}/{_M2}/{_Y4}$"),
+    ("d MMM yyyy", rf"^{_D} [A-Za-z]{{3}} {_Y4}$"),
+    ("d MMMM yyyy", rf"^{_D} [A-Za-z]+ {_Y4}$"),
+    ("MMM d, yyyy", rf"^[A-Za-z]{{3}} {_D}, {_Y4}$"),
+    ("MMMM d, yyyy", rf"^[A-Za-z]+ {_D}, {_Y4}$"),
+    ("yyyy/M/d", rf"^{_Y4}/{_M2}/{_D}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+]
+TWO_DIGIT_YEAR_FORMATS = [
+    ("d.M.yy", rf"^{_D}\.{_M2}\.{_Y2}$"),
+    ("d/M/yy", rf"^{_D}/{_M2}/{_Y2}$"),
+    ("d-M-yy", rf"^{_D}-{_M2}-{_Y2}$"),
+    ("M/d/yy", rf"^{_D}/{_M2}/{_Y2}$"),
 ]
-TWO_DIGIT_YEAR_FORMATS = ["d.M.yy", "d/M/yy", "d-M-yy", "M/d/yy"]
-ISO_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm"]
 
 
 def default_pivot_year() -> int:
     return _dt.date.today().year + 50
 
 
-def _try(col: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(col, F.lit(fmt)).cast("date")
+def _try(col: Column, fmt: str, shape: str) -> Column:
+    return F.when(col.rlike(shape), F.try_to_timestamp(col, F.lit(fmt)).cast("date"))
 
 
 def parse_day_first(col, iso: str = "ymd", pivot_year: int | None = None) -> Column:
@@ -35,13 +55,13 @@ def parse_day_first(col, iso: str = "ymd", pivot_year: int | None = None) -> Col
     """
     c = F.trim(F.col(col) if isinstance(col, str) else col)
     pivot = default_pivot_year() if pivot_year is None else pivot_year
-    iso_candidates = [_try(c, f) for f in ISO_FORMATS]
+    iso_candidates = [_try(c, f, shape) for f, shape in ISO_FORMATS]
     if iso == "dayfirst":
-        iso_candidates = [_try(c, "yyyy-dd-MM")] + iso_candidates
+        iso_candidates = [_try(c, "yyyy-dd-MM", ISO_FORMATS[0][1])] + iso_candidates
     elif iso != "ymd":
         raise ValueError("iso must be 'ymd' or 'dayfirst'")
-    four = [_try(c, f) for f in FOUR_DIGIT_YEAR_FORMATS]
-    two = F.coalesce(*[_try(c, f) for f in TWO_DIGIT_YEAR_FORMATS])
+    four = [_try(c, f, shape) for f, shape in FOUR_DIGIT_YEAR_FORMATS]
+    two = F.coalesce(*[_try(c, f, shape) for f, shape in TWO_DIGIT_YEAR_FORMATS])
     two = F.when(F.year(two) >= pivot, F.add_months(two, -1200)).otherwise(two)
     return F.coalesce(*iso_candidates, *four, two)
 

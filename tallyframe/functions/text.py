@@ -39,9 +39,14 @@ def is_bank_group(mode) -> Column:
     return ci_in(mode, BANK_GROUP_MODES)
 
 
+# The characters Python's ``str.strip()`` removes (``str.isspace``).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(col) -> Column:
-    """Python ``str.strip()``: drop leading and trailing white space."""
-    return F.regexp_replace(_c(col), rf"^{_WS}+|{_WS}+$", "")
+    """Python ``str.strip()``: drop leading and trailing white space (no regex)."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def company_key(name) -> Column:
@@ -93,10 +98,13 @@ def is_bank_norm(mode_normed: Column) -> Column:
 
 def title_case(col) -> Column:
     """Python ``str.title()``: a letter after a non-letter is upper case, other letters lower."""
-    runs = F.regexp_extract_all(F.lower(_c(col)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.when(_c(col).isNull(), F.lit(None).cast("string")).otherwise(
-        F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.left(w, F.lit(1))),
-                                                          F.substring(w, 2, 1 << 30))), ""))
+    c = _c(col)
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    general = F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.left(w, F.lit(1))),
+                                                                F.substring(w, 2, 1 << 30))), "")
+    # Fast path: ASCII letters and spaces only, where word starts are exactly what initcap sees.
+    return F.when(c.isNull(), F.lit(None).cast("string")) \
+            .when(c.rlike("^[A-Za-z ]*$"), F.initcap(c)).otherwise(general)
 
 
 def next_bill_number(bill) -> Column:

@@ -54,10 +54,28 @@ def first_present(df: DataFrame, aliases: list[str], default: Column | None = No
 
 @dataclass
 class ImportResult:
-    accepted: DataFrame       # row_id, txn_id, date, bill_no, party_key, party_id, type, mode, amount
+    """Outputs of one import. ``accepted`` and ``new_parties`` carry no ids; ids are given
+    when rows are appended (``with_ids``), as an identity column is filled on insert."""
+    accepted: DataFrame       # row_id, txn_date, bill_no, party, party_key, txn_type, payment_mode, amount
     rejected: DataFrame       # row_id, reason
-    new_parties: DataFrame    # party_id, name, normalized_name, type, credit_allowed
+    new_parties: DataFrame    # name, normalized_name, type, credit_allowed, first_row
     counts: DataFrame         # status, n
+    parties: DataFrame
+    transactions: DataFrame | None
+
+    def with_ids(self) -> tuple[DataFrame, DataFrame]:
+        """(new parties with ``party_id``, accepted rows with ``party_id`` and ``txn_id``),
+        numbered after the largest existing ids in file order (W6)."""
+        max_party = self.parties.select(F.coalesce(F.max("party_id"), F.lit(0))).scalar()
+        parties = dense_number(self.new_parties, "first_row", "party_id", start=max_party).select(
+            "party_id", "name", "normalized_name", "type", "credit_allowed")
+        known = self.parties.select(F.col("normalized_name").alias("party_key"), "party_id")
+        ids = known.unionByName(parties.select(F.col("normalized_name").alias("party_key"), "party_id"))
+        resolved = self.accepted.join(ids, "party_key", "inner")
+        max_txn = (self.transactions.select(F.coalesce(F.max("txn_id"), F.lit(0))).scalar()
+                   if self.transactions is not None else F.lit(0))
+        accepted = dense_number(resolved, "row_id", "txn_id", start=max_txn)
+        return parties, accepted
 
 
 def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None) -> DataFrame:
@@ -69,20 +87,25 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
     ttype = first_present(raw, TYPE_ALIASES)
     mode = first_present(raw, MODE_ALIASES)
     amount_text = first_present(raw, AMOUNT_ALIASES)
-    parsed = parse_day_first(date_raw, iso=iso, pivot_year=pivot_year)
-    reason = (F.when(date_raw.isNull() | (date_raw == ""), F.lit("Missing date"))
-               .when(parsed.isNull(), F.concat(F.lit("Invalid date format: "), date_raw))
-               .when(party.isNull() | (party == ""), F.lit("Missing party name")))
-    return raw.select(
+    # Two projections: the date is parsed once and the reason reads the parsed column.
+    first = raw.select(
         F.col("row_id"),
-        parsed.alias("txn_date"),
+        date_raw.alias("__date_raw"),
+        parse_day_first(date_raw, iso=iso, pivot_year=pivot_year).alias("txn_date"),
         bill.alias("bill_no"),
         party.alias("party"),
-        X.server_key(party).alias("party_key"),
-        F.when(ttype.isNull() | (ttype == ""), F.lit("Sale")).otherwise(X.title_case(ttype)).alias("txn_type"),
-        F.when(mode.isNull() | (mode == ""), F.lit("Cash")).otherwise(X.title_case(mode)).alias("payment_mode"),
-        M.parse_amount(amount_text).alias("amount"),
-        M.amount_readable(amount_text).alias("amount_ok"),
+        ttype.alias("__type"), mode.alias("__mode"), amount_text.alias("__amount"))
+    d, p, t, m, a = (F.col(c) for c in ("__date_raw", "party", "__type", "__mode", "__amount"))
+    reason = (F.when(d.isNull() | (d == ""), F.lit("Missing date"))
+               .when(F.col("txn_date").isNull(), F.concat(F.lit("Invalid date format: "), d))
+               .when(p.isNull() | (p == ""), F.lit("Missing party name")))
+    return first.select(
+        "row_id", "txn_date", "bill_no", "party",
+        X.server_key(p).alias("party_key"),
+        F.when(t.isNull() | (t == ""), F.lit("Sale")).otherwise(X.title_case(t)).alias("txn_type"),
+        F.when(m.isNull() | (m == ""), F.lit("Cash")).otherwise(X.title_case(m)).alias("payment_mode"),
+        M.parse_amount(a).alias("amount"),
+        M.amount_readable(a).alias("amount_ok"),
         reason.alias("reason"),
     )
 
@@ -97,35 +120,24 @@ def import_transactions(raw: DataFrame, parties: DataFrame, transactions: DataFr
     cleaned = clean_import(raw, iso=iso, pivot_year=pivot_year)
     ok = cleaned.where(F.col("reason").isNull())
     rejected = cleaned.where(F.col("reason").isNotNull()).select("row_id", "reason")
+    accepted = ok.select("row_id", "txn_date", "bill_no", "party", "party_key", "txn_type", "payment_mode",
+                         "amount", "amount_ok")
 
-    known = parties.select(F.col("normalized_name").alias("party_key"), "party_id")
     # Keys not in parties, each named by its first row. min over a struct is an
     # aggregate (map-side combined), so a key used by a third of the file is one row per task.
-    unknown = ok.join(known, "party_key", "left_anti")
-    firsts = unknown.groupBy("party_key").agg(
-        F.min(F.struct("row_id", "party")).alias("first"))
-    max_party = parties.select(F.coalesce(F.max("party_id"), F.lit(0))).scalar()
-    new_parties = dense_number(firsts.select("party_key", F.col("first.row_id").alias("first_row"),
-                                             F.col("first.party").alias("name")),
-                               "first_row", "party_id", start=max_party)
-    new_parties = new_parties.select(
-        "party_id", "name", F.col("party_key").alias("normalized_name"),
-        F.lit(NEW_PARTY_TYPE).alias("type"), F.lit(True).alias("credit_allowed"))
-
-    ids = known.unionByName(new_parties.select(F.col("normalized_name").alias("party_key"), "party_id"))
-    resolved = ok.join(ids, "party_key", "inner")
-    max_txn = (transactions.select(F.coalesce(F.max("txn_id"), F.lit(0))).scalar()
-               if transactions is not None else F.lit(0))
-    accepted = dense_number(resolved, "row_id", "txn_id", start=max_txn)
-    accepted = accepted.select("row_id", "txn_id", "txn_date", "bill_no", "party_key", "party_id",
-                               "txn_type", "payment_mode", "amount", "amount_ok")
+    known = parties.select(F.col("normalized_name").alias("party_key"))
+    unknown = accepted.join(known, "party_key", "left_anti")
+    new_parties = unknown.groupBy("party_key").agg(F.min(F.struct("row_id", "party")).alias("first")).select(
+        F.col("first.party").alias("name"), F.col("party_key").alias("normalized_name"),
+        F.lit(NEW_PARTY_TYPE).alias("type"), F.lit(True).alias("credit_allowed"),
+        F.col("first.row_id").alias("first_row"))
     counts = cleaned.agg(
         F.count(F.when(F.col("reason").isNull(), 1)).alias("success"),
         F.count(F.when(F.col("reason").isNotNull(), 1)).alias("errors"),
     ).select(F.inline(F.array(
         F.struct(F.lit("success").alias("status"), F.col("success").cast("long").alias("n")),
         F.struct(F.lit("error").alias("status"), F.col("errors").cast("long").alias("n")))))
-    return ImportResult(accepted, rejected, new_parties, counts)
+    return ImportResult(accepted, rejected, new_parties, counts, parties, transactions)
 
 
 def accepted_contract(accepted: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def q_import_counts(spark, sf_dir):
 
 @query("import_new_parties")
 def q_import_new_parties(spark, sf_dir):
-    return _import(spark, sf_dir).new_parties.select("name", "normalized_name", "type", "credit_allowed")
+    return _import(spark, sf_dir).new_parties.drop("first_row")
 
 
 @query("entry_validation")
@@ -461,7 +461,7 @@ def q_export_csv_roundtrip(spark, sf_dir):
     b = Books(spark, sf_dir)
     path = shared_work_dir(spark, "export")
     report = joined_list(b.transactions, b.parties).drop("txn_date")
-    io.export_report_csv(report, path, sheet_col="party")
+    io.export_report_csv(report, path, sheet_col="party", order_by=["date", "id"])
     back = spark.read.option("header", True).csv(path)
     return back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("sheet").alias("sheets")).select(
         F.lit("transactions_list").alias("table"), "rows", "sheets")

@@ -67,16 +67,21 @@ def write_report_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None) -> None:
-    """A report as CSV with a header; with ``sheet_col`` one folder per sheet, named by
-    the sheet-name rule (F21), so every party's ledger is exported at once."""
-    w = df
-    if sheet_col is not None:
-        # One shuffle by sheet so each sheet is written by one task, as one file.
-        w = df.withColumn("sheet", sheet_name(F.col(sheet_col))).repartition("sheet")
-        w.write.mode("overwrite").option("header", True).partitionBy("sheet").csv(path)
-    else:
-        w.write.mode("overwrite").option("header", True).csv(path)
+def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None,
+                      order_by: list[str] | None = None) -> None:
+    """A report as CSV with a header.
+
+    With ``sheet_col`` every party's sheet is exported at once: a ``sheet`` column named by
+    the sheet-name rule (F21), rows range-partitioned and sorted by sheet, so each sheet is
+    contiguous in one file and a file holds many sheets. (One folder per sheet would mean
+    one file per party -- millions of tiny files at scale.)
+    """
+    if sheet_col is None:
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return
+    w = df.withColumn("sheet", sheet_name(F.col(sheet_col)))
+    w = w.repartitionByRange("sheet").sortWithinPartitions("sheet", *(order_by or []))
+    w.write.mode("overwrite").option("header", True).csv(path)
 
 
 def snapshot_folder(root: str, database: str, prefix: str = "", when: _dt.datetime | None = None) -> str:

@@ -49,10 +49,11 @@ def start_stream_import(spark: SparkSession, drop_dir: str, columns: list[str],
         done = _earlier(spark, accepted_path, batch_id, T.StructType([T.StructField("txn_id", T.LongType())]))
         tx_ids = transactions.select("txn_id").unionByName(done.select("txn_id"))
         res = import_transactions(raw, known, tx_ids, pivot_year=pivot_year)
+        new_parties, accepted = res.with_ids()
         opts = {"partitionOverwriteMode": "dynamic"}
-        (res.accepted.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
+        (accepted.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
          .partitionBy("batch_id").parquet(accepted_path))
-        (res.new_parties.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
+        (new_parties.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
          .partitionBy("batch_id").parquet(parties_path))
         (res.rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
          .partitionBy("batch_id").parquet(rejected_path))
