@@ -88,30 +88,30 @@ def trial_balance_figures(tx: DataFrame, parties: DataFrame) -> DataFrame:
 
 
 def trial_balance(tx: DataFrame, parties: DataFrame, with_total: bool = True) -> DataFrame:
-    """A9 (+A10): seven accounts as debit / credit, then a TOTAL row."""
-    fig = trial_balance_figures(tx, parties)
+    """A9 (+A10): seven accounts as debit / credit, then a TOTAL row.
 
-    def acct(order: int, name: str, debit: Column, credit: Column) -> Column:
-        return F.struct(F.lit(order).alias("ord"), F.lit(name).alias("account"),
-                        debit.cast(M.WIDE).alias("debit"), credit.cast(M.WIDE).alias("credit"))
-
-    rows = F.array(
-        acct(1, "Cash Account", M.debit_part("cash"), M.credit_part("cash")),
-        acct(2, "Bank Account", M.debit_part("bank"), M.credit_part("bank")),
-        acct(3, "UPI Account", M.debit_part("upi"), M.credit_part("upi")),
-        acct(4, "Sundry Debtors", M.debit_part("debtors"), M.credit_part("debtors")),
-        acct(5, "Sundry Creditors", M.debit_part("creditors"), M.credit_part("creditors")),
-        acct(6, "Sales Account", _zero(), F.col("sales")),
-        acct(7, "Expense Account", F.col("expenses"), _zero()),
-    )
-    accounts = fig.select(F.inline(rows))
+    The TOTAL is summed inside the same one-row projection as the accounts, so the whole
+    report is one scan of transactions and one shuffle of per-party partial sums.
+    """
+    fig = trial_balance_figures(tx, parties)
+    accounts = [
+        ("Cash Account", M.debit_part("cash"), M.credit_part("cash")),
+        ("Bank Account", M.debit_part("bank"), M.credit_part("bank")),
+        ("UPI Account", M.debit_part("upi"), M.credit_part("upi")),
+        ("Sundry Debtors", M.debit_part("debtors"), M.credit_part("debtors")),
+        ("Sundry Creditors", M.debit_part("creditors"), M.credit_part("creditors")),
+        ("Sales Account", _zero(), F.col("sales")),
+        ("Expense Account", F.col("expenses"), _zero()),
+    ]
     if with_total:
-        total = accounts.agg(F.lit(8).alias("ord"), F.lit("TOTAL").alias("account"),
-                             F.sum("debit").cast(M.WIDE).alias("debit"),
-                             F.sum("credit").cast(M.WIDE).alias("credit"))
-        accounts = accounts.unionByName(total)
-    return accounts.select("ord", "account", M.to_double("debit").alias("debit"),
-                           M.to_double("credit").alias("credit"))
+        accounts.append(("TOTAL", sum((d.cast(M.WIDE) for _, d, _ in accounts[1:]), accounts[0][1].cast(M.WIDE)),
+                         sum((c.cast(M.WIDE) for _, _, c in accounts[1:]), accounts[0][2].cast(M.WIDE))))
+    rows = F.array(*[
+        F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("account"),
+                 debit.cast(M.WIDE).alias("debit"), credit.cast(M.WIDE).alias("credit"))
+        for i, (name, debit, credit) in enumerate(accounts)])
+    return fig.select(F.inline(rows)).select(
+        "ord", "account", M.to_double("debit").alias("debit"), M.to_double("credit").alias("credit"))
 
 
 def dashboard(tx: DataFrame, parties: DataFrame, as_of: str) -> DataFrame:

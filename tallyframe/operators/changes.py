@@ -113,8 +113,8 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
 
 def previous_value(df: DataFrame, partition_by: list[str], order_col: str, value_col: str,
                    out: str, block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """``out`` = ``value_col`` of the previous row (by ``order_col``) of the same partition,
-    null for the first. Two levels, like ``running_total``: a lag inside blocks of
+    """``out`` = ``value_col`` of the previous row (by ``order_col``) of the same partition
+    (non-null partition columns), null for the first. Two levels, like ``running_total``: a lag inside blocks of
     ``order_col // block_size``, and for a block's first row the last value of the block
     before it, taken from one summary row per block."""
     blk = "__pblk"
@@ -122,13 +122,10 @@ def previous_value(df: DataFrame, partition_by: list[str], order_col: str, value
     keys = [*partition_by, blk]
     last_of_block = x.groupBy(*keys).agg(F.max_by(value_col, order_col).alias("__last"))
     w_b = Window.partitionBy(*partition_by).orderBy(blk) if partition_by else Window.orderBy(blk)
-    carry = last_of_block.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                                 F.lag("__last").over(w_b).alias("__carry"))
-    cond = None
-    for k in keys:
-        e = x[k].eqNullSafe(carry[f"__k_{k}"])
-        cond = e if cond is None else cond & e
-    j = x.join(carry, cond, "inner").drop(*[f"__k_{k}" for k in keys])
+    carry = last_of_block.select(*keys, F.lag("__last").over(w_b).alias("__carry"))
+    # partition_by columns are non-null here, so this is a plain equi-join on the block key
+    # and the in-block window below reuses its partitioning.
+    j = x.join(carry, keys, "inner")
     w_r = Window.partitionBy(*keys).orderBy(order_col)
     first_in_block = F.row_number().over(w_r) == 1
     return j.withColumn(out, F.when(first_in_block, F.col("__carry"))

@@ -7,47 +7,68 @@ table. ``running_total`` is a two-level prefix sum instead:
 1. rows are cut into *blocks* keyed by (partition, date, id // block_size); a block holds
    at most ``block_size`` rows because ids are unique, and blocks are contiguous in the
    (date, id) order;
-2. one row per block (its sum) goes through the ordered window, giving the carry of
-   everything before the block -- this window sees blocks, not rows;
-3. rows join their block's carry and add a window sum *within* the block, which is
-   partitioned by the block key, so a hot party or day spreads over many tasks.
+2. block sums come from a map-side-combined aggregate of a narrow read (keys and value);
+3. one row per block goes through the ordered window that gives the carry of everything
+   before the block -- this window sees blocks, not rows;
+4. rows join their block's carry and add a window sum inside the block. The block key is
+   made of non-null columns, so the join's shuffle by block key is the only shuffle of
+   rows and the in-block window reuses it (or, when AQE broadcasts the carry, the window
+   does the one shuffle).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BLOCK = 1 << 20
 
 
+def _non_null(df: DataFrame, col: str) -> tuple[DataFrame, list[str]]:
+    """Replace a nullable ordering column by (is-null flag, value with a stand-in), both
+    non-null; nulls sort first as in an ascending SQL order."""
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.DateType):
+        stand_in = F.lit("1970-01-01").cast("date")
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        stand_in = F.lit("1970-01-01 00:00:00").cast(dtype)
+    elif isinstance(dtype, T.StringType):
+        stand_in = F.lit("")
+    else:
+        stand_in = F.lit(0).cast(dtype)
+    flag, val = f"__nn_{col}", f"__nv_{col}"
+    out = df.withColumn(flag, F.col(col).isNotNull()).withColumn(val, F.coalesce(F.col(col), stand_in))
+    return out, [flag, val]
+
+
 def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str],
                   date_col: str | None, id_col: str, block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same partition up to this row,
-    ordered by (``date_col``, ``id_col``); ``id_col`` must be unique within a partition and
-    ``date_col`` may be None (order by the id alone)."""
-    blk = "__blk"
-    v = "__v"
-    lead = [date_col] if date_col else []
-    keys = [*partition_by, *lead, blk]
+    ordered by (``date_col``, ``id_col``); ``id_col`` must be unique and non-null within a
+    partition, ``partition_by`` columns non-null, and ``date_col`` may be None (order by
+    the id alone) or hold nulls (they come first)."""
+    blk, v = "__blk", "__v"
     x = df.withColumn(blk, F.floor(F.col(id_col) / F.lit(block_size))).withColumn(v, value)
+    lead: list[str] = []
+    if date_col:
+        x, lead = _non_null(x, date_col)
+    keys = [*partition_by, *lead, blk]
 
-    block_sums = x.groupBy(*keys).agg(F.sum(v).alias("__bsum"))
-    w_blocks = Window.orderBy(*[F.col(c).asc_nulls_first() for c in lead], F.col(blk))
+    # Block sums from a narrow, map-side-combined aggregate (a pruned second read of the
+    # input: only the key columns and the value, and only partial sums are shuffled).
+    blocks = x.groupBy(*keys).agg(F.sum(v).alias("__bsum"))
+    w_before = Window.orderBy(*[F.col(c) for c in lead], F.col(blk))
     if partition_by:
-        w_blocks = w_blocks.partitionBy(*partition_by)
-    w_blocks = w_blocks.rowsBetween(Window.unboundedPreceding, -1)
-    carry = block_sums.select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys],
-        F.coalesce(F.sum("__bsum").over(w_blocks), F.lit(0).cast(x.schema[v].dataType)).alias("__carry"))
-
-    cond = reduce(lambda a, b: a & b, [x[k].eqNullSafe(carry[f"__c_{k}"]) for k in keys])
-    joined = x.join(carry, cond, "inner").drop(*[f"__c_{k}" for k in keys])
-    w_rows = (Window.partitionBy(*keys).orderBy(F.col(id_col))
-              .rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn(out, F.col("__carry") + F.sum(v).over(w_rows)).drop(blk, v, "__carry")
+        w_before = w_before.partitionBy(*partition_by)
+    w_before = w_before.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(x.schema[v].dataType)
+    carry = blocks.select(*keys, F.coalesce(F.sum("__bsum").over(w_before), zero).alias("__carry"))
+
+    # Rows are shuffled once, by block key; the in-block window reuses that partitioning.
+    joined = x.join(carry, keys, "inner")
+    w_in = Window.partitionBy(*keys).orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(out, F.col("__carry") + F.sum(v).over(w_in)).drop(blk, v, "__carry", *lead)
 
 
 def dense_number(df: DataFrame, order_col: str, out: str, start: Column | int = 0,
