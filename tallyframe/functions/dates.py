@@ -95,8 +95,8 @@ def stamp_text(col) -> Column:
     return F.date_format(F.col(col) if isinstance(col, str) else col, "yyyyMMdd_HHmmss")
 
 
-def same_month(col, as_of: str) -> Column:
-    """same calendar year and month as ``as_of``."""
+def same_month(col, as_of) -> Column:
+    """same calendar year and month as ``as_of`` (ISO text or a date Column)."""
     c = F.col(col) if isinstance(col, str) else col
-    d = F.to_date(F.lit(as_of))
+    d = as_of if isinstance(as_of, Column) else F.to_date(F.lit(as_of))
     return (F.year(c) == F.year(d)) & (F.month(c) == F.month(d))

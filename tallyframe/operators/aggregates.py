@@ -114,13 +114,13 @@ def trial_balance(tx: DataFrame, parties: DataFrame, with_total: bool = True) ->
         "ord", "account", M.to_double("debit").alias("debit"), M.to_double("credit").alias("credit"))
 
 
-def dashboard(tx: DataFrame, parties: DataFrame, as_of: str) -> DataFrame:
-    """A12 + A13: KPIs as of a date, in one scan of transactions."""
-    day = F.to_date(F.lit(as_of))
+def dashboard(tx: DataFrame, parties: DataFrame, as_of: str | None = None) -> DataFrame:
+    """A12 + A13: KPIs as of a date (today when not given), in one scan of transactions."""
+    day = F.to_date(F.lit(as_of)) if as_of else F.current_date()
     sale = _is_type("Sale")
     partial = _party_partials(tx, [
         _sum_if(sale & (F.col("txn_date") == day)).alias("sales_today"),
-        _sum_if(sale & same_month("txn_date", as_of)).alias("sales_month"),
+        _sum_if(sale & same_month("txn_date", day)).alias("sales_month"),
         *_account_flows(_is_mode("Cash"), "cash"),
         *_account_flows(X.is_bank_group("payment_mode"), "bank"),
         _sum_if(sale).alias("sales_all"),

@@ -19,6 +19,8 @@ def joined_list(tx: DataFrame, parties: DataFrame) -> DataFrame:
     """J1 + P1: transactions with their party name, in the reference's row contract.
 
     Rows whose party is null or unknown drop out, as in the inner join of the reference.
+    No broadcast hint: AQE broadcasts ``parties`` when its measured size allows, and
+    otherwise splits the partitions of a hot party in the sort-merge join (skew join).
     """
     j = tx.join(parties.select("party_id", F.col("name").alias("party")), "party_id", "inner")
     return j.select(

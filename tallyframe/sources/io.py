@@ -38,8 +38,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
     return spark.read.jdbc(url, table, properties=properties)
 
 
-def read_import_csv(spark: SparkSession, path: str, row_id: str = "row_id") -> DataFrame:
-    """An import file (CSV with a header row), every column as text.
+def read_import_csv(spark: SparkSession, path: str, row_id: str = "row_id",
+                    pandas_missing: bool = True) -> DataFrame:
+    """An import file (CSV with a header row), every column as text. With
+    ``pandas_missing`` the texts a pandas reader takes as missing (``NA``, ``null``, ...)
+    become null, as in the reference (Q20).
 
     When the file has no ``row_id`` column one is added: the line number of the row in its
     file (the header is line 1, so the first row is 2, as the reference reports rows).
@@ -50,6 +53,10 @@ def read_import_csv(spark: SparkSession, path: str, row_id: str = "row_id") -> D
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False)
           .schema(schema).csv(path))
+    if pandas_missing:
+        from ..operators.importing import na_tokens_to_null
+
+        df = na_tokens_to_null(df, keep=(row_id,))
     if row_id in header:
         return df.withColumn(row_id, F.col(row_id).cast("long"))
     x = df.withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
