@@ -49,6 +49,21 @@ def transactions_page(tx: DataFrame, parties: DataFrame, page: int = 1, limit: i
     return _finish(ordered.offset((page - 1) * limit).limit(limit))
 
 
+def transactions_page_after(tx: DataFrame, parties: DataFrame, after_date: str | None,
+                            after_id: int | None, limit: int = 100) -> DataFrame:
+    """O4 for deep pages: the next ``limit`` rows after the last row shown (keyset paging).
+
+    Same order as ``transactions_page``; rows strictly before (``after_date``,
+    ``after_id``) in (date desc, id desc) order. Unlike an offset, the filter is applied
+    before the top-k, so every page costs the same however deep it is.
+    """
+    rows = joined_list(tx, parties)
+    if after_date is not None and after_id is not None:
+        d = F.to_date(F.lit(after_date))
+        rows = rows.where((F.col("txn_date") < d) | ((F.col("txn_date") == d) & (F.col("id") < after_id)))
+    return _finish(rows.orderBy(F.desc("txn_date"), F.desc("id")).limit(limit))
+
+
 def type_report(tx: DataFrame, parties: DataFrame, txn_type: str) -> DataFrame:
     """Rows of one type (case-insensitive), by date."""
     rows = joined_list(tx.where(X.ci_eq("txn_type", txn_type)), parties)

@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # Fixture DataFrames cached by the query catalog belong to one session.
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -39,15 +40,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as
     is. Only when it is unset (a test session) is a private folder created.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir()
+        spark.conf.set("spark.checkpoint.dir", conf_dir)
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir()
+    return conf_dir
 
 
 def shared_work_dir(spark: SparkSession, name: str) -> str:

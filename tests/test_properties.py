@@ -60,3 +60,11 @@ def test_account_statement_is_ordered_running_sum(books):
     for r in st:
         run += r.debit - r.credit
         assert abs(run - r.balance) < 1e-6
+
+
+def test_keyset_pages_equal_offset_pages(books):
+    a = [tuple(r) for r in R.transactions_page(books.transactions, books.parties, 2, 50).collect()]
+    first = R.transactions_page(books.transactions, books.parties, 1, 50).collect()
+    b = [tuple(r) for r in R.transactions_page_after(books.transactions, books.parties, first[-1].date,
+                                                     first[-1].id, 50).collect()]
+    assert a == b and len(a) == 50
