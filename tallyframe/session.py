@@ -29,7 +29,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # Fixture DataFrames cached by the query catalog belong to one session.
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -50,7 +49,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is not None:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
