@@ -297,7 +297,8 @@ def audit_append(audit: DataFrame, rows: DataFrame, company: str | None = None)
         r = r.withColumn("company", F.lit(None).cast("string"))
     if "seq" not in r.columns:
         r = r.withColumn("seq", F.monotonically_increasing_id())
-    numbered = dense_number(r, "seq", "id", start=_scalar_max(audit, "id"))
+    # The appended rows usually come out of change pipelines; write them once.
+    numbered = dense_number(r, "seq", "id", start=_scalar_max(audit, "id"), materialize=True)
     new = numbered.select("id", F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), "username",
                           "action", "details", F.coalesce(F.col("company"), comp).alias("company"))
     return audit.select("id", "timestamp", "username", "action", "details", "company").unionByName(new)

@@ -111,13 +111,23 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
 
 
 def import_transactions(raw: DataFrame, parties: DataFrame, transactions: DataFrame | None = None,
-                        iso: str = "ymd", pivot_year: int | None = None) -> ImportResult:
-    """Accepted rows (with new txn ids), rejects with reasons, created parties, counters.
+                        iso: str = "ymd", pivot_year: int | None = None,
+                        materialize: bool = False) -> ImportResult:
+    """Accepted rows, rejects with reasons, created parties, counters.
 
     A party name whose key (F2) is unknown creates one party of type ``Customer`` with
-    credit allowed, named as in its first row; the row is accepted (Q13).
+    credit allowed, named as in its first row; the row is accepted (Q13). Every output
+    derives from the cleaned rows; when all of them will be written (as in the stream),
+    ``materialize=True`` writes the cleaned rows once below ``spark.checkpoint.dir`` so
+    the file is parsed once.
     """
     cleaned = clean_import(raw, iso=iso, pivot_year=pivot_year)
+    if materialize:
+        from ..session import shared_work_dir
+
+        path = shared_work_dir(raw.sparkSession, "import-cleaned")
+        cleaned.write.parquet(path)
+        cleaned = raw.sparkSession.read.parquet(path)
     ok = cleaned.where(F.col("reason").isNull())
     rejected = cleaned.where(F.col("reason").isNotNull()).select("row_id", "reason")
     accepted = ok.select("row_id", "txn_date", "bill_no", "party", "party_key", "txn_type", "payment_mode",

@@ -72,9 +72,21 @@ def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str
 
 
 def dense_number(df: DataFrame, order_col: str, out: str, start: Column | int = 0,
-                 block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                 block_size: int = DEFAULT_BLOCK, materialize: bool = False) -> DataFrame:
     """``out`` = start + 1, start + 2, ... in ``order_col`` order (unique, non-null),
-    without a single-task global window: a running count in two levels."""
+    without a single-task global window: a running count in two levels.
+
+    The input is read twice (block counts, then rows). When it is the end of a costly
+    plan, ``materialize=True`` writes it once as a parquet table in a fresh folder below
+    the cluster's ``spark.checkpoint.dir`` and numbers the written copy (this also cuts
+    the lineage a lost executor would have to recompute).
+    """
+    if materialize:
+        from ..session import shared_work_dir
+
+        path = shared_work_dir(df.sparkSession, "materialized")
+        df.write.parquet(path)
+        df = df.sparkSession.read.parquet(path)
     numbered = running_total(df, F.lit(1).cast("long"), out, [], None, order_col, block_size)
     base = start if isinstance(start, Column) else F.lit(start)
     return numbered.withColumn(out, (base + F.col(out)).cast("long"))

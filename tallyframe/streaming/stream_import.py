@@ -48,7 +48,7 @@ def start_stream_import(spark: SparkSession, drop_dir: str, columns: list[str],
         known = parties.unionByName(created_before)
         done = _earlier(spark, accepted_path, batch_id, T.StructType([T.StructField("txn_id", T.LongType())]))
         tx_ids = transactions.select("txn_id").unionByName(done.select("txn_id"))
-        res = import_transactions(raw, known, tx_ids, pivot_year=pivot_year)
+        res = import_transactions(raw, known, tx_ids, pivot_year=pivot_year, materialize=True)
         new_parties, accepted = res.with_ids()
         opts = {"partitionOverwriteMode": "dynamic"}
         (accepted.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
