@@ -60,3 +60,17 @@ def test_ledger_shuffles_rows_once(spark):
     reads = [line for line in plan.splitlines() if line.startswith("ReadSchema:") and "o_orderkey" in line]
     assert len(reads) == 2
     assert any("o_orderpriority" not in r for r in reads)
+
+
+def test_date_partitioned_layout_prunes_days(spark, books):
+    from tallyframe.sources import io
+
+    d = tempfile.mkdtemp(prefix="tf-layout-")
+    path = os.path.join(d, "transactions")
+    io.write_transactions_layout(books.transactions, path)
+    tx = spark.read.parquet(path)
+    df = R.day_book(tx, books.parties, "1998-06-15")
+    plan = _plan(df)
+    assert "PartitionFilters: [isnotnull(txn_date" in plan and "(txn_date" in plan and "= 1998-06-15)" in plan
+    direct = R.day_book(books.transactions, books.parties, "1998-06-15")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, direct.collect()))
