@@ -93,8 +93,9 @@ def search(tx: DataFrame, parties: DataFrame, query: str) -> DataFrame:
 
 
 def party_list(parties: DataFrame) -> DataFrame:
-    """Party names and types in name order."""
-    return parties.select("name", "type").orderBy("name")
+    """Party names and types in name order (ties by id, so a name shared by many
+    parties does not fall into one range of the sort)."""
+    return parties.orderBy("name", "party_id").select("name", "type")
 
 
 def audit_trail(audit: DataFrame, company: str | None = None) -> DataFrame:
@@ -102,5 +103,5 @@ def audit_trail(audit: DataFrame, company: str | None = None) -> DataFrame:
     A null company never matches."""
     comp = company or "default"
     return (audit.where(F.col("company") == F.lit(comp))
-                 .orderBy(F.desc("timestamp"))
+                 .orderBy(F.desc("timestamp"), F.desc("id"))
                  .select(timestamp_text("timestamp").alias("timestamp"), "username", "action", "details"))
