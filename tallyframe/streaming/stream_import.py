@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.importing import import_transactions, na_tokens_to_null
+from ..sources.io import add_line_numbers
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
@@ -43,7 +44,11 @@ def start_stream_import(spark: SparkSession, drop_dir: str, columns: list[str],
                                                   f"{out_dir}/rejected")
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        raw = na_tokens_to_null(batch).withColumn("row_id", F.col("row_id").cast("long"))
+        if "row_id" in batch.columns:
+            raw = na_tokens_to_null(batch).withColumn("row_id", F.col("row_id").cast("long"))
+        else:
+            # A micro-batch holds whole files, so line numbers per file are exact.
+            raw = add_line_numbers(na_tokens_to_null(batch, keep=()))
         created_before = _earlier(spark, parties_path, batch_id, party_schema)
         known = parties.unionByName(created_before)
         done = _earlier(spark, accepted_path, batch_id, T.StructType([T.StructField("txn_id", T.LongType())]))

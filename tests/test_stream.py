@@ -42,3 +42,18 @@ def test_stream_restart_and_new_file(spark):
     parties_made = spark.read.parquet(os.path.join(out, "parties")).orderBy("party_id")
     assert [(r.party_id, r.normalized_name) for r in parties_made.collect()] == [(2, "new_one"), (3, "another")]
     assert spark.read.parquet(os.path.join(out, "accepted")).select(F.countDistinct("batch_id")).first()[0] == 2
+
+
+def test_stream_numbers_lines_without_row_id(spark):
+    base = tempfile.mkdtemp(prefix="tf-stream-")
+    drop, out, ckpt = (os.path.join(base, x) for x in ("drop", "out", "ckpt"))
+    os.makedirs(drop)
+    cols = ["Date", "Customer Name", "Amount"]
+    with open(os.path.join(drop, "a.csv"), "w") as f:
+        f.write(",".join(cols) + "\n01.01.26,Acme,5\n,Acme,6\n03.01.26,Acme,7\n")
+    parties = spark.createDataFrame([(1, "Acme", "acme", "Customer", True)], PARTIES)
+    start_stream_import(spark, drop, cols, parties, parties.select(F.lit(0).cast("long").alias("txn_id")), out, ckpt,
+                        pivot_year=2076).awaitTermination()
+    assert sorted(r.row_id for r in read_accepted(spark, out).collect()) == [2, 4]
+    rej = spark.read.parquet(os.path.join(out, "rejected")).collect()
+    assert [(r.row_id, r.reason) for r in rej] == [(3, "Missing date")]
