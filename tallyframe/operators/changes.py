@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.dates import iso_text
 from ..sources.schemas import MONEY, TRANSACTIONS
-from .running import DEFAULT_BLOCK, dense_number
+from .running import DEFAULT_BLOCK, dense_number, number_where
 
 
 @dataclass
@@ -51,13 +51,11 @@ def add_transactions(tx: DataFrame, parties: DataFrame, adds: DataFrame) -> Chan
     checked = j.select("seq", when.alias("txn_date"), "bill_no", F.col("__pid").alias("party_id"),
                        "txn_type", F.col("mode").alias("payment_mode"), amount.alias("amount"),
                        reason.alias("reason"))
-    ok = checked.where(F.col("reason").isNull())
-    numbered = dense_number(ok, "seq", "txn_id", start=_scalar_max(tx, "txn_id"))
-    new_rows = numbered.select(*[f.name for f in TRANSACTIONS.fields])
+    outcome = number_where(checked, F.col("reason").isNull(), "seq", "txn_id", start=_scalar_max(tx, "txn_id"))
+    outcome = outcome.select("seq", "txn_id", "txn_date", "bill_no", "party_id", "txn_type", "payment_mode",
+                             "amount", "reason")
+    new_rows = outcome.where(F.col("reason").isNull()).select(*[f.name for f in TRANSACTIONS.fields])
     table = tx.unionByName(new_rows)
-    outcome = numbered.select("seq", "txn_id", "txn_date", "bill_no", "party_id", "txn_type",
-                              "payment_mode", "amount", "reason").unionByName(
-        checked.where(F.col("reason").isNotNull()).withColumn("txn_id", F.lit(None).cast("long")))
     return ChangeResult(table, outcome, None)
 
 
@@ -97,15 +95,13 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
                .when(F.col("__bank_blocked"), F.lit(BANK_MSG))
                .when(F.col("__exists") | (F.col("seq") != F.col("__first_ok")), F.lit(DUP_PARTY_MSG)))
     checked = c.withColumn("reason", reason)
-    ok = checked.where(F.col("reason").isNull())
-    numbered = dense_number(ok, "seq", "party_id", start=_scalar_max(parties, "party_id"))
-    new_rows = numbered.select("party_id", "name", F.col("__key").alias("normalized_name"),
-                               F.col("ptype").alias("type"), F.col("credit").cast("boolean").alias("credit_allowed"))
-    table = parties.unionByName(new_rows)
-    cols = ["seq", "party_id", "name", F.col("__key").alias("normalized_name"), F.col("ptype").alias("type"),
-            F.col("credit").cast("boolean").alias("credit_allowed"), "reason"]
-    outcome = numbered.select(*cols).unionByName(
-        checked.where(F.col("reason").isNotNull()).withColumn("party_id", F.lit(None).cast("long")).select(*cols))
+    numbered = number_where(checked, F.col("reason").isNull(), "seq", "party_id",
+                            start=_scalar_max(parties, "party_id"))
+    outcome = numbered.select("seq", "party_id", "name", F.col("__key").alias("normalized_name"),
+                              F.col("ptype").alias("type"), F.col("credit").cast("boolean").alias("credit_allowed"),
+                              "reason")
+    table = parties.unionByName(outcome.where(F.col("reason").isNull()).select(
+        "party_id", "name", "normalized_name", "type", "credit_allowed"))
     return ChangeResult(table, outcome, None)
 
 

@@ -71,6 +71,18 @@ def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str
     return joined.withColumn(out, F.col("__carry") + F.sum(v).over(w_in)).drop(blk, v, "__carry", *lead)
 
 
+def number_where(df: DataFrame, cond: Column, order_col: str, out: str, start: Column | int = 0,
+                 block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """W6 over a mixed batch: rows where ``cond`` holds get start + 1, start + 2, ... in
+    ``order_col`` order; the other rows keep ``out`` null. One pass over all rows (a
+    running count of accepted rows), so accepted and rejected requests stay one frame."""
+    counted = running_total(df.withColumn("__ok", F.coalesce(cond, F.lit(False))),
+                            F.when(F.col("__ok"), F.lit(1)).otherwise(F.lit(0)).cast("long"),
+                            out, [], None, order_col, block_size)
+    base = start if isinstance(start, Column) else F.lit(start)
+    return counted.withColumn(out, F.when(F.col("__ok"), (base + F.col(out)).cast("long"))).drop("__ok")
+
+
 def dense_number(df: DataFrame, order_col: str, out: str, start: Column | int = 0,
                  block_size: int = DEFAULT_BLOCK, materialize: bool = False) -> DataFrame:
     """``out`` = start + 1, start + 2, ... in ``order_col`` order (unique, non-null),
