@@ -7,63 +7,62 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Day-first patterns tried in order; month-first comes last, as the reader falls back to
-# it only when the day-first reading is impossible. Each pattern has a cheap shape test,
-# so a row is parsed only with the patterns it can match (a failed parse is costly).
-_D, _M2, _Y4, _Y2 = r"\d{1,2}", r"\d{1,2}", r"\d{4}", r"\d{2}"
-ISO_FORMATS = [
-    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"),
-]
-FOUR_DIGIT_YEAR_FORMATS = [
-    ("d.M.yyyy", rf"^{_D}\.{_M2}\.{_Y4}$"),
-    ("d/M/yyyy", rf"^{_D}/{_M2}/{_Y4}$"),
-    ("d-M-yyyy", rf"^{_D}-{_M2}-{_Y4}$"),
-    ("M/d/yyyy", rf"^{_D}/{_M2}/{_Y4}$"),
-    ("d MMM yyyy", rf"^{_D} [A-Za-z]{{3}} {_Y4}$"),
-    ("d MMMM yyyy", rf"^{_D} [A-Za-z]+ {_Y4}$"),
-    ("MMM d, yyyy", rf"^[A-Za-z]{{3}} {_D}, {_Y4}$"),
-    ("MMMM d, yyyy", rf"^[A-Za-z]+ {_D}, {_Y4}$"),
-    ("yyyy/M/d", rf"^{_Y4}/{_M2}/{_D}$"),
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?$"
+ISO_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
+               "yyyy-MM-dd'T'HH:mm"]
+# Less common layouts, each behind its own shape test.
+RARE_FORMATS = [
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]+ \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
     ("yyyyMMdd", r"^\d{8}$"),
 ]
-TWO_DIGIT_YEAR_FORMATS = [
-    ("d.M.yy", rf"^{_D}\.{_M2}\.{_Y2}$"),
-    ("d/M/yy", rf"^{_D}/{_M2}/{_Y2}$"),
-    ("d-M-yy", rf"^{_D}-{_M2}-{_Y2}$"),
-    ("M/d/yy", rf"^{_D}/{_M2}/{_Y2}$"),
-]
 
 
 def default_pivot_year() -> int:
     return _dt.date.today().year + 50
 
 
-def _try(col: Column, fmt: str, shape: str) -> Column:
-    return F.when(col.rlike(shape), F.try_to_timestamp(col, F.lit(fmt)).cast("date"))
+def _parse(col: Column, fmt: str) -> Column:
+    return F.try_to_timestamp(col, F.lit(fmt)).cast("date")
 
 
 def parse_day_first(col, iso: str = "ymd", pivot_year: int | None = None) -> Column:
     """F8: import date text -> DATE, null when no pattern fits.
 
+    Numeric layouts ``d.M.y``, ``d/M/y``, ``d-M-y`` (two- or four-digit year) are read
+    day-first; with ``/`` an impossible day-first reading falls back to month-first.
     ``iso="ymd"`` reads ``2026-01-05`` as 5 January; ``iso="dayfirst"`` reproduces the
     day/month swap of a day-first reader on ISO text (1 May), falling back to the plain
     reading when the swapped one is impossible. Two-digit years at or above
-    ``pivot_year`` are moved back one century.
+    ``pivot_year`` are moved back one century. Month names, ``yyyy/M/d`` and
+    ``yyyyMMdd`` are read too.
+
+    One shape test per layout group, then the separator picks the pattern, so a row
+    runs a few regex tests and normally one parse (a failed parse is costly).
     """
     c = F.trim(F.col(col) if isinstance(col, str) else col)
     pivot = default_pivot_year() if pivot_year is None else pivot_year
-    iso_candidates = [_try(c, f, shape) for f, shape in ISO_FORMATS]
-    if iso == "dayfirst":
-        iso_candidates = [_try(c, "yyyy-dd-MM", ISO_FORMATS[0][1])] + iso_candidates
-    elif iso != "ymd":
+    if iso not in ("ymd", "dayfirst"):
         raise ValueError("iso must be 'ymd' or 'dayfirst'")
-    four = [_try(c, f, shape) for f, shape in FOUR_DIGIT_YEAR_FORMATS]
-    two = F.coalesce(*[_try(c, f, shape) for f, shape in TWO_DIGIT_YEAR_FORMATS])
+
+    iso_plain = F.coalesce(*[_parse(c, f) for f in ISO_FORMATS])
+    iso_date = F.coalesce(_parse(c, "yyyy-dd-MM"), iso_plain) if iso == "dayfirst" else iso_plain
+
+    def numeric(year: str) -> Column:
+        return (F.when(c.contains("."), _parse(c, f"d.M.{year}"))
+                 .when(c.contains("/"), F.coalesce(_parse(c, f"d/M/{year}"), _parse(c, f"M/d/{year}")))
+                 .otherwise(_parse(c, f"d-M-{year}")))
+
+    two = numeric("yy")
     two = F.when(F.year(two) >= pivot, F.add_months(two, -1200)).otherwise(two)
-    return F.coalesce(*iso_candidates, *four, two)
+    return F.coalesce(
+        F.when(c.rlike(ISO_SHAPE), iso_date),
+        F.when(c.rlike(r"^\d{1,2}([./-])\d{1,2}\1\d{4}$"), numeric("yyyy")),
+        F.when(c.rlike(r"^\d{1,2}([./-])\d{1,2}\1\d{2}$"), two),
+        *[F.when(c.rlike(shape), _parse(c, f)) for f, shape in RARE_FORMATS])
 
 
 def date_text(col) -> Column:

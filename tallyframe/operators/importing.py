@@ -95,6 +95,10 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
         bill.alias("bill_no"),
         party.alias("party"),
         ttype.alias("__type"), mode.alias("__mode"), amount_text.alias("__amount"))
+    # Barrier: filters on the parsed date (``reason IS NULL``) would otherwise be pushed
+    # below this projection with the parse expression substituted, parsing every row twice.
+    # A filter on a generator's output stays above it.
+    first = first.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in first.columns]))))
     d, p, t, m, a = (F.col(c) for c in ("__date_raw", "party", "__type", "__mode", "__amount"))
     reason = (F.when(d.isNull() | (d == ""), F.lit("Missing date"))
                .when(F.col("txn_date").isNull(), F.concat(F.lit("Invalid date format: "), d))

@@ -77,3 +77,12 @@ def test_display_date_and_month(spark):
 def test_amount_parse(spark):
     got = _one(spark, ["1200", " 12.5 ", "1,200", None, "abc", "-3"], M.parse_amount)
     assert [str(x) for x in got] == ["1200.00", "12.50", "0.00", "0.00", "0.00", "-3.00"]
+
+
+def test_day_first_more_layouts(spark):
+    vals = ["1-2-2024", "01-02-24", "29.02.2024", "29.02.2023", "1/2/24", "13/13/2024", "2024-02-29 10:11:12",
+            "2024-02-29 25:00:00", "2024-02-29T10:11", "1.2-2024", "01.02.024", "2024/2/3", "Mar 3, 2024", "00.01.24"]
+    got = _one(spark, vals, lambda c: D.parse_day_first(c, pivot_year=2076))
+    assert got == [dt.date(2024, 2, 1), dt.date(2024, 2, 1), dt.date(2024, 2, 29), None, dt.date(2024, 2, 1), None,
+                   dt.date(2024, 2, 29), None, dt.date(2024, 2, 29), None, None, dt.date(2024, 2, 3),
+                   dt.date(2024, 3, 3), None]
