@@ -68,28 +68,38 @@ def carry_forward(days: DataFrame, seed) -> DataFrame:
     """W4 in closed form over one row per day.
 
     ``opening`` of a day is the previous day's count when it was counted, else the previous
-    day's computed closing; the first day opens with ``seed``. Equivalently, with
-    ``grp`` = number of counted days before this one, ``opening`` = last count before
-    (or ``seed``) + the net of the earlier days of the same ``grp``.
+    day's computed closing; the first day opens with ``seed``. With ``S`` = net of all
+    earlier days and ``k`` the last counted day before this one:
+    ``opening = count(k) + S - S_incl(k)`` (the net since that count), or ``seed + S``
+    when no day before was counted. Every window has the same (date) order, so they run
+    in one pass over the per-day table -- bounded by the calendar, not by the data.
     """
     seed_col = F.lit(seed).cast(M.WIDE)
+    zero = F.lit(0).cast(M.WIDE)
     net = (F.col("cash_in") - F.col("cash_expense")).cast(M.WIDE)
-    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("date")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     d = days.withColumn("__net", net).select(
         "*",
-        F.count("cash_in_hand").over(before).alias("__grp"),
-        F.coalesce(F.last("cash_in_hand", ignorenulls=True).over(before).cast(M.WIDE), seed_col)
-        .alias("__base"))
-    in_grp = Window.partitionBy("__grp").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("opening_cash", F.col("__base") + F.coalesce(F.sum("__net").over(in_grp),
-                                                                   F.lit(0).cast(M.WIDE)))
+        F.coalesce(F.sum("__net").over(before), zero).alias("__s"),
+        F.sum("__net").over(upto).alias("__s_incl"))
+    d = d.select(
+        "*",
+        F.last("cash_in_hand", ignorenulls=True).over(before).cast(M.WIDE).alias("__last_count"),
+        F.last(F.when(F.col("cash_in_hand").isNotNull(), F.col("__s_incl")), ignorenulls=True)
+        .over(before).alias("__s_at_count"))
+    opening = F.when(F.col("__last_count").isNotNull(),
+                     F.col("__last_count") + F.col("__s") - F.col("__s_at_count")) \
+               .otherwise(seed_col + F.col("__s"))
+    d = d.withColumn("opening_cash", opening.cast(M.WIDE))
     needed = F.col("opening_cash") + F.col("__net")
     return d.select(
         "*",
         needed.alias("cash_needed"),
         F.coalesce(F.col("cash_in_hand").cast(M.WIDE), needed).alias("closing_cash"),
-        F.coalesce(F.col("cash_in_hand") - needed, F.lit(0).cast(M.WIDE)).alias("cash_short_excess"),
-    ).drop("__net", "__grp", "__base")
+        F.coalesce(F.col("cash_in_hand") - needed, zero).alias("cash_short_excess"),
+    ).drop("__net", "__s", "__s_incl", "__last_count", "__s_at_count")
 
 
 def daily_cash_summary_decimal(tx: DataFrame, parties: DataFrame, daily_cash: DataFrame,
