@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.dates import iso_text
 from ..sources.schemas import MONEY, TRANSACTIONS
-from .running import DEFAULT_BLOCK, dense_number, number_where
+from .running import DEFAULT_BLOCK, dense_number, number_where, previous_value
 
 
 @dataclass
@@ -105,29 +105,6 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
     return ChangeResult(table, outcome, None)
 
 
-# ---- helpers for "value before this request" --------------------------------------------
-
-def previous_value(df: DataFrame, partition_by: list[str], order_col: str, value_col: str,
-                   out: str, block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """``out`` = ``value_col`` of the previous row (by ``order_col``) of the same partition
-    (non-null partition columns), null for the first. Two levels, like ``running_total``: a lag inside blocks of
-    ``order_col // block_size``, and for a block's first row the last value of the block
-    before it, taken from one summary row per block."""
-    blk = "__pblk"
-    x = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block_size)))
-    keys = [*partition_by, blk]
-    last_of_block = x.groupBy(*keys).agg(F.max_by(value_col, order_col).alias("__last"))
-    w_b = Window.partitionBy(*partition_by).orderBy(blk) if partition_by else Window.orderBy(blk)
-    carry = last_of_block.select(*keys, F.lag("__last").over(w_b).alias("__carry"))
-    # partition_by columns are non-null here, so this is a plain equi-join on the block key
-    # and the in-block window below reuses its partitioning.
-    j = x.join(carry, keys, "inner")
-    w_r = Window.partitionBy(*keys).orderBy(order_col)
-    first_in_block = F.row_number().over(w_r) == 1
-    return j.withColumn(out, F.when(first_in_block, F.col("__carry"))
-                        .otherwise(F.lag(value_col).over(w_r))).drop(blk, "__carry")
-
-
 # ---- M3: edit transactions --------------------------------------------------------------
 
 INVALID_FIELD = "Invalid field"

@@ -5,8 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.changes import previous_value
-from tallyframe.operators.running import dense_number, running_total
+from tallyframe.operators.running import dense_number, previous_value, running_total
 
 
 def _data(spark, n=600, seed=7):
