@@ -483,3 +483,10 @@ def q_stream_import(spark, sf_dir):
                             f"{work}/checkpoint", pivot_year=PIVOT_YEAR, files_per_batch=3)
     q.awaitTermination()
     return accepted_contract(read_accepted(spark, f"{work}/out"))
+
+
+@query("transactions_page_after")
+def q_transactions_page_after(spark, sf_dir):
+    """O4, keyset form: the 100 rows after (1997-01-01, id 0) in (date desc, id desc) order."""
+    b = Books(spark, sf_dir)
+    return R.transactions_page_after(b.transactions, b.parties, "1997-01-01", 0, limit=100)

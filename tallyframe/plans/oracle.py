@@ -634,3 +634,8 @@ SELECT 'transactions_list' AS "table", COUNT(*) AS rows,
 FROM {_J1}""", TX, PT))
 
 oracle("stream_import", _ORACLE["import_accepted"])
+
+oracle("transactions_page_after", with_views(f"""
+SELECT {_LIST} FROM {_J1}
+WHERE t.txn_date < DATE '1997-01-01' OR (t.txn_date = DATE '1997-01-01' AND t.txn_id < 0)
+ORDER BY t.txn_date DESC, t.txn_id DESC LIMIT 100""", TX, PT))
