@@ -159,8 +159,7 @@ ob AS (SELECT name, COALESCE(sales,0) - COALESCE(receipts,0) AS balance FROM o
 oracle("outstanding", with_views(
     "SELECT name AS party, CAST(balance AS DOUBLE) AS balance FROM ob", TX, PT, extra=_OUT))
 oracle("outstanding_total", with_views(
-    "SELECT CAST(COALESCE(SUM(CAST(balance AS DOUBLE)),0) AS DOUBLE) AS total FROM ob", TX, PT, extra=_OUT)
-    .replace("SUM(CAST(balance AS DOUBLE))", "SUM(balance)"))
+    "SELECT CAST(COALESCE(SUM(balance), 0) AS DOUBLE) AS total FROM ob", TX, PT, extra=_OUT))
 
 
 def _mode_col(mode: str, inflow: bool) -> str:
@@ -287,12 +286,12 @@ SELECT t.txn_id AS id, CAST(t.txn_date AS VARCHAR) AS date, COALESCE(t.bill_no,'
   CAST(CASE WHEN t.txn_type IN ('Sale','Receipt') THEN 0 ELSE COALESCE(t.amount,0) END AS DOUBLE) AS credit,
   CAST(SUM(CASE WHEN t.txn_type IN ('Sale','Receipt') THEN COALESCE(t.amount,0) ELSE -COALESCE(t.amount,0) END)
     OVER (ORDER BY t.txn_date NULLS FIRST, t.txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS balance
-FROM {_J1} WHERE {mode_pred.replace('payment_mode', 't.payment_mode')}""", TX, PT)
+FROM {_J1} WHERE {mode_pred}""", TX, PT)
 
 
-oracle("account_cash", _account(_CASH_MODE))
-oracle("account_bank", _account(_BANK_MODE))
-oracle("account_upi", _account(_UPI_MODE))
+oracle("account_cash", _account(_is("t.payment_mode", "cash")))
+oracle("account_bank", _account(f"lower(t.payment_mode) IN {BANKS_LOWER}"))
+oracle("account_upi", _account(_is("t.payment_mode", "upi")))
 
 # ---- lists ------------------------------------------------------------------------------
 
