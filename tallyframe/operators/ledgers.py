@@ -25,33 +25,40 @@ def _date_range(tx: DataFrame, start: str | None, end: str | None) -> DataFrame:
     return tx
 
 
-def _known_party_rows(tx: DataFrame, parties: DataFrame) -> DataFrame:
-    # A ledger is asked for by a party that exists; rows of unknown parties have no ledger.
+def _known_party_rows(tx: DataFrame, parties: DataFrame, party_key: str | None = None) -> DataFrame:
+    """Rows of existing parties (rows of unknown parties have no ledger). With
+    ``party_key`` only that party, matched on ``normalized_name`` as the reference
+    matches the key the client sends; an unknown key gives an empty ledger."""
+    if party_key is not None:
+        parties = parties.where(F.col("normalized_name") == F.lit(party_key))
     return tx.join(parties.select("party_id"), "party_id", "left_semi")
 
 
 def party_ledger(tx: DataFrame, parties: DataFrame, start: str | None = None,
-                 end: str | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Balance starts at 0 inside the date range; exact ``Sale`` adds, everything else subtracts."""
-    rows = _known_party_rows(_date_range(tx, start, end), parties)
+                 end: str | None = None, block_size: int = DEFAULT_BLOCK,
+                 party_key: str | None = None) -> DataFrame:
+    """Balance starts at 0 inside the date range; exact ``Sale`` adds, everything else
+    subtracts. All parties at once, or one with ``party_key``."""
+    rows = _known_party_rows(_date_range(tx, start, end), parties, party_key)
     amt = M.zero_if_null("amount")
     signed = F.when(F.col("txn_type") == "Sale", amt).otherwise(-amt)
     out = running_total(rows, signed, "balance", ["party_id"], "txn_date", "txn_id", block_size)
     return out.select(
         "party_id", F.col("txn_id").alias("id"), iso_text("txn_date").alias("date"),
-        F.coalesce(F.nullif(F.col("bill_no"), F.lit("")), F.lit("")).alias("bill_no"),
+        F.coalesce(F.col("bill_no"), F.lit("")).alias("bill_no"),
         F.col("txn_type").alias("type"), F.col("payment_mode").alias("mode"),
         M.to_double("amount").alias("amount"), M.to_double("balance").alias("balance"))
 
 
 def ledger_statement(tx: DataFrame, parties: DataFrame, start: str | None = None,
-                     end: str | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                     end: str | None = None, block_size: int = DEFAULT_BLOCK,
+                     party_key: str | None = None) -> DataFrame:
     """The client's statement: debit / credit columns and a ``Dr`` / ``Cr`` balance label.
 
     Its sign rule differs from W1: only receipt, reciept and sale return (lower-trimmed)
     go to the credit side; everything else, purchases included, is a debit.
     """
-    rows = _known_party_rows(_date_range(tx, start, end), parties)
+    rows = _known_party_rows(_date_range(tx, start, end), parties, party_key)
     amt = M.zero_if_null("amount")
     on_credit = F.lower(X.py_strip(F.coalesce(F.col("txn_type"), F.lit("")))).isin(X.CREDIT_SIDE_TYPES)
     signed = F.when(on_credit, -amt).otherwise(amt)

@@ -68,3 +68,13 @@ def test_keyset_pages_equal_offset_pages(books):
     b = [tuple(r) for r in R.transactions_page_after(books.transactions, books.parties, first[-1].date,
                                                      first[-1].id, 50).collect()]
     assert a == b and len(a) == 50
+
+
+def test_single_party_ledger_is_a_slice_of_all(books):
+    key = books.parties.where(F.col("party_id") == 7).first().normalized_name
+    one = L.party_ledger(books.transactions, books.parties, party_key=key).collect()
+    every = L.party_ledger(books.transactions, books.parties).where(F.col("party_id") == 7).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, every)) and len(one) > 0
+    assert L.party_ledger(books.transactions, books.parties, party_key="no_such_party").count() == 0
+    st = L.ledger_statement(books.transactions, books.parties, party_key=key).collect()
+    assert len(st) == len(one)
