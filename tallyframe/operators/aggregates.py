@@ -191,9 +191,11 @@ def daily_mode_summary(tx: DataFrame) -> DataFrame:
 
 
 def type_report_total(tx: DataFrame, parties: DataFrame, txn_type: str) -> DataFrame:
-    """Total of the type report (null amounts count 0)."""
-    rows = tx.where(_is_type(txn_type)).join(parties.select("party_id"), "party_id", "left_semi")
-    return rows.agg(M.sum0("amount").cast("double").alias("total"))
+    """Total of the type report (null amounts count 0); summed per party first, so only
+    per-party partials meet ``parties``."""
+    per_party = tx.where(_is_type(txn_type)).groupBy("party_id").agg(F.sum("amount").alias("s"))
+    known = per_party.join(parties.select("party_id"), "party_id", "left_semi")
+    return known.agg(M.sum0("s").cast("double").alias("total"))
 
 
 def page_info(tx: DataFrame, page: int, limit: int) -> DataFrame:
