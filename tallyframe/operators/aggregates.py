@@ -186,6 +186,7 @@ def daily_mode_summary(tx: DataFrame) -> DataFrame:
               .agg(col("Cash", True).alias("cash_in"), col("Cash", False).alias("cash_out"),
                    col("Bank", True).alias("bank_in"), col("Bank", False).alias("bank_out"),
                    col("UPI", True).alias("upi_in"), col("UPI", False).alias("upi_out"))
+              .orderBy(F.desc("txn_date"))
               .select(iso_text("txn_date").alias("date"), "cash_in", "cash_out", "bank_in",
                       "bank_out", "upi_in", "upi_out"))
 

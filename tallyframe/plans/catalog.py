@@ -490,3 +490,11 @@ def q_transactions_page_after(spark, sf_dir):
     """O4, keyset form: the 100 rows after (1997-01-01, id 0) in (date desc, id desc) order."""
     b = Books(spark, sf_dir)
     return R.transactions_page_after(b.transactions, b.parties, "1997-01-01", 0, limit=100)
+
+
+@query("import_first_rejects")
+def q_import_first_rejects(spark, sf_dir):
+    """The first 20 rejects of the import in file order (the limit is the report)."""
+    from ..operators.importing import first_rejects
+
+    return first_rejects(_import(spark, sf_dir).rejected, 20)

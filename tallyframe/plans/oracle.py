@@ -638,3 +638,6 @@ oracle("transactions_page_after", with_views(f"""
 SELECT {_LIST} FROM {_J1}
 WHERE t.txn_date < DATE '1997-01-01' OR (t.txn_date = DATE '1997-01-01' AND t.txn_id < 0)
 ORDER BY t.txn_date DESC, t.txn_id DESC LIMIT 100""", TX, PT))
+
+oracle("import_first_rejects", with_views(
+    "SELECT row_id, reason FROM r WHERE reason IS NOT NULL ORDER BY row_id LIMIT 20", "raw_import", extra=_IMPORT))
