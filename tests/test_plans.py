@@ -2,6 +2,7 @@
 filters and column pruning reaching the parquet scan."""
 
 import os
+import re
 import tempfile
 
 import pytest
@@ -74,3 +75,45 @@ def test_date_partitioned_layout_prunes_days(spark, books):
     assert "PartitionFilters: [isnotnull(txn_date" in plan and "(txn_date" in plan and "= 1998-06-15)" in plan
     direct = R.day_book(books.transactions, books.parties, "1998-06-15")
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def _unpartitioned_windows_are_over_aggregates(plan: str) -> list[str]:
+    """Node ids of windows with an empty partition spec whose input has no aggregate."""
+    header, _, details = plan.partition("\n\n")
+    tree = header.splitlines()
+    bad = []
+    for block in details.split("\n\n"):
+        lines = block.strip().splitlines()
+        if not lines or not re.match(r"\(\d+\) Window", lines[0]):
+            continue
+        node = re.match(r"\((\d+)\)", lines[0]).group(1)
+        args = next((x for x in lines if x.startswith("Arguments:")), "")
+        if ", [], [" not in args:
+            continue
+        idx = next(i for i, t in enumerate(tree) if re.search(rf"Window \({node}\)$", t))
+        indent = len(tree[idx]) - len(tree[idx].lstrip(" :+-"))
+        sub = []
+        for t in tree[idx + 1:]:
+            if len(t) - len(t.lstrip(" :+-")) <= indent:
+                break
+            sub.append(t)
+        if not any("HashAggregate" in t for t in sub):
+            bad.append(node)
+    return bad
+
+
+@pytest.mark.parametrize("name", sorted(set(registry()) - NO_PLAN))
+def test_no_unpartitioned_window_over_rows(spark, name):
+    plan = _plan(registry()[name](spark, SF_SMALL))
+    assert _unpartitioned_windows_are_over_aggregates(plan) == [], name
+
+
+def test_window_check_flags_a_naive_plan(spark, books):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    naive = books.transactions.withColumn(
+        "bal", F.sum("amount").over(Window.orderBy("txn_date", "txn_id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert _unpartitioned_windows_are_over_aggregates(_plan(naive)) != []
+    good = _plan(registry()["account_bank"](spark, SF_SMALL))
+    assert ", [], [" in good and _unpartitioned_windows_are_over_aggregates(good) == []
