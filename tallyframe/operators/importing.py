@@ -211,3 +211,13 @@ def validate_entries(entries: DataFrame, parties: DataFrame, strict: bool = True
     return j.select(*entries.columns, reason.alias("reason"),
                     (F.lit(not strict) & ~known & ~required & ~F.coalesce(credit_bad, F.lit(False)))
                     .alias("creates_party"))
+
+
+def parties_to_create(validated: DataFrame, ptype: str = "Customer") -> DataFrame:
+    """M12, non-strict mode: one create request (seq, name, ptype, credit) per unknown party
+    name, in the order of its first entry, for ``create_parties``. The credit flag is set
+    only for ``Credit Customer``, as the client does; ``ptype`` is what the user would
+    answer at the prompt (its default is ``Customer``)."""
+    wanted = validated.where(F.col("creates_party"))
+    return wanted.groupBy(F.trim(F.col("party")).alias("name")).agg(F.min("row_id").alias("seq")).select(
+        "seq", "name", F.lit(ptype).alias("ptype"), F.lit(ptype == "Credit Customer").alias("credit"))

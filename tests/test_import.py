@@ -85,3 +85,19 @@ def test_csv_source_numbers_lines(spark):
 def test_first_rejects_is_top_k(spark):
     rej = spark.range(100).select(F.col("id").alias("row_id"), F.lit("x").alias("reason"))
     assert [r.row_id for r in I.first_rejects(rej, 20).collect()] == list(range(20))
+
+
+def test_non_strict_entries_create_parties(spark):
+    from tallyframe.operators.changes import create_parties
+
+    entries = spark.createDataFrame([
+        (1, "2024-01-01", "B", "Ghost", "Sale", "Cash", "5"),
+        (2, "2024-01-01", "B", "Ghost", "Sale", "Cash", "6"),
+        (3, "2024-01-01", "B", "Acme Co", "Sale", "Cash", "5"),
+    ], "row_id long, date string, bill_no string, party string, txn_type string, mode string, amount string")
+    v = I.validate_entries(entries, _parties(spark), strict=False)
+    creates = I.parties_to_create(v, "Credit Customer")
+    assert [tuple(r) for r in creates.collect()] == [(1, "Ghost", "Credit Customer", True)]
+    res = create_parties(_parties(spark), creates)
+    assert [(r.party_id, r.name, r.credit_allowed) for r in res.table.where("name = 'Ghost'").collect()] == [
+        (4, "Ghost", True)]
