@@ -19,13 +19,6 @@ def _plan(df):
     return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(set(registry()) - NO_PLAN))
-def test_no_python_udf(spark, name):
-    plan = _plan(registry()[name](spark, SF_SMALL))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
-        assert node not in plan, name
-
-
 @pytest.mark.parametrize("name", ["pnl", "trial_balance", "dashboard", "daily_cash_summary", "outstanding"])
 def test_single_scan_of_transactions(spark, name):
     plan = _plan(registry()[name](spark, SF_SMALL))
@@ -105,8 +98,10 @@ def _unpartitioned_windows_are_over_aggregates(plan: str) -> list[str]:
 
 
 @pytest.mark.parametrize("name", sorted(set(registry()) - NO_PLAN))
-def test_no_unpartitioned_window_over_rows(spark, name):
+def test_plan_has_no_udf_and_no_row_level_global_window(spark, name):
     plan = _plan(registry()[name](spark, SF_SMALL))
+    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
+        assert node not in plan, name
     assert _unpartitioned_windows_are_over_aggregates(plan) == [], name
 
 
