@@ -128,7 +128,10 @@ def edit_transactions(tx: DataFrame, edits: DataFrame, block_size: int = DEFAULT
     wins; each applied edit is audited with the value it replaced, which is the previous
     applied edit's value or the table's value (``None`` when null).
     """
-    ids = tx.select(F.col("txn_id").alias("__tid")).withColumn("__found", F.lit(True))
+    # One join with the table both validates the id and brings the current values as text
+    # (for the audit's "from" part).
+    ids = tx.select(F.col("txn_id").alias("__tid"), F.lit(True).alias("__found"),
+                    *[X.py_str(F.col(f)).alias(f"__old_{f}") for f in X.EDITABLE_FIELDS])
     e = edits.join(ids, edits["txn_id"] == ids["__tid"], "left").drop("__tid")
     castable = F.lit(True)
     for f in X.EDITABLE_FIELDS:
@@ -138,20 +141,21 @@ def edit_transactions(tx: DataFrame, edits: DataFrame, block_size: int = DEFAULT
                .when(F.col("__found").isNull(), F.lit(NOT_FOUND))
                .when(F.col("new_value").isNull() | (F.col("new_value") == ""), F.lit(EMPTY_VALUE))
                .when(~castable, F.concat(F.lit("Invalid value for "), F.col("field"))))
-    checked = e.withColumn("reason", reason).drop("__found")
+    table_text = None
+    for f in X.EDITABLE_FIELDS:
+        table_text = (F.when(F.col("field") == f, F.col(f"__old_{f}")) if table_text is None
+                      else table_text.when(F.col("field") == f, F.col(f"__old_{f}")))
+    checked = e.withColumn("reason", reason).withColumn("__table_text", table_text).drop(
+        "__found", *[f"__old_{f}" for f in X.EDITABLE_FIELDS])
     ok = checked.where(F.col("reason").isNull())
 
-    # Table values as text, one row per (txn_id, field) that is edited.
-    as_text = tx.select("txn_id", F.explode(F.map_from_arrays(
-        F.array(*[F.lit(f) for f in X.EDITABLE_FIELDS]),
-        F.array(*[X.py_str(F.col(f)) for f in X.EDITABLE_FIELDS]))).alias("field", "__table_text"))
     prev = previous_value(ok, ["txn_id", "field"], "seq", "new_value", "__prev", block_size)
-    prev = prev.join(as_text, ["txn_id", "field"], "left")
     audit = prev.select(
         "seq", F.col("admin_user").alias("username"), F.lit("Edit Transaction").alias("action"),
         F.concat(F.lit("Changed "), F.col("field"), F.lit(" from "),
                  F.coalesce(F.col("__prev"), F.col("__table_text")), F.lit(" to "), F.col("new_value"),
                  F.lit(" for Txn ID "), F.col("txn_id").cast("string")).alias("details"))
+    checked = checked.drop("__table_text")
 
     last = ok.groupBy("txn_id").pivot("field", X.EDITABLE_FIELDS).agg(F.max_by("new_value", "seq"))
     last = last.select("txn_id", *[F.col(f).alias(f"__new_{f}") for f in X.EDITABLE_FIELDS])
