@@ -4,8 +4,9 @@ whole batch and gets the new table, the rejects with reasons, and the audit rows
 Every operator is a pure function of DataFrames. Nothing is updated in place: the new
 table is a new DataFrame (write it to a new location, S4/S8). Batches carry ``seq`` to fix
 the order the reference would have seen the requests in; "last wins" is an aggregate
-(``max_by``) so a key that holds a third of a batch is combined map-side, and the only
-ordered windows run over per-block summaries (see ``running.py``).
+(``max_by``) so a key that holds a third of a batch is combined map-side, and ordered
+windows run only over per-block summaries or inside blocks of bounded size
+(see ``running.py``).
 """
 
 from __future__ import annotations
