@@ -123,10 +123,12 @@ def snapshot_folder(root: str, database: str, prefix: str = "", when: _dt.dateti
 
 def snapshot(tables: dict[str, DataFrame], root: str, database: str, prefix: str = "",
              when: _dt.datetime | None = None) -> str:
-    """Write every table below a new time-stamped folder; returns the folder."""
+    """Write every table below a new time-stamped folder; returns the folder. Each table
+    is written with overwrite, so re-running a failed snapshot into the same folder
+    replaces any partial output instead of failing."""
     folder = snapshot_folder(root, database, prefix, when)
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return folder
 
 
