@@ -73,3 +73,14 @@ def ratio_pct(part, total) -> Column:
     """``part / total * 100`` when total > 0, else 0 (double arithmetic)."""
     p, t = _c(part).cast("double"), _c(total).cast("double")
     return F.when(t > 0, p / t * F.lit(100.0)).otherwise(F.lit(0.0))
+
+
+def py_float_text(col) -> Column:
+    """Python ``str(float)`` for the amounts the reference echoes in audit texts: integral
+    values get ``.0`` (``25`` -> ``25.0``), others their shortest decimal form. Values of
+    1e16 and beyond print in Spark's exponent style."""
+    x = _c(col).cast("double")
+    whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e16))
+    return F.when(x.isNull(), F.lit(None).cast("string")) \
+            .when(whole, F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))) \
+            .otherwise(x.cast("string"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.money import py_float_text
 from ..functions.dates import iso_text
 from ..sources.schemas import MONEY, TRANSACTIONS
 from .running import DEFAULT_BLOCK, dense_number, number_where, previous_value
@@ -246,7 +247,8 @@ def upsert_cash(daily_cash: DataFrame, counts: DataFrame) -> ChangeResult:
     ok = checked.where(F.col("reason").isNull())
     table = upsert_latest(daily_cash.select("cash_date", "cash_in_hand"), ok, "cash_date", "cash_in_hand")
     audit = ok.select("seq", F.col("admin_user").alias("username"), F.lit("Set Cash In Hand").alias("action"),
-                      F.concat(F.col("__date_text"), F.lit(" = "), F.col("__text")).alias("details"))
+                      F.concat(F.col("__date_text"), F.lit(" = "), py_float_text(F.col("__text").try_cast("double")))
+                      .alias("details"))
     return ChangeResult(table, checked.drop("__text", "__date_text"), audit)
 
 
@@ -256,6 +258,22 @@ def upsert_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
     return upsert_latest(settings.select("setting_key", "setting_value"), ch, "setting_key", "setting_value")
 
 
+def set_opening_cash(settings: DataFrame, requests: DataFrame) -> ChangeResult:
+    """M7 for the opening cash seed: requests (seq, amount, admin_user). An amount that does
+    not read as a number is rejected ("Enter valid opening cash"); the last valid request
+    is stored as ``str(float)`` text under ``opening_cash_seed`` and each is audited."""
+    r = requests.select("seq", "admin_user", F.col("amount").cast("string").try_cast("double").alias("__v"))
+    checked = r.withColumn("reason", F.when(F.col("__v").isNull() | F.isnan("__v"),
+                                            F.lit("Enter valid opening cash")))
+    ok = checked.where(F.col("reason").isNull()).select(
+        "seq", "admin_user", F.lit("opening_cash_seed").alias("setting_key"),
+        py_float_text("__v").alias("setting_value"))
+    table = upsert_settings(settings, ok.select("seq", "setting_key", "setting_value"))
+    audit = ok.select("seq", F.col("admin_user").alias("username"), F.lit("Set Opening Cash").alias("action"),
+                      F.concat(F.lit("Opening Cash Seed set to "), F.col("setting_value")).alias("details"))
+    return ChangeResult(table, checked.select("seq", "admin_user", F.col("__v").alias("amount"), "reason"), audit)
+
+
 def seed_if_absent(settings: DataFrame, seeds: DataFrame) -> DataFrame:
     """Insert (setting_key, setting_value) only for keys not present; within the
     batch the first seed of a key (by ``seq``) is the one inserted."""

@@ -133,3 +133,18 @@ def test_settings_read_and_seed(spark):
     got = {r.setting_key: r.setting_value for r in CH.seed_if_absent(s, seeds).collect()}
     assert got == {"company_name": "Alpha Traders", "opening_cash_seed": "abc", "x": "first"}
     assert tuple(CH.company_list(s).first()) == ("Alpha Traders", "alpha_traders")
+
+
+def test_opening_cash_and_float_text(spark):
+    from tallyframe.functions.money import py_float_text
+
+    vals = spark.createDataFrame([(25.0,), (1234.5,), (0.1,), (-3.0,), (None,)], "x double")
+    assert [r[0] for r in vals.select(py_float_text("x")).collect()] == ["25.0", "1234.5", "0.1", "-3.0", None]
+    s = spark.createDataFrame([("opening_cash_seed", "50000.0")], "setting_key string, setting_value string")
+    req = spark.createDataFrame([(1, "75000", "admin"), (2, "abc", "admin"), (3, "80000.5", "admin")],
+                                "seq long, amount string, admin_user string")
+    res = CH.set_opening_cash(s, req)
+    assert CH.setting_value(res.table, "opening_cash_seed").first()[0] == 80000.5
+    assert sorted(r.details for r in res.audit.collect()) == ["Opening Cash Seed set to 75000.0",
+                                                             "Opening Cash Seed set to 80000.5"]
+    assert {r.seq: r.reason for r in res.outcome.collect()}[2] == "Enter valid opening cash"
