@@ -498,3 +498,11 @@ def q_import_first_rejects(spark, sf_dir):
     from ..operators.importing import first_rejects
 
     return first_rejects(_import(spark, sf_dir).rejected, 20)
+
+
+@query("set_opening_cash")
+def q_set_opening_cash(spark, sf_dir):
+    """M7 via opening-cash requests: one audit row per valid request, in request order."""
+    b = Books(spark, sf_dir)
+    res = _changes().set_opening_cash(b.app_settings, b.batch("opening_cash_requests"))
+    return res.audit.select("username", "action", "details")

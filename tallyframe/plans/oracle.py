@@ -641,3 +641,14 @@ ORDER BY t.txn_date DESC, t.txn_id DESC LIMIT 100""", TX, PT))
 
 oracle("import_first_rejects", with_views(
     "SELECT row_id, reason FROM r WHERE reason IS NOT NULL ORDER BY row_id LIMIT 20", "raw_import", extra=_IMPORT))
+
+FIXTURE_SQL["opening_cash_requests"] = """
+SELECT event_id AS seq, CAST(value AS VARCHAR) AS amount, 'user_' || CAST(user_id AS VARCHAR) AS admin_user
+FROM events WHERE event_type = 'purchase'"""
+
+oracle("set_opening_cash", with_views("""
+SELECT admin_user AS username, 'Set Opening Cash' AS action,
+  'Opening Cash Seed set to ' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS DECIMAL(38,0)) AS VARCHAR) || '.0'
+                                      ELSE CAST(v AS VARCHAR) END AS details
+FROM (SELECT admin_user, TRY_CAST(amount AS DOUBLE) AS v FROM opening_cash_requests) r
+WHERE v IS NOT NULL AND NOT isnan(v)""", "opening_cash_requests"))

@@ -280,3 +280,11 @@ def setting_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("event_type") == "signup", F.lit("company_name")) \
            .otherwise(F.concat(F.lit("seed_"), F.col("event_type")))
     return ev.select(F.col("event_id").alias("seq"), key.alias("setting_key"), F.col("props").alias("setting_value"))
+
+
+def opening_cash_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening-cash requests, one per purchase event: the event's value as the amount."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return ev.where(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("seq"), F.col("value").cast("string").alias("amount"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("admin_user"))
