@@ -81,18 +81,27 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
     existing = parties.select(F.col("normalized_name").alias("__key")).distinct() \
         .withColumn("__exists", F.lit(True))
     c = c.join(existing, "__key", "left").withColumn("__exists", F.coalesce("__exists", F.lit(False)))
-    bank_in_table = parties.select(F.max(F.coalesce(X.ci_eq("type", "Bank"), F.lit(False)))).scalar()
-    first_seq = c.groupBy("__key").agg(F.min("seq").alias("__first_any"))
+    bank_in_table = F.coalesce(
+        parties.select(F.max(F.coalesce(X.ci_eq("type", "Bank"), F.lit(False)))).scalar(), F.lit(False))
+    # One aggregate per key: its first create, and its first non-Bank and first Bank create,
+    # from which the first create that the bank rule lets through follows below.
+    is_bank = F.coalesce(F.col("ptype") == "Bank", F.lit(False))
+    first_seq = c.groupBy("__key").agg(
+        F.min("seq").alias("__first_any"),
+        F.min(F.when(~is_bank, F.col("seq"))).alias("__first_other"),
+        F.min(F.when(is_bank, F.col("seq"))).alias("__first_bank_create"))
     c = c.join(first_seq, "__key", "left")
     first_bank = c.where(X.ci_eq("ptype", "Bank") & (F.col("seq") == F.col("__first_any"))
                          & ~F.col("__exists") & F.col("name").isNotNull()) \
                   .select(F.min("seq")).scalar()
-    bank_blocked = (F.col("ptype") == "Bank") & (
-        F.coalesce(bank_in_table, F.lit(False)) | (F.col("seq") > first_bank))
-    bank_blocked = F.coalesce(bank_blocked, F.lit(False))
-    c = c.withColumn("__bank_blocked", bank_blocked)
-    first_ok = c.where(~F.col("__bank_blocked")).groupBy("__key").agg(F.min("seq").alias("__first_ok"))
-    c = c.join(first_ok, "__key", "left")
+    # A Bank create is blocked when the table has a bank or it comes after the first bank.
+    bank_open = ~bank_in_table & (F.lit(first_bank).isNull() | (F.col("seq") <= F.lit(first_bank)))
+    c = c.withColumn("__bank_blocked", is_bank & ~bank_open)
+    # Bank creates of a key are seq-ordered, so its first one passes iff any of them does.
+    key_bank_open = ~bank_in_table & (F.lit(first_bank).isNull()
+                                      | (F.col("__first_bank_create") <= F.lit(first_bank)))
+    c = c.withColumn("__first_ok", F.least(
+        F.col("__first_other"), F.when(key_bank_open, F.col("__first_bank_create"))))
     reason = (F.when(F.col("name").isNull(), F.lit("Missing name"))
                .when(F.col("__bank_blocked"), F.lit(BANK_MSG))
                .when(F.col("__exists") | (F.col("seq") != F.col("__first_ok")), F.lit(DUP_PARTY_MSG)))
