@@ -53,6 +53,21 @@ def test_create_parties_matches_replay(spark):
         assert res.table.count() == len(existing) + sum(v is None for v in got.values())
 
 
+
+def test_create_after_blocked_bank_of_same_key(spark):
+    # Beta's first create is a blocked Bank; its later Customer create is the one kept.
+    # Only the exact type "Bank" is blocked; "bank" passes (as in the replay).
+    creates = [(1, "Alpha", "Bank"), (2, "Beta", "Bank"), (3, "Beta", "Customer"),
+               (4, "Gamma", "bank"), (5, "Beta", "Supplier")]
+    for existing, expected in [
+        ([("Acme", "Customer")], {1: None, 2: CH.BANK_MSG, 3: None, 4: None, 5: CH.DUP_PARTY_MSG}),
+        ([("Old Bank", "Bank")], {1: CH.BANK_MSG, 2: CH.BANK_MSG, 3: None, 4: None, 5: CH.DUP_PARTY_MSG}),
+    ]:
+        df = spark.createDataFrame([(s, n, t, False) for s, n, t in creates],
+                                   "seq long, name string, ptype string, credit boolean")
+        got = {r.seq: r.reason for r in CH.create_parties(_parties(spark, existing), df).outcome.collect()}
+        assert got == expected == _replay_creates(existing, creates)
+
 def _tx(spark, n=6):
     import datetime as dt
     from decimal import Decimal
