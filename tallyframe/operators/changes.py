@@ -81,8 +81,8 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
     existing = parties.select(F.col("normalized_name").alias("__key")).distinct() \
         .withColumn("__exists", F.lit(True))
     c = c.join(existing, "__key", "left").withColumn("__exists", F.coalesce("__exists", F.lit(False)))
-    bank_in_table = F.coalesce(
-        parties.select(F.max(F.coalesce(X.ci_eq("type", "Bank"), F.lit(False)))).scalar(), F.lit(False))
+    # Scalar subqueries (Spark 4 ``DataFrame.scalar``).
+    bank_in_table = parties.select(F.max(F.coalesce(X.ci_eq("type", "Bank"), F.lit(False)))).scalar()
     # One aggregate per key: its first create, and its first non-Bank and first Bank create,
     # from which the first create that the bank rule lets through follows below.
     is_bank = F.coalesce(F.col("ptype") == "Bank", F.lit(False))
@@ -94,12 +94,15 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
     first_bank = c.where(X.ci_eq("ptype", "Bank") & (F.col("seq") == F.col("__first_any"))
                          & ~F.col("__exists") & F.col("name").isNotNull()) \
                   .select(F.min("seq")).scalar()
+    # Both scalars are projected once, so each subquery runs once per read of the batch.
+    c = c.withColumn("__bank_in_table", F.coalesce(bank_in_table, F.lit(False))) \
+         .withColumn("__first_bank", first_bank)
+    in_table, fb = F.col("__bank_in_table"), F.col("__first_bank")
     # A Bank create is blocked when the table has a bank or it comes after the first bank.
-    bank_open = ~bank_in_table & (F.lit(first_bank).isNull() | (F.col("seq") <= F.lit(first_bank)))
+    bank_open = ~in_table & (fb.isNull() | (F.col("seq") <= fb))
     c = c.withColumn("__bank_blocked", is_bank & ~bank_open)
     # Bank creates of a key are seq-ordered, so its first one passes iff any of them does.
-    key_bank_open = ~bank_in_table & (F.lit(first_bank).isNull()
-                                      | (F.col("__first_bank_create") <= F.lit(first_bank)))
+    key_bank_open = ~in_table & (fb.isNull() | (F.col("__first_bank_create") <= fb))
     c = c.withColumn("__first_ok", F.least(
         F.col("__first_other"), F.when(key_bank_open, F.col("__first_bank_create"))))
     reason = (F.when(F.col("name").isNull(), F.lit("Missing name"))
