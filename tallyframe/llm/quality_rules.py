@@ -28,7 +28,7 @@ from .common import documents, written
 SKETCH_K = 4096
 MIN_ROWS = 50
 #: Measure -> margin added beyond the fence, in the measure's unit (thousandths).
-MARGINS = {"symbols": 100, "dup_lines": 400, "repeats": 100, "word_len": 1500}
+MARGINS = {"symbols": 100, "dup_lines": 400, "repeats": 200, "word_len": 2500}
 
 _WORDS = r"filter(split(_text, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')"
 _SPACES = r"concat(' ', char(9), char(10), char(11), char(12), char(13))"
