@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,5 +56,24 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def columns_of(sf_dir_docs: DataFrame) -> list[str]:
-    return list(sf_dir_docs.columns)
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application (they need not have it installed)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        if root.is_dir():
+            target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+            with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+                for f in sorted(root.rglob("*.py")):
+                    out.write(f, f.relative_to(root.parent))
+            sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules, token_counts, token_files
 
 
 def registry() -> dict:
     return {
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op5_bpe": bpe.op5_bpe,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 
