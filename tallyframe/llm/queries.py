@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, token_counts, token_files
+from . import bpe, exact_dedup, mixing, quality_rules, token_counts, token_files
 
 
 def registry() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_bpe": bpe.op5_bpe,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_files": token_files.op8_token_files,
     }
@@ -16,5 +18,7 @@ def registry() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": mixing.OP1_SQL,
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_quality_rules": quality_rules.OP7_SQL,
     }
