@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_rules, token_counts, token_files
+from . import bpe, exact_dedup, line_crf, mixing, near_dedup, quality_rules, token_counts, token_files
 
 
 def registry() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_line_crf": line_crf.op2_line_crf,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_bpe": bpe.op5_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_files": token_files.op8_token_files,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
