@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_crf, mixing, near_dedup, quality_rules, token_counts, token_files
+from . import bpe, exact_dedup, html_blocks, line_crf, mixing, near_dedup, quality_rules, token_counts, token_files
 
 
 def registry() -> dict:
@@ -14,6 +14,7 @@ def registry() -> dict:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_token_files": token_files.op8_token_files,
+        "op9_html_blocks": html_blocks.op9_html_blocks,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
