@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -77,3 +78,9 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps, whose frames are no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

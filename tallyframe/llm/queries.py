@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_blocks, line_crf, mixing, near_dedup, quality_rules, token_counts, token_files
+from . import bpe, exact_dedup, html_blocks, line_crf, mixing, near_dedup, quality_rules, suffix_dedup, token_counts, token_files
 
 
 def registry() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_line_crf": line_crf.op2_line_crf,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_bpe": bpe.op5_bpe,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
