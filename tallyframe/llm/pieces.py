@@ -54,7 +54,9 @@ CACHE_ENTRIES = 400_000
 class PieceCache:
     """Values of pre-tokens, filled for all missing ones of a block of texts at once."""
 
-    def __init__(self, pattern: re.Pattern, values_of, specials: tuple[str, ...], lower: bool):
+    def __init__(self, pattern: re.Pattern, values_of, specials: tuple[str, ...], lower: bool,
+                 entries: int = CACHE_ENTRIES):
+        self.entries = entries
         self.findall, self.values_of, self.lower, self.known = pattern.findall, values_of, lower, {}
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
@@ -68,7 +70,7 @@ class PieceCache:
         return split
 
     def learn(self, split: list[list[str] | None]) -> None:
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > self.entries:
             self.known.clear()
         found: set[str] = set()
         for words in split:

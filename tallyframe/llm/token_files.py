@@ -46,6 +46,8 @@ from .pieces import WORD_LEVEL, PieceCache, blocks
 END_ID = 1
 DOCS_PER_FILE = 8192
 MAX_FILES = 10_000
+#: Distinct pre-tokens a task remembers (their ids are short byte strings).
+WORDS_KEPT = 1_000_000
 _INDEX, _TABLE, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -59,12 +61,25 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.cache = PieceCache(WORD_LEVEL, self._raw, specials, lower=True)
+        self.cache = PieceCache(WORD_LEVEL, self._words, specials, lower=True, entries=WORDS_KEPT)
+        end = self.library.model.end_of_word_suffix
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: many in one text, parted by blanks, come apart again at the tokens that end a word."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 5000):
+            raw = self._raw([" ".join(words[k : k + 5000])])[0]
+            at = np.r_[0, 4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)].tolist()
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         known, split, end = self.cache.known, self.cache.pieces(texts), struct.pack("<I", end_id)
         whole = iter(self._raw([t for t, words in zip(texts, split, strict=True) if words is None]))
@@ -198,6 +213,7 @@ class TokenFile:
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files named by ``files`` (file, n_docs, n_ids)."""
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that tiny rows are not put together
     # At most MAX_FILES rows: the running total may stand in one task.
     starts = files.withColumn("first", F.sum("n_ids").over(
         Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", F.coalesce("first", F.lit(0)).alias("first"))
@@ -214,7 +230,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                                  ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_arrow(starts.repartition("file"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(starts.repartition(tasks, "file"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:
