@@ -103,7 +103,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
         (F.col("r.content") == F.col("m.content")) & F.col("r.doc_id").eqNullSafe(F.col("m._id")), "left_semi",
     ).select("content", F.col("_text").alias("text"))
     _encode(texts, tokenizer).write.mode("append").parquet(folder)
-    return digests.join(_stored(spark, folder), "content", "left").select("doc_id", "n_bytes", "n_tokens")
+    counts = written(_stored(spark, folder), "token-counts")  # a table of its own, so that a hot content's rows can be split
+    return digests.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def default_tokenizer() -> str:
