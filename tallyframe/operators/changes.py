@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.money import py_float_text
 from ..functions.dates import iso_text
+from ..session import materialized
 from ..sources.schemas import MONEY, TRANSACTIONS
-from .running import DEFAULT_BLOCK, dense_number, number_where, previous_value
+from .running import DEFAULT_BLOCKS, dense_number, number_where, previous_value
 
 
 @dataclass
@@ -37,7 +38,8 @@ def _scalar_max(df: DataFrame, col: str) -> Column:
 # ---- M1: add transactions ---------------------------------------------------------------
 
 def add_transactions(tx: DataFrame, parties: DataFrame, adds: DataFrame) -> ChangeResult:
-    """M1: adds (seq, date, bill_no, party, txn_type, mode, amount).
+    """M1: adds (seq, date, bill_no, party, txn_type, mode, amount). The checked batch is written
+    once below ``spark.checkpoint.dir`` when called.
 
     The party is looked up by its server key (F2); an unknown or missing party is rejected
     with "Party not found". Accepted rows get the next ids in ``seq`` order (W6).
@@ -53,6 +55,7 @@ def add_transactions(tx: DataFrame, parties: DataFrame, adds: DataFrame) -> Chan
     checked = j.select("seq", when.alias("txn_date"), "bill_no", F.col("__pid").alias("party_id"),
                        "txn_type", F.col("mode").alias("payment_mode"), amount.alias("amount"),
                        reason.alias("reason"))
+    checked = materialized(checked, "adds-checked")  # numbering reads it three times
     outcome = number_where(checked, F.col("reason").isNull(), "seq", "txn_id", start=_scalar_max(tx, "txn_id"))
     outcome = outcome.select("seq", "txn_id", "txn_date", "bill_no", "party_id", "txn_type", "payment_mode",
                              "amount", "reason")
@@ -75,7 +78,8 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
     the batch, is rejected. The sequential outcome is computed in closed form: the first
     bank created in the batch is the first ``bank``-typed create that is the first of its
     key; ``Bank`` creates after it (or all of them, when the table has a bank) are
-    rejected; of the rest, the first create of each new key wins.
+    rejected; of the rest, the first create of each new key wins. The checked batch is written
+    once below ``spark.checkpoint.dir`` when called.
     """
     c = creates.withColumn("__key", X.server_key("name"))
     existing = parties.select(F.col("normalized_name").alias("__key")).distinct() \
@@ -108,7 +112,8 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
     reason = (F.when(F.col("name").isNull(), F.lit("Missing name"))
                .when(F.col("__bank_blocked"), F.lit(BANK_MSG))
                .when(F.col("__exists") | (F.col("seq") != F.col("__first_ok")), F.lit(DUP_PARTY_MSG)))
-    checked = c.withColumn("reason", reason)
+    checked = materialized(c.withColumn("reason", reason).select("seq", "name", "__key", "ptype", "credit", "reason"),
+                           "creates-checked")  # numbering reads it three times
     numbered = number_where(checked, F.col("reason").isNull(), "seq", "party_id",
                             start=_scalar_max(parties, "party_id"))
     outcome = numbered.select("seq", "party_id", "name", F.col("__key").alias("normalized_name"),
@@ -134,7 +139,7 @@ def _typed(field: str, text: Column) -> Column:
     return text
 
 
-def edit_transactions(tx: DataFrame, edits: DataFrame, block_size: int = DEFAULT_BLOCK) -> ChangeResult:
+def edit_transactions(tx: DataFrame, edits: DataFrame, blocks: int = DEFAULT_BLOCKS) -> ChangeResult:
     """M3: edits (seq, txn_id, admin_user, field, new_value).
 
     A field outside the white list, an unknown id, an empty value or a value that does not
@@ -163,7 +168,11 @@ def edit_transactions(tx: DataFrame, edits: DataFrame, block_size: int = DEFAULT
         "__found", *[f"__old_{f}" for f in X.EDITABLE_FIELDS])
     ok = checked.where(F.col("reason").isNull())
 
-    prev = previous_value(ok, ["txn_id", "field"], "seq", "new_value", "__prev", block_size)
+    # The next edit replaces what this one stored, so carry the stored value's text.
+    stored = F.col("new_value")
+    for f in ("txn_date", "amount"):
+        stored = F.when(F.col("field") == f, X.py_str(_typed(f, F.col("new_value")))).otherwise(stored)
+    prev = previous_value(ok.withColumn("__stored", stored), ["txn_id", "field"], "seq", "__stored", "__prev", blocks)
     audit = prev.select(
         "seq", F.col("admin_user").alias("username"), F.lit("Edit Transaction").alias("action"),
         F.concat(F.lit("Changed "), F.col("field"), F.lit(" from "),
@@ -208,22 +217,51 @@ NEW_NAME_TAKEN = "New name already exists"
 PARTY_NOT_FOUND = "Party not found"
 
 
+def _first_wins(requests: DataFrame) -> DataFrame:
+    """The requests (seq, pid, key) that apply in ``seq`` order when one applies only if neither
+    its party nor its new key is taken by an applied one before it.
+
+    In rounds: a request that is the first left of both its party and its key applies, and all
+    others of that party or key leave. The first request left always applies, so it ends; unless
+    requests hang together in long chains a few rounds do. Each round is written below
+    ``spark.checkpoint.dir`` (it is read three times), and only aggregates and joins by
+    key run, so a party or key with a third of the batch combines map-side.
+    """
+    # Repeats of one (party, key) pair after its first can never apply.
+    left = materialized(requests.groupBy("pid", "key").agg(F.min("seq").alias("seq")), "rename-requests")
+    won = None
+    while left.limit(1).count():
+        of_party = left.groupBy("pid").agg(F.min("seq").alias("__p"))
+        of_key = left.groupBy("key").agg(F.min("seq").alias("__k"))
+        marked = left.join(of_party, "pid").join(of_key, "key")
+        now = materialized(marked.where((F.col("seq") == F.col("__p")) & (F.col("seq") == F.col("__k")))
+                           .select("seq", "pid", "key"), "rename-round")
+        won = now if won is None else won.unionByName(now)
+        left = materialized(left.join(now.select("pid"), "pid", "left_anti").join(now.select("key"), "key", "left_anti"),
+                            "rename-left")
+    return left.select("seq", "pid", "key") if won is None else won
+
+
 def rename_parties(parties: DataFrame, renames: DataFrame) -> ChangeResult:
     """M5: renames (seq, old_name, new_name, admin_user), checked against the table before
     the batch. The old name is found by its key (F2); the new key must not belong to another
-    party. When several requests rename one party, or give one new key, the lowest ``seq``
-    wins and the others are rejected. History follows the party through ``party_id``."""
+    party. Requests apply in ``seq`` order: one whose party an applied request has renamed
+    finds no party, one whose new key an applied request has given is taken; requests that
+    are themselves rejected count for neither. History follows the party through
+    ``party_id``. Runs jobs when called (see ``_first_wins``)."""
     keys = parties.select(F.col("normalized_name").alias("__old_key"), F.col("party_id").alias("__pid"))
     r = renames.withColumn("__old_key", X.server_key("old_name")).withColumn("__new_key", X.server_key("new_name"))
     r = r.join(keys, "__old_key", "left")
     owners = parties.select(F.col("normalized_name").alias("__new_key"), F.col("party_id").alias("__owner"))
     r = r.join(owners, "__new_key", "left")
-    firsts_pid = r.where(F.col("__pid").isNotNull()).groupBy("__pid").agg(F.min("seq").alias("__first_pid"))
-    firsts_key = r.where(F.col("__pid").isNotNull()).groupBy("__new_key").agg(F.min("seq").alias("__first_key"))
-    r = r.join(firsts_pid, "__pid", "left").join(firsts_key, "__new_key", "left")
-    reason = (F.when(F.col("__pid").isNull() | (F.col("seq") != F.col("__first_pid")), F.lit(PARTY_NOT_FOUND))
-               .when((F.col("__owner").isNotNull() & (F.col("__owner") != F.col("__pid")))
-                     | (F.col("seq") != F.col("__first_key")), F.lit(NEW_NAME_TAKEN)))
+    other_owner = F.col("__owner").isNotNull() & (F.col("__owner") != F.col("__pid"))
+    possible = r.where(F.col("__pid").isNotNull() & F.col("__new_key").isNotNull() & ~other_owner)
+    won = _first_wins(possible.select("seq", F.col("__pid").alias("pid"), F.col("__new_key").alias("key")))
+    by_party = won.select(F.col("pid").alias("__pid"), F.col("seq").alias("__won_party"))
+    by_key = won.select(F.col("key").alias("__new_key"), F.col("seq").alias("__won_key"))
+    r = r.join(by_party, "__pid", "left").join(by_key, "__new_key", "left")
+    reason = (F.when(F.col("__pid").isNull() | (F.col("__won_party") < F.col("seq")), F.lit(PARTY_NOT_FOUND))
+               .when(other_owner | F.col("__new_key").isNull() | (F.col("__won_key") < F.col("seq")), F.lit(NEW_NAME_TAKEN)))
     checked = r.withColumn("reason", reason)
     ok = checked.where(F.col("reason").isNull()).select(
         F.col("__pid").alias("party_id"), F.col("new_name").alias("__new_name"), "__new_key")
@@ -242,9 +280,10 @@ def rename_parties(parties: DataFrame, renames: DataFrame) -> ChangeResult:
 def upsert_latest(table: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
     """M6 / M7: the last change per key (by ``seq``) replaces or adds that key's value.
     ``max_by`` is an aggregate, so a key with a third of the changes combines map-side."""
-    latest = changes.groupBy(key).agg(F.max_by(value, "seq").alias("__new"))
+    latest = changes.groupBy(key).agg(F.max_by(F.struct(F.col(value)), "seq").alias("__new"))
     j = table.join(latest, key, "full_outer")
-    return j.select(key, F.coalesce(F.col("__new"), F.col(value)).alias(value))
+    # The struct tells a change to null from no change.
+    return j.select(key, F.when(F.col("__new").isNotNull(), F.col(f"__new.{value}")).otherwise(F.col(value)).alias(value))
 
 
 def upsert_cash(daily_cash: DataFrame, counts: DataFrame) -> ChangeResult:
@@ -298,15 +337,15 @@ def seed_if_absent(settings: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def audit_append(audit: DataFrame, rows: DataFrame, company: str | None = None) -> DataFrame:
     """M8: append (username, action, details[, company]) with new ids after the log's
-    largest; a missing company is the current company, else ``default``."""
+    largest; a missing company is the current company, else ``default``. ``rows`` is read three
+    times: hand in a written table (``session.materialized``) when it ends a costly plan."""
     comp = F.lit(company or "default")
     r = rows
     if "company" not in r.columns:
         r = r.withColumn("company", F.lit(None).cast("string"))
     if "seq" not in r.columns:
         r = r.withColumn("seq", F.monotonically_increasing_id())
-    # The appended rows usually come out of change pipelines; write them once.
-    numbered = dense_number(r, "seq", "id", start=_scalar_max(audit, "id"), materialize=True)
+    numbered = dense_number(r, "seq", "id", start=_scalar_max(audit, "id"))
     new = numbered.select("id", F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), "username",
                           "action", "details", F.coalesce(F.col("company"), comp).alias("company"))
     return audit.select("id", "timestamp", "username", "action", "details", "company").unionByName(new)

@@ -1,121 +1,138 @@
-"""Running totals that stay parallel when one account or party is very large.
+"""Running totals and numbering that stay parallel when one account, day or party is very large.
 
 A plain ``sum(x).over(Window.partitionBy(p).orderBy(date, id))`` sends every row of a
 partition to one task, and with no ``partitionBy`` (a whole-account statement) the whole
-table. ``running_total`` is a two-level prefix sum instead:
-
-1. rows are cut into *blocks* keyed by (partition, date, id // block_size); a block holds
-   at most ``block_size`` rows because ids are unique, and blocks are contiguous in the
-   (date, id) order;
-2. block sums come from a map-side-combined aggregate of a narrow read (keys and value);
-3. one row per block goes through the ordered window that gives the carry of everything
-   before the block -- this window sees blocks, not rows;
-4. rows join their block's carry and add a window sum inside the block. The block key is
-   made of non-null columns, so the join's shuffle by block key is the only shuffle of
-   rows and the in-block window reuses it (or, when AQE broadcasts the carry, the window
-   does the one shuffle).
+table. ``running_total`` sums in levels instead:
+
+1. totals per (partition, day), whose ordered window gives the carry of all days before; it
+   sees one row per day, so a partition's window is bounded by the calendar;
+2. inside a day, totals per block of ids, whose window gives the carry of the blocks before; a
+   block is a range of ids cut at ``blocks - 1`` quantiles of the ids, so there are at most
+   ``blocks`` of them however dense or sparse the ids are;
+3. rows join their carry and add a window sum inside (partition, day, block), the one shuffle of
+   rows.
+
+With ``partition_by`` this costs more exchanges than a plain window, so only *hot* partitions
+(more than ``hot_rows`` rows, found by one aggregate) take it; the others use the plain
+window per partition. The result is the same either way.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DEFAULT_BLOCK = 1 << 20
-
-
-def _non_null(df: DataFrame, col: str) -> tuple[DataFrame, list[str]]:
-    """Replace a nullable ordering column by (is-null flag, value with a stand-in), both
-    non-null; nulls sort first as in an ascending SQL order."""
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, T.DateType):
-        stand_in = F.lit("1970-01-01").cast("date")
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        stand_in = F.lit("1970-01-01 00:00:00").cast(dtype)
-    elif isinstance(dtype, T.StringType):
-        stand_in = F.lit("")
-    else:
-        stand_in = F.lit(0).cast(dtype)
-    flag, val = f"__nn_{col}", f"__nv_{col}"
-    out = df.withColumn(flag, F.col(col).isNotNull()).withColumn(val, F.coalesce(F.col(col), stand_in))
-    return out, [flag, val]
-
-
-def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str],
-                  date_col: str | None, id_col: str, block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over the rows of the same partition up to this row,
-    ordered by (``date_col``, ``id_col``); ``id_col`` must be unique and non-null within a
-    partition, ``partition_by`` columns non-null, and ``date_col`` may be None (order by
-    the id alone) or hold nulls (they come first)."""
-    blk, v = "__blk", "__v"
-    x = df.withColumn(blk, F.floor(F.col(id_col) / F.lit(block_size))).withColumn(v, value)
-    lead: list[str] = []
+
+DEFAULT_BLOCKS = 1024
+HOT_ROWS = 1 << 20
+
+
+def _cut(df: DataFrame, col: str, out: str, blocks: int) -> DataFrame:
+    """Add ``out``: the number of the range of ``col`` (a whole number) that the row falls in, of at
+    most ``blocks`` ranges of about equal rows. The cuts are one small aggregate, read as a
+    scalar subquery; the place among them is found by binary search."""
+    shares = [k / blocks for k in range(1, blocks)]
+    cuts = df.select(F.percentile_approx(F.col(col), shares, 10 * blocks)).scalar()
+    x = df.withColumn("__cuts", cuts).withColumn("__x", F.col(col))
+    steps = max(1, blocks.bit_length() + 1)
+    found = F.expr(f"""aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(__cuts)), (a, i) ->
+        CASE WHEN a.lo >= a.hi THEN a
+             WHEN __cuts[CAST((a.lo + a.hi) DIV 2 AS INT)] < __x
+             THEN named_struct('lo', CAST((a.lo + a.hi) DIV 2 AS INT) + 1, 'hi', a.hi)
+             ELSE named_struct('lo', a.lo, 'hi', CAST((a.lo + a.hi) DIV 2 AS INT)) END).lo""")
+    return x.withColumn(out, F.when(F.col("__cuts").isNull(), 0).otherwise(found)).drop("__cuts", "__x")
+
+
+def _split_total(x: DataFrame, v: str, out: str, partition_by: list[str], date_col: str | None, id_col: str,
+                 blocks: int) -> DataFrame:
+    """The levels above. Null dates come first, as in an ascending SQL order."""
+    x = _cut(x, id_col, "__blk", blocks)
+    day = []
     if date_col:
-        x, lead = _non_null(x, date_col)
-    keys = [*partition_by, *lead, blk]
-
-    # Block sums from a narrow, map-side-combined aggregate (a pruned second read of the
-    # input: only the key columns and the value, and only partial sums are shuffled).
-    blocks = x.groupBy(*keys).agg(F.sum(v).alias("__bsum"))
-    w_before = Window.orderBy(*[F.col(c) for c in lead], F.col(blk))
-    if partition_by:
-        w_before = w_before.partitionBy(*partition_by)
-    w_before = w_before.rowsBetween(Window.unboundedPreceding, -1)
+        # Non-null stand-ins, so that the joins and the window below share one partitioning.
+        x = x.withColumn("__dated", F.col(date_col).isNotNull()).withColumn(
+            "__day", F.coalesce(F.col(date_col), F.lit("1970-01-01").cast(x.schema[date_col].dataType)))
+        day = ["__dated", "__day"]
+    keys = [*partition_by, *day, "__blk"]
     zero = F.lit(0).cast(x.schema[v].dataType)
-    carry = blocks.select(*keys, F.coalesce(F.sum("__bsum").over(w_before), zero).alias("__carry"))
+    sums = x.groupBy(*keys).agg(F.sum(v).alias("__sum"))
+
+    def before(by: list[str], order: list[str]) -> Window:
+        return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    # Blocks inside a day (or inside a partition, where there are no days): at most ``blocks`` rows a window.
+    carry = sums.withColumn("__carry", F.coalesce(F.sum("__sum").over(before([*partition_by, *day], ["__blk"])), zero))
+    if day:
+        # One row a day: bounded by the calendar.
+        days = sums.groupBy(*partition_by, *day).agg(F.sum("__sum").alias("__dsum"))
+        days = days.select(*partition_by, *day, F.coalesce(F.sum("__dsum").over(before(partition_by, day)), zero).alias("__dcarry"))
+        carry = carry.join(days, [*partition_by, *day]).withColumn("__carry", F.col("__carry") + F.col("__dcarry"))
+    rows = x.join(carry.select(*keys, "__carry"), keys)
+    inside = Window.partitionBy(*keys).orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(out, (F.col("__carry") + F.sum(v).over(inside)).cast(_sum_type(x, v))).drop("__blk", "__carry", *day)
 
-    # Rows are shuffled once, by block key; the in-block window reuses that partitioning.
-    joined = x.join(carry, keys, "inner")
-    w_in = Window.partitionBy(*keys).orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.col("__carry") + F.sum(v).over(w_in)).drop(blk, v, "__carry", *lead)
+
+def _sum_type(x: DataFrame, v: str):
+    return x.select(F.sum(v).alias("s")).schema["s"].dataType
+
+
+def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str], date_col: str | None,
+                  id_col: str, blocks: int = DEFAULT_BLOCKS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over the rows of the same partition up to this row,
+    ordered by (``date_col``, ``id_col``); ``id_col`` must be a whole number, unique and non-null within
+    a partition, ``partition_by`` columns non-null, and ``date_col`` may be None (order by
+    the id alone) or hold nulls (they come first). With ``partition_by`` one aggregate runs when
+    called, to find the hot partitions."""
+    v = "__v"
+    x = df.withColumn(v, value)
+    if not partition_by:
+        return _split_total(x, v, out, [], date_col, id_col, blocks).drop(v)
+    # At most rows / hot_rows partitions are hot, so their keys are few: they are broadcast.
+    hot = F.broadcast(x.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+                      .select(*partition_by))
+    found = hot.limit(1).count() > 0
+    cold = x.join(hot, partition_by, "left_anti") if found else x
+    order = ([F.col(date_col).asc_nulls_first()] if date_col else []) + [F.col(id_col)]
+    plain = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cold = cold.withColumn(out, F.sum(v).over(plain))
+    if not found:
+        return cold.drop(v)
+    split = _split_total(x.join(hot, partition_by, "left_semi"), v, out, partition_by, date_col, id_col, blocks)
+    return cold.unionByName(split.select(*cold.columns)).drop(v)
 
 
 def number_where(df: DataFrame, cond: Column, order_col: str, out: str, start: Column | int = 0,
-                 block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                 blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """W6 over a mixed batch: rows where ``cond`` holds get start + 1, start + 2, ... in
     ``order_col`` order; the other rows keep ``out`` null. One pass over all rows (a
-    running count of accepted rows), so accepted and rejected requests stay one frame."""
+    running count of accepted rows), so accepted and rejected requests stay one frame.
+    ``df`` is read three times; hand in a written table when its plan is costly."""
     counted = running_total(df.withColumn("__ok", F.coalesce(cond, F.lit(False))),
                             F.when(F.col("__ok"), F.lit(1)).otherwise(F.lit(0)).cast("long"),
-                            out, [], None, order_col, block_size)
+                            out, [], None, order_col, blocks)
     base = start if isinstance(start, Column) else F.lit(start)
     return counted.withColumn(out, F.when(F.col("__ok"), (base + F.col(out)).cast("long"))).drop("__ok")
 
 
 def dense_number(df: DataFrame, order_col: str, out: str, start: Column | int = 0,
-                 block_size: int = DEFAULT_BLOCK, materialize: bool = False) -> DataFrame:
-    """``out`` = start + 1, start + 2, ... in ``order_col`` order (unique, non-null),
-    without a single-task global window: a running count in two levels.
-
-    The input is read twice (block counts, then rows). When it is the end of a costly
-    plan, ``materialize=True`` writes it once as a parquet table in a fresh folder below
-    the cluster's ``spark.checkpoint.dir`` and numbers the written copy (this also cuts
-    the lineage a lost executor would have to recompute).
-    """
-    if materialize:
-        from ..session import shared_work_dir
-
-        path = shared_work_dir(df.sparkSession, "materialized")
-        df.write.parquet(path)
-        df = df.sparkSession.read.parquet(path)
-    numbered = running_total(df, F.lit(1).cast("long"), out, [], None, order_col, block_size)
+                 blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+    """``out`` = start + 1, start + 2, ... in ``order_col`` order (a whole number, unique,
+    non-null), without a window over all rows: a running count in two levels, over at most ``blocks``
+    rows first. ``df`` is read three times; hand in a written table when its plan is costly."""
+    numbered = running_total(df, F.lit(1).cast("long"), out, [], None, order_col, blocks)
     base = start if isinstance(start, Column) else F.lit(start)
     return numbered.withColumn(out, (base + F.col(out)).cast("long"))
 
 
 def previous_value(df: DataFrame, partition_by: list[str], order_col: str, value_col: str,
-                   out: str, block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """``out`` = ``value_col`` of the previous row (by ``order_col``, unique) of the same
-    partition (non-null partition columns), null for the first. Two levels, like
-    ``running_total``: a lag inside blocks of ``order_col // block_size``, and for a
-    block's first row the last value of the block before it, taken from one summary row
-    per block."""
-    blk = "__pblk"
-    x = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block_size)))
-    keys = [*partition_by, blk]
+                   out: str, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+    """``out`` = ``value_col`` of the previous row (by ``order_col``, a unique whole number) of the same
+    partition (non-null partition columns), null for the first. Two levels: a lag inside blocks
+    of ``order_col``, and for a block's first row the last value of the block before it,
+    taken from one summary row per block (at most ``blocks`` in a partition)."""
+    x = _cut(df, order_col, "__pblk", blocks)
+    keys = [*partition_by, "__pblk"]
     last_of_block = x.groupBy(*keys).agg(F.max_by(value_col, order_col).alias("__last"))
-    w_b = Window.partitionBy(*partition_by).orderBy(blk) if partition_by else Window.orderBy(blk)
+    w_b = Window.partitionBy(*partition_by).orderBy("__pblk")
     carry = last_of_block.select(*keys, F.lag("__last").over(w_b).alias("__carry"))
     # partition_by columns are non-null here, so this is a plain equi-join on the block key
     # and the in-block window below reuses its partitioning.
@@ -123,4 +140,4 @@ def previous_value(df: DataFrame, partition_by: list[str], order_col: str, value
     w_r = Window.partitionBy(*keys).orderBy(order_col)
     first_in_block = F.row_number().over(w_r) == 1
     return j.withColumn(out, F.when(first_in_block, F.col("__carry"))
-                        .otherwise(F.lag(value_col).over(w_r))).drop(blk, "__carry")
+                        .otherwise(F.lag(value_col).over(w_r))).drop("__pblk", "__carry")

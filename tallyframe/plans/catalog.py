@@ -341,14 +341,25 @@ def q_audit_append(spark, sf_dir):
     CH = _changes()
     from pyspark.sql import functions as F
 
-    # The three batches number their requests independently; order the appended rows
-    # edits first, then deletes, then renames, each in its own request order.
-    step = F.lit(10 ** 13)
-    rows = (CH.edit_transactions(b.transactions, b.batch("edits")).audit
-            .unionByName(CH.delete_transactions(b.transactions, b.batch("deletes")).audit
-                         .withColumn("seq", F.col("seq") + step))
-            .unionByName(CH.rename_parties(b.parties, b.batch("renames")).audit
-                         .withColumn("seq", F.col("seq") + 2 * step)))
+    from pyspark.sql import Window
+
+    from ..session import materialized
+
+    # The three batches number their requests independently: edits come first, then deletes,
+    # then renames, each in its own request order. One number for (batch, seq): batches are offset by
+    # the largest request number of those before, which one row a batch tells.
+    audits = [CH.edit_transactions(b.transactions, b.batch("edits")).audit,
+              CH.delete_transactions(b.transactions, b.batch("deletes")).audit,
+              CH.rename_parties(b.parties, b.batch("renames")).audit]
+    rows = None
+    for k, audit in enumerate(audits):
+        part = audit.withColumn("batch", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = materialized(rows, "audit-rows")
+    spans = rows.groupBy("batch").agg((F.max("seq") + 1).alias("span"))  # three rows
+    before = spans.select("batch", F.coalesce(F.sum("span").over(
+        Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    rows = rows.join(before, "batch").withColumn("seq", F.col("seq") + F.col("offset")).drop("batch", "offset")
     log = CH.audit_append(b.audit_logs, rows, company=COMPANY_NAME)
     return log.select("username", "action", "details", "company")
 

@@ -476,7 +476,9 @@ _EDIT = """chk AS (SELECT e.*, CASE
       WHEN 'txn_type' THEN COALESCE(t.txn_type, 'None') WHEN 'payment_mode' THEN COALESCE(t.payment_mode, 'None')
       WHEN 'amount' THEN COALESCE(CAST(t.amount AS VARCHAR), 'None') END AS table_text
   FROM edits e LEFT JOIN transactions t ON t.txn_id = e.txn_id),
-okd AS (SELECT *, lag(new_value) OVER (PARTITION BY txn_id, field ORDER BY seq) AS pv FROM chk WHERE reason IS NULL),
+okd AS (SELECT *, lag(CASE field WHEN 'txn_date' THEN CAST(TRY_CAST(new_value AS DATE) AS VARCHAR)
+      WHEN 'amount' THEN CAST(TRY_CAST(new_value AS DECIMAL(18,2)) AS VARCHAR) ELSE new_value END)
+    OVER (PARTITION BY txn_id, field ORDER BY seq) AS pv FROM chk WHERE reason IS NULL),
 last AS (SELECT txn_id, field, arg_max(new_value, seq) AS v FROM okd GROUP BY txn_id, field),
 piv AS (SELECT txn_id, max(v) FILTER (WHERE field = 'txn_date') AS n_date, max(v) FILTER (WHERE field = 'bill_no') AS n_bill,
     max(v) FILTER (WHERE field = 'txn_type') AS n_type, max(v) FILTER (WHERE field = 'payment_mode') AS n_mode,
@@ -512,15 +514,23 @@ oracle("delete_audit", with_views(_DELETE_AUDIT_SELECT, TX, "deletes", extra=_DE
 _RENAME = """rk AS (SELECT renames.*, lower(replace(old_name,' ','_')) AS okey, lower(replace(new_name,' ','_')) AS nk FROM renames),
 rj AS (SELECT rk.*, p.party_id AS pid, q.party_id AS owner FROM rk
   LEFT JOIN parties p ON p.normalized_name = rk.okey LEFT JOIN parties q ON q.normalized_name = rk.nk),
-rf AS (SELECT rj.*, min(CASE WHEN pid IS NOT NULL THEN seq END) OVER (PARTITION BY pid) AS fp,
-    min(CASE WHEN pid IS NOT NULL THEN seq END) OVER (PARTITION BY nk) AS fk FROM rj),
-rchk AS (SELECT *, CASE WHEN pid IS NULL OR seq <> fp THEN 'Party not found'
-                        WHEN (owner IS NOT NULL AND owner <> pid) OR seq <> fk THEN 'New name already exists' END AS reason FROM rf)"""
+rcand AS (SELECT pid, nk, min(seq) AS seq FROM rj WHERE pid IS NOT NULL AND (owner IS NULL OR owner = pid) GROUP BY pid, nk),
+rnum AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM rcand),
+rwalk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS pids, []::VARCHAR[] AS nks, NULL::BIGINT AS pid, NULL::VARCHAR AS nk, NULL::BIGINT AS won
+  UNION ALL
+  SELECT i, CASE WHEN ok THEN list_append(pids, pid) ELSE pids END, CASE WHEN ok THEN list_append(nks, nk) ELSE nks END, pid, nk,
+    CASE WHEN ok THEN seq END
+  FROM (SELECT n.i, w.pids, w.nks, n.pid, n.nk, n.seq, NOT list_contains(w.pids, n.pid) AND NOT list_contains(w.nks, n.nk) AS ok
+    FROM rwalk w JOIN rnum n ON n.i = w.i + 1)),
+rwon AS (SELECT pid, nk, won FROM rwalk WHERE won IS NOT NULL),
+rchk AS (SELECT rj.*, CASE WHEN rj.pid IS NULL OR wp.won < seq THEN 'Party not found'
+                        WHEN (owner IS NOT NULL AND owner <> rj.pid) OR wk.won < seq THEN 'New name already exists' END AS reason
+  FROM rj LEFT JOIN rwon wp ON wp.pid = rj.pid LEFT JOIN rwon wk ON wk.nk = rj.nk)"""
 
 oracle("rename_parties", with_views("""
 SELECT p.party_id, COALESCE(c.new_name, p.name) AS name, COALESCE(c.nk, p.normalized_name) AS normalized_name
 FROM parties p LEFT JOIN (SELECT * FROM rchk WHERE reason IS NULL) c ON c.pid = p.party_id""",
-                                    PT, "renames", extra=_RENAME))
+                                    PT, "renames", extra=_RENAME, recursive=True))
 
 _RENAME_AUDIT_SELECT = """SELECT admin_user AS username, 'Rename Party' AS action,
   'Renamed ' || old_name || ' to ' || new_name AS details FROM rchk WHERE reason IS NULL"""
@@ -562,7 +572,7 @@ UNION ALL SELECT username, action, details, 'Alpha Traders' FROM ({_EDIT_AUDIT_S
 UNION ALL SELECT username, action, details, 'Alpha Traders' FROM ({_DELETE_AUDIT_SELECT}) da
 UNION ALL SELECT username, action, details, 'Alpha Traders' FROM ({_RENAME_AUDIT_SELECT}) ra""",
                                   TX, PT, "raw_import", "edits", "deletes", "renames", "audit_logs",
-                                  extra=",\n".join([_EDIT, _DELETE, _RENAME])))
+                                  extra=",\n".join([_EDIT, _DELETE, _RENAME]), recursive=True))
 
 oracle("audit_backfill", with_views("""
 SELECT COALESCE(company, 'Alpha Traders') AS company, COUNT(*) AS n FROM audit_logs GROUP BY 1""", "audit_logs"))

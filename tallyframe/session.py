@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -37,7 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as
-    is. Only when it is unset (a test session) is a private folder created.
+    is. Only when it is unset on a local master (a test session) is a private folder created;
+    on any other master a machine-local folder would lose data, so this raises.
     """
     sc = None
     try:
@@ -48,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(conf_dir)
@@ -61,6 +65,15 @@ def shared_work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/tallyframe/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet in a fresh shared folder and read back: later steps read
+    the rows instead of repeating the plan, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = shared_work_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_path(uri: str) -> str:
     """Strip a ``file:`` scheme so tests can look at a written folder."""
     if uri.startswith("file:"):

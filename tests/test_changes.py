@@ -84,12 +84,12 @@ def test_edits_are_sequential(spark):
         (4, 99, "a", "amount", "1"), (5, 2, "a", "party_id", "3"), (6, 3, "a", "bill_no", ""),
         (7, 6, "a", "bill_no", "NEW"), (8, 1, "a", "txn_date", "2025-02-03"),
     ], "seq long, txn_id long, admin_user string, field string, new_value string")
-    res = CH.edit_transactions(tx, edits, block_size=2)
+    res = CH.edit_transactions(tx, edits, blocks=2)
     reasons = {r.seq: r.reason for r in res.outcome.collect()}
     assert reasons == {1: None, 2: None, 3: "Invalid value for amount", 4: CH.NOT_FOUND, 5: CH.INVALID_FIELD,
                        6: CH.EMPTY_VALUE, 7: None, 8: None}
     audit = sorted(r.details for r in res.audit.collect())
-    assert audit == ["Changed amount from 20.00 to 5.5 for Txn ID 2", "Changed amount from 5.5 to 7 for Txn ID 2",
+    assert audit == ["Changed amount from 20.00 to 5.5 for Txn ID 2", "Changed amount from 5.50 to 7 for Txn ID 2",
                      "Changed bill_no from None to NEW for Txn ID 6",
                      "Changed txn_date from 2024-01-02 to 2025-02-03 for Txn ID 1"]
     t = {r.txn_id: r for r in res.table.collect()}
@@ -117,11 +117,50 @@ def test_renames(spark):
     res = CH.rename_parties(parties, renames)
     reasons = {r.seq: r.reason for r in res.outcome.collect()}
     assert reasons == {1: None, 2: CH.PARTY_NOT_FOUND, 3: CH.NEW_NAME_TAKEN, 4: CH.PARTY_NOT_FOUND,
-                       5: CH.NEW_NAME_TAKEN, 6: CH.PARTY_NOT_FOUND}
+                       5: CH.NEW_NAME_TAKEN, 6: None}
     names = {r.party_id: r.name for r in res.table.collect()}
     assert names == {1: "Acme Ltd", 2: "Beta", 3: "Gamma"}
 
 
+def test_renames_equal_a_replay_in_request_order(spark):
+    """Random batches, many at once (each batch has its own parties), with chains of losers and rejected first requests."""
+    import random
+
+    rng = random.Random(5)
+    names, requests, want = [], [], {}
+    for batch in range(20):
+        own = [f"b{batch} p{k}" for k in range(6)]
+        fresh = [f"b{batch} n{k}" for k in range(5)]
+        names += own
+        renamed, given = set(), set()
+        for k in range(30):
+            seq = batch * 1000 + k
+            old = rng.choice([*own, f"b{batch} nobody"])
+            new = rng.choice([*fresh, *own])
+            requests.append((seq, old, new.upper(), "u"))
+            if old not in own or old in renamed:
+                want[seq] = CH.PARTY_NOT_FOUND
+            elif (new in own and new != old) or new in given:
+                want[seq] = CH.NEW_NAME_TAKEN
+            else:
+                want[seq] = None
+                renamed.add(old)
+                given.add(new)
+    parties = _parties(spark, [(n, "Customer") for n in names])
+    renames = spark.createDataFrame(requests, "seq long, old_name string, new_name string, admin_user string")
+    res = CH.rename_parties(parties, renames)
+    assert {r.seq: r.reason for r in res.outcome.collect()} == want
+    new_name = {old: new for seq, old, new, _ in requests if want[seq] is None}
+    assert sorted(r.name for r in res.table.collect()) == sorted(new_name.get(n, n) for n in names)
+
+
+def test_a_last_change_to_null_counts(spark):
+    settings = spark.createDataFrame([("a", "1"), ("b", "2")], "setting_key string, setting_value string")
+    changes = spark.createDataFrame([(1, "a", "5"), (2, "a", None)], "seq long, setting_key string, setting_value string")
+    got = {r.setting_key: r.setting_value for r in CH.upsert_settings(settings, changes).collect()}
+    assert got == {"a": None, "b": "2"}
+
+
 def test_upsert_twice_is_once(spark):
     import datetime as dt
 

@@ -113,4 +113,4 @@ def test_window_check_flags_a_naive_plan(spark, books):
         "bal", F.sum("amount").over(Window.orderBy("txn_date", "txn_id").rowsBetween(Window.unboundedPreceding, 0)))
     assert _unpartitioned_windows_are_over_aggregates(_plan(naive)) != []
     good = _plan(registry()["account_bank"](spark, SF_SMALL))
-    assert "windowspecdefinition(__nn_txn_date" in good and _unpartitioned_windows_are_over_aggregates(good) == []
+    assert "windowspecdefinition(__dated" in good and _unpartitioned_windows_are_over_aggregates(good) == []

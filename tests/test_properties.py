@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 
 
 def test_last_balance_is_signed_total(books):
-    led = L.party_ledger(books.transactions, books.parties, block_size=8)
+    led = L.party_ledger(books.transactions, books.parties, blocks=8, hot_rows=20)
     last = led.groupBy("party_id").agg(F.max_by("balance", F.struct("date", "id")).alias("b"))
     tot = books.transactions.join(books.parties.select("party_id"), "party_id", "left_semi").groupBy("party_id").agg(
         F.sum(F.when(F.col("txn_type") == "Sale", F.coalesce("amount", F.lit(0)))
@@ -55,7 +55,7 @@ def test_pages_concatenate_to_full_list(books):
 
 
 def test_account_statement_is_ordered_running_sum(books):
-    st = L.account_statement(books.transactions, books.parties, "Cash", block_size=16).orderBy("date", "id").collect()
+    st = L.account_statement(books.transactions, books.parties, "Cash", blocks=16).orderBy("date", "id").collect()
     run = 0.0
     for r in st:
         run += r.debit - r.credit

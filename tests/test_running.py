@@ -21,8 +21,8 @@ def _data(spark, n=600, seed=7):
 
 def test_running_total_matches_window(spark):
     df = _data(spark)
-    for block in (4, 64, 1 << 20):
-        got = running_total(df, F.col("v"), "bal", ["p"], "d", "id", block_size=block)
+    for block in (2, 16, 1024):
+        got = running_total(df, F.col("v"), "bal", ["p"], "d", "id", blocks=block, hot_rows=40)
         w = Window.partitionBy("p").orderBy(F.col("d").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, 0)
         want = df.withColumn("bal", F.sum("v").over(w))
         assert sorted(got.collect(), key=repr) == sorted(want.select(*got.columns).collect(), key=repr)
@@ -30,7 +30,7 @@ def test_running_total_matches_window(spark):
 
 def test_running_total_whole_account(spark):
     df = _data(spark)
-    got = running_total(df, F.col("v"), "bal", [], "d", "id", block_size=16)
+    got = running_total(df, F.col("v"), "bal", [], "d", "id", blocks=16)
     w = Window.orderBy(F.col("d").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("bal", F.sum("v").over(w))
     assert sorted(got.collect(), key=repr) == sorted(want.select(*got.columns).collect(), key=repr)
@@ -38,7 +38,7 @@ def test_running_total_whole_account(spark):
 
 def test_dense_number(spark):
     df = _data(spark)
-    got = dense_number(df, "id", "n", start=100, block_size=8).select("id", "n").collect()
+    got = dense_number(df, "id", "n", start=100, blocks=8).select("id", "n").collect()
     ids = sorted(r.id for r in got)
     expect = {i: 101 + k for k, i in enumerate(ids)}
     assert all(r.n == expect[r.id] for r in got)
@@ -46,6 +46,6 @@ def test_dense_number(spark):
 
 def test_previous_value(spark):
     df = _data(spark).withColumn("val", F.col("v").cast("string"))
-    got = previous_value(df, ["p"], "id", "val", "prev", block_size=8).select("id", "prev").collect()
+    got = previous_value(df, ["p"], "id", "val", "prev", blocks=8).select("id", "prev").collect()
     want = df.select("id", F.lag("val").over(Window.partitionBy("p").orderBy("id")).alias("prev")).collect()
     assert sorted(got, key=repr) == sorted(want, key=repr)
