@@ -102,6 +102,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
         missing.alias("m"),
         (F.col("r.content") == F.col("m.content")) & F.col("r.doc_id").eqNullSafe(F.col("m._id")), "left_semi",
     ).select("content", F.col("_text").alias("text"))
+    if digests.groupBy("content", "doc_id").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["content"])  # rows that repeat an id and its text: one of them is enough
     _encode(texts, tokenizer).write.mode("append").parquet(folder)
     counts = written(_stored(spark, folder), "token-counts")  # a table of its own, so that a hot content's rows can be split
     return digests.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
