@@ -7,62 +7,70 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?$"
-ISO_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
-               "yyyy-MM-dd'T'HH:mm"]
-# Less common layouts, each behind its own shape test.
-RARE_FORMATS = [
-    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
-    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]+ \d{4}$"),
-    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
-    ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
-    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("yyyyMMdd", r"^\d{8}$"),
-]
+# The month names a reader of English date text knows.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+          "december"]
+_TIME_PART = r"(?:[ ]+|T)\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?([ ]?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?$"
 
 
 def default_pivot_year() -> int:
     return _dt.date.today().year + 50
 
 
-def _parse(col: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(col, F.lit(fmt)).cast("date")
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers as text, null when there is none."""
+    return F.concat_ws("-", F.lpad(year, 4, "0"), month, day).try_cast("date")
+
+
+def _month_number(name: Column) -> Column:
+    """1 to 12 for an English month name or its first three letters (and ``sept``), as text; else null."""
+    n = F.lower(name)
+    full, short = F.array(*[F.lit(m) for m in MONTHS]), F.array(*[F.lit(m[:3]) for m in MONTHS])
+    at = F.greatest(F.array_position(full, n), F.array_position(short, n), F.when(n == "sept", 9).otherwise(0).cast("long"))
+    return F.when(at > 0, at.cast("string"))
 
 
 def parse_day_first(col, iso: str = "ymd", pivot_year: int | None = None) -> Column:
-    """F8: import date text -> DATE, null when no pattern fits.
-
-    Numeric layouts ``d.M.y``, ``d/M/y``, ``d-M-y`` (two- or four-digit year) are read
-    day-first; with ``/`` an impossible day-first reading falls back to month-first.
-    ``iso="ymd"`` reads ``2026-01-05`` as 5 January; ``iso="dayfirst"`` reproduces the
-    day/month swap of a day-first reader on ISO text (1 May), falling back to the plain
-    reading when the swapped one is impossible. Two-digit years at or above
-    ``pivot_year`` are moved back one century. Month names, ``yyyy/M/d`` and
-    ``yyyyMMdd`` are read too.
-
-    One shape test per layout group, then the separator picks the pattern, so a row
-    runs a few regex tests and normally one parse (a failed parse is costly).
+    """F8: import date text -> DATE, null when it reads as no date.
+
+    A time of day at the end is dropped. Then three parts in any usual order, between ``.``,
+    ``/``, ``-``, commas or blanks: day, month, year (an impossible day-first reading falls back to
+    month-first), year first, and month names in any place; or eight digits ``yyyyMMdd``.
+    Two-digit years at or above ``pivot_year`` are moved back one century. ``iso="ymd"``
+    reads ``2026-01-05`` as 5 January; ``iso="dayfirst"`` reproduces the day/month swap of
+    a day-first reader on ISO text (1 May), falling back to the plain reading when the
+    swapped one is impossible.
     """
-    c = F.trim(F.col(col) if isinstance(col, str) else col)
-    pivot = default_pivot_year() if pivot_year is None else pivot_year
     if iso not in ("ymd", "dayfirst"):
         raise ValueError("iso must be 'ymd' or 'dayfirst'")
+    c = F.trim(F.col(col) if isinstance(col, str) else col)
+    pivot = default_pivot_year() if pivot_year is None else pivot_year
+    plain = F.regexp_replace(c, _TIME_PART, "")
+    parts = F.split(F.regexp_replace(plain, r"[\s./,-]+", "-"), "-")
+
+    def read(p: Column) -> Column:
+        x, y, z = (p.getItem(k) for k in range(3))
+        number = [v.rlike(r"^\d{1,2}$") for v in (x, y, z)]
+        word = [v.rlike(r"^[A-Za-z]{3,9}$") for v in (x, y, z)]
+        four = [v.rlike(r"^\d{4}$") for v in (x, y, z)]
+        near = (F.lit(2000) + F.when(number[2], z).try_cast("int"))
+        year = F.when(four[2], z).when(number[2], F.when(near >= pivot, near - 100).otherwise(near).cast("string"))
+        swapped = F.coalesce(_date(x, z, y), _date(x, y, z)) if iso == "dayfirst" else _date(x, y, z)
+        return (F.when(four[0] & number[1] & number[2], swapped)
+                 .when(four[0] & word[1] & number[2], _date(x, _month_number(y), z))
+                 .when(number[0] & number[1] & year.isNotNull(), F.coalesce(_date(year, y, x), _date(year, x, y)))
+                 .when(number[0] & word[1] & year.isNotNull(), _named(year, y, x))
+                 .when(word[0] & number[1] & year.isNotNull(), _named(year, x, y)))
+
+    # The text is split once: transform binds the parts of the one-element array.
+    return F.coalesce(
+        F.when(plain.rlike(r"^\d{8}$"), _date(F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))),
+        F.transform(F.array(parts), lambda p: F.when(F.size(p) == 3, read(p))).getItem(0))
 
-    iso_plain = F.coalesce(*[_parse(c, f) for f in ISO_FORMATS])
-    iso_date = F.coalesce(_parse(c, "yyyy-dd-MM"), iso_plain) if iso == "dayfirst" else iso_plain
-
-    def numeric(year: str) -> Column:
-        return (F.when(c.contains("."), _parse(c, f"d.M.{year}"))
-                 .when(c.contains("/"), F.coalesce(_parse(c, f"d/M/{year}"), _parse(c, f"M/d/{year}")))
-                 .otherwise(_parse(c, f"d-M-{year}")))
 
-    two = numeric("yy")
-    two = F.when(F.year(two) >= pivot, F.add_months(two, -1200)).otherwise(two)
-    return F.coalesce(
-        F.when(c.rlike(ISO_SHAPE), iso_date),
-        F.when(c.rlike(r"^\d{1,2}([./-])\d{1,2}\1\d{4}$"), numeric("yyyy")),
-        F.when(c.rlike(r"^\d{1,2}([./-])\d{1,2}\1\d{2}$"), two),
-        *[F.when(c.rlike(shape), _parse(c, f)) for f, shape in RARE_FORMATS])
+def _named(year: Column, name: Column, day: Column) -> Column:
+    month = _month_number(name)
+    return F.when(month.isNotNull(), _date(year, month, day))
 
 
 def date_text(col) -> Column:

@@ -19,14 +19,31 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+_NUMBER = r"^\s*[+-]?(\d+[.]?\d*|[.]\d+)([eE][+-]?\d+)?\s*$"
+_NO_AMOUNT = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"  # numbers to a float reader, but no amounts
+
+
+def _digits(col) -> Column:
+    """Number text without the underscores that Python allows between digits."""
+    return F.regexp_replace(_c(col), r"(?<=\d)_(?=\d)", "")
+
+
 def parse_amount(col) -> Column:
-    """amount text -> DECIMAL(18,2); anything unreadable (``1,200``) or missing -> 0."""
-    return F.coalesce(_c(col).try_cast(MONEY), F.lit(0).cast(MONEY))
+    """amount text -> DECIMAL(18,2); what is no number (``1,200``) or missing -> 0. A number
+    that the column cannot hold also gives 0: see ``amount_out_of_range``, which rejects it."""
+    return F.coalesce(_digits(col).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def amount_readable(col) -> Column:
-    """True when the amount text is present and reads as a number."""
-    return _c(col).isNull() | _c(col).try_cast(MONEY).isNotNull()
+    """True when the amount text is missing or reads as a number."""
+    return _c(col).isNull() | _digits(col).try_cast(MONEY).isNotNull()
+
+
+def amount_out_of_range(col) -> Column:
+    """True for a number that the amount column cannot hold (an insert of it fails)."""
+    text = _digits(col)
+    number = text.rlike(_NUMBER) | text.rlike(_NO_AMOUNT)
+    return F.coalesce(number & text.try_cast(MONEY).isNull(), F.lit(False))
 
 
 def zero_if_null(col) -> Column:
@@ -76,11 +93,20 @@ def ratio_pct(part, total) -> Column:
 
 
 def py_float_text(col) -> Column:
-    """Python ``str(float)`` for the amounts the reference echoes in audit texts: integral
-    values get ``.0`` (``25`` -> ``25.0``), others their shortest decimal form. Values of
-    1e16 and beyond print in Spark's exponent style."""
+    """Python ``str(float)``: the shortest text that reads back, plain from 1e-4 up to 1e16 (``25.0``,
+    ``12345678.5``, ``0.0005``), else with an exponent of two digits or more (``1e+16``, ``5e-05``)."""
     x = _c(col).cast("double")
-    whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e16))
-    return F.when(x.isNull(), F.lit(None).cast("string")) \
-            .when(whole, F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))) \
-            .otherwise(x.cast("string"))
+    java = x.cast("string")  # the same digits, with an exponent from 1e7 and below 1e-3
+    size = F.abs(x)
+    plain = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    digits = F.regexp_replace(F.split(java, "E").getItem(0), r"[.]0$", "")
+    power = F.split(java, "E").getItem(1).try_cast("int")
+    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    power = F.when(F.abs(power) < 10, F.concat(F.lit("0"), F.abs(power).cast("string"))).otherwise(F.abs(power).cast("string"))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+             .when(F.isnan(x), F.lit("nan"))
+             .when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+             .when(~java.contains("E"), java)
+             .when((size >= 1e-4) & (size < 1e16), plain)
+             .otherwise(F.concat(digits, sign, power)))

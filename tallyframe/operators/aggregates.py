@@ -145,22 +145,26 @@ def dashboard(tx: DataFrame, parties: DataFrame, as_of: str | None = None) -> Da
     )
 
 
-def outstanding(tx: DataFrame, parties: DataFrame) -> DataFrame:
-    """Per credit customer (grouped by name, as the reference does), Sale - Receipt, kept when > 0."""
-    per_party = tx.where(F.col("party_id").isNotNull()).groupBy("party_id").agg(
+def _outstanding(tx: DataFrame, parties: DataFrame) -> DataFrame:
+    """A6 with exact balances: per credit customer (grouped by name, as the reference does), Sale - Receipt, kept when > 0."""
+    per_party = tx.where(F.col("party_id").isNotNull() & (_is_type("Sale") | _is_type("Receipt"))).groupBy("party_id").agg(
         M.sum0(F.when(_is_type("Sale"), F.col("amount"))).alias("s"),
         M.sum0(F.when(_is_type("Receipt"), F.col("amount"))).alias("r"))
     credit_customers = parties.where(X.ci_eq("type", "Credit Customer")).select("party_id", "name")
     # LEFT JOIN from parties: a party with no rows has balance 0 and is dropped by HAVING.
     joined = credit_customers.join(per_party, "party_id", "left")
     by_name = joined.groupBy("name").agg((M.sum0("s") - M.sum0("r")).alias("balance"))
-    return by_name.where(F.col("balance") > 0).select(
-        F.col("name").alias("party"), M.to_double("balance").alias("balance"))
+    return by_name.where(F.col("balance") > 0).select(F.col("name").alias("party"), "balance")
+
+
+def outstanding(tx: DataFrame, parties: DataFrame) -> DataFrame:
+    """Per credit customer, Sale - Receipt, kept when > 0."""
+    return _outstanding(tx, parties).select("party", M.to_double("balance").alias("balance"))
 
 
 def outstanding_total(tx: DataFrame, parties: DataFrame) -> DataFrame:
     """A6 total: sum of the kept balances (0 when none)."""
-    return outstanding(tx, parties).agg(
+    return _outstanding(tx, parties).agg(
         F.coalesce(F.sum(F.col("balance").cast(M.WIDE)), F.lit(0).cast(M.WIDE))
         .cast("double").alias("total"))
 

@@ -56,31 +56,33 @@ def first_present(df: DataFrame, aliases: list[str], default: Column | None = No
 class ImportResult:
     """Outputs of one import. ``accepted`` and ``new_parties`` carry no ids; ids are given
     when rows are appended (``with_ids``), as an identity column is filled on insert."""
-    accepted: DataFrame       # row_id, txn_date, bill_no, party, party_key, txn_type, payment_mode, amount
-    rejected: DataFrame       # row_id, reason
+    accepted: DataFrame       # row_id, file, row_order, txn_date, bill_no, party, party_key, txn_type, payment_mode, amount
+    rejected: DataFrame       # file, row_id, row_order, reason
     new_parties: DataFrame    # name, normalized_name, type, credit_allowed, first_row
     counts: DataFrame         # status, n
     parties: DataFrame
     transactions: DataFrame | None
 
-    def with_ids(self) -> tuple[DataFrame, DataFrame]:
+    def with_ids(self, last_party: int | None = None, last_txn: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(new parties with ``party_id``, accepted rows with ``party_id`` and ``txn_id``),
-        numbered after the largest existing ids in file order (W6)."""
-        max_party = self.parties.select(F.coalesce(F.max("party_id"), F.lit(0))).scalar()
+        numbered after the largest existing ids (or the given ones) in (file, record) order (W6)."""
+        max_party = (F.lit(last_party) if last_party is not None
+                     else self.parties.select(F.coalesce(F.max("party_id"), F.lit(0))).scalar())
         parties = dense_number(self.new_parties, "first_row", "party_id", start=max_party).select(
             "party_id", "name", "normalized_name", "type", "credit_allowed")
         known = self.parties.select(F.col("normalized_name").alias("party_key"), "party_id")
         ids = known.unionByName(parties.select(F.col("normalized_name").alias("party_key"), "party_id"))
         resolved = self.accepted.join(ids, "party_key", "inner")
-        max_txn = (self.transactions.select(F.coalesce(F.max("txn_id"), F.lit(0))).scalar()
+        max_txn = F.lit(last_txn) if last_txn is not None else (self.transactions.select(F.coalesce(F.max("txn_id"), F.lit(0))).scalar()
                    if self.transactions is not None else F.lit(0))
-        accepted = dense_number(resolved, "row_id", "txn_id", start=max_txn)
-        return parties, accepted
+        accepted = dense_number(resolved, "row_order", "txn_id", start=max_txn)
+        return parties, accepted.drop("row_order")
 
 
 def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None) -> DataFrame:
     """One cleaned row per input row, with ``reason`` set on the
-    first failing check (missing date, invalid date, missing party) and null otherwise."""
+    first failing check (missing date, invalid date, missing party, an amount too large for the
+    column) and null otherwise."""
     date_raw = first_present(raw, DATE_ALIASES)
     party = first_present(raw, PARTY_ALIASES)
     bill = first_present(raw, BILL_ALIASES, F.lit(""))
@@ -90,6 +92,8 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
     # Two projections: the date is parsed once and the reason reads the parsed column.
     first = raw.select(
         F.col("row_id"),
+        (F.col("file") if "file" in raw.columns else F.lit(None).cast("string")).alias("file"),
+        (F.col("row_order") if "row_order" in raw.columns else F.col("row_id")).cast("long").alias("row_order"),
         date_raw.alias("__date_raw"),
         parse_day_first(date_raw, iso=iso, pivot_year=pivot_year).alias("txn_date"),
         bill.alias("bill_no"),
@@ -102,9 +106,10 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
     d, p, t, m, a = (F.col(c) for c in ("__date_raw", "party", "__type", "__mode", "__amount"))
     reason = (F.when(d.isNull() | (d == ""), F.lit("Missing date"))
                .when(F.col("txn_date").isNull(), F.concat(F.lit("Invalid date format: "), d))
-               .when(p.isNull() | (p == ""), F.lit("Missing party name")))
+               .when(p.isNull() | (p == ""), F.lit("Missing party name"))
+               .when(M.amount_out_of_range(a), F.concat(F.lit("Amount out of range: "), a)))
     return first.select(
-        "row_id", "txn_date", "bill_no", "party",
+        "row_id", "file", "row_order", "txn_date", "bill_no", "party",
         X.server_key(p).alias("party_key"),
         F.when(t.isNull() | (t == ""), F.lit("Sale")).otherwise(X.title_case(t)).alias("txn_type"),
         F.when(m.isNull() | (m == ""), F.lit("Cash")).otherwise(X.title_case(m)).alias("payment_mode"),
@@ -127,24 +132,22 @@ def import_transactions(raw: DataFrame, parties: DataFrame, transactions: DataFr
     """
     cleaned = clean_import(raw, iso=iso, pivot_year=pivot_year)
     if materialize:
-        from ..session import shared_work_dir
+        from ..session import materialized
 
-        path = shared_work_dir(raw.sparkSession, "import-cleaned")
-        cleaned.write.parquet(path)
-        cleaned = raw.sparkSession.read.parquet(path)
+        cleaned = materialized(cleaned, "import-cleaned")
     ok = cleaned.where(F.col("reason").isNull())
-    rejected = cleaned.where(F.col("reason").isNotNull()).select("row_id", "reason")
-    accepted = ok.select("row_id", "txn_date", "bill_no", "party", "party_key", "txn_type", "payment_mode",
+    rejected = cleaned.where(F.col("reason").isNotNull()).select("file", "row_id", "row_order", "reason")
+    accepted = ok.select("row_id", "file", "row_order", "txn_date", "bill_no", "party", "party_key", "txn_type", "payment_mode",
                          "amount", "amount_ok")
 
     # Keys not in parties, each named by its first row. min over a struct is an
     # aggregate (map-side combined), so a key used by a third of the file is one row per task.
     known = parties.select(F.col("normalized_name").alias("party_key"))
     unknown = accepted.join(known, "party_key", "left_anti")
-    new_parties = unknown.groupBy("party_key").agg(F.min(F.struct("row_id", "party")).alias("first")).select(
+    new_parties = unknown.groupBy("party_key").agg(F.min(F.struct("row_order", "party")).alias("first")).select(
         F.col("first.party").alias("name"), F.col("party_key").alias("normalized_name"),
         F.lit(NEW_PARTY_TYPE).alias("type"), F.lit(True).alias("credit_allowed"),
-        F.col("first.row_id").alias("first_row"))
+        F.col("first.row_order").alias("first_row"))
     counts = cleaned.agg(
         F.count(F.when(F.col("reason").isNull(), 1)).alias("success"),
         F.count(F.when(F.col("reason").isNotNull(), 1)).alias("errors"),
@@ -169,7 +172,7 @@ def as_transactions(accepted: DataFrame) -> DataFrame:
 
 def first_rejects(rejected: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` rejects in file order (a top-k, not a sort of all rejects)."""
-    return rejected.orderBy("row_id").limit(n)
+    return rejected.orderBy("row_order").limit(n)
 
 
 # ---- M12: client entry validation -------------------------------------------------------
@@ -185,7 +188,7 @@ def validate_entries(entries: DataFrame, parties: DataFrame, strict: bool = True
     passes); the party must exist by exact name when ``strict``. Otherwise ``reason`` is null
     and ``creates_party`` tells whether the entry would create its party.
     """
-    party = F.trim(F.col("party"))
+    party = X.py_strip(F.col("party"))
     # partyTypes is keyed by name; with duplicate names the reference keeps one of them,
     # here the type of the highest party_id.
     types = parties.groupBy(F.col("name").alias("__name")).agg(
@@ -219,5 +222,5 @@ def parties_to_create(validated: DataFrame, ptype: str = "Customer") -> DataFram
     only for ``Credit Customer``, as the client does; ``ptype`` is what the user would
     answer at the prompt (its default is ``Customer``)."""
     wanted = validated.where(F.col("creates_party"))
-    return wanted.groupBy(F.trim(F.col("party")).alias("name")).agg(F.min("row_id").alias("seq")).select(
+    return wanted.groupBy(X.py_strip(F.col("party")).alias("name")).agg(F.min("row_id").alias("seq")).select(
         "seq", "name", F.lit(ptype).alias("ptype"), F.lit(ptype == "Credit Customer").alias("credit"))

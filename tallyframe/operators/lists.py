@@ -45,8 +45,16 @@ def day_book(tx: DataFrame, parties: DataFrame, date: str) -> DataFrame:
 def transactions_page(tx: DataFrame, parties: DataFrame, page: int = 1, limit: int = 100) -> DataFrame:
     """One page in (date desc, id desc) order. Spark plans this as a bounded top-k
     (offset + limit rows per task), not a full sort."""
-    ordered = joined_list(tx, parties).orderBy(F.desc("txn_date"), F.desc("id"))
-    return _finish(ordered.offset((page - 1) * limit).limit(limit))
+    return _finish(_top(tx, parties, limit, (page - 1) * limit))
+
+
+def _top(tx: DataFrame, parties: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """The page's rows: the top-k runs over three narrow columns of the rows with a party, and only
+    its ``limit`` rows meet the whole tables."""
+    narrow = tx.select("txn_date", "txn_id", "party_id").join(parties.select("party_id"), "party_id", "left_semi")
+    keys = narrow.orderBy(F.desc("txn_date"), F.desc("txn_id")).offset(offset).limit(limit).select(F.col("txn_id").alias("__id"))
+    page = tx.join(F.broadcast(keys), F.col("txn_id") == F.col("__id"), "left_semi")  # ``limit`` rows
+    return joined_list(page, parties).orderBy(F.desc("txn_date"), F.desc("id"))
 
 
 def transactions_page_after(tx: DataFrame, parties: DataFrame, after_date: str | None,
@@ -57,11 +65,10 @@ def transactions_page_after(tx: DataFrame, parties: DataFrame, after_date: str |
     ``after_id``) in (date desc, id desc) order. Unlike an offset, the filter is applied
     before the top-k, so every page costs the same however deep it is.
     """
-    rows = joined_list(tx, parties)
     if after_date is not None and after_id is not None:
         d = F.to_date(F.lit(after_date))
-        rows = rows.where((F.col("txn_date") < d) | ((F.col("txn_date") == d) & (F.col("id") < after_id)))
-    return _finish(rows.orderBy(F.desc("txn_date"), F.desc("id")).limit(limit))
+        tx = tx.where((F.col("txn_date") < d) | ((F.col("txn_date") == d) & (F.col("txn_id") < after_id)))
+    return _finish(_top(tx, parties, limit))
 
 
 def type_report(tx: DataFrame, parties: DataFrame, txn_type: str) -> DataFrame:
@@ -85,7 +92,7 @@ def search(tx: DataFrame, parties: DataFrame, query: str) -> DataFrame:
     rows = joined_list(tx, parties)
     if query:
         q = F.lit(query.upper())
-        cells = [date_text(F.col("date")), F.col("bill_no"), _shown(F.col("party")),
+        cells = [F.date_format("txn_date", "dd-MM-yyyy"), F.col("bill_no"), _shown(F.col("party")),
                  _shown(F.col("type")), _shown(F.col("mode")),
                  F.coalesce(M.fixed2("amount"), F.lit(""))]
         rows = rows.where(reduce(lambda a, b: a | b, [F.upper(c).contains(q) for c in cells]))

@@ -199,7 +199,7 @@ def q_import_accepted(spark, sf_dir):
 
 @query("import_rejected")
 def q_import_rejected(spark, sf_dir):
-    return _import(spark, sf_dir).rejected
+    return _import(spark, sf_dir).rejected.select("row_id", "reason")
 
 
 @query("import_counts")
@@ -438,12 +438,22 @@ def q_display_formats(spark, sf_dir):
 
 # ---- sinks, snapshots and the streaming import ------------------------------------------
 
-BOOK_TABLES = ["parties", "transactions", "daily_cash", "audit_logs"]
+BOOK_TABLES = ["parties", "transactions", "daily_cash", "audit_logs", "app_settings"]
+
+
+def _checksum(df):
+    """(rows, checksum): the sum over rows of 32 bits of the md5 of all columns as text."""
+    from pyspark.sql import functions as F
+
+    cells = [F.unix_micros(F.col(c).cast("timestamp")) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes]
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cells])
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")).alias("checksum"))
 
 
 @query("snapshot_roundtrip")
 def q_snapshot_roundtrip(spark, sf_dir):
-    """S7 + S8: snapshot the books, restore the snapshot to a new place, count what came back."""
+    """S7 + S8: snapshot the books, restore the snapshot to a new place, count and sum up what came back."""
     from functools import reduce
 
     from pyspark.sql import functions as F
@@ -455,27 +465,72 @@ def q_snapshot_roundtrip(spark, sf_dir):
     work = shared_work_dir(spark, "snapshot")
     folder = io.snapshot({t: getattr(b, t) for t in BOOK_TABLES}, f"{work}/backups", "books", prefix="auto_")
     restored = io.restore(spark, folder, BOOK_TABLES, f"{work}/current")
-    counts = [restored[t].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows")
-              for t in BOOK_TABLES]
-    return reduce(lambda a, c: a.unionByName(c), counts)
+    sums = [_checksum(restored[t]).select(F.lit(t).alias("table"), "rows", "checksum") for t in BOOK_TABLES]
+    return reduce(lambda a, c: a.unionByName(c), sums)
 
 
 @query("export_csv_roundtrip")
 def q_export_csv_roundtrip(spark, sf_dir):
-    """Export every party's transactions as CSV, one folder per sheet, and read it back."""
+    """Export every party's transactions as CSV, a sheet a party, and read the rows back."""
     from pyspark.sql import functions as F
 
-    from ..operators.lists import joined_list
     from ..session import shared_work_dir
     from ..sources import io
 
     b = Books(spark, sf_dir)
     path = shared_work_dir(spark, "export")
-    report = joined_list(b.transactions, b.parties).drop("txn_date")
-    io.export_report_csv(report, path, sheet_col="party", order_by=["date", "id"])
+    report = b.transactions.join(b.parties.select("party_id", F.col("name").alias("party")), "party_id").select(
+        "party_id", F.col("txn_id").alias("id"), F.col("txn_date").cast("string").alias("date"), "bill_no", "party", "amount")
+    io.export_report_csv(report, path, sheet_col="party", key_col="party_id", order_by=["date", "id"])
     back = spark.read.option("header", True).csv(path)
-    return back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("sheet").alias("sheets")).select(
-        F.lit("transactions_list").alias("table"), "rows", "sheets")
+    return back.select("sheet", F.col("party_id").cast("long"), F.col("id").cast("long"), "date", "bill_no", "party",
+                       F.col("amount").cast("double"))
+
+
+@query("import_csv_roundtrip")
+def q_import_csv_roundtrip(spark, sf_dir):
+    """S2 + S9: the import file dropped as CSV files of two layouts (names and order of columns differ),
+    read back by name, imported; file and record of every row, accepted or not."""
+    from pyspark.sql import functions as F
+
+    from ..functions.dates import iso_text
+    from ..operators.importing import clean_import
+    from ..session import shared_work_dir
+    from ..sources import io
+    from ..sources.fixtures import PIVOT_YEAR
+
+    path = shared_work_dir(spark, "drop")
+    raw = Books(spark, sf_dir).raw_import.withColumn("part", F.col("row_id") % 4)
+    other = [F.col("Amount").alias("amount"), F.col("Customer Name").alias("Party"), F.col("Date").alias("txn_date"),
+             F.col("Type").alias("Transaction Type"), F.col("Payment Mode").alias("Mode"), F.col("Bill No").alias("bill_no")]
+    same = [c for c in raw.columns if c not in ("part", "row_id")]
+    for k, cols in enumerate((same, other)):
+        rows = raw.where(F.col("part") % 2 == k).repartition("part").sortWithinPartitions("part", "row_id")
+        rows.select(*cols, "part").write.option("header", True).partitionBy("part").csv(f"{path}/layout{k}")
+    files = [f"{path}/layout{p % 2}/part={p}" for p in range(4)]
+    clean = clean_import(io.read_import_csv(spark, files, multi_line=False), pivot_year=PIVOT_YEAR)
+    return clean.select(F.regexp_extract("file", "part=([0-9])", 1).alias("part"), "row_id", iso_text("txn_date").alias("date"), "party",
+                        F.col("txn_type").alias("type"), F.col("amount").cast("double").alias("amount"), "reason")
+
+
+@query("import_appended")
+def q_import_appended(spark, sf_dir):
+    """M11 to its end: the accepted rows as they are appended, with the ids of their parties and their own."""
+    from ..functions.dates import iso_text
+    from ..operators.importing import as_transactions
+
+    from pyspark.sql import functions as F
+
+    _, accepted = _import(spark, sf_dir).with_ids()
+    rows = as_transactions(accepted)
+    return rows.select("txn_id", "party_id", iso_text("txn_date").alias("date"), "bill_no", F.col("amount").cast("double").alias("amount"))
+
+
+@query("cash_audit")
+def q_cash_audit(spark, sf_dir):
+    """M6: the audit rows of the cash counts, amounts as a float prints."""
+    b = Books(spark, sf_dir)
+    return _changes().upsert_cash(b.daily_cash, b.batch("cash_counts")).audit.select("username", "action", "details")
 
 
 @query("stream_import")
@@ -489,9 +544,10 @@ def q_stream_import(spark, sf_dir):
     b = Books(spark, sf_dir)
     work = shared_work_dir(spark, "stream")
     raw = b.raw_import
-    raw.repartition(8).write.option("header", True).csv(f"{work}/drop")
+    raw.write.option("header", True).option("maxRecordsPerFile", 4000).csv(f"{work}/drop")
+    files = spark.read.text(f"{work}/drop").inputFiles()
     q = start_stream_import(spark, f"{work}/drop", raw.columns, b.parties, b.transactions, f"{work}/out",
-                            f"{work}/checkpoint", pivot_year=PIVOT_YEAR, files_per_batch=3)
+                            f"{work}/checkpoint", pivot_year=PIVOT_YEAR, files_per_batch=max(1, len(files) // 3))
     q.awaitTermination()
     return accepted_contract(read_accepted(spark, f"{work}/out"))
 
@@ -508,7 +564,7 @@ def q_import_first_rejects(spark, sf_dir):
     """The first 20 rejects of the import in file order (the limit is the report)."""
     from ..operators.importing import first_rejects
 
-    return first_rejects(_import(spark, sf_dir).rejected, 20)
+    return first_rejects(_import(spark, sf_dir).rejected, 20).select("row_id", "reason")
 
 
 @query("set_opening_cash")

@@ -41,6 +41,11 @@ FROM events""",
     "raw_import": """
 SELECT o_orderkey AS row_id,
   CASE WHEN o_orderkey%97=0 THEN NULL WHEN o_orderkey%89=0 THEN 'not-a-date'
+       WHEN o_orderkey%31=0 THEN strftime(o_orderdate, '%d-%b-%Y') WHEN o_orderkey%37=0 THEN strftime(o_orderdate, '%d/%m/%Y 10:30')
+       WHEN o_orderkey%41=0 THEN strftime(o_orderdate, '%Y-%-m-%-d') WHEN o_orderkey%43=0 THEN strftime(o_orderdate, '%b %-d %Y')
+       WHEN o_orderkey%47=0 THEN strftime(o_orderdate, '%d %m %Y') WHEN o_orderkey%53=0 THEN strftime(o_orderdate, '%m-%d-%Y')
+       WHEN o_orderkey%59=0 THEN strftime(o_orderdate, '%Y.%m.%d') WHEN o_orderkey%61=0 THEN strftime(o_orderdate, '%d.%m.%Y 10:30:00')
+       WHEN o_orderkey%67=0 THEN strftime(o_orderdate, '%d-%b-%y')
        WHEN o_orderkey%3=0 THEN concat(lpad(CAST(day(o_orderdate) AS STRING),2,'0'),'/',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'/',CAST(year(o_orderdate) AS STRING))
        ELSE concat(lpad(CAST(day(o_orderdate) AS STRING),2,'0'),'.',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'.',substr(CAST(year(o_orderdate) AS STRING),3,2)) END AS "Date",
   CASE WHEN o_orderkey%11=0 THEN NULL ELSE concat('INV-',CAST(o_orderkey AS STRING)) END AS "Bill No",
@@ -51,6 +56,7 @@ SELECT o_orderkey AS row_id,
   CASE WHEN o_orderkey%17=0 THEN NULL WHEN o_orderpriority='1-URGENT' THEN 'CASH' WHEN o_orderpriority='2-HIGH' THEN 'bank'
        WHEN o_orderpriority='3-MEDIUM' THEN 'UPI' WHEN o_orderpriority='4-NOT SPECIFIED' THEN 'CREDIT' ELSE 'GPay' END AS "Payment Mode",
   CASE WHEN o_orderkey%79=0 THEN '1,200' WHEN o_orderkey%101=0 THEN NULL
+       WHEN o_orderkey%71=0 THEN '1e17' WHEN o_orderkey%73=0 THEN '12345678.5' WHEN o_orderkey%29=0 THEN '5.5'
        ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS "Amount"
 FROM orders""",
 }
@@ -341,11 +347,17 @@ _IMPORT = f"""c AS (SELECT row_id, "Date" AS dr, "Customer Name" AS party, COALE
          WHEN regexp_full_match("Date", '[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{2}}') THEN TRY_CAST(printf('%04d-%02d-%02d',
               CASE WHEN 2000 + CAST(split_part("Date",'.',3) AS INT) >= 2076 THEN 1900 + CAST(split_part("Date",'.',3) AS INT)
                    ELSE 2000 + CAST(split_part("Date",'.',3) AS INT) END,
-              CAST(split_part("Date",'.',2) AS INT), CAST(split_part("Date",'.',1) AS INT)) AS DATE) END AS d
+              CAST(split_part("Date",'.',2) AS INT), CAST(split_part("Date",'.',1) AS INT)) AS DATE)
+         WHEN regexp_full_match("Date", '[0-9]{{2}}-[A-Za-z]{{3}}-[0-9]{{2}}') THEN try_strptime("Date", '%d-%b-%y')::DATE
+         ELSE COALESCE(try_strptime("Date", '%d-%b-%Y'), try_strptime("Date", '%d/%m/%Y %H:%M'), try_strptime("Date", '%Y-%m-%d'),
+              try_strptime("Date", '%b %d %Y'), try_strptime("Date", '%d %m %Y'), try_strptime("Date", '%d-%m-%Y'),
+              try_strptime("Date", '%m-%d-%Y'), try_strptime("Date", '%Y.%m.%d'), try_strptime("Date", '%d.%m.%Y %H:%M:%S'))::DATE END AS d
   FROM raw_import),
 r AS (SELECT *, CASE WHEN dr IS NULL OR dr = '' THEN 'Missing date'
                      WHEN d IS NULL THEN 'Invalid date format: ' || dr
-                     WHEN party IS NULL OR party = '' THEN 'Missing party name' END AS reason FROM c),
+                     WHEN party IS NULL OR party = '' THEN 'Missing party name'
+                     WHEN TRY_CAST(am AS DOUBLE) IS NOT NULL AND TRY_CAST(am AS DECIMAL(18,2)) IS NULL
+                       THEN 'Amount out of range: ' || am END AS reason FROM c),
 ok AS (SELECT row_id, d, bill_no, party, lower(replace(party,' ','_')) AS party_key,
     CASE WHEN ty IS NULL OR ty = '' THEN 'Sale' ELSE {_TITLE.format(x='ty')} END AS type,
     CASE WHEN mo IS NULL OR mo = '' THEN 'Cash' ELSE {_TITLE.format(x='mo')} END AS mode,
@@ -385,7 +397,7 @@ FROM e LEFT JOIN pn ON pn.name = e.party""", TX, PT, "raw_import", extra=_ENTRIE
 # ---- change batches ---------------------------------------------------------------------
 
 FIXTURE_SQL["app_settings"] = """
-SELECT * FROM (VALUES ('company_name','Alpha Traders'), ('opening_cash_seed','50000.0')) v(setting_key, setting_value)"""
+SELECT * FROM (VALUES ('opening_cash_seed','50000.0')) v(setting_key, setting_value)"""
 
 FIXTURE_SQL["adds"] = """
 SELECT t.txn_id AS seq, CAST(t.txn_date AS VARCHAR) AS date, t.bill_no, r."Customer Name" AS party, t.txn_type,
@@ -429,7 +441,7 @@ SELECT l_orderkey * 8 + l_linenumber AS seq, CAST(CAST(l_shipdate AS DATE) AS VA
 FROM lineitem"""
 
 FIXTURE_SQL["setting_changes"] = """
-SELECT event_id AS seq, 'pref_' || event_type AS setting_key, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS setting_value
+SELECT event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'opening_cash_seed' ELSE 'pref_' || event_type END AS setting_key, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS setting_value
 FROM events"""
 
 FIXTURE_SQL["setting_seeds"] = """
@@ -631,16 +643,41 @@ SELECT txn_id AS id, strftime(txn_date, '%d-%m-%Y') AS date_text, substr(CAST(tx
   left(regexp_replace(name, '[/\\\\?*\\[\\]]', '_', 'g'), 31) AS sheet_name
 FROM m""", TX, PT))
 
-oracle("snapshot_roundtrip", with_views("""
-SELECT 'parties' AS "table", COUNT(*) AS rows FROM parties
-UNION ALL SELECT 'transactions', COUNT(*) FROM transactions
-UNION ALL SELECT 'daily_cash', COUNT(*) FROM daily_cash
-UNION ALL SELECT 'audit_logs', COUNT(*) FROM audit_logs""", TX, PT, "daily_cash", "audit_logs"))
-
-oracle("export_csv_roundtrip", with_views(f"""
-SELECT 'transactions_list' AS "table", COUNT(*) AS rows,
-  COUNT(DISTINCT left(regexp_replace(p.name, '[/\\\\?*\\[\\]]', '_', 'g'), 31)) AS sheets
-FROM {_J1}""", TX, PT))
+def _sum_sql(table: str, cols: list[str]) -> str:
+    text = " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '~')" for c in cols)
+    return (f"SELECT '{table}' AS \"table\", COUNT(*) AS rows, "
+            f"CAST(SUM(('0x' || substr(md5({text}), 1, 8))::UBIGINT) AS BIGINT) AS checksum FROM {table}")
+
+
+oracle("snapshot_roundtrip", with_views("\nUNION ALL ".join([
+    _sum_sql("parties", ["party_id", "name", "normalized_name", "type", "credit_allowed"]),
+    _sum_sql("transactions", ["txn_id", "txn_date", "bill_no", "party_id", "txn_type", "payment_mode", "amount"]),
+    _sum_sql("daily_cash", ["cash_date", "cash_in_hand"]),
+    _sum_sql("audit_logs", ["id", "epoch_us(timestamp)", "username", "action", "details", "company"]),
+    _sum_sql("app_settings", ["setting_key", "setting_value"])]), TX, PT, "daily_cash", "audit_logs", "app_settings"))
+
+oracle("export_csv_roundtrip", with_views("""
+SELECT left(regexp_replace(p.name, '[/\\\\?*\\[\\]]', '_', 'g'), 31) AS sheet, p.party_id, t.txn_id AS id, CAST(t.txn_date AS VARCHAR) AS date,
+  t.bill_no, p.name AS party, CAST(t.amount AS DOUBLE) AS amount
+FROM transactions t JOIN parties p ON p.party_id = t.party_id""", TX, PT))
+
+oracle("import_csv_roundtrip", with_views(f"""
+SELECT CAST(r.row_id % 4 AS VARCHAR) AS part, row_number() OVER (PARTITION BY r.row_id % 4 ORDER BY r.row_id) + 1 AS row_id,
+  CAST(d AS VARCHAR) AS date, party, CASE WHEN ty IS NULL OR ty = '' THEN 'Sale' ELSE {_TITLE.format(x='ty')} END AS type,
+  CAST(COALESCE(TRY_CAST(am AS DECIMAL(18,2)), 0) AS DOUBLE) AS amount, reason
+FROM r""", "raw_import", extra=_IMPORT))
+
+oracle("import_appended", with_views("""
+SELECT (SELECT max(txn_id) FROM transactions) + row_number() OVER (ORDER BY o.row_id) AS txn_id,
+  COALESCE(p.party_id, n.party_id) AS party_id, CAST(d AS VARCHAR) AS date, bill_no, CAST(amount AS DOUBLE) AS amount
+FROM ok o LEFT JOIN parties p ON p.normalized_name = o.party_key
+LEFT JOIN (SELECT party_key, (SELECT max(party_id) FROM parties) + row_number() OVER (ORDER BY min(row_id)) AS party_id
+  FROM ok WHERE party_key NOT IN (SELECT normalized_name FROM parties) GROUP BY party_key) n ON n.party_key = o.party_key""",
+                                     "raw_import", TX, PT, extra=_IMPORT))
+
+oracle("cash_audit", with_views("""
+SELECT admin_user AS username, 'Set Cash In Hand' AS action, date || ' = ' || CAST(CAST(cash_in_hand AS DOUBLE) AS VARCHAR) AS details
+FROM cash_counts WHERE TRY_CAST(date AS DATE) IS NOT NULL AND TRY_CAST(cash_in_hand AS DECIMAL(18,2)) IS NOT NULL""", "cash_counts"))
 
 oracle("stream_import", _ORACLE["import_accepted"])
 
@@ -653,8 +690,10 @@ oracle("import_first_rejects", with_views(
     "SELECT row_id, reason FROM r WHERE reason IS NOT NULL ORDER BY row_id LIMIT 20", "raw_import", extra=_IMPORT))
 
 FIXTURE_SQL["opening_cash_requests"] = """
-SELECT event_id AS seq, CAST(value AS VARCHAR) AS amount, 'user_' || CAST(user_id AS VARCHAR) AS admin_user
-FROM events WHERE event_type = 'purchase'"""
+SELECT event_id AS seq, CASE WHEN event_id%17=0 THEN 'n/a'
+  WHEN event_id%13=0 THEN CAST(CAST(event_id + 20000000.5 AS DECIMAL(18,2)) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS amount,
+  'user_' || CAST(user_id AS VARCHAR) AS admin_user
+FROM events"""
 
 oracle("set_opening_cash", with_views("""
 SELECT admin_user AS username, 'Set Opening Cash' AS action,

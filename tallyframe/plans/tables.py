@@ -1,8 +1,7 @@
 """The bookkeeping tables of one data set, read lazily from the driver's parquet.
 
-The driver's tables are read-only, so each fixture DataFrame is built once per session
-and data set and reused by every query (a DataFrame is an immutable plan; reusing it
-saves the file listing, footer read and analysis, not any of the query's work).
+Every ``Books`` builds its frames anew, so a query lists the files as they are when it runs; within
+one ``Books`` a table is built once.
 """
 
 from __future__ import annotations
@@ -11,26 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import fixtures
 
-_CACHE: dict[tuple[int, str, str], DataFrame] = {}
-
-
-def clear_cache() -> None:
-    _CACHE.clear()
-
 
 class Books:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
 
     def _get(self, name: str, build) -> DataFrame:
-        jss = getattr(self.spark, "_jsparkSession", None)
-        key = (jss.hashCode() if jss is not None else id(self.spark), self.sf_dir, name)
-        df = _CACHE.get(key)
-        if df is None:
-            df = build()
-            _CACHE[key] = df
-        return df
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     @property
     def parties(self) -> DataFrame:

@@ -52,8 +52,10 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return _transaction_columns(read_table(spark, sf_dir, "orders"))
+
+
+def _transaction_columns(o: DataFrame, *more: Column) -> DataFrame:
     k = F.col("o_orderkey")
     pri = F.col("o_orderpriority")
     txn_type = _when_chain([
@@ -83,6 +85,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         mode.alias("payment_mode"),
         F.when(k % 101 == 0, F.lit(None).cast(MONEY))
          .otherwise(F.col("o_totalprice").cast(MONEY)).alias("amount"),
+        *more,
     )
 
 
@@ -131,6 +134,16 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     date_text = _when_chain([
         (k % 97 == 0, F.lit(None).cast("string")),
         (k % 89 == 0, F.lit("not-a-date")),
+        (k % 31 == 0, F.date_format(d, "dd-MMM-yyyy")),
+        (k % 37 == 0, F.date_format(d, "dd/MM/yyyy 10:30")),
+        (k % 41 == 0, F.date_format(d, "yyyy-M-d")),
+        (k % 43 == 0, F.date_format(d, "MMM d yyyy")),
+        (k % 47 == 0, F.date_format(d, "dd MM yyyy")),
+        # Month first: read so only where day-first is impossible.
+        (k % 53 == 0, F.date_format(d, "MM-dd-yyyy")),
+        (k % 59 == 0, F.date_format(d, "yyyy.MM.dd")),
+        (k % 61 == 0, F.date_format(d, "dd.MM.yyyy 10:30:00")),
+        (k % 67 == 0, F.date_format(d, "dd-MMM-yy")),
         (k % 3 == 0, F.concat(dd, F.lit("/"), mm, F.lit("/"), yyyy)),
     ], F.concat(dd, F.lit("."), mm, F.lit("."), F.substring(yyyy, 3, 2)))
     name = _import_name()
@@ -150,6 +163,9 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = _when_chain([
         (k % 79 == 0, F.lit("1,200")),
         (k % 101 == 0, F.lit(None).cast("string")),
+        (k % 71 == 0, F.lit("1e17")),
+        (k % 73 == 0, F.lit("12345678.5")),
+        (k % 29 == 0, F.lit("5.5")),
     ], F.col("o_totalprice").cast(MONEY).cast("string"))
     return o.select(
         k.alias("row_id"),
@@ -164,21 +180,20 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def app_settings(spark: SparkSession) -> DataFrame:
-    """The settings table as the fixtures define it (two fixed rows)."""
+    """The settings table before any change: the opening cash seed alone (the company's name is
+    first set by the batches)."""
     from .schemas import APP_SETTINGS
 
     return spark.createDataFrame(
-        [("company_name", COMPANY_NAME), ("opening_cash_seed", str(float(OPENING_CASH_SEED)))],
+        [("opening_cash_seed", str(float(OPENING_CASH_SEED)))],
         APP_SETTINGS)
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry-form rows: a transaction's fields as text, with the party typed by name as in
     the import file of the same order (so some names are unknown and some are missing)."""
-    tx = transactions(spark, sf_dir)
-    names = read_table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("txn_id"), _import_name().alias("party"))
-    return tx.join(names, "txn_id").select(
+    rows = _transaction_columns(read_table(spark, sf_dir, "orders"), _import_name().alias("party"))
+    return rows.select(
         F.col("txn_id").alias("row_id"),
         F.col("txn_date").cast("string").alias("date"),
         "bill_no", "party", "txn_type",
@@ -268,9 +283,11 @@ def cash_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def setting_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings changes, one per event: key by event type, value the event's value as text."""
+    """Settings changes, one per event: purchases set the opening cash, others a preference of their
+    type; the value is the event's value as text."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return ev.select(F.col("event_id").alias("seq"), F.concat(F.lit("pref_"), F.col("event_type")).alias("setting_key"),
+    return ev.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", F.lit("opening_cash_seed"))
+                     .otherwise(F.concat(F.lit("pref_"), F.col("event_type"))).alias("setting_key"),
                      F.col("value").cast(MONEY).cast("string").alias("setting_value"))
 
 
@@ -283,8 +300,12 @@ def setting_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opening_cash_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening-cash requests, one per purchase event: the event's value as the amount."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return ev.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("seq"), F.col("value").cast("string").alias("amount"),
+    """Opening-cash requests, one per event: the event's value as the amount; every 13th is in
+    larger units (above 1e7), every 17th no number."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    amount = (F.when(F.col("event_id") % 17 == 0, F.lit("n/a"))
+               .when(F.col("event_id") % 13 == 0, (F.col("event_id") + 20000000.5).cast("decimal(18,2)").cast("string"))
+               .otherwise(F.col("value").cast("string")))
+    return ev.select(
+        F.col("event_id").alias("seq"), amount.alias("amount"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("admin_user"))

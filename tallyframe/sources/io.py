@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sheet_name
 from ..operators.running import running_total
+from ..session import path_exists
 from .schemas import TABLES
 
 
@@ -38,37 +39,64 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
     return spark.read.jdbc(url, table, properties=properties)
 
 
-def read_import_csv(spark: SparkSession, path: str, row_id: str = "row_id",
-                    pandas_missing: bool = True) -> DataFrame:
-    """An import file (CSV with a header row), every column as text. With
-    ``pandas_missing`` the texts a pandas reader takes as missing (``NA``, ``null``, ...)
-    become null, as in the reference (Q20).
+def read_import_csv(spark: SparkSession, path: str | list[str], row_id: str = "row_id",
+                    pandas_missing: bool = True, multi_line: bool = True) -> DataFrame:
+    """Import files (CSV with a header row each), every column as text. Files may differ in
+    their headers: each layout is read by its own header and columns are put together by
+    name. With ``pandas_missing`` the texts a pandas reader takes as missing (``NA``,
+    ``null``, ...) become null, as in the reference (Q20).
 
-    When the file has no ``row_id`` column one is added: the line number of the row in its
-    file (the header is line 1, so the first row is 2, as the reference reports rows).
-    Lines are counted per file with a two-level running count over the reader's row order,
-    so no single task sees the whole file.
+    ``multi_line`` reads quoted line breaks; such a file is one task's work. Files known to
+    have none can be split with ``multi_line=False``.
+
+    When the files have no ``row_id`` column one is added: the record's number in its file (the
+    header is 1, so the first record is 2, as the reference reports rows), with ``file``
+    and ``row_order``, which is unique over all files and ordered by (file, record).
     """
-    header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False)
-          .schema(schema).csv(path))
+    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k"), "value")
+    # One short row a layout comes to the driver, with the names of its files (which the driver lists anyway).
+    heads = lines.groupBy("f").agg(F.min_by("value", "k").alias("head"))
+    layouts = heads.groupBy("head").agg(F.sort_array(F.collect_list("f")).alias("files")).orderBy("head").collect()
+    parts = []
+    for layout in layouts:
+        reader = spark.read.option("header", True).option("multiLine", multi_line)
+        header = reader.csv(layout.files[:1]).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        parts.append(reader.option("mode", "PERMISSIVE").option("enforceSchema", True).schema(schema).csv(layout.files))
+    if not parts:
+        raise FileNotFoundError(f"No import file at {path}")
+    given = all(row_id in part.columns for part in parts)
+    if not given:
+        parts = [part.drop(row_id).withColumn("file", _file_name()).withColumn("__pos", F.monotonically_increasing_id()) for part in parts]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
     if pandas_missing:
         from ..operators.importing import na_tokens_to_null
 
-        df = na_tokens_to_null(df, keep=(row_id,))
-    if row_id in header:
-        return df.withColumn(row_id, F.col(row_id).cast("long"))
-    return add_line_numbers(df, row_id)
+        df = na_tokens_to_null(df, keep=(row_id, "file", "__pos"))
+    return df.withColumn(row_id, F.col(row_id).cast("long")) if given else _numbered_lines(df, row_id)
+
+
+def _file_name():
+    """The file's path, readable (blanks and the like are escaped in the reader's name)."""
+    return F.url_decode(F.input_file_name())
 
 
 def add_line_numbers(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Q14: ``row_id`` = the row's line in its file, the header being line 1. Counted per
-    file over the reader's row order with a two-level running count, so no single task
-    sees a whole large file. Call it right after the read, before any shuffle."""
-    x = df.withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
-    numbered = running_total(x, F.lit(1).cast("long"), "__n", ["__file"], None, "__pos")
-    return numbered.withColumn(row_id, F.col("__n") + 1).drop("__file", "__pos", "__n")
+    """Q14: ``row_id`` = the record's number in its file, the header being 1, with ``file`` and the
+    unique ``row_order``. Call it right after the read, before any shuffle."""
+    return _numbered_lines(df.withColumn("file", _file_name()).withColumn("__pos", F.monotonically_increasing_id()), row_id)
+
+
+def _numbered_lines(df: DataFrame, row_id: str) -> DataFrame:
+    numbered = running_total(df, F.lit(1).cast("long"), "__n", ["file"], None, "__pos")
+    counts = df.groupBy("file").agg(F.count(F.lit(1)).alias("__c"))
+    # One row a file: the records of the files before it.
+    first = counts.select("file", F.coalesce(F.sum("__c").over(
+        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = numbered.join(first, "file").withColumn(row_id, F.col("__n") + 1).withColumn("row_order", F.col("__before") + F.col("__n"))
+    return out.drop("__pos", "__n", "__before")
 
 
 def write_transactions_layout(tx: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -95,22 +123,35 @@ def write_report_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None,
+def unique_sheets(df: DataFrame, sheet_col: str, key_col: str) -> DataFrame:
+    """key_col and ``sheet``: the sheet name (F21) of each key, made unique: of keys whose names
+    agree after the cut, all but the smallest end in ``~key``."""
+    names = df.groupBy(key_col).agg(F.min(sheet_col).alias("__name")).withColumn("__cut", F.coalesce(sheet_name(F.col("__name")), F.lit("")))
+    first = names.groupBy("__cut").agg(F.min(key_col).alias("__first"))
+    tail = F.concat(F.lit("~"), F.col(key_col).cast("string"))
+    own = F.concat(F.substring(F.col("__cut"), F.lit(1), F.lit(31) - F.length(tail)), tail)
+    return names.join(first, "__cut").select(key_col, F.when(F.col(key_col) == F.col("__first"), F.col("__cut")).otherwise(own).alias("sheet"))
+
+
+def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None, key_col: str | None = None,
                       order_by: list[str] | None = None) -> None:
     """A report as CSV with a header.
 
-    With ``sheet_col`` every party's sheet is exported at once: a ``sheet`` column named by
-    the sheet-name rule (F21), rows range-partitioned and sorted by sheet, so each sheet is
-    contiguous in one file and a file holds many sheets. (One folder per sheet would mean
-    one file per party -- millions of tiny files at scale.)
+    With ``sheet_col`` every party's sheet is exported at once: rows are grouped by ``key_col``
+    (the party id; two parties whose names agree in the 31 characters of a sheet name stay
+    two sheets), ``sheet`` names the sheet, and rows are range-partitioned and sorted by
+    (key, order), so each sheet is contiguous and a file holds many sheets. (One folder per
+    sheet would mean one file per party -- millions of tiny files at scale.)
     """
     if sheet_col is None:
         df.write.mode("overwrite").option("header", True).csv(path)
         return
-    w = df.withColumn("sheet", sheet_name(F.col(sheet_col)))
-    # Ranges on (sheet, order columns): a sheet holding a third of the rows is split
+    if key_col is None:
+        raise ValueError("sheets need the column that tells the parties apart")
+    w = df.join(unique_sheets(df, sheet_col, key_col), key_col)
+    # Ranges on (key, order columns): a sheet holding a third of the rows is split
     # over several tasks and files, still contiguous and in order.
-    keys = ["sheet", *(order_by or [])]
+    keys = [key_col, *(order_by or [])]
     w = w.repartitionByRange(*keys).sortWithinPartitions(*keys)
     w.write.mode("overwrite").option("header", True).csv(path)
 
@@ -138,11 +179,9 @@ def restore(spark: SparkSession, folder: str, names: list[str], target_root: str
     out = {}
     for name in names:
         src = f"{folder.rstrip('/')}/{name}"
-        try:
-            df = spark.read.schema(TABLES[name]).parquet(src) if name in TABLES else spark.read.parquet(src)
-            df.limit(0).collect()
-        except Exception as e:  # noqa: BLE001 - the reader raises AnalysisException
-            raise FileNotFoundError(f"Backup file not found: {src}") from e
+        if not path_exists(spark, src):
+            raise FileNotFoundError(f"Backup file not found: {src}")
+        df = spark.read.schema(TABLES[name]).parquet(src) if name in TABLES else spark.read.parquet(src)
         dst = f"{target_root.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(dst)
         out[name] = spark.read.parquet(dst)

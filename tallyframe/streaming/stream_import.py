@@ -15,16 +15,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.importing import import_transactions, na_tokens_to_null
+from ..session import materialized, path_exists
 from ..sources.io import add_line_numbers
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    try:
-        with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-        df = spark.read.schema(with_batch).parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
+    """The rows of earlier batches; none where nothing has been written yet."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return df.where(F.col("batch_id") < batch_id).drop("batch_id")
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(with_batch).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
+
+
+STATE = T.StructType([T.StructField("last_party", T.LongType()), T.StructField("last_txn", T.LongType())])
 
 
 def start_stream_import(spark: SparkSession, drop_dir: str, columns: list[str], parties: DataFrame,
@@ -34,14 +37,13 @@ def start_stream_import(spark: SparkSession, drop_dir: str, columns: list[str],
     """Start the import stream over ``drop_dir`` (CSV with header, columns as given, all text).
 
     Outputs below ``out_dir``: ``accepted/``, ``parties/`` (created ones) and ``rejected/``,
-    each partitioned by ``batch_id``.
+    each partitioned by ``batch_id``, and ``state/``, the last ids given (one row a batch).
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     stream = (spark.readStream.schema(schema).option("header", True)
               .option("maxFilesPerTrigger", files_per_batch).csv(drop_dir))
     party_schema = parties.schema
-    accepted_path, parties_path, rejected_path = (f"{out_dir}/accepted", f"{out_dir}/parties",
-                                                  f"{out_dir}/rejected")
+    accepted_path, parties_path, rejected_path, state_path = (f"{out_dir}/{x}" for x in ("accepted", "parties", "rejected", "state"))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         if "row_id" in batch.columns:
@@ -51,15 +53,20 @@ def start_stream_import(spark: SparkSession, drop_dir: str, columns: list[str],
             raw = add_line_numbers(na_tokens_to_null(batch, keep=()))
         created_before = _earlier(spark, parties_path, batch_id, party_schema)
         known = parties.unionByName(created_before)
-        done = _earlier(spark, accepted_path, batch_id, T.StructType([T.StructField("txn_id", T.LongType())]))
-        tx_ids = transactions.select("txn_id").unionByName(done.select("txn_id"))
-        res = import_transactions(raw, known, tx_ids, pivot_year=pivot_year, materialize=True)
-        new_parties, accepted = res.with_ids()
+        res = import_transactions(raw, known, pivot_year=pivot_year, materialize=True)
+        # The ids given last, one row a batch; the base tables are asked only before the first.
+        last = _earlier(spark, state_path, batch_id, STATE).agg(F.max("last_party"), F.max("last_txn")).first()
+        if last[0] is None:
+            last = (parties.agg(F.max("party_id")).first()[0] or 0, transactions.agg(F.max("txn_id")).first()[0] or 0)
+        new_parties, accepted = (materialized(x, "stream-batch") for x in res.with_ids(*last))
+        state = spark.createDataFrame([(last[0] + new_parties.count(), last[1] + accepted.count())], STATE)
         opts = {"partitionOverwriteMode": "dynamic"}
         (accepted.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
          .partitionBy("batch_id").parquet(accepted_path))
         (new_parties.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
          .partitionBy("batch_id").parquet(parties_path))
+        (state.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
+         .partitionBy("batch_id").parquet(state_path))
         (res.rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").options(**opts)
          .partitionBy("batch_id").parquet(rejected_path))
 
