@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # The month names a reader of English date text knows.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
           "december"]
-_TIME_PART = r"(?:[ ]+|T)\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?([ ]?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?$"
+_TIME_PART = r"(?:[ ]+|T)([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d([.]\d+)?)?([ ]?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?$"
+_NUMBERS = r"^\d+([./-]|\s+)\d+\1\d+$"  # three numbers stand between equal separators
 
 
 def default_pivot_year() -> int:
@@ -46,6 +47,7 @@ def parse_day_first(col, iso: str = "ymd", pivot_year: int | None = None) -> Col
     c = F.trim(F.col(col) if isinstance(col, str) else col)
     pivot = default_pivot_year() if pivot_year is None else pivot_year
     plain = F.regexp_replace(c, _TIME_PART, "")
+    alike = plain.rlike(_NUMBERS)
     parts = F.split(F.regexp_replace(plain, r"[\s./,-]+", "-"), "-")
 
     def read(p: Column) -> Column:
@@ -56,9 +58,9 @@ def parse_day_first(col, iso: str = "ymd", pivot_year: int | None = None) -> Col
         near = (F.lit(2000) + F.when(number[2], z).try_cast("int"))
         year = F.when(four[2], z).when(number[2], F.when(near >= pivot, near - 100).otherwise(near).cast("string"))
         swapped = F.coalesce(_date(x, z, y), _date(x, y, z)) if iso == "dayfirst" else _date(x, y, z)
-        return (F.when(four[0] & number[1] & number[2], swapped)
+        return (F.when(four[0] & number[1] & number[2] & alike, swapped)
                  .when(four[0] & word[1] & number[2], _date(x, _month_number(y), z))
-                 .when(number[0] & number[1] & year.isNotNull(), F.coalesce(_date(year, y, x), _date(year, x, y)))
+                 .when(number[0] & number[1] & year.isNotNull() & alike, F.coalesce(_date(year, y, x), _date(year, x, y)))
                  .when(number[0] & word[1] & year.isNotNull(), _named(year, y, x))
                  .when(word[0] & number[1] & year.isNotNull(), _named(year, x, y)))
 

@@ -1,4 +1,4 @@
-"""The cash carry-forward (W4) against the reference's day loop, replayed in Python."""
+"""The cash carry-forward (W4): a hand-worked week and properties of random days."""
 
 import datetime as dt
 import random
@@ -10,34 +10,41 @@ from tallyframe.operators.cash import carry_forward
 from tallyframe.sources.schemas import MONEY
 
 
-def _loop(days, seed):
-    """The reference's loop: opening = previous count if counted, else previous computed closing."""
-    out = []
-    prev_count, prev_closing = None, Decimal(seed)
-    for i, (d, cin, cexp, count) in enumerate(days):
-        opening = Decimal(seed) if i == 0 else (prev_count if prev_count is not None else prev_closing)
-        needed = opening + cin - cexp
-        out.append((d, opening, needed, count if count is not None else needed,
-                    (count - needed) if count is not None else Decimal(0)))
-        prev_count, prev_closing = count, needed
-    return out
+COLUMNS = "date date, cash_in decimal(18,2), cash_expense decimal(18,2), cash_in_hand decimal(18,2)"
+# A hand-worked week from a seed of 1000: date, in, expense, count -> opening, needed, closing, short or excess.
+WEEK = [
+    ("2024-03-01", "200.00", "50.00", None, 1000, 1150, 1150, 0),
+    ("2024-03-02", "0.00", "150.00", "990.00", 1150, 1000, 990, -10),  # counted 10 short
+    ("2024-03-03", "10.00", "0.00", None, 990, 1000, 1000, 0),  # opens with the count
+    ("2024-03-05", "0.00", "0.00", "1000.00", 1000, 1000, 1000, 0),  # a day without business between
+    ("2024-03-06", "5.50", "0.00", "1010.00", 1000, 1005.5, 1010, 4.5),  # counted over
+    ("2024-03-07", "0.00", "2000.00", None, 1010, -990, -990, 0),  # below zero, not counted
+    ("2024-03-08", "0.00", "0.00", "0.00", -990, -990, 0, 990),  # a count of zero is a count
+    ("2024-03-09", "7.00", "0.00", None, 0, 7, 7, 0),
+]
 
 
-def test_carry_forward_equals_loop(spark):
+def test_hand_worked_week(spark):
+    days = [(dt.date.fromisoformat(d), Decimal(i), Decimal(e), Decimal(c) if c else None) for d, i, e, c, *_ in WEEK]
+    got = carry_forward(spark.createDataFrame(days, COLUMNS), 1000).orderBy("date").select(
+        "opening_cash", "cash_needed", "closing_cash", "cash_short_excess").collect()
+    assert [tuple(map(float, r)) for r in got] == [tuple(map(float, w[4:])) for w in WEEK]
+
+
+def test_properties_of_random_days(spark):
     rnd = random.Random(3)
-    start = dt.date(2024, 1, 1)
     days = []
     for i in range(400):
-        cin = Decimal(rnd.randint(0, 100000)) / 100
-        cexp = Decimal(rnd.randint(0, 80000)) / 100
         count = Decimal(rnd.randint(0, 900000)) / 100 if rnd.random() < 0.3 else None
-        days.append((start + dt.timedelta(days=i), cin, cexp, count))
-    df = spark.createDataFrame(days, "date date, cash_in decimal(18,2), cash_expense decimal(18,2), "
-                                     "cash_in_hand decimal(18,2)")
-    got = carry_forward(df, 50000).select("date", "opening_cash", "cash_needed", "closing_cash",
-                                          "cash_short_excess").orderBy("date").collect()
-    want = _loop(days, 50000)
-    assert [tuple(r) for r in got] == want
+        days.append((dt.date(2024, 1, 1) + dt.timedelta(days=i), Decimal(rnd.randint(0, 100000)) / 100, Decimal(rnd.randint(0, 80000)) / 100, count))
+    got = carry_forward(spark.createDataFrame(days, COLUMNS), 50000).orderBy("date").collect()
+    for r, (_, cin, out, count) in zip(got, days, strict=True):
+        assert r.cash_needed - r.opening_cash == cin - out
+        assert r.closing_cash - r.cash_needed == r.cash_short_excess
+        assert (r.closing_cash == count) if count is not None else (r.cash_short_excess == 0)
+    assert all(b.opening_cash == a.closing_cash for a, b in zip(got, got[1:], strict=False))
+    # Money is conserved: the last closing is the seed, all movements and all corrections.
+    assert got[-1].closing_cash == 50000 + sum(i - o for _, i, o, _ in days) + sum(r.cash_short_excess for r in got)
 
 
 def test_first_day_counted_and_null_count(spark):

@@ -83,7 +83,7 @@ def test_csv_source_numbers_lines(spark):
 
 
 def test_first_rejects_is_top_k(spark):
-    rej = spark.range(100).select(F.col("id").alias("row_id"), F.lit("x").alias("reason"))
+    rej = spark.range(100).select(F.col("id").alias("row_id"), F.col("id").alias("row_order"), F.lit("x").alias("reason"))
     assert [r.row_id for r in I.first_rejects(rej, 20).collect()] == list(range(20))
 
 
@@ -101,3 +101,56 @@ def test_non_strict_entries_create_parties(spark):
     res = create_parties(_parties(spark), creates)
     assert [(r.party_id, r.name, r.credit_allowed) for r in res.table.where("name = 'Ghost'").collect()] == [
         (4, "Ghost", True)]
+
+
+def test_date_texts_of_real_files(spark):
+    from tallyframe.functions.dates import parse_day_first
+
+    golden = {"05-Jan-2026": "2026-01-05", "05-Jan-26": "2026-01-05", "05/Jan/2026": "2026-01-05", "17/01/2026 10:30": "2026-01-17",
+              "17.01.2026 10:30:00": "2026-01-17", "01-13-2026": "2026-01-13", "01.13.2026": "2026-01-13", "2026-1-17": "2026-01-17",
+              "2026.01.17": "2026-01-17", "Jan 5 2026": "2026-01-05", "17 01 2026": "2026-01-17", "2026-01-17 10:00:00.000": "2026-01-17",
+              "January 5, 2026": "2026-01-05", "20260117": "2026-01-17", "31/02/2026": "None", "Foo 5 2026": "None", "": "None"}
+    df = spark.createDataFrame([(t,) for t in golden], "t string")
+    got = {r.t: str(r.d) for r in df.select("t", parse_day_first("t", pivot_year=2076).alias("d")).collect()}
+    assert got == golden
+
+
+def test_amounts_out_of_range_are_rejected(spark):
+    raw = spark.createDataFrame([(k, "01.01.26", "Acme Co", a) for k, a in enumerate(["1e17", "inf", "1_000", "1,200", "abc", "99999999999999999"])],
+                                "row_id long, Date string, Party string, Amount string")
+    res = I.import_transactions(raw, _parties(spark), pivot_year=2076)
+    assert {r.row_id: r.reason for r in res.rejected.collect()} == {
+        k: f"Amount out of range: {a}" for k, a in ((0, "1e17"), (1, "inf"), (5, "99999999999999999"))}
+    assert {r.row_id: str(r.amount) for r in res.accepted.collect()} == {2: "1000.00", 3: "0.00", 4: "0.00"}
+
+
+def test_files_of_two_layouts_and_quoted_line_breaks(spark):
+    folder = tempfile.mkdtemp(prefix="tf-csv-")
+    with open(os.path.join(folder, "a.csv"), "w") as f:
+        f.write('Date,Party,Amount\n05.01.26,"Acme\nCo",5\n06.01.26,Beta,6\n')
+    with open(os.path.join(folder, "b.csv"), "w") as f:
+        f.write("Customer Name,Date,Amount\nAcme Co,07.01.26,7\n")
+    clean = I.clean_import(io.read_import_csv(spark, folder), pivot_year=2076)
+    got = sorted((os.path.basename(r.file), r.row_id, r.row_order, str(r.txn_date), r.party) for r in clean.collect())
+    assert got == [("a.csv", 2, 1, "2026-01-05", "Acme\nCo"), ("a.csv", 3, 2, "2026-01-06", "Beta"), ("b.csv", 2, 3, "2026-01-07", "Acme Co")]
+
+
+def test_sheets_whose_names_agree_stay_apart(spark):
+    long = "A very long party name that goes on "
+    rows = spark.createDataFrame([(1, long + "one", 1), (2, long + "two", 2), (3, "A/B", 3), (4, "A?B", 4), (1, long + "one", 5)],
+                                 "party_id long, party string, id long")
+    path = os.path.join(tempfile.mkdtemp(prefix="tf-sheets-"), "x")
+    io.export_report_csv(rows, path, sheet_col="party", key_col="party_id", order_by=["id"])
+    back = spark.read.option("header", True).csv(path).collect()
+    sheets = {}
+    for r in back:
+        sheets.setdefault(r.sheet, set()).add(r.party_id)
+    assert len(sheets) == 4 and all(len(v) == 1 and len(k) <= 31 for k, v in sheets.items()) and len(back) == 5
+
+
+def test_float_texts(spark):
+    from tallyframe.functions.money import py_float_text
+
+    values = [25.0, 12345678.5, 0.0005, 1e16, 1.5e16, 5e-5, 1.234e-7, 123456789012345.6, -12345678.25, 0.1, 1e15, 1e22, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.t for r in df.select("x", py_float_text("x").alias("t")).orderBy(F.monotonically_increasing_id()).collect()] == list(map(str, values))

@@ -1,4 +1,4 @@
-"""Scalar functions against plain-Python statements of their rules on generated text.
+"""Scalar functions: golden values, and properties on generated text.
 
 Each hypothesis example is a batch of values evaluated in one Spark job.
 """
@@ -22,19 +22,10 @@ def _eval(spark, values, fn):
     return [r[1] for r in df.select("i", fn(F.col("x"))).orderBy("i").collect()]
 
 
-def _next_bill(b):
-    if b is None or b.strip() == "":
-        return ""
-    m = re.match(r"^(.*?)(\d+)$", b)
-    if not m:
-        return b
-    digits = m.group(2)
-    return m.group(1) + str(int(digits) + 1).rjust(len(digits), "0")
-
-
-def _company_key(name):
-    base = re.sub(r"\s+", "_", name.strip().lower())
-    return re.sub(r"[^a-z0-9_]+", "", base) or "default"
+BILLS = {None: "", "": "", "  ": "", "7": "8", "INV-9": "INV-10", "INV-009": "INV-010", "A99": "A100", "2024/0099": "2024/0100", "ABC": "ABC",
+         "12B": "12B", "A1B2": "A1B3", "x-000": "x-001"}
+COMPANIES = {"Alpha Traders": "alpha_traders", "  Alpha   Traders ": "alpha_traders", "A.B. & Co": "ab__co", "": "default", "***": "default",
+             "Über Ltd": "ber_ltd", "a_b-c": "a_bc", "9 to 5": "9_to_5", "Tab\tName": "tab_name"}
 
 
 @SETTINGS
@@ -43,18 +34,33 @@ def test_title_case_is_python_title(spark, values):
     assert _eval(spark, values, X.title_case) == [v.title() for v in values]
 
 
+def test_next_bill_goldens(spark):
+    assert _eval(spark, list(BILLS), X.next_bill_number) == list(BILLS.values())
+
+
 @SETTINGS
-@given(st.lists(ascii_text, min_size=1, max_size=60))
-def test_next_bill_rule(spark, values):
-    assert _eval(spark, values, X.next_bill_number) == [_next_bill(v) for v in values]
+@given(st.lists(st.tuples(st.text(alphabet="ABC-/", max_size=5), st.integers(0, 10**6), st.integers(1, 9)), min_size=1, max_size=60))
+def test_next_bill_counts_up_and_keeps_its_width(spark, items):
+    bills = [f"{head}{n:0{width}d}" for head, n, width in items]
+    got = _eval(spark, bills, X.next_bill_number)
+    for (head, n, _), old, new in zip(items, bills, got, strict=True):
+        assert new.startswith(head) and int(new[len(head):]) == n + 1 and len(new) - len(old) in (0, 1)
+
+
+def test_company_key_goldens(spark):
+    assert _eval(spark, list(COMPANIES), X.company_key) == list(COMPANIES.values())
 
 
 @SETTINGS
 @given(st.lists(ascii_text, min_size=1, max_size=60))
-def test_keys_rules(spark, values):
-    assert _eval(spark, values, X.company_key) == [_company_key(v) for v in values]
-    assert _eval(spark, values, X.server_key) == [v.lower().replace(" ", "_") for v in values]
-    assert _eval(spark, values, X.client_key) == [re.sub(r"\s+", "_", v.lower()) for v in values]
+def test_keys_properties(spark, values):
+    keys = _eval(spark, values, X.company_key)
+    assert all(k and set(k) <= set("abcdefghijklmnopqrstuvwxyz0123456789_") for k in keys)
+    assert _eval(spark, keys, X.company_key) == keys  # a key is its own key
+    assert _eval(spark, [v.upper() for v in values], X.company_key) == keys
+    server = _eval(spark, values, X.server_key)
+    assert all(" " not in k and k == k.lower() and len(k) == len(v) for k, v in zip(server, values, strict=True))
+    assert all(not re.search(r"\s", k) for k in _eval(spark, values, X.client_key))
 
 
 dates = st.dates(min_value=dt.date(1950, 1, 1), max_value=dt.date(2060, 12, 31))
