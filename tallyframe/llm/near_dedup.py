@@ -6,8 +6,9 @@ A document is the set of its distinct 3-word shingles; two are linked at 100 |A
    Documents with equal sets become one class and go on as one.
 2. Inverted lists of retained values generate overlaps. Sketches of linked sets share at least
    ``SHARED`` values (small sets: 85 % of them), so they share one of the few rarest in either
-   (prefix filtering); only those are listed, and values of one class never are. The common
-   lines of a corpus are thus never a list.
+   (prefix filtering); only those are listed, and values of one class never are. The classes of
+   lists that still are large are listed anew by the same rule on their full sets, where the place of a
+   shared value in the two orders of rarity also bounds the overlap.
 3. A list's pairs are not all formed. In each of ``STAR_ROUNDS`` rounds a list pairs its members with one
    of them; links merge classes into components, and members of the centre's component need
    no further pair. At the end the pairs that are left, of different components, are formed.
@@ -36,14 +37,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from .common import documents, map_arrow, text_or_empty, written
+from .common import documents, map_arrow, release, text_or_empty, written
 
 K = 64
 SHARED = 36
 PERCENT = 85
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Distinct words a task remembers the hashes of.
 WORDS_KEPT = 1_000_000
+#: Lists of more members are made anew from full sets.
+CROWD = 32
 
 
 class _WordHashes(dict):
@@ -96,40 +99,68 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, run, f"doc_id {kind}, n long, cid long, sketch array<long>")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """value, cid, n: the rarest retained values of each class, as far as other classes list them too."""
-    values = classes.select("cid", "n", F.explode("sketch").alias("value"))
+def _prefix_lists(values: DataFrame, held, needed, name: str) -> DataFrame:
+    """value, cid, n, rest, members: of each class its rarest values, as far as others list them too. ``values``: (cid, n, value), ``held``
+    of them a class; of linked classes each shares at least ``needed`` of its own with the other, so they
+    meet in one of the first held - needed + 1 in the order of rarity. ``rest`` counts a class's values from
+    this one on in that order, ``members`` the classes of the list."""
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = F.least(F.col("n"), F.lit(K))
-    # 85 % of the smaller sets, whose partners' sketches are whole sets too; SHARED of the others.
-    needed = F.when(F.col("n") <= K * PERCENT // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
     mine = values.join(common, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     # Values that no other class has come first in the order, so they use up the prefix.
     room = held - needed + 1 - (held - F.size("v"))
-    prefix = mine.filter(room > 0).select("cid", "n", F.explode(F.slice("v", F.lit(1), room.cast("int"))).alias("v"))
-    rows = written(prefix.select(F.col("v.value").alias("value"), "cid", "n"), "near-prefixes")
-    twice = rows.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
-    return rows.join(twice, "value", "left_semi")
+    prefix = mine.filter(room > 0).select("cid", "n", F.size("v").alias("common"), F.posexplode(F.slice("v", F.lit(1), room.cast("int"))).alias("at", "v"))
+    rows = written(prefix.select(F.col("v.value").alias("value"), "cid", "n", (F.col("common") - F.col("at")).alias("rest")), name)
+    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return rows.join(counts, "value")
 
 
-def _compatible() -> Column:
+def _lists(classes: DataFrame) -> DataFrame:
+    """Inverted lists of the sketches' rarest values."""
+    # 85 % of the smaller sets, whose partners' sketches are whole sets too; SHARED of the others.
+    needed = F.when(F.col("n") <= K * PERCENT // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
+    values = classes.select("cid", "n", F.explode("sketch").alias("value"))
+    return _prefix_lists(values, F.least(F.col("n"), F.lit(K)), needed, "near-prefixes")
+
+
+def _refined(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists with those of more than ``CROWD`` members replaced. All pairs of a large list have both ends
+    among the classes in large lists; for these the same rule on their full sets, whose prefix
+    is 15 % of a set and needs no margin for chance, gives lists of fewer and closer classes."""
+    large = lists.filter(F.col("members") > CROWD).select("cid").distinct()
+    crowd = sets.join(written(large, "near-crowd"), "cid", "left_semi")
+    values = crowd.select("cid", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("value"))
+    exact = _prefix_lists(values, F.col("n"), F.ceil(F.col("n") * PERCENT / 100), "near-exact-prefixes")
+    return lists.filter(F.col("members") <= CROWD).withColumn("exact", F.lit(False)).unionByName(
+        exact.withColumn("exact", F.lit(True))).drop("members")
+
+
+def _sizes() -> Column:
     return 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
 
 
+def _compatible() -> Column:
+    """Whether two classes that share a value may be linked: their sizes allow it, and, where lists come from
+    full sets, so do the values that are left from this one on (if it is the rarest that they share, they share no
+    more than these; a linked pair passes at its rarest shared value)."""
+    chance = ~F.col("exact") & (F.greatest("n_a", "n_b") > K)
+    left = (100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    return _sizes() & (chance | left)
+
+
 def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """Each list's members with one of them, where components differ."""
-    order = F.xxhash64("cid", F.lit(turn))
-    centre = lists.groupBy("value").agg(F.min(F.struct(order, "cid", "n", "label")).alias("c"))
-    centre = centre.select("value", F.col("c.cid").alias("a"), F.col("c.n").alias("n_a"), F.col("c.label").alias("label_a"))
-    rows = lists.withColumnsRenamed({"cid": "b", "n": "n_b", "label": "label_b"}).join(centre, "value")
-    return rows.filter((F.col("label_a") != F.col("label_b")) & _compatible()).select("a", "b").distinct()
+    order = F.xxhash64("cid", F.lit(turn), F.col("value") % 3)
+    centre = lists.groupBy("value", "exact").agg(F.min(F.struct(order, "cid", "n", "label")).alias("c"))
+    centre = centre.select("value", "exact", F.col("c.cid").alias("a"), F.col("c.n").alias("n_a"), F.col("c.label").alias("label_a"))
+    rows = lists.withColumnsRenamed({"cid": "b", "n": "n_b", "label": "label_b"}).join(centre, ["value", "exact"])
+    return rows.filter((F.col("label_a") != F.col("label_b")) & _sizes()).select("a", "b").distinct()
 
 
 def _remaining_pairs(lists: DataFrame) -> DataFrame:
     """All pairs of a list whose components differ."""
-    left = lists.withColumnsRenamed({"cid": "a", "n": "n_a", "label": "label_a"})
-    right = lists.withColumnsRenamed({"cid": "b", "n": "n_b", "label": "label_b"})
-    return left.join(right, "value").filter((F.col("label_a") < F.col("label_b")) & _compatible()).select("a", "b").distinct()
+    left = lists.withColumnsRenamed({"cid": "a", "n": "n_a", "label": "label_a", "rest": "rest_a"})
+    right = lists.withColumnsRenamed({"cid": "b", "n": "n_b", "label": "label_b", "rest": "rest_b"})
+    return left.join(right, ["value", "exact"]).filter((F.col("label_a") < F.col("label_b")) & _compatible()).select("a", "b").distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -225,12 +256,16 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    spark = docs.sparkSession
     digests = written(_sketched(docs), "near-sketches")
     # One row a class: its copies (equal sets have equal sketches) meet in a partial aggregate.
     classes = written(digests.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    lists = written(_lists(classes), "near-lists")
+    lists = written(_lists(classes), "near-sketch-lists")
+    release(spark)
     wanted = written(lists.select("cid").distinct(), "near-wanted")
     sets = written(_sets_of(docs, wanted, digests).dropDuplicates(["cid"]), "near-sets")
+    lists = written(_refined(lists, sets), "near-lists")
+    release(spark)
     labels, tested = wanted.withColumn("label", F.col("cid")), None
     for turn in range(star_rounds + 1):
         members = lists.join(labels, "cid")
