@@ -554,9 +554,9 @@ def q_stream_import(spark, sf_dir):
 
 @query("transactions_page_after")
 def q_transactions_page_after(spark, sf_dir):
-    """O4, keyset form: the 100 rows after (1997-01-01, id 0) in (date desc, id desc) order."""
+    """O4, keyset form: the 100 rows after (1997-01-01, id 7000), a place inside that day, in (date desc, id desc) order."""
     b = Books(spark, sf_dir)
-    return R.transactions_page_after(b.transactions, b.parties, "1997-01-01", 0, limit=100)
+    return R.transactions_page_after(b.transactions, b.parties, "1997-01-01", 7000, limit=100)
 
 
 @query("import_first_rejects")

@@ -683,7 +683,7 @@ oracle("stream_import", _ORACLE["import_accepted"])
 
 oracle("transactions_page_after", with_views(f"""
 SELECT {_LIST} FROM {_J1}
-WHERE t.txn_date < DATE '1997-01-01' OR (t.txn_date = DATE '1997-01-01' AND t.txn_id < 0)
+WHERE t.txn_date < DATE '1997-01-01' OR (t.txn_date = DATE '1997-01-01' AND t.txn_id < 7000)
 ORDER BY t.txn_date DESC, t.txn_id DESC LIMIT 100""", TX, PT))
 
 oracle("import_first_rejects", with_views(

@@ -78,3 +78,41 @@ def test_single_party_ledger_is_a_slice_of_all(books):
     assert L.party_ledger(books.transactions, books.parties, party_key="no_such_party").count() == 0
     st = L.ledger_statement(books.transactions, books.parties, party_key=key).collect()
     assert len(st) == len(one)
+
+
+def test_orders_of_reports(spark, books):
+    from tallyframe.operators import aggregates as A
+    from tallyframe.operators import lists as R
+
+    day = [r.id for r in R.day_book(books.transactions, books.parties, "1998-06-15").collect()]
+    assert day and day == sorted(day, reverse=True)
+    names = [r.name for r in R.party_list(books.parties).collect()]
+    assert names == sorted(names)
+    log = books.audit_logs.where("company = 'default'").select("timestamp", "id").collect()
+    want = [r.timestamp for r in sorted(log, key=lambda r: (r.timestamp, r.id), reverse=True)]
+    shown = [r.timestamp for r in R.audit_trail(books.audit_logs).collect()]
+    assert [s[:19] for s in shown] == [str(w)[:19] for w in want]
+    days = [r.date for r in A.daily_mode_summary(books.transactions).collect()]
+    assert days == sorted(days, reverse=True)
+    page = [(r.date, r.id) for r in R.transactions_page_after(books.transactions, books.parties, "1997-01-01", 700, 50).collect()]
+    assert page == sorted(page, reverse=True) and all(p < ("1997-01-01", 700) for p in page)
+
+
+def test_whole_account_window_sees_days_not_rows(spark, books):
+    """Ids shuffled against dates: the window without a partition runs over one row a day."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators.running import running_total
+
+    tx = books.transactions.withColumn("txn_id", F.xxhash64("txn_id")).where("txn_date IS NOT NULL")
+    out = running_total(tx, F.lit(1).cast("long"), "n", [], "txn_date", "txn_id", blocks=16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    alone = [i for i, line in enumerate(lines) if re.search(r"Window \[.*\], \[__dated#\d+ ASC", line)]
+    assert len(alone) == 1  # ordered by day, no partition
+    below = "\n".join(lines[alone[0] : alone[0] + 3])
+    assert "Aggregate [__dated" in below and "__blk" not in below.split("Aggregate")[1].split("]")[0]
+    got = sorted(r.n for r in out.select("n").collect())
+    assert got == list(range(1, len(got) + 1))
