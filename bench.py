@@ -16,7 +16,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-WRITERS = {"snapshot_roundtrip", "export_csv_roundtrip", "stream_import"}
+WRITERS = {"snapshot_roundtrip", "export_csv_roundtrip", "import_csv_roundtrip", "stream_import"}
 
 
 def main() -> int:

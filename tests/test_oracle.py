@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle on the sf0.001 tables
+"""Every registered bookkeeping query against its DuckDB oracle on the sf0.001 tables
 (the driver runs the same comparison at sf0.01)."""
 
 import math
@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tallyframe.plans import catalog, oracle
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -35,8 +36,9 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(catalog.registry()) - set(oracle.oracle_sql())
     assert not missing, missing
+    assert set(catalog.registry()) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_runs(spark):
@@ -45,12 +47,12 @@ def test_entry_runs(spark):
     assert df.columns[:2] == ["date", "opening_cash"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.registry()))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    sdf = catalog.registry()[name](spark, SF_SMALL)
     cols = sdf.columns
     srows = [tuple(r) for r in sdf.collect()]
-    res = duck.execute(E.oracle_sql()[name])
+    res = duck.execute(oracle.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(ocols)
     idx = [ocols.index(c) for c in cols]
