@@ -48,12 +48,11 @@ def test_pnl_reads_two_columns(spark, books):
 
 
 def test_ledger_shuffles_rows_once(spark):
-    """The two-level running sum: one full-width read and one shuffle of rows; the second
-    read is pruned to key and value columns and only its partial sums are shuffled."""
+    """No party of the fixture is hot, so the ledger is one read and one window per party, without blocks."""
     plan = _plan(registry()["party_ledger"](spark, SF_SMALL))
     reads = [line for line in plan.splitlines() if line.startswith("ReadSchema:") and "o_orderkey" in line]
-    assert len(reads) == 2
-    assert any("o_orderpriority" not in r for r in reads)
+    assert len(reads) == 1
+    assert "windowspecdefinition(party_id" in plan and "__blk" not in plan
 
 
 def test_date_partitioned_layout_prunes_days(spark, books):
