@@ -13,6 +13,7 @@ A document is the set of its distinct 3-word shingles; two are linked at 100 |A
    of them; links merge classes into components, and members of the centre's component need
    no further pair. At the end the pairs that are left, of different components, are formed.
    So a group of near copies costs rows in proportion to its size.
+   Only pairs are formed whose sizes and parity bits (256 a set) allow a link, an exact bound.
 4. The estimate from the union sketch (its K smallest values, the share in both) drops pairs that
    cannot be linked; the exact Jaccard on the full sets decides.
 
@@ -47,6 +48,8 @@ STAR_ROUNDS = 3
 WORDS_KEPT = 1_000_000
 #: Lists of more members are made anew from full sets.
 CROWD = 32
+#: Columns of the parity bits.
+BITS = ("p0", "p1", "p2", "p3")
 
 
 class _WordHashes(dict):
@@ -80,8 +83,14 @@ def shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(_mix(_mix(_mix(h[:-2]) * np.uint64(3) + h[1:-1]) * np.uint64(3) + h[2:]))
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """256 bits: of the shingles that fall on a bit, whether their number is odd. Two sets' bits differ in no more places than
+    the sets differ in shingles."""
+    return np.packbits((np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cid (digest of the set, 0 if empty) and sketch of every row."""
+    """doc_id, n, cid (digest of the set, 0 if empty), sketch and parity bits (four longs) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -90,13 +99,15 @@ def _sketched(docs: DataFrame) -> DataFrame:
             low = [s[:K].view(np.int64) for s in sets]
             offsets = np.r_[0, np.cumsum([len(x) for x in low])].astype(np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*low, np.zeros(0, np.int64)])))
+            bits = np.frombuffer(b"".join(map(parity, sets)), np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), sketch],
-                ["doc_id", "n", "cid", "sketch"])
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), sketch,
+                 *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]],
+                ["doc_id", "n", "cid", "sketch", *BITS])
 
     rows = docs.select("doc_id", text_or_empty().cast("binary").alias("_raw"))
     kind = dict(rows.dtypes)["doc_id"]
-    return map_arrow(rows, run, f"doc_id {kind}, n long, cid long, sketch array<long>")
+    return map_arrow(rows, run, f"doc_id {kind}, n long, cid long, sketch array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _prefix_lists(values: DataFrame, held, needed, name: str) -> DataFrame:
@@ -134,8 +145,17 @@ def _refined(lists: DataFrame, sets: DataFrame) -> DataFrame:
         exact.withColumn("exact", F.lit(True))).drop("members")
 
 
-def _sizes() -> Column:
-    return 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+def _near() -> Column:
+    """Whether sizes and parity bits allow a link: linked sets differ in at most 15/185 of the sum of their sizes."""
+    differ = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BITS[1:]),
+                 F.bit_count(F.col(f"{BITS[0]}_a").bitwiseXOR(F.col(f"{BITS[0]}_b"))))
+    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    return sizes & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
+
+
+def _side(lists: DataFrame, side: str) -> DataFrame:
+    own = ("n", "label", "rest", *BITS)
+    return lists.select("value", "exact", F.col("cid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in own])
 
 
 def _compatible() -> Column:
@@ -144,22 +164,22 @@ def _compatible() -> Column:
     more than these; a linked pair passes at its rarest shared value)."""
     chance = ~F.col("exact") & (F.greatest("n_a", "n_b") > K)
     left = (100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    return _sizes() & (chance | left)
+    return _near() & (chance | left)
 
 
 def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """Each list's members with one of them, where components differ."""
     order = F.xxhash64("cid", F.lit(turn), F.col("value") % 3)
-    centre = lists.groupBy("value", "exact").agg(F.min(F.struct(order, "cid", "n", "label")).alias("c"))
-    centre = centre.select("value", "exact", F.col("c.cid").alias("a"), F.col("c.n").alias("n_a"), F.col("c.label").alias("label_a"))
-    rows = lists.withColumnsRenamed({"cid": "b", "n": "n_b", "label": "label_b"}).join(centre, ["value", "exact"])
-    return rows.filter((F.col("label_a") != F.col("label_b")) & _sizes()).select("a", "b").distinct()
+    own = ["cid", "n", "label", *BITS]
+    centre = lists.groupBy("value", "exact").agg(F.min(F.struct(order, *own)).alias("c"))
+    centre = centre.select("value", "exact", F.col("c.cid").alias("a"), *[F.col(f"c.{c}").alias(f"{c}_a") for c in own[1:]])
+    rows = _side(lists, "b").join(centre, ["value", "exact"])
+    return rows.filter((F.col("label_a") != F.col("label_b")) & _near()).select("a", "b").distinct()
 
 
 def _remaining_pairs(lists: DataFrame) -> DataFrame:
     """All pairs of a list whose components differ."""
-    left = lists.withColumnsRenamed({"cid": "a", "n": "n_a", "label": "label_a", "rest": "rest_a"})
-    right = lists.withColumnsRenamed({"cid": "b", "n": "n_b", "label": "label_b", "rest": "rest_b"})
+    left, right = _side(lists, "a"), _side(lists, "b")
     return left.join(right, ["value", "exact"]).filter((F.col("label_a") < F.col("label_b")) & _compatible()).select("a", "b").distinct()
 
 
@@ -259,16 +279,18 @@ def near_groups(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     digests = written(_sketched(docs), "near-sketches")
     # One row a class: its copies (equal sets have equal sketches) meet in a partial aggregate.
-    classes = written(digests.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+    classes = written(digests.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+                                                                  *[F.first(b).alias(b) for b in BITS]), "near-classes")
     lists = written(_lists(classes), "near-sketch-lists")
     release(spark)
     wanted = written(lists.select("cid").distinct(), "near-wanted")
     sets = written(_sets_of(docs, wanted, digests).dropDuplicates(["cid"]), "near-sets")
     lists = written(_refined(lists, sets), "near-lists")
     release(spark)
+    bits = written(classes.select("cid", *BITS).join(wanted, "cid", "left_semi"), "near-bits")
     labels, tested = wanted.withColumn("label", F.col("cid")), None
     for turn in range(star_rounds + 1):
-        members = lists.join(labels, "cid")
+        members = lists.join(labels, "cid").join(bits, "cid")
         pairs = _star_pairs(members, turn) if turn < star_rounds else _remaining_pairs(members)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
