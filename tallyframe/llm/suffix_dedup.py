@@ -5,8 +5,8 @@ smaller id, or earlier in the same one. The work is cut into independent blocks
 
 1. Every start belongs to an anchor: the 16-byte piece of lowest hash in its 100 bytes. Equal strings
    have equal anchors, so all starts of a string lie in the bucket of one anchor. The starts of
-   one anchor place are a range; their bytes (100 to 184) are its context. Equal contexts are counted
-   map-side and become one, with its first place; buckets that hold one context once are done.
+   one anchor place are a range; their bytes (100 to 184) are its context. Ranges are shuffled by
+   anchor and sorted; equal contexts become one, with its first place; a bucket of a single range is done.
 2. Buckets with several contexts go to blocks. A block is one text of all its contexts; its
    suffixes are sorted by their first 128 bytes, which gives the Burrows-Wheeler transform, and
    breadth-first backward extension of intervals derives the common prefixes of neighbouring suffixes
@@ -14,6 +14,7 @@ smaller id, or earlier in the same one. The work is cut into independent blocks
    the starts of equal strings. Each class's first place goes to all starts in it.
 3. A bucket of more than ``BUCKET`` contexts (a common line between ever different neighbours) is split
    by the strings themselves: every start by the 128-bit hash of its 100 bytes. That way is as exact.
+   So are the anchors split that would fill a task by their number of ranges (``hot_anchors``), before any shuffle.
 4. All places of the contexts learn which of their starts are not the first, and each document drops the union.
 
 Contexts are told apart by two 64-bit hashes (anchor and whole context).
@@ -34,6 +35,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,14 @@ LENGTH = 100
 ANCHOR = 16
 BUCKET = 4096
 #: Bytes of contexts sorted together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Starts handled at once; longer texts are read in pieces.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows taken from an Arrow batch at once.
+ROWS = 256
+#: An anchor is hot if by one document in HOT_SAMPLE it has more than HOT_ROWS ranges.
+HOT_SAMPLE = 64
+HOT_ROWS = 1 << 17
 
 _WINDOW = LENGTH - ANCHOR + 1
 _U = np.uint64
@@ -127,6 +134,13 @@ def anchors(buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[head], start[head], count[head], np.diff(np.r_[head, len(again)]), h[head], g[head]
 
 
+def _slices(batches):
+    """The batches in runs of at most ROWS rows, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _pieces(batch, column: str):
     """(rows, offsets in their texts, bytes, sizes) of runs of texts; a long text comes in overlapping pieces."""
     run, offs, parts, size = [], [], [], 0
@@ -144,14 +158,17 @@ def _pieces(batch, column: str):
         yield run, offs, b"".join(parts), np.array([len(p) for p in parts])
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """h, g, uid, s (first start), n (starts) and reps of every anchor range of (uid, raw)."""
+def _anchor_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """h, g, uid, s (first start), n (starts) and reps of every anchor range of (uid, raw), those of hot anchors left out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             uid = batch.column("uid").to_numpy()
             for rows, offs, raw, sizes in _pieces(batch, "raw"):
                 text, start, n, reps, h, g = anchors(np.frombuffer(raw, np.uint8), sizes)
+                if len(hot):
+                    cold = ~np.isin(h.view(np.int64), hot)
+                    text, start, n, reps, h, g = text[cold], start[cold], n[cold], reps[cold], h[cold], g[cold]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(uid[np.array(rows)[text]]),
                      pa.array(start + np.array(offs)[text]), pa.array(n.astype(np.int32)), pa.array(reps.astype(np.int32))],
@@ -160,6 +177,80 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "h long, g long, uid long, s long, n int, reps int")
 
 
+def hot_anchors(docs: DataFrame, share: int = HOT_SAMPLE, least: int = HOT_ROWS) -> np.ndarray:
+    """Anchors that would fill a task of their own, judged by one document in ``share``. They only take another
+    way to the same result, so the estimate decides where work is done, never what comes out. At
+    most anchors / ``least`` of them are hot."""
+    sample = docs.filter(F.pmod(F.xxhash64("uid"), F.lit(share)) == 0)
+    counts = _anchor_rows(sample, np.zeros(0, np.int64)).groupBy("h").agg(F.sum("reps").alias("n"))
+    return np.array(sorted(r.h for r in counts.filter(F.col("n") * share > least).select("h").collect()), np.int64)
+
+
+def _hot_starts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """a, b (two hashes of the 100 bytes), uid and s of every start of a hot anchor."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            uid = batch.column("uid").to_numpy()
+            for rows, offs, raw, sizes in _pieces(batch, "raw"):
+                buf = np.frombuffer(raw, np.uint8)
+                text, start, n, reps, h, _ = anchors(buf, sizes)
+                k = np.flatnonzero(np.isin(h.view(np.int64), hot))
+                size = n[k] * reps[k]
+                begin = np.r_[0, np.cumsum(sizes)[:-1]]
+                s = np.arange(int(size.sum())) + np.repeat(start[k] - (np.cumsum(size) - size), size)
+                at, who = s + np.repeat(begin[text[k]], size), np.repeat(text[k], size)
+                one = _Prefix(buf).ranges(at, at + LENGTH)
+                other = np.array([xxhash.xxh64_intdigest(raw[x : x + LENGTH]) for x in at.tolist()], _U)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one.view(np.int64)), pa.array(other.view(np.int64)), pa.array(uid[np.array(rows)[who]]),
+                     pa.array(s + np.array(offs)[who])], ["a", "b", "uid", "s"])
+
+    return map_arrow(docs, run, "a long, b long, uid long, s long")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The ranges whose bucket holds more than one, with what the bucket tells: the first place (uid0, s0) and the
+    number (total) of their context, whether they are that place (first), and how many contexts there are.
+
+    Rows come sorted, so a bucket is a run; only the bucket at the end of a batch is carried on.
+    """
+    names = ["h", "g", "uid", "s", "n", "reps"]
+
+    def solve(cols: list[np.ndarray]):
+        h, g, uid, s, n, reps = cols
+        new_h = np.r_[True, h[1:] != h[:-1]]
+        new_g = new_h | np.r_[True, g[1:] != g[:-1]]
+        bucket, context = np.flatnonzero(new_h), np.flatnonzero(new_g)
+        size, width = np.diff(np.r_[bucket, len(h)]), np.diff(np.r_[context, len(h)])
+        alive = np.repeat(np.add.reduceat(reps, bucket) > 1, size)
+        many = np.repeat(np.add.reduceat(new_g.astype(np.int64), bucket), size)
+        total = np.repeat(np.add.reduceat(reps.astype(np.int64), context), width)
+        uid0, s0 = np.repeat(uid[context], width), np.repeat(s[context], width)
+        out = [*cols, uid0, s0, total, many, new_g]
+        return pa.RecordBatch.from_arrays([pa.array(c[alive]) for c in out], [*names, "uid0", "s0", "total", "contexts", "first"])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in names]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # where the last bucket begins
+            if last or (held and held[0][0][0] != cols[0][0]):
+                whole = [np.concatenate([*[x[k] for x in held], cols[k][:last]]) for k in range(len(names))]
+                if len(whole[0]):
+                    yield solve(whole)
+                held = [[c[last:] for c in cols]]
+            else:
+                held.append(cols)
+        if held:
+            yield solve([np.concatenate([x[k] for x in held]) for k in range(len(names))])
+
+    sorted_rows = rows.repartition("h").sortWithinPartitions("h", "g", "uid", "s")
+    return map_arrow(sorted_rows, run, "h long, g long, uid long, s long, n int, reps int, uid0 long, s0 long, total long, contexts long, first boolean")
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of ``text`` in order of their first ``depth`` bytes or more."""
     n = len(text)
@@ -262,7 +353,7 @@ def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.join(places, "uid").select("uid", "raw", "p")
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for k in range(batch.num_rows):
                 raw, p = batch.column("raw")[k].as_py(), batch.column("p")[k].values
                 s, n = p.field("s").to_numpy(), p.field("n").to_numpy()
@@ -321,15 +412,15 @@ def _by_strings(rows: DataFrame) -> DataFrame:
     """First places of the starts of large buckets, by the strings' hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             h, g, uid, s = (batch.column(c).to_numpy() for c in ("h", "g", "uid", "s"))
-            for k, raw in enumerate(batch.column("context").to_pylist()):
-                strings = [raw[a : a + LENGTH] for a in range(len(raw) - LENGTH + 1)]
-                off = np.arange(len(strings))
-                key = pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in strings], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(off), h[k])), pa.array(np.full(len(off), g[k])), pa.array(off.astype(np.int32)),
-                     pa.array(np.full(len(off), uid[k])), pa.array(s[k] + off), key], ["h", "g", "lo", "uid", "s", "key"])
+            contexts = batch.column("context").to_pylist()
+            n = np.array([len(c) - LENGTH + 1 for c in contexts])
+            off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            key = [hashlib.blake2b(c[a : a + LENGTH], digest_size=16).digest() for c in contexts for a in range(len(c) - LENGTH + 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(h, n)), pa.array(np.repeat(g, n)), pa.array(off.astype(np.int32)), pa.array(np.repeat(uid, n)),
+                 pa.array(np.repeat(s, n) + off), pa.array(key, pa.binary())], ["h", "g", "lo", "uid", "s", "key"])
 
     starts = written(map_arrow(rows.select("h", "g", "uid", "s", "context"), run, "h long, g long, lo int, uid long, s long, key binary"), "suffix-strings")
     first = written(starts.groupBy("key").agg(F.min(F.struct("uid", "s")).alias("f")), "suffix-firsts")
@@ -348,44 +439,52 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(rows.orderBy(*order).withColumn("uid", F.monotonically_increasing_id()), "suffix-numbered")
 
 
-def repeated_spans(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def repeated_spans(docs: DataFrame, bucket: int = BUCKET, hot_sample: int = HOT_SAMPLE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """uid, lo, hi: ranges of starts (hi not among them) in (uid, raw) whose string also starts earlier."""
     spark = docs.sparkSession
-    rows = _anchor_rows(docs.select("uid", "raw"))
-    contexts = rows.groupBy("h", "g").agg(F.min(F.struct("uid", "s", "n")).alias("f"), F.sum("reps").alias("total"))
-    buckets = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("total").alias("all")).filter("all > 1").select("h", "contexts")
-    found = contexts.join(buckets, "h").select("h", "g", "f.uid", "f.s", "f.n", "total", "contexts")
-    found = written(found, "suffix-contexts")
+    docs = docs.select("uid", "raw")
+    hot = hot_anchors(docs, hot_sample, hot_rows)
+    found = written(_repeated(_anchor_rows(docs, hot)), "suffix-ranges")
     release(spark)
-    cut = written(_cut_contexts(docs.select("uid", "raw"), found.filter("contexts > 1")), "suffix-cut")
+    start, end, stop = F.col("s"), F.col("s") + F.col("n"), F.col("s") + F.col("n") * F.col("reps")
+    # Where the bucket is one context, all but its first place repeat it; of a row of repeated ranges all but the first do.
+    spans = found.filter("contexts = 1 AND (NOT first OR reps > 1)").select(
+        "uid", F.when(F.col("first"), end).otherwise(start).alias("lo"), stop.alias("hi"))
+
+    several = found.filter("contexts > 1")
+    cut = written(_cut_contexts(docs, several.filter("first")), "suffix-cut")
     release(spark)
-    alone = found.filter("contexts = 1").select("h", "g", F.lit(0).alias("lo"), F.col("n").alias("hi"), F.col("uid").alias("uid0"), F.col("s").alias("s0"))
-    first = written(_by_blocks(cut.filter(F.col("contexts") <= bucket)).union(alone), "suffix-first")
+    first = written(_by_blocks(cut.filter(F.col("contexts") <= bucket)), "suffix-first")
     large = cut.filter(F.col("contexts") > bucket)
     if large.limit(1).count():
         first = first.union(_by_strings(large))
-    release(spark)
-    here = rows.join(first, ["h", "g"])
-    # Of repeated ranges all but the first repeat it; of the first, the starts whose string is elsewhere first.
-    spans = F.array(
-        F.when((F.col("uid") != F.col("uid0")) | (F.col("s") + F.col("lo") != F.col("s0")),
-               F.struct((F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))),
-        F.when((F.col("reps") > 1) & (F.col("lo") == 0),
-               F.struct((F.col("s") + F.col("n")).alias("lo"), (F.col("s") + F.col("n") * F.col("reps")).alias("hi"))))
-    return here.select("uid", F.explode(F.filter(spans, lambda x: x.isNotNull())).alias("x")).select("uid", "x.lo", "x.hi")
-
-
-def strip_repeats(docs: DataFrame, bucket: int = BUCKET, with_text: bool = False) -> DataFrame:
+    here = several.select("h", "g", "uid", "s", "n", "reps").join(first, ["h", "g"])
+    # The starts of a range whose string is first elsewhere, and the repetitions of a range.
+    lo, hi = F.col("s") + F.col("lo"), F.col("s") + F.col("hi")
+    parts = F.array(
+        F.when((F.col("uid") != F.col("uid0")) | (lo != F.col("s0")), F.struct(lo.alias("lo"), hi.alias("hi"))),
+        F.when((F.col("reps") > 1) & (F.col("lo") == 0), F.struct(end.alias("lo"), stop.alias("hi"))))
+    spans = spans.union(here.select("uid", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("x")).select("uid", "x.lo", "x.hi"))
+    if len(hot):
+        starts = written(_hot_starts(docs, hot), "suffix-hot")
+        firsts = starts.groupBy("a", "b").agg(F.min(F.struct("uid", "s")).alias("f"))
+        firsts = written(firsts.select("a", "b", F.col("f.uid").alias("uid0"), F.col("f.s").alias("s0")), "suffix-hot-first")
+        again = starts.join(firsts, ["a", "b"]).filter((F.col("uid") != F.col("uid0")) | (F.col("s") != F.col("s0")))
+        spans = spans.union(again.select("uid", F.col("s").alias("lo"), (F.col("s") + 1).alias("hi")))
+    return spans
+
+
+def strip_repeats(docs: DataFrame, bucket: int = BUCKET, with_text: bool = False, **hot) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every row."""
     spark, rows = docs.sparkSession, _numbered(docs)
-    spans = written(repeated_spans(rows, bucket), "suffix-spans")
+    spans = written(repeated_spans(rows, bucket, **hot), "suffix-spans")
     release(spark)
     drop = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("drop"))
     whole = rows.join(drop, "uid", "left").select("doc_id", "raw", "drop")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for raw, drop in zip(batch.column("raw").to_pylist(), batch.column("drop"), strict=True):
                 removed, spans, at, parts = 0, 0, 0, []
@@ -399,7 +498,7 @@ def strip_repeats(docs: DataFrame, bucket: int = BUCKET, with_text: bool = False
                         parts.append(raw[at:a])
                         at = b
                 kept = b"".join([*parts, raw[at:]])
-                out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
