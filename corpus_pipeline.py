@@ -1,8 +1,9 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 1. quality rules (rejected documents go), 2. exact dedup (the smallest id of equal texts stays),
-3. MinHash near-dedup (one document of each group stays), 4. mixing sources to target weights
-(documents stand as often as their leaf's epochs take them), 5. BPE encoding and decoding.
+3. MinHash near-dedup (Jaccard of five-word shingles 0.8 or more; one document of each group stays),
+4. mixing sources to target weights (documents stand as often as their leaf's epochs take them),
+5. BPE encoding and decoding.
 
 Stages 1 to 4 return the columns of their input; the last returns doc_id, lang, source, n_tokens,
 ids, and the digest of the text that the ids decode to. Null ids, empty texts, repeated rows, empty
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from tallyframe.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 from tallyframe.llm.common import work_path
 
+#: Near copies of the stage: Jaccard of five-word shingles of 0.8 or more (``op10_near_dedup`` has a contract of its own).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs)
@@ -27,7 +31,7 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operator 10, near-dedup with bottom-k sketches of one hash function.
 
-A document is the set of its distinct 3-word shingles; two are linked at 100 |A & B| >= 85 |A | B|.
+A document is the set of its distinct shingles of ``words`` words; two are linked at
+100 |A & B| >= ``percent`` |A | B|. A ``Rule`` holds both and the bounds that follow from them: the
+query's is 3 words and 85 (its contract), the pipeline's stage takes 5 words and 80.
 
 1. One pass hashes each set and keeps its ``K`` smallest values (all of them in small sets).
    Documents with equal sets become one class and go on as one.
 2. Inverted lists of retained values generate overlaps. Sketches of linked sets share at least
-   ``SHARED`` values (small sets: 85 % of them), so they share one of the few rarest in either
+   ``Rule.shared`` values (small sets: ``percent`` % of them), so they share one of the few rarest in either
    (prefix filtering); only those are listed, and values of one class never are. The classes of
    lists that still are large are listed anew by the same rule on their full sets, where the place of a
    shared value in the two orders of rarity also bounds the overlap.
@@ -17,12 +19,12 @@ A document is the set of its distinct 3-word shingles; two are linked at 100 |A
 4. The estimate from the union sketch (its K smallest values, the share in both) drops pairs that
    cannot be linked; the exact Jaccard on the full sets decides.
 
-The one probabilistic step: a pair at exactly the threshold keeps fewer than ``SHARED`` of K
-values in common, and so may be missed, with probability below 1e-7 (binomial bound; less above
-the threshold, 0 for sets of up to 0.85 K). Shingles are compared by 64-bit hashes.
+The one probabilistic step: a pair at exactly the threshold keeps fewer than ``Rule.shared`` of K
+values in common, and so may be missed, with probability below 1e-8 (binomial bound; less above
+the threshold, 0 for sets of up to percent % of K). Shingles are compared by 64-bit hashes.
 
 Cases: text without words (null, empty) has an empty set, is linked with nothing and is its own
-component; fewer than three words are one shingle; rows with equal ids are separate members with
+component; fewer words than a shingle has are one shingle; rows with equal ids are separate members with
 one id; rows without id can be members, the component's id is its smallest id; an empty table
 gives an empty result.
 """
@@ -30,6 +32,8 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,8 @@ from pyspark.sql import functions as F
 from .common import documents, map_arrow, release, text_or_empty, written
 
 K = 64
-SHARED = 36
-PERCENT = 85
+#: Probability bound of missing a pair at exactly the threshold.
+MISS = 1e-8
 STAR_ROUNDS = 3
 #: Distinct words a task remembers the hashes of.
 WORDS_KEPT = 1_000_000
@@ -52,6 +56,31 @@ CROWD = 32
 BITS = ("p0", "p1", "p2", "p3")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle and the percentage of the union that linked sets share."""
+
+    words: int = 3
+    percent: int = 85
+
+    def __post_init__(self):
+        if self.words < 1 or not 1 <= self.percent <= 100:
+            raise ValueError(f"no rule for near copies: {self}")
+
+    @property
+    def shared(self) -> int:
+        """How many of the union's K smallest values linked sets share: the most that fails with probability below ``MISS``."""
+        p, below, m = self.percent / 100, 0.0, 0
+        while m < K:
+            below += math.comb(K, m) * p**m * (1 - p) ** (K - m)
+            if below >= MISS:
+                break
+            m += 1
+        if not m:  # no shared value is sure, so sketches generate nothing
+            raise ValueError(f"{K} values a sketch are too few for {self.percent} %")
+        return m
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
@@ -69,18 +98,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(raw: bytes) -> np.ndarray:
-    """The sorted distinct hashes of a text's 3-word shingles."""
+def shingle_set(raw: bytes, length: int = Rule.words) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles of ``length`` words."""
     words = raw.lower().split()  # both of bytes: ASCII letters, ASCII white space
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(h) < 3:
+    if len(h) < length:
         out = np.full(1, len(h), np.uint64)
         for x in h:
             out = _mix(out * np.uint64(3) + x)
         return out
-    return np.unique(_mix(_mix(_mix(h[:-2]) * np.uint64(3) + h[1:-1]) * np.uint64(3) + h[2:]))
+    n = len(h) - length + 1
+    out = _mix(h[:n])
+    for k in range(1, length):
+        out = _mix(out * np.uint64(3) + h[k : k + n])
+    return np.unique(out)
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -89,12 +122,13 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, cid (digest of the set, 0 if empty), sketch and parity bits (four longs) of every row."""
+    length = rule.words
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column("_raw").to_pylist()]
+            sets = [shingle_set(t, length) for t in batch.column("_raw").to_pylist()]
             cid = [int.from_bytes(hashlib.sha256(s.tobytes()).digest()[:8], "little", signed=True) if len(s) else 0 for s in sets]
             low = [s[:K].view(np.int64) for s in sets]
             offsets = np.r_[0, np.cumsum([len(x) for x in low])].astype(np.int32)
@@ -125,32 +159,33 @@ def _prefix_lists(values: DataFrame, held, needed, name: str) -> DataFrame:
     return rows.join(counts, "value")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
+def _lists(classes: DataFrame, rule: Rule) -> DataFrame:
     """Inverted lists of the sketches' rarest values."""
-    # 85 % of the smaller sets, whose partners' sketches are whole sets too; SHARED of the others.
-    needed = F.when(F.col("n") <= K * PERCENT // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
+    # percent % of the smaller sets, whose partners' sketches are whole sets too; rule.shared of the others.
+    needed = F.when(F.col("n") <= K * rule.percent // 100, F.ceil(F.col("n") * rule.percent / 100)).otherwise(F.lit(rule.shared))
     values = classes.select("cid", "n", F.explode("sketch").alias("value"))
     return _prefix_lists(values, F.least(F.col("n"), F.lit(K)), needed, "near-prefixes")
 
 
-def _refined(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _refined(lists: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The lists with those of more than ``CROWD`` members replaced. All pairs of a large list have both ends
     among the classes in large lists; for these the same rule on their full sets, whose prefix
-    is 15 % of a set and needs no margin for chance, gives lists of fewer and closer classes."""
+    is 100 - percent % of a set and needs no margin for chance, gives lists of fewer and closer classes."""
     large = lists.filter(F.col("members") > CROWD).select("cid").distinct()
     crowd = sets.join(written(large, "near-crowd"), "cid", "left_semi")
     values = crowd.select("cid", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("value"))
-    exact = _prefix_lists(values, F.col("n"), F.ceil(F.col("n") * PERCENT / 100), "near-exact-prefixes")
+    exact = _prefix_lists(values, F.col("n"), F.ceil(F.col("n") * rule.percent / 100), "near-exact-prefixes")
     return lists.filter(F.col("members") <= CROWD).withColumn("exact", F.lit(False)).unionByName(
         exact.withColumn("exact", F.lit(True))).drop("members")
 
 
-def _near() -> Column:
-    """Whether sizes and parity bits allow a link: linked sets differ in at most 15/185 of the sum of their sizes."""
+def _near(rule: Rule) -> Column:
+    """Whether sizes and parity bits allow a link: linked sets differ in at most (100 - percent) / (100 + percent) of the sum of
+    their sizes."""
     differ = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BITS[1:]),
                  F.bit_count(F.col(f"{BITS[0]}_a").bitwiseXOR(F.col(f"{BITS[0]}_b"))))
-    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return sizes & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
+    sizes = 100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")
+    return sizes & ((100 + rule.percent) * differ <= (100 - rule.percent) * (F.col("n_a") + F.col("n_b")))
 
 
 def _side(lists: DataFrame, side: str) -> DataFrame:
@@ -158,33 +193,34 @@ def _side(lists: DataFrame, side: str) -> DataFrame:
     return lists.select("value", "exact", F.col("cid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in own])
 
 
-def _compatible() -> Column:
+def _compatible(rule: Rule) -> Column:
     """Whether two classes that share a value may be linked: their sizes allow it, and, where lists come from
     full sets, so do the values that are left from this one on (if it is the rarest that they share, they share no
     more than these; a linked pair passes at its rarest shared value)."""
     chance = ~F.col("exact") & (F.greatest("n_a", "n_b") > K)
-    left = (100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    return _near() & (chance | left)
+    left = (100 + rule.percent) * F.least("rest_a", "rest_b") >= rule.percent * (F.col("n_a") + F.col("n_b"))
+    return _near(rule) & (chance | left)
 
 
-def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
+def _star_pairs(lists: DataFrame, turn: int, rule: Rule) -> DataFrame:
     """Each list's members with one of them, where components differ."""
     order = F.xxhash64("cid", F.lit(turn), F.col("value") % 3)
     own = ["cid", "n", "label", *BITS]
     centre = lists.groupBy("value", "exact").agg(F.min(F.struct(order, *own)).alias("c"))
     centre = centre.select("value", "exact", F.col("c.cid").alias("a"), *[F.col(f"c.{c}").alias(f"{c}_a") for c in own[1:]])
     rows = _side(lists, "b").join(centre, ["value", "exact"])
-    return rows.filter((F.col("label_a") != F.col("label_b")) & _near()).select("a", "b").distinct()
+    return rows.filter((F.col("label_a") != F.col("label_b")) & _near(rule)).select("a", "b").distinct()
 
 
-def _remaining_pairs(lists: DataFrame) -> DataFrame:
+def _remaining_pairs(lists: DataFrame, rule: Rule) -> DataFrame:
     """All pairs of a list whose components differ."""
     left, right = _side(lists, "a"), _side(lists, "b")
-    return left.join(right, ["value", "exact"]).filter((F.col("label_a") < F.col("label_b")) & _compatible()).select("a", "b").distinct()
+    return left.join(right, ["value", "exact"]).filter((F.col("label_a") < F.col("label_b")) & _compatible(rule)).select("a", "b").distinct()
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs whose union sketch leaves a link possible."""
+    least = rule.shared
     sketches = classes.select("cid", "sketch")
     rows = (pairs.join(sketches.withColumnsRenamed({"cid": "a", "sketch": "x"}), "a")
             .join(sketches.withColumnsRenamed({"cid": "b", "sketch": "y"}), "b"))
@@ -208,14 +244,15 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             rank = np.cumsum(~twin, axis=1)  # place among the distinct values
             union = np.minimum(K, size - twin.sum(axis=1))
             shared = (twin & (rank <= K)).sum(axis=1)
-            ok = pa.array(shared * K >= SHARED * union)
+            ok = pa.array(shared * K >= least * union)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(ok)
 
     return map_arrow(rows.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs whose full sets meet the threshold."""
+    percent = rule.percent
     rows = (pairs.join(sets.withColumnsRenamed({"cid": "a", "shingles": "x"}), "a")
             .join(sets.withColumnsRenamed({"cid": "b", "shingles": "y"}), "b"))
 
@@ -225,14 +262,15 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 a, b = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+                ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return map_arrow(rows.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, digests: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, digests: DataFrame, rule: Rule) -> DataFrame:
     """cid and the whole set of the classes in ``wanted`` (cid), from the text of one document of each."""
+    length = rule.words
     one = digests.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("_id"))
     rows = docs.select("doc_id", text_or_empty().cast("binary").alias("_raw"))
     # Rows may share an id; the set's own digest says whose it is.
@@ -240,7 +278,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, digests: DataFrame) -> DataFram
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column("_raw").to_pylist()]
+            sets = [shingle_set(t, length) for t in batch.column("_raw").to_pylist()]
             cid = [int.from_bytes(hashlib.sha256(s.tobytes()).digest()[:8], "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                                              ["cid", "shingles"])
@@ -274,27 +312,27 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(found, "label", "left").select("cid", F.coalesce("to", "label").alias("label")), "near-components")
 
 
-def near_groups(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    digests = written(_sketched(docs), "near-sketches")
+def near_groups(docs: DataFrame, star_rounds: int = STAR_ROUNDS, words: int = Rule.words, percent: int = Rule.percent) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, by shingles of ``words`` words and a Jaccard of ``percent`` % or more."""
+    spark, rule = docs.sparkSession, Rule(words, percent)
+    digests = written(_sketched(docs, rule), "near-sketches")
     # One row a class: its copies (equal sets have equal sketches) meet in a partial aggregate.
     classes = written(digests.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),
                                                                   *[F.first(b).alias(b) for b in BITS]), "near-classes")
-    lists = written(_lists(classes), "near-sketch-lists")
+    lists = written(_lists(classes, rule), "near-sketch-lists")
     release(spark)
     wanted = written(lists.select("cid").distinct(), "near-wanted")
-    sets = written(_sets_of(docs, wanted, digests).dropDuplicates(["cid"]), "near-sets")
-    lists = written(_refined(lists, sets), "near-lists")
+    sets = written(_sets_of(docs, wanted, digests, rule).dropDuplicates(["cid"]), "near-sets")
+    lists = written(_refined(lists, sets, rule), "near-lists")
     release(spark)
     bits = written(classes.select("cid", *BITS).join(wanted, "cid", "left_semi"), "near-bits")
     labels, tested = wanted.withColumn("label", F.col("cid")), None
     for turn in range(star_rounds + 1):
         members = lists.join(labels, "cid").join(bits, "cid")
-        pairs = _star_pairs(members, turn) if turn < star_rounds else _remaining_pairs(members)
+        pairs = _star_pairs(members, turn, rule) if turn < star_rounds else _remaining_pairs(members, rule)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        links = written(_links(_estimated(pairs, classes), sets), "near-links")
+        links = written(_links(_estimated(pairs, classes, rule), sets, rule), "near-links")
         labels = _merged(labels, links)
         tested = pairs if tested is None else tested.union(pairs)
     rows = digests.select("doc_id", "n", "cid").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -304,9 +342,9 @@ def near_groups(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
                       F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = Rule.words, percent: int = Rule.percent) -> DataFrame:
     """The documents whose id is their component's, with their columns as they came."""
-    found = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_groups(docs, words=words, percent=percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = written(found.select(F.col("doc_id").alias("_id")).distinct(), "near-kept")
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 
