@@ -12,7 +12,12 @@ other parts stand in different places and under different names, so that what it
 site's layout. It has a fixed number of weights, whatever the table's size. Pages are labelled in one pass
 without a shuffle.
 
-Cases: null or empty html, and pages without main text, give an empty text; unclosed tags, tags cut
+Text is passed over unread only in scripts, styles, titles and form fields (textarea, select). The head
+needs no end tag, and the text of math, svg, object, noscript, iframe and template is read like any other, for the
+network to judge.
+
+Cases: null or empty html, and pages without main text, give an empty text; unclosed tags (a script or style without
+an end tag goes on to the end of the page, as in browsers; a title, textarea or select ends at a tag), tags cut
 off at the end, and unknown character references are read as far as they go; repeated rows and
 null ids or urls come out as they are; an empty table gives an empty result.
 """
@@ -41,14 +46,20 @@ INPUT = PATH_DIMS + WORD_DIMS + COUNTS
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|textarea)(?=[\s/>])[^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S | re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in ("script", "style", "title", "textarea")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup"
-    " time tt u var wbr".split())
+    " time tt u var wbr"
+    " math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt"
+    " mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Parts of a paragraph that have a path of their own.
+_WITHIN = frozenset("iframe noscript object select svg template".split())
+_OPTIONS = frozenset("hr optgroup option".split())
 # Blocks that close an open paragraph; list items and cells close their like.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -67,11 +78,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     parts: list[str] = []
     linked = 0
 
+    def is_open(tag: str) -> bool:
+        return any(entry.split(" ", 1)[0] == tag for entry in stack)
+
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
+            if text and not is_open("select"):
                 out.append((tuple(stack), text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
@@ -86,7 +100,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                 return
 
     at, link = 0, 0
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()  # tags without an end tag from here on
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text = html_lib.unescape(page[at : m.start()])
             parts.append(text)
@@ -97,8 +112,19 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         if m.group("raw"):
             flush()
+            if m.group().endswith("/>") and is_open("svg"):
+                continue
+            end = None if tag in endless else _RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            else:
+                endless.add(tag)
+                at = page.find("<", at)
+                at = len(page) if at < 0 else at
             continue
-        if tag == "br":
+        if tag in ("br", "annotation"):
             parts.append(" ")
         elif tag in _INLINE:
             if tag == "a":
@@ -107,12 +133,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             flush()
             if m.group("end"):
                 close(tag)
-            else:
-                if any(s.split(" ", 1)[0] == "p" for s in stack[-1:]):
+            elif tag != "head":
+                if tag not in _OPTIONS:
+                    close("select")
+                if tag not in _WITHIN and any(s.split(" ", 1)[0] == "p" for s in stack[-1:]):
                     close("p")
                 for like in _CLOSES.get(tag, ()):
                     close(like, ("ul", "ol", "dl", "table", "select"))
-                if tag not in _VOID:
+                if tag not in _VOID and not (m.group().endswith("/>") and is_open("svg")):
                     names = " ".join(x for g in _NAMES.findall(m.group("attrs") or "") for x in g if x).lower()
                     stack.append(f"{tag} {names}" if names else tag)
     if at < len(page):
