@@ -2,7 +2,8 @@
 
 1. quality rules (rejected documents go), 2. exact dedup (the smallest id of equal texts stays),
 3. MinHash near-dedup (Jaccard of five-word shingles 0.8 or more; one document of each group stays),
-4. mixing sources to target weights (documents stand as often as their leaf's epochs take them),
+4. mixing sources to target weights (documents stand as often as their leaf's epochs take them; the
+budget is large enough that each stands at least once),
 5. BPE encoding and decoding.
 
 Stages 1 to 4 return the columns of their input; the last returns doc_id, lang, source, n_tokens,
@@ -35,7 +36,7 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs, **mixing.query_weights())
+    return mixing.mix_documents(docs, whole=True, **mixing.query_weights())
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .common import SPACE_CLASS, documents, text_or_empty, written
 SEED = 17
 MAX_EPOCHS = 4
 BUCKETS = 4096
-#: Token budget in thousandths of all tokens, used by the query and the pipeline stage.
+#: Token budget in thousandths of all tokens, used by the query; the pipeline stage takes ``whole_budget``.
 BUDGET_SHARE = 800
 #: Target weights; a node that is not named weighs 1.
 DOMAIN_WEIGHTS = {"web": 5, "books": 3, "forum": 2}
@@ -95,12 +95,30 @@ def leaf_quotas(leaves: DataFrame, budget: int, max_epochs: int = MAX_EPOCHS, do
     return _fill(low, ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "quota")
 
 
+def whole_budget(leaves: DataFrame, max_epochs: int = MAX_EPOCHS, domain_weights: dict[str, int] | None = None,
+                 language_weights: dict[str, int] | None = None, source_weights: dict[str, int] | None = None) -> int:
+    """A budget at which the quota of every leaf (domain, lang, source, tokens) with a weight is its tokens or more, so no
+    document is left out: at every node the least whole tokens a unit of weight that give each child what it needs."""
+    rows = leaves.withColumn("need", F.col("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
+    levels = (("source", ["domain", "lang"], source_weights), ("lang", ["domain"], language_weights), ("domain", [], domain_weights))
+    for node, parent, weights in levels:
+        rows = rows.withColumn("w", _weight(F.col(node), weights or {})).filter("w > 0")
+        rate = rows.groupBy(*parent).agg(F.max(F.expr("(need + w - 1) DIV w")).alias("rate"), F.collect_list(F.struct("cap", "w")).alias("of"),
+                                         F.sum("cap").alias("cap"))
+        rows = rate.select(*parent, "cap", F.expr("aggregate(of, 0L, (a, x) -> a + least(x.cap, rate * x.w))").alias("need"))
+    return rows.first()["need"] or 0
+
+
 def mixed(sizes: DataFrame, budget: int | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS,
-          carry: tuple[str, ...] = (), **weights) -> DataFrame:
-    """Every row of ``sizes`` (doc_id, domain, lang, source, n_tokens, ``carry``) with its leaf's quota and its copies."""
+          carry: tuple[str, ...] = (), whole: bool = False, **weights) -> DataFrame:
+    """Every row of ``sizes`` (doc_id, domain, lang, source, n_tokens, ``carry``) with its leaf's quota and its copies.
+    ``whole`` takes ``whole_budget`` for the budget."""
     leaves = written(sizes.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").cast("long").alias("tokens")), "mix-leaves")
-    total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    quotas = leaf_quotas(leaves, total * BUDGET_SHARE // 1000 if budget is None else budget, max_epochs, **weights)
+    if whole:
+        budget = whole_budget(leaves, max_epochs, **weights)
+    elif budget is None:
+        budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * BUDGET_SHARE // 1000
+    quotas = leaf_quotas(leaves, budget, max_epochs, **weights)
     names = ["domain", "lang", "source"]
     part = F.when(F.col("tokens") > 0, F.expr("quota DIV tokens")).otherwise(F.lit(max_epochs)).cast("long")
     quotas = quotas.withColumn("epochs", part).withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))

@@ -11,6 +11,7 @@ from tallyframe.llm import near_dedup
 
 from . import test_pipeline
 from .common_fixtures import SCHEMA
+from .test_mixing_whole import at_whole_budget
 
 MID = "/root/testdata/sf0.01"
 
@@ -75,7 +76,13 @@ def test_bounds_follow_from_the_rule():
 
 
 def test_run_equals_five_word_brute_force(spark, monkeypatch):
+    con = duckdb.connect()
+
+    class AtBudget:  # the query's SQL at the stage's budget, which follows from the documents left
+        MIX_CTES = property(lambda self: at_whole_budget(con, "docs"))
+
     monkeypatch.setattr(test_pipeline, "_components", _five_words)
+    monkeypatch.setattr(test_pipeline, "mixing", AtBudget())
     rows = corpus_pipeline.run(spark, test_pipeline.SF).collect()
     got = sorted((r.doc_id, r.lang, r.source, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in rows)
-    assert got == test_pipeline._brute(duckdb.connect())
+    assert got == test_pipeline._brute(con)
