@@ -487,10 +487,29 @@ def q_export_csv_roundtrip(spark, sf_dir):
                        F.col("amount").cast("double"))
 
 
+#: Records of a dropped import file at most.
+IMPORT_FILE_ROWS = 1_000_000
+
+
+def _drop_import_files(raw, path):
+    """Writes ``raw`` (with ``part`` and ``row_id``) as CSV files below ``path``, two layouts of two parts; the folders of the parts.
+    Ranges of (part, row_id) make the tasks and files, as many as the rows need; names ascend with row_id inside a part."""
+    from pyspark.sql import functions as F
+
+    other = [F.col("Amount").alias("amount"), F.col("Customer Name").alias("Party"), F.col("Date").alias("txn_date"),
+             F.col("Type").alias("Transaction Type"), F.col("Payment Mode").alias("Mode"), F.col("Bill No").alias("bill_no")]
+    same = [c for c in raw.columns if c not in ("part", "row_id")]
+    for k, cols in enumerate((same, other)):
+        rows = raw.where(F.col("part") % 2 == k).repartitionByRange("part", "row_id").sortWithinPartitions("part", "row_id")
+        out = rows.select(*cols, "part").write.option("header", True).option("maxRecordsPerFile", IMPORT_FILE_ROWS)
+        out.partitionBy("part").csv(f"{path}/layout{k}")
+    return [f"{path}/layout{p % 2}/part={p}" for p in range(4)]
+
+
 @query("import_csv_roundtrip")
 def q_import_csv_roundtrip(spark, sf_dir):
     """S2 + S9: the import file dropped as CSV files of two layouts (names and order of columns differ),
-    read back by name, imported; file and record of every row, accepted or not."""
+    read back by name, imported; part and record in the part's files of every row, accepted or not."""
     from pyspark.sql import functions as F
 
     from ..functions.dates import iso_text
@@ -501,15 +520,13 @@ def q_import_csv_roundtrip(spark, sf_dir):
 
     path = shared_work_dir(spark, "drop")
     raw = Books(spark, sf_dir).raw_import.withColumn("part", F.col("row_id") % 4)
-    other = [F.col("Amount").alias("amount"), F.col("Customer Name").alias("Party"), F.col("Date").alias("txn_date"),
-             F.col("Type").alias("Transaction Type"), F.col("Payment Mode").alias("Mode"), F.col("Bill No").alias("bill_no")]
-    same = [c for c in raw.columns if c not in ("part", "row_id")]
-    for k, cols in enumerate((same, other)):
-        rows = raw.where(F.col("part") % 2 == k).repartition("part").sortWithinPartitions("part", "row_id")
-        rows.select(*cols, "part").write.option("header", True).partitionBy("part").csv(f"{path}/layout{k}")
-    files = [f"{path}/layout{p % 2}/part={p}" for p in range(4)]
+    files = _drop_import_files(raw, path)
     clean = clean_import(io.read_import_csv(spark, files, multi_line=False), pivot_year=PIVOT_YEAR)
-    return clean.select(F.regexp_extract("file", "part=([0-9])", 1).alias("part"), "row_id", iso_text("txn_date").alias("date"), "party",
+    clean = clean.withColumn("part", F.regexp_extract("file", "part=([0-9])", 1))
+    # A part's files follow one another in row_order; its records are numbered on through them (the header is 1).
+    first = clean.groupBy("part").agg(F.min("row_order").alias("first"))
+    clean = clean.join(F.broadcast(first), "part").withColumn("row_id", F.col("row_order") - F.col("first") + 2)
+    return clean.select("part", "row_id", iso_text("txn_date").alias("date"), "party",
                         F.col("txn_type").alias("type"), F.col("amount").cast("double").alias("amount"), "reason")
 
 
