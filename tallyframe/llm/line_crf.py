@@ -7,7 +7,9 @@ bytes, is the document's quality.
 
 The field is fitted on at most ``SAMPLE`` labelled documents (those of lowest hash of the id; a
 document's label is the label of its lines) and scores every document in one pass without a
-shuffle. Only the text enters a score. The model is a few hundred numbers.
+shuffle. Only the text enters a score. The model is a few hundred numbers; it is fitted in one task, of at most
+``SAMPLE_LINES`` lines, and only it comes to the driver. Documents of the sample are taken whole, in the order
+of the hash; one whose lines would pass the bound is left out of the sample (never out of the scores).
 
 Cases: a text without a line (null, empty, blank) scores the share of good documents in the
 sample; an empty table gives an empty result; without labels of both kinds every score is that
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import documents, map_arrow, text_or_empty
 
 SAMPLE = 4000
+#: Lines of the sample at most, all its documents together (18 bytes of bins a line).
+SAMPLE_LINES = 1_000_000
 ROUNDS = 120
 RATE = 0.1
 L2 = 1e-4
@@ -169,26 +173,10 @@ def fit(bins: np.ndarray, starts: np.ndarray, labels: np.ndarray, prior: float,
     return LineField(*params, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> LineField:
-    """Fit on at most ``sample`` documents with a label (doc_id, quality)."""
-    chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("_raw")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-
-    def features(batches):
-        for batch in batches:
-            raw = batch.column("_raw").to_pylist()
-            found = [line_features([t])[0] for t in raw]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array([f.tobytes() for f in found], pa.binary())],
-                ["doc_id", "quality", "bins"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    found = map_arrow(rows.select("doc_id", "quality", "_raw"), features, f"doc_id {kind}, quality int, bins binary")
-    found = found.dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r.doc_id)
-    prior = float(np.mean([r.quality for r in found])) if found else 0.5
-    parts = [(np.frombuffer(r.bins, np.int16).reshape(-1, len(BINS)), r.quality) for r in found if r.bins]
+def fit_sample(found: list[tuple[int, bytes]], rounds: int = ROUNDS) -> LineField:
+    """The field fitted to documents given by label and bins."""
+    prior = float(np.mean([q for q, _ in found])) if found else 0.5
+    parts = [(np.frombuffer(b, np.int16).reshape(-1, len(BINS)), q) for q, b in found if b]
     if len({q for _, q in parts}) < 2:
         zero = np.zeros((N_FEATURES, 2))
         lean = zero.copy()
@@ -200,6 +188,43 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     return fit(bins, starts, np.repeat([q for _, q in parts], [len(p) for p, _ in parts]), prior, rounds)
 
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, lines: int = SAMPLE_LINES) -> LineField:
+    """Fit on at most ``sample`` documents with a label (doc_id, quality), of at most ``lines`` lines together, in one task."""
+    chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("_raw")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+
+    def features(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):  # a row at a time: texts may be very long
+                part = batch.slice(at, 1)
+                bins = line_features(part.column("_raw").to_pylist())[0]
+                if len(bins) <= lines:
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([bins.tobytes()], pa.binary()),
+                                                      pa.array([len(bins)], pa.int64())], ["doc_id", "quality", "bins", "n"])
+
+    def weights(batches):
+        found, room = [], lines
+        for batch in batches:
+            for i, q, b, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "quality", "bins", "n")), strict=True):
+                if n <= room:
+                    found.append((i, q, b))
+                    room -= n
+        field = fit_sample([r[1:] for r in sorted(found, key=lambda r: r[0])], rounds)
+        arrays = [field.own, field.before, field.after, field.chain, np.array([field.prior])]
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel() for a in arrays]).tobytes()], pa.binary())], ["weights"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    found = map_arrow(rows.select("doc_id", "quality", "_raw"), features, f"doc_id {kind}, quality int, bins binary, n long")
+    found = found.dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    got = map_arrow(found, weights, "weights binary").collect()  # one row
+    if not got:  # no document with a label
+        return fit_sample([])
+    flat, size = np.frombuffer(got[0].weights).copy(), 2 * N_FEATURES
+    own, before, after = (flat[k * size : (k + 1) * size].reshape(N_FEATURES, 2) for k in range(3))
+    return LineField(own, before, after, flat[3 * size : 3 * size + 4].reshape(2, 2), float(flat[-1]))
+
+
 def score(docs: DataFrame, field: LineField, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score`` of every document."""
     from pyspark.sql import types as T
