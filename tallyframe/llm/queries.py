@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_blocks, line_crf, mixing, near_dedup, quality_rules, suffix_dedup, token_counts, token_files
+from . import (
+    bpe, exact_dedup, html_blocks, line_crf, mixing, near_dedup, quality_rules, spelling_groups, suffix_dedup, token_counts,
+    token_files,
+)
 
 
 def registry() -> dict:
@@ -17,6 +20,7 @@ def registry() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op9_html_blocks": html_blocks.op9_html_blocks,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op13_spelling_groups": spelling_groups.op13_spelling_groups,
     }
 
 
@@ -25,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.OP1_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_quality_rules": quality_rules.OP7_SQL,
+        "op13_spelling_groups": spelling_groups.OP13_SQL,
     }
