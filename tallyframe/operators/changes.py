@@ -21,7 +21,7 @@ from ..functions.money import py_float_text
 from ..functions.dates import iso_text
 from ..session import materialized
 from ..sources.schemas import MONEY, TRANSACTIONS
-from .running import DEFAULT_BLOCKS, dense_number, number_where, previous_value
+from .running import HOT_ROWS, dense_number, number_where, previous_value
 
 
 @dataclass
@@ -55,7 +55,7 @@ def add_transactions(tx: DataFrame, parties: DataFrame, adds: DataFrame) -> Chan
     checked = j.select("seq", when.alias("txn_date"), "bill_no", F.col("__pid").alias("party_id"),
                        "txn_type", F.col("mode").alias("payment_mode"), amount.alias("amount"),
                        reason.alias("reason"))
-    checked = materialized(checked, "adds-checked")  # numbering reads it three times
+    checked = materialized(checked, "adds-checked")  # read by every branch of the numbering
     outcome = number_where(checked, F.col("reason").isNull(), "seq", "txn_id", start=_scalar_max(tx, "txn_id"))
     outcome = outcome.select("seq", "txn_id", "txn_date", "bill_no", "party_id", "txn_type", "payment_mode",
                              "amount", "reason")
@@ -113,7 +113,7 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
                .when(F.col("__bank_blocked"), F.lit(BANK_MSG))
                .when(F.col("__exists") | (F.col("seq") != F.col("__first_ok")), F.lit(DUP_PARTY_MSG)))
     checked = materialized(c.withColumn("reason", reason).select("seq", "name", "__key", "ptype", "credit", "reason"),
-                           "creates-checked")  # numbering reads it three times
+                           "creates-checked")  # read by every branch of the numbering
     numbered = number_where(checked, F.col("reason").isNull(), "seq", "party_id",
                             start=_scalar_max(parties, "party_id"))
     outcome = numbered.select("seq", "party_id", "name", F.col("__key").alias("normalized_name"),
@@ -139,13 +139,14 @@ def _typed(field: str, text: Column) -> Column:
     return text
 
 
-def edit_transactions(tx: DataFrame, edits: DataFrame, blocks: int = DEFAULT_BLOCKS) -> ChangeResult:
+def edit_transactions(tx: DataFrame, edits: DataFrame, hot_rows: int = HOT_ROWS, parts: int | None = None) -> ChangeResult:
     """M3: edits (seq, txn_id, admin_user, field, new_value).
 
     A field outside the white list, an unknown id, an empty value or a value that does not
     read as the field's type is rejected. For each (txn_id, field) the last edit by ``seq``
     wins; each applied edit is audited with the value it replaced, which is the previous
-    applied edit's value or the table's value (``None`` when null).
+    applied edit's value or the table's value (``None`` when null). The checked batch is written once
+    below ``spark.checkpoint.dir`` when called.
     """
     # One join with the table both validates the id and brings the current values as text
     # (for the audit's "from" part).
@@ -166,13 +167,14 @@ def edit_transactions(tx: DataFrame, edits: DataFrame, blocks: int = DEFAULT_BLO
                       else table_text.when(F.col("field") == f, F.col(f"__old_{f}")))
     checked = e.withColumn("reason", reason).withColumn("__table_text", table_text).drop(
         "__found", *[f"__old_{f}" for f in X.EDITABLE_FIELDS])
+    checked = materialized(checked, "edits-checked")
     ok = checked.where(F.col("reason").isNull())
 
     # The next edit replaces what this one stored, so carry the stored value's text.
     stored = F.col("new_value")
     for f in ("txn_date", "amount"):
         stored = F.when(F.col("field") == f, X.py_str(_typed(f, F.col("new_value")))).otherwise(stored)
-    prev = previous_value(ok.withColumn("__stored", stored), ["txn_id", "field"], "seq", "__stored", "__prev", blocks)
+    prev = previous_value(ok.withColumn("__stored", stored), ["txn_id", "field"], "seq", "__stored", "__prev", hot_rows, parts)
     audit = prev.select(
         "seq", F.col("admin_user").alias("username"), F.lit("Edit Transaction").alias("action"),
         F.concat(F.lit("Changed "), F.col("field"), F.lit(" from "),
@@ -337,8 +339,8 @@ def seed_if_absent(settings: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def audit_append(audit: DataFrame, rows: DataFrame, company: str | None = None) -> DataFrame:
     """M8: append (username, action, details[, company]) with new ids after the log's
-    largest; a missing company is the current company, else ``default``. ``rows`` is read three
-    times: hand in a written table (``session.materialized``) when it ends a costly plan."""
+    largest; a missing company is the current company, else ``default``. ``rows`` is read twice
+    when called: hand in a written table (``session.materialized``) when it ends a costly plan."""
     comp = F.lit(company or "default")
     r = rows
     if "company" not in r.columns:

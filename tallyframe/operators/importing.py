@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..functions import text as X
 from ..functions.dates import iso_text, parse_day_first
+from ..session import materialized
 from ..sources.schemas import MONEY
 from .running import dense_number
 
@@ -33,6 +34,10 @@ PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 NEW_PARTY_TYPE = "Customer"
 
 
+def _known_cell(cell: Column) -> Column:
+    return F.when(~cell.isin(PANDAS_NA_TOKENS), cell)
+
+
 def na_tokens_to_null(df: DataFrame, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Q20: map the missing-value tokens of a pandas reader to null in every text column."""
     return df.select(*[
@@ -43,8 +48,12 @@ def na_tokens_to_null(df: DataFrame, keep: tuple[str, ...] = ("row_id",)) -> Dat
 
 
 def first_present(df: DataFrame, aliases: list[str], default: Column | None = None) -> Column:
-    """coalesce over the alias columns that exist in this file, then the default."""
-    cols = [F.col(f"`{a}`").cast("string") for a in aliases if a in df.columns]
+    """coalesce over the alias columns that exist in this file, then the default. Records of import files have
+    their cells in a map, by the exact names of their file's header."""
+    if "cells" in df.columns:
+        cols = [_known_cell(F.col("cells")[a]) for a in aliases]
+    else:
+        cols = [F.col(f"`{a}`").cast("string") for a in aliases if a in df.columns]
     if default is not None:
         cols.append(default)
     if not cols:
@@ -65,14 +74,16 @@ class ImportResult:
 
     def with_ids(self, last_party: int | None = None, last_txn: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(new parties with ``party_id``, accepted rows with ``party_id`` and ``txn_id``),
-        numbered after the largest existing ids (or the given ones) in (file, record) order (W6)."""
+        numbered after the largest existing ids (or the given ones) in (file, record) order (W6). Both are written
+        once below ``spark.checkpoint.dir`` when called."""
         max_party = (F.lit(last_party) if last_party is not None
                      else self.parties.select(F.coalesce(F.max("party_id"), F.lit(0))).scalar())
-        parties = dense_number(self.new_parties, "first_row", "party_id", start=max_party).select(
+        parties = dense_number(materialized(self.new_parties, "import-parties"), "first_row", "party_id", start=max_party).select(
             "party_id", "name", "normalized_name", "type", "credit_allowed")
         known = self.parties.select(F.col("normalized_name").alias("party_key"), "party_id")
         ids = known.unionByName(parties.select(F.col("normalized_name").alias("party_key"), "party_id"))
-        resolved = self.accepted.join(ids, "party_key", "inner")
+        # Numbering reads its rows twice (cuts, then rows), so the joined rows are written first.
+        resolved = materialized(self.accepted.join(ids, "party_key", "inner"), "import-resolved")
         max_txn = F.lit(last_txn) if last_txn is not None else (self.transactions.select(F.coalesce(F.max("txn_id"), F.lit(0))).scalar()
                    if self.transactions is not None else F.lit(0))
         accepted = dense_number(resolved, "row_order", "txn_id", start=max_txn)
@@ -80,9 +91,10 @@ class ImportResult:
 
 
 def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None) -> DataFrame:
-    """One cleaned row per input row, with ``reason`` set on the
-    first failing check (missing date, invalid date, missing party, an amount too large for the
-    column) and null otherwise."""
+    """One cleaned row per input row (columns by name, or records of
+    ``io.read_import_records``), with ``reason`` set on the
+    first failing check (a record that is not whole, missing date, invalid date, missing party, an amount too
+    large for the column) and null otherwise."""
     date_raw = first_present(raw, DATE_ALIASES)
     party = first_present(raw, PARTY_ALIASES)
     bill = first_present(raw, BILL_ALIASES, F.lit(""))
@@ -94,6 +106,7 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
         F.col("row_id"),
         (F.col("file") if "file" in raw.columns else F.lit(None).cast("string")).alias("file"),
         (F.col("row_order") if "row_order" in raw.columns else F.col("row_id")).cast("long").alias("row_order"),
+        (F.col("problem") if "problem" in raw.columns else F.lit(None).cast("string")).alias("__problem"),
         date_raw.alias("__date_raw"),
         parse_day_first(date_raw, iso=iso, pivot_year=pivot_year).alias("txn_date"),
         bill.alias("bill_no"),
@@ -104,7 +117,8 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
     # A filter on a generator's output stays above it.
     first = first.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in first.columns]))))
     d, p, t, m, a = (F.col(c) for c in ("__date_raw", "party", "__type", "__mode", "__amount"))
-    reason = (F.when(d.isNull() | (d == ""), F.lit("Missing date"))
+    reason = (F.when(F.col("__problem").isNotNull(), F.col("__problem"))
+               .when(d.isNull() | (d == ""), F.lit("Missing date"))
                .when(F.col("txn_date").isNull(), F.concat(F.lit("Invalid date format: "), d))
                .when(p.isNull() | (p == ""), F.lit("Missing party name"))
                .when(M.amount_out_of_range(a), F.concat(F.lit("Amount out of range: "), a)))
@@ -132,8 +146,6 @@ def import_transactions(raw: DataFrame, parties: DataFrame, transactions: DataFr
     """
     cleaned = clean_import(raw, iso=iso, pivot_year=pivot_year)
     if materialize:
-        from ..session import materialized
-
         cleaned = materialized(cleaned, "import-cleaned")
     ok = cleaned.where(F.col("reason").isNull())
     rejected = cleaned.where(F.col("reason").isNotNull()).select("file", "row_id", "row_order", "reason")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..functions import text as X
 from ..functions.dates import iso_text
-from .running import DEFAULT_BLOCKS, HOT_ROWS, running_total
+from .running import HOT_ROWS, running_total
 
 
 def _date_range(tx: DataFrame, start: str | None, end: str | None) -> DataFrame:
@@ -35,14 +35,14 @@ def _known_party_rows(tx: DataFrame, parties: DataFrame, party_key: str | None =
 
 
 def party_ledger(tx: DataFrame, parties: DataFrame, start: str | None = None,
-                 end: str | None = None, blocks: int = DEFAULT_BLOCKS,
-                 hot_rows: int = HOT_ROWS, party_key: str | None = None) -> DataFrame:
+                 end: str | None = None, hot_rows: int = HOT_ROWS,
+                 parts: int | None = None, party_key: str | None = None) -> DataFrame:
     """Balance starts at 0 inside the date range; exact ``Sale`` adds, everything else
     subtracts. All parties at once, or one with ``party_key``."""
     rows = _known_party_rows(_date_range(tx, start, end), parties, party_key)
     amt = M.zero_if_null("amount")
     signed = F.when(F.col("txn_type") == "Sale", amt).otherwise(-amt)
-    out = running_total(rows, signed, "balance", ["party_id"], "txn_date", "txn_id", blocks, hot_rows)
+    out = running_total(rows, signed, "balance", ["party_id"], "txn_date", "txn_id", hot_rows, parts)
     return out.select(
         "party_id", F.col("txn_id").alias("id"), iso_text("txn_date").alias("date"),
         F.coalesce(F.col("bill_no"), F.lit("")).alias("bill_no"),
@@ -51,8 +51,8 @@ def party_ledger(tx: DataFrame, parties: DataFrame, start: str | None = None,
 
 
 def ledger_statement(tx: DataFrame, parties: DataFrame, start: str | None = None,
-                     end: str | None = None, blocks: int = DEFAULT_BLOCKS,
-                     hot_rows: int = HOT_ROWS, party_key: str | None = None) -> DataFrame:
+                     end: str | None = None, hot_rows: int = HOT_ROWS,
+                     parts: int | None = None, party_key: str | None = None) -> DataFrame:
     """The client's statement: debit / credit columns and a ``Dr`` / ``Cr`` balance label.
 
     Its sign rule differs from W1: only receipt, reciept and sale return (lower-trimmed)
@@ -63,7 +63,7 @@ def ledger_statement(tx: DataFrame, parties: DataFrame, start: str | None = None
     on_credit = F.lower(X.py_strip(F.coalesce(F.col("txn_type"), F.lit("")))).isin(X.CREDIT_SIDE_TYPES)
     signed = F.when(on_credit, -amt).otherwise(amt)
     out = running_total(rows.withColumn("__credit", on_credit), signed, "balance",
-                        ["party_id"], "txn_date", "txn_id", blocks, hot_rows)
+                        ["party_id"], "txn_date", "txn_id", hot_rows, parts)
     c = F.col("__credit")
     return out.select(
         "party_id", F.col("txn_id").alias("id"), iso_text("txn_date").alias("date"),
@@ -85,16 +85,16 @@ def account_rows(tx: DataFrame, parties: DataFrame, mode: str) -> DataFrame:
 
 
 def account_statement(tx: DataFrame, parties: DataFrame, mode: str,
-                      blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                      hot_rows: int = HOT_ROWS, parts: int | None = None) -> DataFrame:
     """One account's debit (exact Sale / Receipt) and credit (all else), running over the
-    whole account. The prefix sum by day and block of ids keeps this parallel (no single-task window)."""
+    whole account: days carry to the next, and days of more than ``hot_rows`` rows are ranged (no single-task window)."""
     rows = account_rows(tx, parties, mode)
     amt = M.zero_if_null("amount")
     is_in = F.col("txn_type").isin("Sale", "Receipt")
     is_in = F.coalesce(is_in, F.lit(False))
     signed = F.when(is_in, amt).otherwise(-amt)
     out = running_total(rows.withColumn("__in", is_in), signed, "balance", [], "txn_date",
-                        "txn_id", blocks)
+                        "txn_id", hot_rows, parts)
     i = F.col("__in")
     zero = F.lit(0).cast(M.MONEY)
     return out.select(

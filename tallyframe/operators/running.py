@@ -1,20 +1,15 @@
-"""Running totals and numbering that stay parallel when one account, day or party is very large.
-
-A plain ``sum(x).over(Window.partitionBy(p).orderBy(date, id))`` sends every row of a
-partition to one task, and with no ``partitionBy`` (a whole-account statement) the whole
-table. ``running_total`` sums in levels instead:
-
-1. totals per (partition, day), whose ordered window gives the carry of all days before; it
-   sees one row per day, so a partition's window is bounded by the calendar;
-2. inside a day, totals per block of ids, whose window gives the carry of the blocks before; a
-   block is a range of ids cut at ``blocks - 1`` quantiles of the ids, so there are at most
-   ``blocks`` of them however dense or sparse the ids are;
-3. rows join their carry and add a window sum inside (partition, day, block), the one shuffle of
-   rows.
-
-With ``partition_by`` this costs more exchanges than a plain window, so only *hot* partitions
-(more than ``hot_rows`` rows, found by one aggregate) take it; the others use the plain
-window per partition. The result is the same either way.
+"""Running totals, numbering and previous values that stay parallel when one account, day or party is very large.
+
+A plain ``sum(x).over(Window.partitionBy(p).orderBy(date, id))`` sends every row of a partition to one task, and with no
+``partitionBy`` the whole table. Here a partition of at most ``hot_rows`` rows takes that window; larger ones are *ranged*:
+
+1. the rows are range-partitioned and sorted by (partition, order) and written once with their place, so every later step
+   sees the same ranges; a range is a block, and there are as many as the rows need;
+2. totals per (partition, block), one row each, whose window gives the carry of the blocks before;
+3. rows join their carry and add a window sum inside (partition, block).
+
+A whole-account balance has days for partitions: day totals (bounded by the calendar) carry from day to day. Numbers need
+no window over rows at all: a row's number is the count of the blocks before it and its place in its own.
 """
 
 from __future__ import annotations
@@ -22,122 +17,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 1024
+from ..session import materialized
+
 HOT_ROWS = 1 << 20
+#: Bits of a row's place in ``monotonically_increasing_id``; the number of its partition stands above them.
+PLACE_BITS = 33
+
 
+def ranged(df: DataFrame, keys: list[str], parts: int | None = None, name: str = "ranged") -> DataFrame:
+    """``df`` in order of ``keys`` over ``parts`` ranges (Spark's own number, if not given), written once, with ``__blk`` (the
+    range) and ``__pos`` (the row's place in it)."""
+    x = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    x = x.sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id())
+    x = materialized(x, name)
+    return x.withColumn("__blk", F.shiftright("__mid", PLACE_BITS)).withColumn(
+        "__pos", F.col("__mid").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).drop("__mid")
 
-def _cut(df: DataFrame, col: str, out: str, blocks: int) -> DataFrame:
-    """Add ``out``: the number of the range of ``col`` (a whole number) that the row falls in, of at
-    most ``blocks`` ranges of about equal rows. The cuts are one small aggregate, read as a
-    scalar subquery; the place among them is found by binary search."""
-    shares = [k / blocks for k in range(1, blocks)]
-    cuts = df.select(F.percentile_approx(F.col(col), shares, 10 * blocks)).scalar()
-    x = df.withColumn("__cuts", cuts).withColumn("__x", F.col(col))
-    steps = max(1, blocks.bit_length() + 1)
-    found = F.expr(f"""aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(__cuts)), (a, i) ->
-        CASE WHEN a.lo >= a.hi THEN a
-             WHEN __cuts[CAST((a.lo + a.hi) DIV 2 AS INT)] < __x
-             THEN named_struct('lo', CAST((a.lo + a.hi) DIV 2 AS INT) + 1, 'hi', a.hi)
-             ELSE named_struct('lo', a.lo, 'hi', CAST((a.lo + a.hi) DIV 2 AS INT)) END).lo""")
-    return x.withColumn(out, F.when(F.col("__cuts").isNull(), 0).otherwise(found)).drop("__cuts", "__x")
-
-
-def _split_total(x: DataFrame, v: str, out: str, partition_by: list[str], date_col: str | None, id_col: str,
-                 blocks: int) -> DataFrame:
-    """The levels above. Null dates come first, as in an ascending SQL order."""
-    x = _cut(x, id_col, "__blk", blocks)
-    day = []
-    if date_col:
-        # Non-null stand-ins, so that the joins and the window below share one partitioning.
-        x = x.withColumn("__dated", F.col(date_col).isNotNull()).withColumn(
-            "__day", F.coalesce(F.col(date_col), F.lit("1970-01-01").cast(x.schema[date_col].dataType)))
-        day = ["__dated", "__day"]
-    keys = [*partition_by, *day, "__blk"]
-    zero = F.lit(0).cast(x.schema[v].dataType)
-    sums = x.groupBy(*keys).agg(F.sum(v).alias("__sum"))
-
-    def before(by: list[str], order: list[str]) -> Window:
-        return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-    # Blocks inside a day (or inside a partition, where there are no days): at most ``blocks`` rows a window.
-    carry = sums.withColumn("__carry", F.coalesce(F.sum("__sum").over(before([*partition_by, *day], ["__blk"])), zero))
-    if day:
-        # One row a day: bounded by the calendar.
-        days = sums.groupBy(*partition_by, *day).agg(F.sum("__sum").alias("__dsum"))
-        days = days.select(*partition_by, *day, F.coalesce(F.sum("__dsum").over(before(partition_by, day)), zero).alias("__dcarry"))
-        carry = carry.join(days, [*partition_by, *day]).withColumn("__carry", F.col("__carry") + F.col("__dcarry"))
-    rows = x.join(carry.select(*keys, "__carry"), keys)
-    inside = Window.partitionBy(*keys).orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, (F.col("__carry") + F.sum(v).over(inside)).cast(_sum_type(x, v))).drop("__blk", "__carry", *day)
+
+def _before(by: list[str], order: list[str]) -> Window:
+    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _ranged_total(x: DataFrame, v: str, out: str, keys: list[str], order: list[str], parts: int | None) -> DataFrame:
+    """The levels above for the partitions ``keys``."""
+    r = ranged(x, [*keys, *order], parts, "running-rows")
+    sums = r.groupBy(*keys, "__blk").agg(F.sum(v).alias("__sum"))
+    carry = sums.select(*keys, "__blk", F.sum("__sum").over(_before(keys, ["__blk"])).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__blk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = r.join(carry, [*keys, "__blk"])
+    total = F.coalesce(F.col("__carry"), F.lit(0)) + F.sum(v).over(inside)
+    return rows.withColumn(out, total.cast(_sum_type(x, v))).drop("__blk", "__pos", "__carry")
 
 
 def _sum_type(x: DataFrame, v: str):
     return x.select(F.sum(v).alias("s")).schema["s"].dataType
 
 
-def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str], date_col: str | None,
-                  id_col: str, blocks: int = DEFAULT_BLOCKS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over the rows of the same partition up to this row,
-    ordered by (``date_col``, ``id_col``); ``id_col`` must be a whole number, unique and non-null within
-    a partition, ``partition_by`` columns non-null, and ``date_col`` may be None (order by
-    the id alone) or hold nulls (they come first). With ``partition_by`` one aggregate runs when
-    called, to find the hot partitions."""
-    v = "__v"
-    x = df.withColumn(v, value)
-    if not partition_by:
-        return _split_total(x, v, out, [], date_col, id_col, blocks).drop(v)
+def _total(x: DataFrame, v: str, out: str, keys: list[str], order: list[str], sizes: DataFrame, hot_rows: int,
+           parts: int | None) -> DataFrame:
+    """Running sums of ``v`` inside the partitions ``keys`` (non-null); ``sizes`` has their rows as ``__n``."""
     # At most rows / hot_rows partitions are hot, so their keys are few: they are broadcast.
-    hot = F.broadcast(x.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-                      .select(*partition_by))
+    hot = F.broadcast(sizes.where(F.col("__n") > hot_rows).select(*keys))
     found = hot.limit(1).count() > 0
-    cold = x.join(hot, partition_by, "left_anti") if found else x
-    order = ([F.col(date_col).asc_nulls_first()] if date_col else []) + [F.col(id_col)]
-    plain = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cold = x.join(hot, keys, "left_anti") if found else x
+    plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cold = cold.withColumn(out, F.sum(v).over(plain))
     if not found:
-        return cold.drop(v)
-    split = _split_total(x.join(hot, partition_by, "left_semi"), v, out, partition_by, date_col, id_col, blocks)
-    return cold.unionByName(split.select(*cold.columns)).drop(v)
+        return cold
+    split = _ranged_total(x.join(hot, keys, "left_semi"), v, out, keys, order, parts)
+    return cold.unionByName(split.select(*cold.columns))
 
 
-def number_where(df: DataFrame, cond: Column, order_col: str, out: str, start: Column | int = 0,
-                 blocks: int = DEFAULT_BLOCKS) -> DataFrame:
-    """W6 over a mixed batch: rows where ``cond`` holds get start + 1, start + 2, ... in
-    ``order_col`` order; the other rows keep ``out`` null. One pass over all rows (a
-    running count of accepted rows), so accepted and rejected requests stay one frame.
-    ``df`` is read three times; hand in a written table when its plan is costly."""
-    counted = running_total(df.withColumn("__ok", F.coalesce(cond, F.lit(False))),
-                            F.when(F.col("__ok"), F.lit(1)).otherwise(F.lit(0)).cast("long"),
-                            out, [], None, order_col, blocks)
-    base = start if isinstance(start, Column) else F.lit(start)
-    return counted.withColumn(out, F.when(F.col("__ok"), (base + F.col(out)).cast("long"))).drop("__ok")
+def _dated(x: DataFrame, date_col: str) -> tuple[DataFrame, list[str]]:
+    """``x`` with two non-null columns in the order of ``date_col``, nulls first, and their names."""
+    day = F.coalesce(F.col(date_col), F.lit("1970-01-01").cast(x.schema[date_col].dataType))
+    return x.withColumn("__dated", F.col(date_col).isNotNull()).withColumn("__day", day), ["__dated", "__day"]
 
 
-def dense_number(df: DataFrame, order_col: str, out: str, start: Column | int = 0,
-                 blocks: int = DEFAULT_BLOCKS) -> DataFrame:
-    """``out`` = start + 1, start + 2, ... in ``order_col`` order (a whole number, unique,
-    non-null), without a window over all rows: a running count in two levels, over at most ``blocks``
-    rows first. ``df`` is read three times; hand in a written table when its plan is costly."""
-    numbered = running_total(df, F.lit(1).cast("long"), out, [], None, order_col, blocks)
+def running_total(df: DataFrame, value: Column, out: str, partition_by: list[str], date_col: str,
+                  id_col: str, hot_rows: int = HOT_ROWS, parts: int | None = None) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over the rows of the same partition up to this row, ordered by (``date_col``,
+    ``id_col``); ``id_col`` must be unique and non-null within a partition, ``partition_by`` columns non-null;
+    null dates come first. Without ``partition_by`` the whole table is one account. One aggregate runs when called: it
+    finds the hot partitions, and gives a whole account its day totals."""
+    v = "__v"
+    x, day = _dated(df.withColumn(v, value), date_col)
+    if partition_by:
+        sizes = x.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__n"))
+        return _total(x, v, out, partition_by, [*day, id_col], sizes, hot_rows, parts).drop(v, *day)
+    days = x.groupBy(*day).agg(F.sum(v).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    days = materialized(days, "day-totals")  # one row a day
+    carry = days.select(*day, F.coalesce(F.sum("__sum").over(_before([], day)), F.lit(0)).alias("__carry"))
+    rows = _total(x, v, "__inside", day, [id_col], days, hot_rows, parts).join(carry, day)
+    total = (F.col("__carry") + F.col("__inside")).cast(_sum_type(x, v))
+    return rows.withColumn(out, total).drop(v, "__inside", "__carry", *day)
+
+
+def dense_number(df: DataFrame, order_col: str, out: str, start: Column | int = 0, parts: int | None = None) -> DataFrame:
+    """``out`` = start + 1, start + 2, ... in ``order_col`` order (unique, non-null). The rows are written once when called, in
+    that order; ``df`` is read twice (once for the cuts of the ranges): hand in a written table when its plan is costly."""
+    r = ranged(df, [order_col], parts, "numbered-rows")
+    before = r.groupBy("__blk").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__blk", F.coalesce(F.sum("__n").over(_before([], ["__blk"])), F.lit(0)).alias("__before"))
     base = start if isinstance(start, Column) else F.lit(start)
-    return numbered.withColumn(out, (base + F.col(out)).cast("long"))
-
-
-def previous_value(df: DataFrame, partition_by: list[str], order_col: str, value_col: str,
-                   out: str, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
-    """``out`` = ``value_col`` of the previous row (by ``order_col``, a unique whole number) of the same
-    partition (non-null partition columns), null for the first. Two levels: a lag inside blocks
-    of ``order_col``, and for a block's first row the last value of the block before it,
-    taken from one summary row per block (at most ``blocks`` in a partition)."""
-    x = _cut(df, order_col, "__pblk", blocks)
-    keys = [*partition_by, "__pblk"]
-    last_of_block = x.groupBy(*keys).agg(F.max_by(value_col, order_col).alias("__last"))
-    w_b = Window.partitionBy(*partition_by).orderBy("__pblk")
-    carry = last_of_block.select(*keys, F.lag("__last").over(w_b).alias("__carry"))
-    # partition_by columns are non-null here, so this is a plain equi-join on the block key
-    # and the in-block window below reuses its partitioning.
-    j = x.join(carry, keys, "inner")
-    w_r = Window.partitionBy(*keys).orderBy(order_col)
-    first_in_block = F.row_number().over(w_r) == 1
-    return j.withColumn(out, F.when(first_in_block, F.col("__carry"))
-                        .otherwise(F.lag(value_col).over(w_r))).drop("__pblk", "__carry")
+    number = (base + F.col("__before") + F.col("__pos") + 1).cast("long")
+    return r.join(before, "__blk").withColumn(out, number).drop("__blk", "__pos", "__before")
+
+
+def number_where(df: DataFrame, cond: Column, order_col: str, out: str, start: Column | int = 0,
+                 parts: int | None = None) -> DataFrame:
+    """W6 over a mixed batch: rows where ``cond`` holds get start + 1, start + 2, ... in ``order_col`` order; the other
+    rows keep ``out`` null. Hand in a written table: it is read for either kind."""
+    ok = F.coalesce(cond, F.lit(False))
+    rest = df.where(~ok).withColumn(out, F.lit(None).cast("long"))
+    return dense_number(df.where(ok), order_col, out, start, parts).unionByName(rest)
+
+
+def previous_value(df: DataFrame, partition_by: list[str], order_col: str, value_col: str, out: str,
+                   hot_rows: int = HOT_ROWS, parts: int | None = None) -> DataFrame:
+    """``out`` = ``value_col`` of the previous row (by ``order_col``, unique) of the same partition (non-null columns), null
+    for the first. Hot partitions are ranged: a lag inside blocks, and for a block's first row the last value of the
+    block before it. ``df`` is read twice; hand in a written table when its plan is costly."""
+    hot = F.broadcast(df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*partition_by))
+    found = hot.limit(1).count() > 0
+    cold = df.join(hot, partition_by, "left_anti") if found else df
+    cold = cold.withColumn(out, F.lag(value_col).over(Window.partitionBy(*partition_by).orderBy(order_col)))
+    if not found:
+        return cold
+    r = ranged(df.join(hot, partition_by, "left_semi"), [*partition_by, order_col], parts, "previous-rows")
+    keys = [*partition_by, "__blk"]
+    last = r.groupBy(*keys).agg(F.max_by(value_col, "__pos").alias("__last"))
+    carry = last.select(*keys, F.lag("__last").over(Window.partitionBy(*partition_by).orderBy("__blk")).alias("__carry"))
+    inside = Window.partitionBy(*keys).orderBy("__pos")
+    rows = r.join(carry, keys).withColumn(out, F.when(F.row_number().over(inside) == 1, F.col("__carry"))
+                                          .otherwise(F.lag(value_col).over(inside)))
+    return cold.unionByName(rows.select(*cold.columns))

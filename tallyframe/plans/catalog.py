@@ -182,12 +182,12 @@ def q_audit_trail(spark, sf_dir):
 
 # ---- import and entry validation --------------------------------------------------------
 
-def _import(spark, sf_dir):
+def _import(spark, sf_dir, materialize=False):
     from ..operators.importing import import_transactions
     from ..sources.fixtures import PIVOT_YEAR
 
     b = Books(spark, sf_dir)
-    return import_transactions(b.raw_import, b.parties, b.transactions, pivot_year=PIVOT_YEAR)
+    return import_transactions(b.raw_import, b.parties, b.transactions, pivot_year=PIVOT_YEAR, materialize=materialize)
 
 
 @query("import_accepted")
@@ -482,7 +482,7 @@ def q_export_csv_roundtrip(spark, sf_dir):
     report = b.transactions.join(b.parties.select("party_id", F.col("name").alias("party")), "party_id").select(
         "party_id", F.col("txn_id").alias("id"), F.col("txn_date").cast("string").alias("date"), "bill_no", "party", "amount")
     io.export_report_csv(report, path, sheet_col="party", key_col="party_id", order_by=["date", "id"])
-    back = spark.read.option("header", True).csv(path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return back.select("sheet", F.col("party_id").cast("long"), F.col("id").cast("long"), "date", "bill_no", "party",
                        F.col("amount").cast("double"))
 
@@ -491,18 +491,29 @@ def q_export_csv_roundtrip(spark, sf_dir):
 IMPORT_FILE_ROWS = 1_000_000
 
 
-def _drop_import_files(raw, path):
-    """Writes ``raw`` (with ``part`` and ``row_id``) as CSV files below ``path``, two layouts of two parts; the folders of the parts.
-    Ranges of (part, row_id) make the tasks and files, as many as the rows need; names ascend with row_id inside a part."""
+def _layouts(raw):
+    """Two layouts of the import file: names and order of columns differ."""
     from pyspark.sql import functions as F
 
     other = [F.col("Amount").alias("amount"), F.col("Customer Name").alias("Party"), F.col("Date").alias("txn_date"),
              F.col("Type").alias("Transaction Type"), F.col("Payment Mode").alias("Mode"), F.col("Bill No").alias("bill_no")]
-    same = [c for c in raw.columns if c not in ("part", "row_id")]
-    for k, cols in enumerate((same, other)):
+    return [c for c in raw.columns if c not in ("part", "row_id")], other
+
+
+def _drop_csv(rows, path, *by):
+    """Writes ``rows`` as CSV files, ranges of (``by``, row_id) in order, as many as the rows need."""
+    out = rows.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", IMPORT_FILE_ROWS)
+    (out.partitionBy(*by) if by else out).csv(path)
+
+
+def _drop_import_files(raw, path):
+    """Writes ``raw`` (with ``part`` and ``row_id``) as CSV files below ``path``, two layouts of two parts; the folders of the parts.
+    Names ascend with row_id inside a part."""
+    from pyspark.sql import functions as F
+
+    for k, cols in enumerate(_layouts(raw)):
         rows = raw.where(F.col("part") % 2 == k).repartitionByRange("part", "row_id").sortWithinPartitions("part", "row_id")
-        out = rows.select(*cols, "part").write.option("header", True).option("maxRecordsPerFile", IMPORT_FILE_ROWS)
-        out.partitionBy("part").csv(f"{path}/layout{k}")
+        _drop_csv(rows.select(*cols, "part"), f"{path}/layout{k}", "part")
     return [f"{path}/layout{p % 2}/part={p}" for p in range(4)]
 
 
@@ -510,6 +521,7 @@ def _drop_import_files(raw, path):
 def q_import_csv_roundtrip(spark, sf_dir):
     """S2 + S9: the import file dropped as CSV files of two layouts (names and order of columns differ),
     read back by name, imported; part and record in the part's files of every row, accepted or not."""
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from ..functions.dates import iso_text
@@ -521,11 +533,12 @@ def q_import_csv_roundtrip(spark, sf_dir):
     path = shared_work_dir(spark, "drop")
     raw = Books(spark, sf_dir).raw_import.withColumn("part", F.col("row_id") % 4)
     files = _drop_import_files(raw, path)
-    clean = clean_import(io.read_import_csv(spark, files, multi_line=False), pivot_year=PIVOT_YEAR)
-    clean = clean.withColumn("part", F.regexp_extract("file", "part=([0-9])", 1))
-    # A part's files follow one another in row_order; its records are numbered on through them (the header is 1).
-    first = clean.groupBy("part").agg(F.min("row_order").alias("first"))
-    clean = clean.join(F.broadcast(first), "part").withColumn("row_id", F.col("row_order") - F.col("first") + 2)
+    clean = clean_import(io.read_import_records(spark, files), pivot_year=PIVOT_YEAR).withColumn("part", F.regexp_extract("file", "part=([0-9])", 1))
+    # A part's files follow one another; its records are numbered on through them (the header is 1).
+    sizes = clean.groupBy("part", "file").agg((F.max("row_id") - 1).alias("n"))
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    clean = clean.join(sizes, "file").withColumn("row_id", F.col("row_id") + F.col("before"))
     return clean.select("part", "row_id", iso_text("txn_date").alias("date"), "party",
                         F.col("txn_type").alias("type"), F.col("amount").cast("double").alias("amount"), "reason")
 
@@ -538,7 +551,7 @@ def q_import_appended(spark, sf_dir):
 
     from pyspark.sql import functions as F
 
-    _, accepted = _import(spark, sf_dir).with_ids()
+    _, accepted = _import(spark, sf_dir, materialize=True).with_ids()
     rows = as_transactions(accepted)
     return rows.select("txn_id", "party_id", iso_text("txn_date").alias("date"), "bill_no", F.col("amount").cast("double").alias("amount"))
 
@@ -552,20 +565,25 @@ def q_cash_audit(spark, sf_dir):
 
 @query("stream_import")
 def q_stream_import(spark, sf_dir):
-    """The import file dropped as CSV files, imported by a stream in several micro-batches."""
+    """The import file dropped as CSV files of two layouts in three goes, each imported by a restart of the stream. The last go
+    also drops a file of the first again under another name, which is not imported twice."""
+    from pyspark.sql import functions as F
+
     from ..operators.importing import accepted_contract
-    from ..session import shared_work_dir
+    from ..session import copy_file, shared_work_dir
     from ..sources.fixtures import PIVOT_YEAR
+    from ..sources.import_files import list_files
     from ..streaming.stream_import import read_accepted, start_stream_import
 
     b = Books(spark, sf_dir)
     work = shared_work_dir(spark, "stream")
-    raw = b.raw_import
-    raw.write.option("header", True).option("maxRecordsPerFile", 4000).csv(f"{work}/drop")
-    files = spark.read.text(f"{work}/drop").inputFiles()
-    q = start_stream_import(spark, f"{work}/drop", raw.columns, b.parties, b.transactions, f"{work}/out",
-                            f"{work}/checkpoint", pivot_year=PIVOT_YEAR, files_per_batch=max(1, len(files) // 3))
-    q.awaitTermination()
+    one, other = _layouts(b.raw_import)
+    for go, cols in enumerate((one, other, one)):
+        rows = b.raw_import.where(F.col("row_id") % 3 == go).repartitionByRange("row_id").sortWithinPartitions("row_id")
+        _drop_csv(rows.select(*cols, "row_id"), f"{work}/drop/go-{go}")
+        if go == 2:
+            copy_file(spark, list_files([f"{work}/drop/go-0"])[0][0], f"{work}/drop/again.csv")
+        start_stream_import(spark, f"{work}/drop", b.parties, b.transactions, f"{work}/out", f"{work}/checkpoint", pivot_year=PIVOT_YEAR)
     return accepted_contract(read_accepted(spark, f"{work}/out"))
 
 

@@ -48,8 +48,9 @@ SELECT o_orderkey AS row_id,
        WHEN o_orderkey%67=0 THEN strftime(o_orderdate, '%d-%b-%y')
        WHEN o_orderkey%3=0 THEN concat(lpad(CAST(day(o_orderdate) AS STRING),2,'0'),'/',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'/',CAST(year(o_orderdate) AS STRING))
        ELSE concat(lpad(CAST(day(o_orderdate) AS STRING),2,'0'),'.',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'.',substr(CAST(year(o_orderdate) AS STRING),3,2)) END AS "Date",
-  CASE WHEN o_orderkey%11=0 THEN NULL ELSE concat('INV-',CAST(o_orderkey AS STRING)) END AS "Bill No",
-  CASE WHEN o_orderkey%83=0 THEN NULL WHEN o_orderkey%7=0 THEN concat('New Party ',CAST(o_custkey%40 AS STRING))
+  CASE WHEN o_orderkey%11=0 THEN NULL WHEN o_orderkey%103=0 THEN concat('C:\\"',CAST(o_orderkey AS STRING),'",\\')
+       ELSE concat('INV-',CAST(o_orderkey AS STRING)) END AS "Bill No",
+  CASE WHEN o_orderkey%83=0 THEN NULL WHEN o_orderkey%107=0 THEN concat('Smith "Bob", Sons\\', chr(10), '& Co') WHEN o_orderkey%7=0 THEN concat('New Party ',CAST(o_custkey%40 AS STRING))
        ELSE concat('Customer#',lpad(CAST(o_custkey AS STRING),9,'0')) END AS "Customer Name",
   CASE WHEN o_orderkey%13=0 THEN NULL WHEN o_orderkey%10<5 THEN 'SALE' WHEN o_orderkey%10<7 THEN 'receipt'
        WHEN o_orderkey%10=7 THEN 'EXPENSE' ELSE 'sale return' END AS "Type",

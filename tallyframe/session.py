@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,12 +76,36 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python tasks this package, once an application (the executors need not have it installed)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        if root.is_dir():  # else it runs from an archive that the application was given
+            target = Path(tempfile.mkdtemp(prefix="tallyframe-code-")) / f"{root.name}.zip"
+            with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+                for f in sorted(root.rglob("*.py")):
+                    out.write(f, f.relative_to(root.parent))
+            sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store the path names."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file, in whatever stores the paths name."""
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
 def local_path(uri: str) -> str:
     """Strip a ``file:`` scheme so tests can look at a written folder."""
     if uri.startswith("file:"):

@@ -117,6 +117,7 @@ def _import_name() -> Column:
     k = F.col("o_orderkey")
     return _when_chain([
         (k % 83 == 0, F.lit(None).cast("string")),
+        (k % 107 == 0, F.lit('Smith "Bob", Sons\\\n& Co')),
         (k % 7 == 0, F.concat(F.lit("New Party "), (F.col("o_custkey") % 40).cast("string"))),
     ], F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")))
 
@@ -171,6 +172,7 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("row_id"),
         date_text.alias("Date"),
         F.when(k % 11 == 0, F.lit(None).cast("string"))
+         .when(k % 103 == 0, F.concat(F.lit('C:\\"'), k.cast("string"), F.lit('",\\')))
          .otherwise(F.concat(F.lit("INV-"), k.cast("string"))).alias("Bill No"),
         name.alias("Customer Name"),
         ttype.alias("Type"),

@@ -1,4 +1,4 @@
-"""Sources and sinks.
+"""Sources and sinks (S1-S9). CSV is written and read with quotes doubled, as RFC 4180 and spreadsheets have it.
 
 Every writer takes a target path and writes a *new* location: parquet has no in-place
 update, so a changed table is written next to the old one and the caller switches over
@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import sheet_name
-from ..operators.running import running_total
 from ..session import path_exists
+from .import_files import RANGE_BYTES, cells_as_columns, header_names, read_records_of
 from .schemas import TABLES
 
 
@@ -39,64 +38,33 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
     return spark.read.jdbc(url, table, properties=properties)
 
 
-def read_import_csv(spark: SparkSession, path: str | list[str], row_id: str = "row_id",
-                    pandas_missing: bool = True, multi_line: bool = True) -> DataFrame:
-    """Import files (CSV with a header row each), every column as text. Files may differ in
-    their headers: each layout is read by its own header and columns are put together by
-    name. With ``pandas_missing`` the texts a pandas reader takes as missing (``NA``,
-    ``null``, ...) become null, as in the reference (Q20).
+def read_import_records(spark: SparkSession, path: str | list[str], row_id: str = "row_id",
+                        range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The records of import files (CSV with a header row each), read by the ``import_files`` source.
+
+    ``path`` names files, folders or patterns; files may differ in their headers. ``cells`` maps a header's names to the
+    record's texts, as they stand. Beside it: ``row_id``, the file's own column of that name or the record's number in its
+    file (the header is 1, as the reference reports rows), ``file``, ``row_order`` (unique, in order of file and record) and
+    ``problem``, what is wrong with the record itself (an unclosed quote, more cells than the header has names).
+    Nothing is read before the scan, and large files are split.
+    """
+    return read_records_of(spark, path, range_bytes, row_id)
 
-    ``multi_line`` reads quoted line breaks; such a file is one task's work. Files known to
-    have none can be split with ``multi_line=False``.
 
-    When the files have no ``row_id`` column one is added: the record's number in its file (the
-    header is 1, so the first record is 2, as the reference reports rows), with ``file``
-    and ``row_order``, which is unique over all files and ordered by (file, record).
+def read_import_csv(spark: SparkSession, path: str | list[str], row_id: str = "row_id", columns: list[str] | None = None,
+                    pandas_missing: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """S2 with a column for every name, all text: ``read_import_records`` and the names of ``columns`` or, without them, of
+    all files' headers (the first record of each is read for them). With ``pandas_missing`` the texts a pandas
+    reader takes as missing (``NA``, ``null``, ...) become null, as in the reference (Q20). Names that differ only in
+    case do not go side by side as columns: use the records for such files, as an import does.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k"), "value")
-    # One short row a layout comes to the driver, with the names of its files (which the driver lists anyway).
-    heads = lines.groupBy("f").agg(F.min_by("value", "k").alias("head"))
-    layouts = heads.groupBy("head").agg(F.sort_array(F.collect_list("f")).alias("files")).orderBy("head").collect()
-    parts = []
-    for layout in layouts:
-        reader = spark.read.option("header", True).option("multiLine", multi_line)
-        header = reader.csv(layout.files[:1]).columns
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        parts.append(reader.option("mode", "PERMISSIVE").option("enforceSchema", True).schema(schema).csv(layout.files))
-    if not parts:
-        raise FileNotFoundError(f"No import file at {path}")
-    given = all(row_id in part.columns for part in parts)
-    if not given:
-        parts = [part.drop(row_id).withColumn("file", _file_name()).withColumn("__pos", F.monotonically_increasing_id()) for part in parts]
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part, allowMissingColumns=True)
+    df = cells_as_columns(read_import_records(spark, path, row_id, range_bytes),
+                          columns if columns is not None else header_names(spark, path))
     if pandas_missing:
         from ..operators.importing import na_tokens_to_null
 
-        df = na_tokens_to_null(df, keep=(row_id, "file", "__pos"))
-    return df.withColumn(row_id, F.col(row_id).cast("long")) if given else _numbered_lines(df, row_id)
-
-
-def _file_name():
-    """The file's path, readable (blanks and the like are escaped in the reader's name)."""
-    return F.url_decode(F.input_file_name())
-
-
-def add_line_numbers(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Q14: ``row_id`` = the record's number in its file, the header being 1, with ``file`` and the
-    unique ``row_order``. Call it right after the read, before any shuffle."""
-    return _numbered_lines(df.withColumn("file", _file_name()).withColumn("__pos", F.monotonically_increasing_id()), row_id)
-
-
-def _numbered_lines(df: DataFrame, row_id: str) -> DataFrame:
-    numbered = running_total(df, F.lit(1).cast("long"), "__n", ["file"], None, "__pos")
-    counts = df.groupBy("file").agg(F.count(F.lit(1)).alias("__c"))
-    # One row a file: the records of the files before it.
-    first = counts.select("file", F.coalesce(F.sum("__c").over(
-        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out = numbered.join(first, "file").withColumn(row_id, F.col("__n") + 1).withColumn("row_order", F.col("__before") + F.col("__n"))
-    return out.drop("__pos", "__n", "__before")
+        df = na_tokens_to_null(df, keep=(row_id, "file", "row_order", "problem"))
+    return df
 
 
 def write_transactions_layout(tx: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -118,6 +86,11 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, quotes inside a cell doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_report_json(df: DataFrame, path: str) -> None:
     """A report as JSON lines (one object per row)."""
     df.write.mode("overwrite").json(path)
@@ -144,7 +117,7 @@ def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None, ke
     sheet would mean one file per party -- millions of tiny files at scale.)
     """
     if sheet_col is None:
-        df.write.mode("overwrite").option("header", True).csv(path)
+        write_csv(df, path)
         return
     if key_col is None:
         raise ValueError("sheets need the column that tells the parties apart")
@@ -153,7 +126,7 @@ def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None, ke
     # over several tasks and files, still contiguous and in order.
     keys = [key_col, *(order_by or [])]
     w = w.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    w.write.mode("overwrite").option("header", True).csv(path)
+    write_csv(w, path)
 
 
 def snapshot_folder(root: str, database: str, prefix: str = "", when: _dt.datetime | None = None) -> str:
@@ -190,4 +163,4 @@ def restore(spark: SparkSession, folder: str, names: list[str], target_root: str
 
 def write_rejects(rejected: DataFrame, path: str) -> None:
     """The reject report (row, reason) as CSV."""
-    rejected.write.mode("overwrite").option("header", True).csv(path)
+    write_csv(rejected, path)

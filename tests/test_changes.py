@@ -84,7 +84,7 @@ def test_edits_are_sequential(spark):
         (4, 99, "a", "amount", "1"), (5, 2, "a", "party_id", "3"), (6, 3, "a", "bill_no", ""),
         (7, 6, "a", "bill_no", "NEW"), (8, 1, "a", "txn_date", "2025-02-03"),
     ], "seq long, txn_id long, admin_user string, field string, new_value string")
-    res = CH.edit_transactions(tx, edits, blocks=2)
+    res = CH.edit_transactions(tx, edits, hot_rows=1, parts=2)
     reasons = {r.seq: r.reason for r in res.outcome.collect()}
     assert reasons == {1: None, 2: None, 3: "Invalid value for amount", 4: CH.NOT_FOUND, 5: CH.INVALID_FIELD,
                        6: CH.EMPTY_VALUE, 7: None, 8: None}

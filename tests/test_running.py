@@ -1,11 +1,11 @@
-"""Two-level running sums, dense numbering and previous values against plain windows."""
+"""Ranged running sums, dense numbering and previous values against plain windows."""
 
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.running import dense_number, previous_value, running_total
+from tallyframe.operators.running import dense_number, number_where, previous_value, ranged, running_total
 
 
 def _data(spark, n=600, seed=7):
@@ -21,8 +21,8 @@ def _data(spark, n=600, seed=7):
 
 def test_running_total_matches_window(spark):
     df = _data(spark)
-    for block in (2, 16, 1024):
-        got = running_total(df, F.col("v"), "bal", ["p"], "d", "id", blocks=block, hot_rows=40)
+    for parts in (None, 2, 16):
+        got = running_total(df, F.col("v"), "bal", ["p"], "d", "id", hot_rows=40, parts=parts)
         w = Window.partitionBy("p").orderBy(F.col("d").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, 0)
         want = df.withColumn("bal", F.sum("v").over(w))
         assert sorted(got.collect(), key=repr) == sorted(want.select(*got.columns).collect(), key=repr)
@@ -30,15 +30,41 @@ def test_running_total_matches_window(spark):
 
 def test_running_total_whole_account(spark):
     df = _data(spark)
-    got = running_total(df, F.col("v"), "bal", [], "d", "id", blocks=16)
     w = Window.orderBy(F.col("d").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("bal", F.sum("v").over(w))
-    assert sorted(got.collect(), key=repr) == sorted(want.select(*got.columns).collect(), key=repr)
+    for options in ({}, {"hot_rows": 100, "parts": 5}, {"hot_rows": 0, "parts": 40}):  # no day, some days, all days ranged
+        got = running_total(df, F.col("v"), "bal", [], "d", "id", **options)
+        assert sorted(got.collect(), key=repr) == sorted(want.select(*got.columns).collect(), key=repr)
+
+
+def test_ranges_grow_with_the_rows(spark):
+    """A block is a range of rows as Spark sizes partitions, so more partitions give smaller blocks, none empty-handed."""
+    df = spark.range(0, 4000).select((F.col("id") * 7919 % 4001).alias("id"))
+    for parts in (4, 40):
+        r = ranged(df, ["id"], parts)
+        blocks = r.groupBy("__blk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+                                        F.max("__pos").alias("last")).orderBy("__blk").collect()
+        assert len(blocks) == parts and all(b.n < 3 * 4000 / parts and b.last == b.n - 1 for b in blocks)
+        assert all(a.hi < b.lo for a, b in zip(blocks, blocks[1:]))
+
+
+def test_empty_tables(spark):
+    df = _data(spark).limit(0)
+    assert running_total(df, F.col("v"), "bal", [], "d", "id").collect() == []
+    assert running_total(df, F.col("v"), "bal", ["p"], "d", "id").collect() == []
+    assert dense_number(df, "id", "n").collect() == [] and previous_value(df, ["p"], "id", "v", "prev").collect() == []
+
+
+def test_number_where(spark):
+    df = _data(spark)
+    got = {r.id: r.n for r in number_where(df, F.col("v") > 0, "id", "n", start=10, parts=6).collect()}
+    ok = sorted(r.id for r in df.where("v > 0").collect())
+    assert {i: n for i, n in got.items() if n is not None} == {i: 11 + k for k, i in enumerate(ok)} and len(got) == df.count()
 
 
 def test_dense_number(spark):
     df = _data(spark)
-    got = dense_number(df, "id", "n", start=100, blocks=8).select("id", "n").collect()
+    got = dense_number(df, "id", "n", start=100, parts=8).select("id", "n").collect()
     ids = sorted(r.id for r in got)
     expect = {i: 101 + k for k, i in enumerate(ids)}
     assert all(r.n == expect[r.id] for r in got)
@@ -46,6 +72,7 @@ def test_dense_number(spark):
 
 def test_previous_value(spark):
     df = _data(spark).withColumn("val", F.col("v").cast("string"))
-    got = previous_value(df, ["p"], "id", "val", "prev", blocks=8).select("id", "prev").collect()
     want = df.select("id", F.lag("val").over(Window.partitionBy("p").orderBy("id")).alias("prev")).collect()
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    for options in ({}, {"hot_rows": 60, "parts": 8}, {"hot_rows": 0}):
+        got = previous_value(df, ["p"], "id", "val", "prev", **options).select("id", "prev").collect()
+        assert sorted(got, key=repr) == sorted(want, key=repr)
