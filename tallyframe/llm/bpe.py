@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_arrow, text_or_empty
-from .pieces import WORD_LEVEL, PieceCache, blocks
+from .pieces import WORD_LEVEL, PieceCache, text_slices
 
 #: Words merged together in one flat array.
 WORDS_PER_ROUND = 50_000
@@ -187,14 +187,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
     def run(batches):
         bpe = word_bpe(tokenizer)
         for batch in batches:
-            at = 0
-            for texts in blocks(batch.column("_text").to_pylist()):
-                ids = bpe.encode_batch(texts)
-                part = batch.slice(at, len(texts)).drop_columns(["_text"])
-                at += len(texts)
+            for part, texts in text_slices(batch, "_text"):
+                # Copies that stand together (as epochs leave them) are encoded once.
+                place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+                ids = bpe.encode_batch(list(place))
+                which = pa.array([place[t] for t in texts], pa.int64())
+                decoded = pa.array(list(map(bpe.decode, ids)), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(bpe.decode, ids)), pa.string())],
-                    [*part.schema.names, "ids", "decoded"])
+                    [*part.drop_columns(["_text"]).columns, pa.array(ids, pa.list_(pa.int32())).take(which), decoded.take(which)],
+                    [*keep, "ids", "decoded"])
 
     return map_arrow(rows, run, schema)
 
@@ -206,11 +207,11 @@ def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         bpe = word_bpe(tokenizer)
         for batch in batches:
-            found = [d for texts in blocks(batch.column("_text").to_pylist()) for d in bpe.digest_batch(texts)]
-            counts, ids_sha, text_sha = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, texts in text_slices(batch, "_text"):
+                counts, ids_sha, text_sha = zip(*bpe.digest_batch(texts), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
+                     pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(rows.dtypes)["doc_id"]
     return map_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +58,94 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a bucket of the bitmaps that name places (Spark's own size).
+BUCKET_ROWS = 32768
+PLACE = ("__file", "__row")
+
+
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the place of every row: a hash of its Parquet file's name and its number in the file. Places do not depend on
+    how a job splits the files, so a later job can name rows of ``docs`` by them. Rows that are not read straight from
+    Parquet are written first."""
+
+    def with_place(df):
+        return df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+    try:
+        return with_place(docs)
+    except AnalysisException:  # no file's rows, or a column of its own named _metadata
+        return with_place(written(docs, name))
+
+
+def places_written(places: DataFrame, name: str) -> str:
+    """The rows that ``places`` names, as bitmaps of 32768 rows below the shared folder; the folder."""
+    bits = places.groupBy(PLACE[0], F.expr(f"{PLACE[1]} DIV {BUCKET_ROWS}").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col(PLACE[1]) % BUCKET_ROWS).alias("bits"))
+    path = work_path(places.sparkSession, name)
+    share = F.pmod(F.col(PLACE[0]), F.lit(_SHARES)).alias("share")
+    bits.select("*", share).repartition("share").write.partitionBy("share").parquet(path)
+    return path
+
+
+#: Subfolders over which the bitmaps of files are spread.
+_SHARES = 256
+
+
+class _Places:
+    """The bitmaps of one folder, as a task needs them: those of one file at a time."""
+
+    def __init__(self, path: str):
+        self.store, self.path = shared_store(path)
+        self.file, self.bits = None, {}
+
+    def has(self, file: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether each (file, row) is named."""
+        out = np.zeros(len(file), bool)
+        edges = np.flatnonzero(np.r_[True, file[1:] != file[:-1]]) if len(file) else []
+        for a, b in zip(edges, [*edges[1:], len(file)], strict=True):
+            self._load(int(file[a]))
+            bucket, at = np.divmod(row[a:b], BUCKET_ROWS)
+            for k in np.unique(bucket):
+                if (bits := self.bits.get(int(k))) is not None:
+                    here = bucket == k
+                    out[a:b][here] = (bits[at[here] >> 3] >> (at[here] & 7)) & 1 > 0
+        return out
+
+    def _load(self, file: int) -> None:
+        if file == self.file:
+            return
+        self.file, self.bits = file, {}
+        folder = f"{self.path}/share={file % _SHARES}"
+        if self.store.get_file_info(folder).type == pa.fs.FileType.Directory:
+            found = pq.read_table(folder, filesystem=self.store, filters=[(PLACE[0], "=", file)], columns=["bucket", "bits"], partitioning=None)
+            for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist(), strict=True):
+                self.bits[bucket] = np.frombuffer(bits, np.uint8)
+
+
+def rows_at(docs: DataFrame, path: str, named: bool = True) -> DataFrame:
+    """The rows of ``docs`` (as ``placed`` gives them) that the bitmaps of ``path`` name, or (``named`` false) all others, without
+    the place. The task that reads a file asks the file's bitmaps, so no row is shuffled."""
+    schema = docs.drop(*PLACE).schema
+
+    def run(batches):
+        places = _Places(path)
+        for batch in batches:
+            hit = places.has(batch.column(PLACE[0]).to_numpy(), batch.column(PLACE[1]).to_numpy())
+            yield batch.drop_columns(list(PLACE)).filter(pa.array(hit if named else ~hit))
+
+    return map_arrow(docs, run, schema)
+
+
+def shared_store(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of a folder that all executors share."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return pa.fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -9,7 +9,8 @@ route their documents to byte verification: grouping by the whole normalised tex
 partial aggregate before the shuffle, so a group of copies is one row a task however large it is.
 
 Scale: the filters hold about 8 bytes a distinct fingerprint of the partition; a shard is kept near ``SHARD``
-rows by the number of shards. Texts are shuffled once, by doc_id, to pick the candidates.
+rows by the number of shards. Only the texts of candidates are shuffled: rows are named by their places in the input's
+files, and the tasks that read the files pick them by bitmaps.
 
 Cases: null text is empty and empty texts are equal; of rows with one text the smallest doc_id
 stays, null ids come last; rows that repeat both id and text all name that id (and
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, ship, text_or_empty, written
+from .common import PLACE, documents, map_arrow, placed, places_written, rows_at, ship, text_or_empty, written
+from .pieces import text_slices
 
 SHARD = 500_000
 _SPACE = frozenset(b" \t\n\x0b\x0c\r")
@@ -124,23 +126,25 @@ class QuotientFilter:
 
 
 def _digested(rows: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits of the digest) and sha (of the normalised text)."""
+    """doc_id, the row's place, fp (64 bits of the digest) and sha (of the normalised text)."""
+    kept = ["doc_id", *PLACE]
 
     def run(batches):
         for batch in batches:
-            sha = [hashlib.sha256(normalised(t)).digest() for t in batch.column("_raw").to_pylist()]
-            fp = np.frombuffer(b"".join(s[:8] for s in sha), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(sha, pa.binary())],
-                                             ["doc_id", "fp", "sha"])
+            for part, raw in text_slices(batch, "_raw"):
+                sha = [hashlib.sha256(normalised(t)).digest() for t in raw]
+                fp = np.frombuffer(b"".join(s[:8] for s in sha), ">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(fp, pa.int64()), pa.array(sha, pa.binary())],
+                                                 [*kept, "fp", "sha"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return map_arrow(rows, run, f"doc_id {kind}, fp long, sha binary")
+    return map_arrow(rows.select("_raw", *kept), run, f"doc_id {kind}, {PLACE[0]} long, {PLACE[1]} long, fp long, sha binary")
 
 
 def repeated_fingerprints(digests: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     """fp and n of every fingerprint that counts more than one over all partitions."""
-    shards = max(digests.count() // shard_rows, digests.rdd.getNumPartitions())
-    bits = max(1, int(shards - 1).bit_length())
+    shards = -(-digests.count() // shard_rows)
+    bits = max(1, int(max(0, shards - 1)).bit_length())
 
     def build(batches):
         seen = [b.column("fp").to_numpy() for b in batches]
@@ -148,9 +152,9 @@ def repeated_fingerprints(digests: DataFrame, shard_rows: int = SHARD) -> DataFr
             return
         prints = np.sort(np.concatenate(seen).view(np.uint64))
         edges = np.searchsorted(prints, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        parts = [(k, QuotientFilter.of(p).to_bytes()) for k, p in enumerate(np.split(prints, edges)) if len(p)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
-                                         ["shard", "filter"])
+        for k, p in enumerate(np.split(prints, edges)):
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([QuotientFilter.of(p).to_bytes()], pa.binary())], ["shard", "filter"])
 
     def merge(table: pa.Table) -> pa.Table:
         whole = [QuotientFilter.from_bytes(x.as_py()) for x in table.column("filter")]
@@ -165,52 +169,52 @@ def repeated_fingerprints(digests: DataFrame, shard_rows: int = SHARD) -> DataFr
     return built.groupBy("shard").applyInArrow(merge, "fp long, n long")
 
 
-def groups(docs: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """Every row's doc_id and sha, with keep_id and group_size of its group."""
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("_raw"))
+def _grouped(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """Every row's doc_id, place and sha, with keep_id, group_size and the place of the row that stays of its group (null where
+    the group is the row alone). ``rows``: doc_id, _raw and places."""
     digests = written(_digested(rows), "dedup-digests")
     repeated = written(repeated_fingerprints(digests, shard_rows), "dedup-repeated")
-    flagged = digests.join(repeated, "fp", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
-    # An id may stand for several texts; grouping by the bytes sorts out what did not repeat.
-    candidates = rows.join(flagged, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    flagged = digests.join(repeated, "fp", "left_semi")
+    candidates = rows_at(rows.select("doc_id", "_raw", *[F.col(c).alias(f"_{c}") for c in PLACE], *PLACE), places_written(flagged, "dedup-candidates"))
+    kept = ["doc_id", *[f"_{c}" for c in PLACE]]
 
     def normalise(batches):
         for batch in batches:
-            text = pa.array([normalised(t) for t in batch.column("_raw").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text], ["doc_id", "text"])
+            for part, raw in text_slices(batch, "_raw"):
+                text = pa.array([normalised(t) for t in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], text], [*kept, "text"])
 
     kind = dict(rows.dtypes)["doc_id"]
+    # Null ids come last, rows of one id in order of their places.
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *[F.col(c) for c in kept])).alias("stays")
     classes = (
-        map_arrow(candidates, normalise, f"doc_id {kind}, text binary")
-        .groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        map_arrow(candidates.select("_raw", *kept), normalise, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in kept[1:]) + ", text binary")
+        .groupBy("text").agg(stays, F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
-        .select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+        .select(F.unhex(F.sha2("text", 256)).alias("sha"), "stays", "group_size")
     )
     classes = written(classes, "dedup-classes")
     return digests.join(classes, "sha", "left").select(
-        "doc_id", "sha",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        "doc_id", *PLACE, "sha", "stays",
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
 
 
+def _raw_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_or_empty().cast("binary").alias("_raw"), *PLACE)
+
+
+def groups(docs: DataFrame, shard_rows: int = SHARD) -> DataFrame:
+    """Every row's doc_id and sha, with keep_id and group_size of its group."""
+    return _grouped(_raw_rows(placed(docs, "dedup-rows")), shard_rows).select("doc_id", "sha", "keep_id", "group_size")
+
+
 def drop_copies(docs: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     """The documents that stay, one row a group, with their columns as they came."""
-    found = written(groups(docs, shard_rows), "dedup-groups")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    kept = found.filter(stays).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    again = kept.filter("n > 1").limit(1).count() > 0
-    # An id that is kept for one of its texts only: the other text's rows must not slip through.
-    mixed = found.groupBy("doc_id").agg(F.min(stays).alias("all_stay")).filter("NOT all_stay").join(
-        kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").limit(1).count() > 0
-    ids = kept.select(F.col("doc_id").alias("_id"))
-    if not again and not mixed:
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    # Repeated ids: compare by content too, and keep one row of each.
-    ws = F.regexp_replace(text_or_empty(), r"[ \t\n\x0B\f\r]+", " ")
-    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_d"), F.unhex(F.sha2(ws.cast("binary"), 256)).alias("_s"))
-    pairs = found.filter(stays).select(F.col("doc_id").alias("_id"), "sha").distinct()
-    held = held.join(pairs, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("sha")), "left_semi")
-    return held.groupBy("_d", "_s").agg(F.first("_row").alias("_row")).select("_row.*")
+    docs = placed(docs, "dedup-rows")
+    found = _grouped(_raw_rows(docs), shard_rows)
+    here = F.struct(*PLACE) == F.struct(*[F.col(f"stays._{c}") for c in PLACE])
+    return rows_at(docs, places_written(found.filter(F.col("stays").isNotNull() & ~here), "dedup-dropped"), named=False)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

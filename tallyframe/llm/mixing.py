@@ -9,10 +9,9 @@ of md5(seed, epoch, doc_id), up to the document that reaches the rest.
 
 Integer arithmetic throughout, so the result does not depend on the order of sums.
 
-Scale: documents are read once for sizes, then joined to leaf rows. The order of a leaf is
-never one task's work: documents fall into ``BUCKETS`` ranges of the order key (uniform), whose
-totals are summed per leaf first; only the documents of the one bucket in which a quota
-ends are ordered among themselves. Windows over leaves see one row a leaf.
+Scale: documents are read for their sizes; a leaf's epochs and the order key at which its quota ends then are one row a
+leaf, which documents are joined to. The order of a leaf is never one task's work: the end of the quota is narrowed by
+buckets of the order key, whose totals are summed map-side first.
 
 Cases: null or empty text has no tokens and comes with every epoch of its leaf; null language,
 source or domain is a node of its own; rows of equal
@@ -30,7 +29,9 @@ from .common import SPACE_CLASS, documents, text_or_empty, written
 
 SEED = 17
 MAX_EPOCHS = 4
-BUCKETS = 4096
+#: Hex digits of the order key by which the end of a quota is narrowed at a time.
+DIGITS = 3
+LEAF = ["domain", "lang", "source"]
 #: Token budget in thousandths of all tokens, used by the query; the pipeline stage takes ``whole_budget``.
 BUDGET_SHARE = 800
 #: Target weights; a node that is not named weighs 1.
@@ -109,54 +110,88 @@ def whole_budget(leaves: DataFrame, max_epochs: int = MAX_EPOCHS, domain_weights
     return rows.first()["need"] or 0
 
 
-def mixed(sizes: DataFrame, budget: int | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS,
-          carry: tuple[str, ...] = (), whole: bool = False, **weights) -> DataFrame:
-    """Every row of ``sizes`` (doc_id, domain, lang, source, n_tokens, ``carry``) with its leaf's quota and its copies.
-    ``whole`` takes ``whole_budget`` for the budget."""
-    leaves = written(sizes.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").cast("long").alias("tokens")), "mix-leaves")
+def order_key(seed: int, epochs: Column) -> Column:
+    """Where a document stands in the epoch after ``epochs`` whole ones: md5 of seed, epoch and id."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epochs.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _to_leaf(rows: DataFrame, leaves: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table of one row a leaf, whose other columns they take."""
+    own = leaves.withColumnsRenamed({n: f"_{n}" for n in LEAF})
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in LEAF]
+    return rows.join(own, same[0] & same[1] & same[2], how).drop(*[f"_{n}" for n in LEAF])
+
+
+def _ending(rows: DataFrame, digits: int, name: str) -> DataFrame:
+    """Of every leaf the bucket (leading ``digits`` of the key) of ``rows`` in which its rest is reached, and the tokens before it.
+    At most 16^3 rows a leaf go through the window: ``rows`` share all but the last three digits."""
+    totals = rows.groupBy(*LEAF, F.substring("_key", 1, digits).alias("_last")).agg(
+        F.sum("n_tokens").alias("_n"), F.min("rest").alias("rest"), F.min("_start").alias("_from"))
+    before = Window.partitionBy(*LEAF).orderBy("_last").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_start", F.col("_from") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    found = totals.filter((F.col("_start") < F.col("rest")) & (F.col("_start") + F.col("_n") >= F.col("rest")))
+    return written(found.select(*LEAF, "_last", "_start"), name)
+
+
+def leaf_copies(sizes: DataFrame, budget: int | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS,
+                whole: bool = False, **weights) -> DataFrame:
+    """One row a leaf: quota, whole epochs, and the cut (order key and tokens of the document with which the quota ends;
+    null where it ends with an epoch). ``whole`` takes ``whole_budget`` for the budget.
+
+    A document comes once more than the whole epochs if it is not after the cut, so this table is all that the
+    documents themselves need to be joined to. The cut is found by narrowing the order key three hex digits at a time: 4096
+    bucket totals a leaf, then 4096 of the bucket in which the quota ends, then the documents of 1 in 16 million.
+    """
+    leaves = written(sizes.groupBy(*LEAF).agg(F.sum("n_tokens").cast("long").alias("tokens")), "mix-leaves")
     if whole:
         budget = whole_budget(leaves, max_epochs, **weights)
     elif budget is None:
         budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * BUDGET_SHARE // 1000
     quotas = leaf_quotas(leaves, budget, max_epochs, **weights)
-    names = ["domain", "lang", "source"]
     part = F.when(F.col("tokens") > 0, F.expr("quota DIV tokens")).otherwise(F.lit(max_epochs)).cast("long")
     quotas = quotas.withColumn("epochs", part).withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))
-    quotas = written(quotas, "mix-quotas").select(*[F.col(n).alias(f"_{n}") for n in names], "quota", "epochs", "rest")
-    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
-    rows = sizes.join(quotas, same[0] & same[1] & same[2]).drop(*[f"_{n}" for n in names])
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_key", order).withColumn("_bucket", F.substring("_key", 1, 3))
-
-    # Where each bucket of a leaf's order starts, in tokens: at most BUCKETS rows a leaf.
-    totals = rows.groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("_n"), F.min("rest").alias("rest"))
-    start = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_start", F.coalesce(F.sum("_n").over(start), F.lit(0)))
-    # Everything before the bucket in which the quota ends is in, everything after it is out.
-    ending = written(
-        totals.filter((F.col("_start") < F.col("rest")) & (F.col("_start") + F.col("_n") >= F.col("rest")))
-        .select(*[F.col(n).alias(f"_{n}") for n in names], F.col("_bucket").alias("_last"), "_start"), "mix-endings")
-    rows = rows.join(ending, same[0] & same[1] & same[2], "left").drop(*[f"_{n}" for n in names])
-    at_end = F.col("_bucket") == F.col("_last")
-    inside = Window.partitionBy(*names).orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    decided = rows.filter(F.coalesce(at_end, F.lit(False)))
-    decided = decided.withColumn("_extra", (F.col("_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) < F.col("rest")).cast("long"))
-    others = rows.filter(~F.coalesce(at_end, F.lit(False))).withColumn(
-        "_extra", F.coalesce(F.col("_bucket") < F.col("_last"), F.lit(False)).cast("long"))
-    return decided.unionByName(others).select(
-        "doc_id", *names, "n_tokens", "quota", (F.col("epochs") + F.col("_extra")).alias("copies"), *carry)
-
-
-def sizes_of(docs: DataFrame, *carry: Column) -> DataFrame:
-    return docs.select("doc_id", domain_of(F.col("source").cast("string")).alias("domain"), F.col("lang").cast("string").alias("lang"),
-                       F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("n_tokens"),
-                       *carry)
-
-
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as they are to be read: each as often as its leaf's epochs take it, columns as they came."""
-    sizes = written(sizes_of(docs, F.struct(*[docs[c] for c in docs.columns]).alias("_row")), "mix-sizes")
-    found = mixed(sizes, carry=("_row",), **options).filter("copies > 0")
+    quotas = written(quotas.select(*LEAF, "quota", "epochs", "rest"), "mix-quotas")
+    rows = _to_leaf(sizes, quotas.filter("rest > 0")).withColumn("_key", order_key(seed, F.col("epochs"))).withColumn("_start", F.lit(0).cast("long"))
+    rows = rows.select(*LEAF, "_key", "n_tokens", "rest", "_start")
+    for level in (1, 2):
+        digits = DIGITS * level
+        found = _ending(rows, digits, f"mix-ending-{level}")
+        rows = _to_leaf(rows.drop("_start"), found).filter(F.substring("_key", 1, digits) == F.col("_last")).drop("_last")
+    before = Window.partitionBy(*LEAF).orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.col("_start") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0)) < F.col("rest")
+    cuts = rows.withColumn("_in", taken).filter("_in").groupBy(*LEAF).agg(F.max(F.struct("_key", "n_tokens")).alias("cut"))
+    return written(_to_leaf(quotas, cuts, "left").select(*LEAF, "quota", "epochs", "cut"), "mix-copies")
+
+
+def _with_copies(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (doc_id, leaf, n_tokens, any more) with quota and copies of a leaf table."""
+    rows = _to_leaf(rows, leaves)
+    more = F.struct(order_key(seed, F.col("epochs")).alias("_key"), F.col("n_tokens")) <= F.col("cut")
+    return rows.withColumn("copies", F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).drop("epochs", "cut")
+
+
+def mixed(sizes: DataFrame, budget: int | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS,
+          whole: bool = False, **weights) -> DataFrame:
+    """Every row of ``sizes`` (doc_id, domain, lang, source, n_tokens) with its leaf's quota and its copies."""
+    leaves = leaf_copies(sizes, budget, seed, max_epochs, whole, **weights)
+    return _with_copies(sizes, leaves, seed).select("doc_id", *LEAF, "n_tokens", "quota", "copies")
+
+
+def _leaf_columns() -> list[Column]:
+    return [domain_of(F.col("source").cast("string")).alias("domain"), F.col("lang").cast("string").alias("lang"),
+            F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("n_tokens")]
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", *_leaf_columns())
+
+
+def mix_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The documents as they are to be read: each as often as its leaf's epochs take it, columns as they came. Texts are read
+    for their sizes and again for the result, and only a table of one row a leaf is joined to them."""
+    leaves = leaf_copies(written(sizes_of(docs), "mix-sizes"), seed=seed, **options)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "doc_id", *_leaf_columns())
+    found = _with_copies(rows, leaves, seed).filter("copies > 0")
     return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 

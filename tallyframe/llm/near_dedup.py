@@ -5,7 +5,7 @@ A document is the set of its distinct shingles of ``words`` words; two are linke
 query's is 3 words and 85 (its contract), the pipeline's stage takes 5 words and 80.
 
 1. One pass hashes each set and keeps its ``K`` smallest values (all of them in small sets).
-   Documents with equal sets become one class and go on as one.
+   Documents with equal sets (128 bits of a digest) become one class and go on as one.
 2. Inverted lists of retained values generate overlaps. Sketches of linked sets share at least
    ``Rule.shared`` values (small sets: ``percent`` % of them), so they share one of the few rarest in either
    (prefix filtering); only those are listed, and values of one class never are. The classes of
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,15 +42,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from .common import documents, map_arrow, release, text_or_empty, written
+from .common import PLACE, documents, map_arrow, placed, places_written, release, rows_at, text_or_empty, written
+from .pieces import text_slices
 
 K = 64
 #: Probability bound of missing a pair at exactly the threshold.
 MISS = 1e-8
 STAR_ROUNDS = 3
-#: Distinct words a task remembers the hashes of.
-WORDS_KEPT = 1_000_000
+#: Distinct words a worker remembers the hashes of (about 150 bytes each; workers live on between stages).
+WORDS_KEPT = 100_000
 #: Lists of more members are made anew from full sets.
 CROWD = 32
 #: Columns of the parity bits.
@@ -122,26 +123,42 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set's digest as two longs."""
+    return struct.unpack("<qq", hashlib.sha256(shingles.tobytes()).digest()[:16])
+
+
 def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, cid (digest of the set, 0 if empty), sketch and parity bits (four longs) of every row."""
-    length = rule.words
+    """doc_id, place, n, cid and low (digest of the set, 0 if empty), sketch and parity bits (four longs) of every row."""
+    length, kept = rule.words, ["doc_id", *PLACE]
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, length) for t in batch.column("_raw").to_pylist()]
-            cid = [int.from_bytes(hashlib.sha256(s.tobytes()).digest()[:8], "little", signed=True) if len(s) else 0 for s in sets]
-            low = [s[:K].view(np.int64) for s in sets]
-            offsets = np.r_[0, np.cumsum([len(x) for x in low])].astype(np.int32)
-            sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*low, np.zeros(0, np.int64)])))
-            bits = np.frombuffer(b"".join(map(parity, sets)), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), sketch,
-                 *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]],
-                ["doc_id", "n", "cid", "sketch", *BITS])
-
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("_raw"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return map_arrow(rows, run, f"doc_id {kind}, n long, cid long, sketch array<long>, " + ", ".join(f"{b} long" for b in BITS))
+            for part, raw in text_slices(batch, "_raw"):
+                sets = [shingle_set(t, length) for t in raw]
+                both = [_digest(s) if len(s) else (0, 0) for s in sets]
+                low = [s[:K].view(np.int64) for s in sets]
+                offsets = np.r_[0, np.cumsum([len(x) for x in low])].astype(np.int32)
+                sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*low, np.zeros(0, np.int64)])))
+                bits = np.frombuffer(b"".join(map(parity, sets)), np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], pa.array([len(s) for s in sets], pa.int64()),
+                     *[pa.array([b[k] for b in both], pa.int64()) for k in (0, 1)], sketch, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]],
+                    [*kept, "n", "cid", "low", "sketch", *BITS])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(text_or_empty().cast("binary").alias("_raw"), *kept)
+    return map_arrow(rows, run, f"doc_id {kind}, {PLACE[0]} long, {PLACE[1]} long, n long, cid long, low long, sketch array<long>, "
+                     + ", ".join(f"{b} long" for b in BITS))
+
+
+def _told_apart(digests: DataFrame) -> DataFrame:
+    """``digests`` with one ``cid`` for each digest of 128 bits: where two share the first 64, all but the least of them
+    take a hash of the whole."""
+    clash = digests.groupBy("cid").agg(F.min("low").alias("_least"), F.max("low").alias("_most")).filter("_least != _most")
+    clash = written(clash.select("cid", "_least"), "near-clashes")  # hardly any, so the join below is broadcast
+    own = F.when(F.col("_least").isNull() | (F.col("low") == F.col("_least")), F.col("cid")).otherwise(F.xxhash64("cid", "low"))
+    return digests.join(clash, "cid", "left").withColumn("cid", own).drop("_least")
 
 
 def _prefix_lists(values: DataFrame, held, needed, name: str) -> DataFrame:
@@ -269,22 +286,23 @@ def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, digests: DataFrame, rule: Rule) -> DataFrame:
-    """cid and the whole set of the classes in ``wanted`` (cid), from the text of one document of each."""
+    """cid and the whole set of the classes in ``wanted`` (cid), from the text of one row of each, which the task that reads its
+    file picks."""
     length = rule.words
-    one = digests.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("_id"))
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("_raw"))
-    # Rows may share an id; the set's own digest says whose it is.
-    rows = rows.join(one.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    one = digests.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(*PLACE)).alias("at"))
+    one = written(one.select("cid", *[F.col(f"at.{c}").alias(c) for c in PLACE]), "near-chosen")
+    rows = docs.select(text_or_empty().cast("binary").alias("_raw"), *[F.col(c).alias(f"_{c}") for c in PLACE], *PLACE)
+    rows = rows_at(rows, places_written(one, "near-places"))
+    at = [f"_{c}" for c in PLACE]
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, length) for t in batch.column("_raw").to_pylist()]
-            cid = [int.from_bytes(hashlib.sha256(s.tobytes()).digest()[:8], "little", signed=True) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                                             ["cid", "shingles"])
+            for part, raw in text_slices(batch, "_raw"):
+                sets = [shingle_set(t, length).view(np.int64) for t in raw]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in at], pa.array(sets, pa.list_(pa.int64()))], [*PLACE, "shingles"])
 
-    found = map_arrow(rows.select("_raw"), run, "cid long, shingles array<long>")
-    return found.join(wanted, "cid", "left_semi")
+    found = map_arrow(rows.select("_raw", *at), run, f"{PLACE[0]} long, {PLACE[1]} long, shingles array<long>")
+    return found.join(one, list(PLACE)).select("cid", "shingles")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -314,15 +332,20 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, star_rounds: int = STAR_ROUNDS, words: int = Rule.words, percent: int = Rule.percent) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, by shingles of ``words`` words and a Jaccard of ``percent`` % or more."""
-    spark, rule = docs.sparkSession, Rule(words, percent)
-    digests = written(_sketched(docs, rule), "near-sketches")
+    return _grouped(placed(docs, "near-rows"), star_rounds, Rule(words, percent)).drop(*PLACE)
+
+
+def _grouped(docs: DataFrame, star_rounds: int, rule: Rule) -> DataFrame:
+    """As ``near_groups``, with the rows' places."""
+    spark = docs.sparkSession
+    digests = _told_apart(written(_sketched(docs, rule), "near-sketches"))
     # One row a class: its copies (equal sets have equal sketches) meet in a partial aggregate.
     classes = written(digests.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),
                                                                   *[F.first(b).alias(b) for b in BITS]), "near-classes")
     lists = written(_lists(classes, rule), "near-sketch-lists")
     release(spark)
     wanted = written(lists.select("cid").distinct(), "near-wanted")
-    sets = written(_sets_of(docs, wanted, digests, rule).dropDuplicates(["cid"]), "near-sets")
+    sets = written(_sets_of(docs, wanted, digests, rule), "near-sets")
     lists = written(_refined(lists, sets, rule), "near-lists")
     release(spark)
     bits = written(classes.select("cid", *BITS).join(wanted, "cid", "left_semi"), "near-bits")
@@ -335,18 +358,18 @@ def near_groups(docs: DataFrame, star_rounds: int = STAR_ROUNDS, words: int = Ru
         links = written(_links(_estimated(pairs, classes, rule), sets, rule), "near-links")
         labels = _merged(labels, links)
         tested = pairs if tested is None else tested.union(pairs)
-    rows = digests.select("doc_id", "n", "cid").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    rows = digests.select("doc_id", *PLACE, "n", "cid").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = written(rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("_first")), "near-smallest")
     out = rows.join(smallest, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
+    return out.select("doc_id", *PLACE, F.col("n").alias("n_shingles"),
                       F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = Rule.words, percent: int = Rule.percent) -> DataFrame:
     """The documents whose id is their component's, with their columns as they came."""
-    found = near_groups(docs, words=words, percent=percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = written(found.select(F.col("doc_id").alias("_id")).distinct(), "near-kept")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    docs = placed(docs, "near-rows")
+    found = _grouped(docs, STAR_ROUNDS, Rule(words, percent)).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows_at(docs, places_written(found, "near-dropped"), named=False)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

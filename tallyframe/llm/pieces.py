@@ -12,6 +12,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def _ranges(points) -> str:
@@ -47,16 +52,22 @@ BYTE_LEVEL = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+
 #: Pre-tokens of the word tokenizer, on lower-cased text (white space is dropped).
 WORD_LEVEL = re.compile(f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
-#: Distinct pre-tokens a task remembers before it starts over.
-CACHE_ENTRIES = 400_000
+#: Bytes of pre-tokens and their values a worker remembers before it starts over, by a rough count: workers live on between
+#: stages, so what each keeps must be small.
+CACHE_BYTES = 24 << 20
+#: Of an entry besides its text and value: two object heads and a place in the table.
+ENTRY_BYTES = 200
+#: Pre-tokens handed to an encoder at a time.
+LEARN_AT_ONCE = 4000
+#: Characters of texts that are Python objects at a time.
+BLOCK = 1 << 20
 
 
 class PieceCache:
-    """Values of pre-tokens, filled for all missing ones of a block of texts at once."""
+    """Values of pre-tokens, filled for all missing ones of a block of texts at once; at most ``limit`` bytes are kept."""
 
-    def __init__(self, pattern: re.Pattern, values_of, specials: tuple[str, ...], lower: bool,
-                 entries: int = CACHE_ENTRIES):
-        self.entries = entries
+    def __init__(self, pattern: re.Pattern, values_of, specials: tuple[str, ...], lower: bool, limit: int = CACHE_BYTES):
+        self.limit, self.size = limit, 0
         self.findall, self.values_of, self.lower, self.known = pattern.findall, values_of, lower, {}
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
@@ -70,18 +81,29 @@ class PieceCache:
         return split
 
     def learn(self, split: list[list[str] | None]) -> None:
-        if len(self.known) > self.entries:
+        if self.size > self.limit:
             self.known.clear()
+            self.size = 0
         found: set[str] = set()
         for words in split:
             if words:
                 found.update(words)
         missing = [w for w in found if w not in self.known]
-        if missing:
-            self.known.update(zip(missing, self.values_of(missing), strict=True))
+        for k in range(0, len(missing), LEARN_AT_ONCE):
+            part = missing[k : k + LEARN_AT_ONCE]
+            values = self.values_of(part)
+            self.known.update(zip(part, values, strict=True))
+            self.size += sum(map(len, part)) + sum(map(_weight, values)) + ENTRY_BYTES * len(part)
+
+
+def _weight(value) -> int:
+    """About the bytes of a value: a number, a byte string, or a tuple of ids and texts."""
+    if isinstance(value, int):
+        return 0
+    return len(value) if isinstance(value, (bytes, str)) else sum(_weight(v) if isinstance(v, (bytes, str, tuple)) else 8 for v in value) + 50 * len(value)
 
 
-def blocks(texts, limit: int = 1 << 20):
+def blocks(texts, limit: int = BLOCK):
     """Runs of consecutive texts of about ``limit`` characters (a longer text is a run of its own)."""
     run, size = [], 0
     for t in texts:
@@ -92,3 +114,16 @@ def blocks(texts, limit: int = 1 << 20):
         size += len(t)
     if run:
         yield run
+
+
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of ``batch`` whose ``column`` (strings or bytes) has about ``limit`` bytes, with that column's values: only one
+    slice's texts are Python objects at a time. An empty batch gives none."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(sizes) - sizes
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(before + sizes, before[at] + limit, "right")))
+        part = batch.slice(at, end - at)
+        yield part, part.column(column).to_pylist()
+        at = end

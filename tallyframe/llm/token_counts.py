@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, map_arrow, text_or_empty, work_path, written
-from .pieces import BYTE_LEVEL, PieceCache, blocks
+from .pieces import BYTE_LEVEL, PieceCache, text_slices
 
 CACHE_SCHEMA = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -79,9 +79,9 @@ def _encode(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         tokens = counter(tokenizer)
         for batch in batches:
-            counts = [n for texts in blocks(batch.column("text").to_pylist()) for n in tokens.count(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(counts, pa.int64())],
-                                             ["content", "n_tokens"])
+            for part, texts in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(tokens.count(texts), pa.int64())],
+                                                 ["content", "n_tokens"])
 
     return map_arrow(rows, run, CACHE_SCHEMA)
 

@@ -1,6 +1,7 @@
 """Small documents tables with every odd case: nulls, empty and long texts, repeats, clashing extra columns."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -53,3 +54,25 @@ def empty_documents(spark):
 
 def texts() -> dict[int, str]:
     return {r[0]: r[1] or "" for r in odd_rows()}
+
+
+def five_words(raw: dict[int, str]) -> dict[int, tuple[int, int]]:
+    """(shingles, smallest id of its component) of every text, by all pairs that share a shingle."""
+    sets, holders, both, parent = {}, {}, Counter(), {i: i for i in raw}
+    for i, t in raw.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[i]:
+            both.update((j, i) for j in holders.setdefault(s, []))
+            holders[s].append(i)
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, j), n in both.items():
+        if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((top(i), top(j)))
+            parent[b] = a
+    return {i: (len(sets[i]), top(i)) for i in raw}

@@ -174,7 +174,7 @@ def test_components_of_a_chain(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     res = con.execute(queries.oracle_sql()[name])
     cols = [d[0] for d in res.description]

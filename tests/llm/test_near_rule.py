@@ -1,46 +1,21 @@
 """The pipeline's near-dedup stage by its own rule (five words, 0.8) against brute force; the query keeps three words and 85."""
 
 import random
-from collections import Counter
 
-import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyframe.llm import near_dedup
+from tallyframe.llm import exact_dedup, near_dedup
 
-from . import test_pipeline
-from .common_fixtures import SCHEMA
-from .test_mixing_whole import at_whole_budget
+from .common_fixtures import SCHEMA, five_words
 
 MID = "/root/testdata/sf0.01"
 
 
-def _five_words(raw: dict[int, str]) -> dict[int, tuple[int, int]]:
-    """(shingles, smallest id of its component) of every text, by all pairs that share a shingle."""
-    sets, holders, both, parent = {}, {}, Counter(), {i: i for i in raw}
-    for i, t in raw.items():
-        w = t.encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-        for s in sets[i]:
-            both.update((j, i) for j in holders.setdefault(s, []))
-            holders[s].append(i)
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for (i, j), n in both.items():
-        if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
-            a, b = sorted((top(i), top(j)))
-            parent[b] = a
-    return {i: (len(sets[i]), top(i)) for i in raw}
-
-
 def test_stage_equals_five_word_brute_force(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
-    want = _five_words({r.doc_id: r.text or "" for r in docs.collect()})
+    want = five_words({r.doc_id: r.text or "" for r in docs.collect()})
     kept = corpus_pipeline.stage_near(spark, docs, MID)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(i for i, (_, c) in want.items() if i == c)
@@ -62,7 +37,7 @@ def test_pairs_between_the_two_rules(spark):
     texts += ["one two three four", "One two three four", "one two three five", ""]
     rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    want = _five_words(dict(enumerate(texts)))
+    want = five_words(dict(enumerate(texts)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, words=5, percent=80).collect()}
     assert got == want
 
@@ -75,14 +50,22 @@ def test_bounds_follow_from_the_rule():
             near_dedup.Rule(words, percent).shared
 
 
-def test_run_equals_five_word_brute_force(spark, monkeypatch):
-    con = duckdb.connect()
+def test_sets_that_share_half_a_digest_stay_apart(spark, monkeypatch):
+    """Digests whose first 64 bits are all the same: classes are told apart by the other half."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts += texts[:20] + [t + " more" for t in texts[20:30]]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA).repartition(4)
+    want = five_words(dict(enumerate(texts)))
+    real = near_dedup._sketched
+    monkeypatch.setattr(near_dedup, "_sketched", lambda d, r: real(d, r).withColumn("cid", F.when(F.col("n") > 0, 7).otherwise(0).cast("long")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, words=5, percent=80).collect()}
+    assert got == want
 
-    class AtBudget:  # the query's SQL at the stage's budget, which follows from the documents left
-        MIX_CTES = property(lambda self: at_whole_budget(con, "docs"))
 
-    monkeypatch.setattr(test_pipeline, "_components", _five_words)
-    monkeypatch.setattr(test_pipeline, "mixing", AtBudget())
-    rows = corpus_pipeline.run(spark, test_pipeline.SF).collect()
-    got = sorted((r.doc_id, r.lang, r.source, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in rows)
-    assert got == test_pipeline._brute(con)
+def test_rows_without_id_keep_their_own_texts(spark):
+    rows = [(None, f"only row {k} of its kind with words {k} {k + 1} {k + 2}", "en", "s", 1) for k in range(30)]
+    docs = spark.createDataFrame(rows + rows[:3], SCHEMA).repartition(5)
+    got = near_dedup.near_groups(docs).collect()
+    assert len(got) == 33 and {r.component_id for r in got} == {None}
+    assert exact_dedup.drop_copies(docs).count() == 30

@@ -82,17 +82,40 @@ def test_token_files_round_trip(spark, word, tmp_path):
         raw = np.array(ids, "<u4").tobytes()
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(raw))
         start += len(ids)
-    one = token_files.TokenFile(folder, int(files.orderBy("file").first().file))
+    one = token_files.TokenFile(folder, 0, 0)
     assert one.tokens(one.ids[0]).tolist()[-1] == 1
+    token_files.drop_drafts(folder)
     path = sorted(os.listdir(folder))[0]
     damaged = bytearray((tmp_path / "files" / path).read_bytes())
     damaged[12] ^= 1
     (tmp_path / "files" / path).write_bytes(bytes(damaged))
     with pytest.raises(Exception):  # noqa: B017 - the frame's checksum or zstandard itself
-        token_files.TokenFile(folder, int(path[:6])).raw(0)
+        token_files.TokenFile(folder, 0, 0).raw(0)
     assert token_files.write_token_files(empty_documents(spark), WORD, str(tmp_path / "no")).collect() == []
 
 
+@pytest.mark.parametrize("docs_per_file,files_per_part", [(3, 2), (100, 100)])
+def test_rows_without_id_and_repeated_rows_are_spread_over_parts(spark, word, tmp_path, docs_per_file, files_per_part):
+    rows = [(None, f"no id {k} {'x' * (k % 5)}") for k in range(60)] + [(5, f"same id {k}") for k in range(40)]
+    rows += [(k, f"own id {k}") for k in range(-10, 30)] + [(7, "a repeat")] * 4 + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = str(tmp_path / "files")
+    token_files.write_token_files(docs, WORD, folder, docs_per_file=docs_per_file, files_per_part=files_per_part).write.parquet(str(tmp_path / "list"))
+    files = spark.read.parquet(str(tmp_path / "list"))
+    got = sorted(token_files.read_token_files(files, folder).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    want = sorted((str(i), zlib.crc32(np.array([*word.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want
+    sizes = {(r.part, r.file): r.n_docs for r in files.collect()}
+    if docs_per_file == 3:
+        assert max(sizes.values()) == 3 and len({p for p, _ in sizes}) > 20
+
+
 def test_line_field_learns_and_scores_odd_rows(spark):
     rows, labels = [], []
     for k in range(120):
