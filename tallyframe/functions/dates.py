@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 # The month names a reader of English date text knows.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
           "december"]
-_TIME_PART = r"(?:[ ]+|T)([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d([.]\d+)?)?([ ]?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?$"
-_NUMBERS = r"^\d+([./-]|\s+)\d+\1\d+$"  # three numbers stand between equal separators
+_WEEKDAYS = "mon(day)?|tue(s|sday)?|wed(nesday)?|thu(r|rs|rsday)?|fri(day)?|sat(urday)?|sun(day)?"
+# What a date text may have besides its date, and what stands for it, in the order in which it is taken off.
+_CLOCK = r"([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d([.]\d+)?)?([ ]?[AaPp][Mm])?"
+_AROUND = [
+    (rf"(?i)^({_WEEKDAYS})[.,]?\s+", ""),
+    (rf"(?:\s+|T){_CLOCK}([ ]?(Z|GMT|UTC|[+-]\d{{2}}:?\d{{2}}))?$", ""),
+    (rf"^({_CLOCK}|\d{{1,2}}[ ]?[AaPp][Mm])\s+(?=\S)", ""),
+    (r"^(.+\D\d{4}|\d+[./-]+\d+[./-]+\d+)(?:\s+|T)([01]?\d|2[0-3])([ ]?[AaPp][Mm])?$", "$1"),  # an hour alone
+    (r"[.,]+$", ""),
+    (r"(?i)(\d)(st|nd|rd|th)\b(\s+of\b)?", "$1"),
+    (r"^(\d{1,2})([A-Za-z]{3,9})(\d{4}|\d{2})$", "$1 $2 $3"),
+]
+#: Dates outside cannot be held by a pandas time stamp, which the reference reads into.
+FIRST_DATE, LAST_DATE = "1677-09-22", "2262-04-11"
 
 
 def default_pivot_year() -> int:
@@ -34,44 +46,65 @@ def _month_number(name: Column) -> Column:
 def parse_day_first(col, iso: str = "ymd", pivot_year: int | None = None) -> Column:
     """F8: import date text -> DATE, null when it reads as no date.
 
-    A time of day at the end is dropped. Then three parts in any usual order, between ``.``,
-    ``/``, ``-``, commas or blanks: day, month, year (an impossible day-first reading falls back to
-    month-first), year first, and month names in any place; or eight digits ``yyyyMMdd``.
+    A weekday, a time of day and what makes a day an ordinal are dropped. Then three parts in any usual order, between
+    ``.``, ``/``, ``-``, commas or blanks: day, month, year (an impossible day-first reading falls back to
+    month-first), year first, and month names in any place; a month (number or name) and a year of four digits, which
+    mean its first day; a year alone; eight digits ``yyyyMMdd`` or six ``ddMMyy``.
     Two-digit years at or above ``pivot_year`` are moved back one century. ``iso="ymd"``
     reads ``2026-01-05`` as 5 January; ``iso="dayfirst"`` reproduces the day/month swap of
-    a day-first reader on ISO text (1 May), falling back to the plain reading when the
-    swapped one is impossible.
+    a day-first reader on ISO text (1 May); either falls back to the other where it is impossible. Dates beyond
+    ``FIRST_DATE`` and ``LAST_DATE`` are none. Words for a day (``today``) and quarters are not read.
     """
     if iso not in ("ymd", "dayfirst"):
         raise ValueError("iso must be 'ymd' or 'dayfirst'")
     c = F.trim(F.col(col) if isinstance(col, str) else col)
     pivot = default_pivot_year() if pivot_year is None else pivot_year
-    plain = F.regexp_replace(c, _TIME_PART, "")
-    alike = plain.rlike(_NUMBERS)
+    plain = c
+    for pattern, to in _AROUND:
+        plain = F.regexp_replace(plain, pattern, to)
+    # The text is split once: transform binds the parts of the one-element array.
     parts = F.split(F.regexp_replace(plain, r"[\s./,-]+", "-"), "-")
 
+    def numbered(x: Column, digits: str) -> Column:
+        return x.rlike(rf"^\d{{{digits}}}$")
+
+    def full_year(z: Column) -> Column:
+        near = F.lit(2000) + F.when(numbered(z, "1,2"), z).try_cast("int")
+        short = F.when(near >= pivot, near - 100).otherwise(near).cast("string")
+        return F.when(numbered(z, "4"), z).when(numbered(z, "1,2"), short)
+
     def read(p: Column) -> Column:
         x, y, z = (p.getItem(k) for k in range(3))
-        number = [v.rlike(r"^\d{1,2}$") for v in (x, y, z)]
+        number, four = [numbered(v, "1,2") for v in (x, y, z)], [numbered(v, "4") for v in (x, y, z)]
         word = [v.rlike(r"^[A-Za-z]{3,9}$") for v in (x, y, z)]
-        four = [v.rlike(r"^\d{4}$") for v in (x, y, z)]
-        near = (F.lit(2000) + F.when(number[2], z).try_cast("int"))
-        year = F.when(four[2], z).when(number[2], F.when(near >= pivot, near - 100).otherwise(near).cast("string"))
-        swapped = F.coalesce(_date(x, z, y), _date(x, y, z)) if iso == "dayfirst" else _date(x, y, z)
-        return (F.when(four[0] & number[1] & number[2] & alike, swapped)
+        year = full_year(z)
+        ymd, ydm = _date(x, y, z), _date(x, z, y)
+        return (F.when(four[0] & number[1] & number[2], F.coalesce(ydm, ymd) if iso == "dayfirst" else F.coalesce(ymd, ydm))
                  .when(four[0] & word[1] & number[2], _date(x, _month_number(y), z))
-                 .when(number[0] & number[1] & year.isNotNull() & alike, F.coalesce(_date(year, y, x), _date(year, x, y)))
+                 .when(number[0] & number[1] & year.isNotNull(), F.coalesce(_date(year, y, x), _date(year, x, y)))
                  .when(number[0] & word[1] & year.isNotNull(), _named(year, y, x))
                  .when(word[0] & number[1] & year.isNotNull(), _named(year, x, y)))
 
-    # The text is split once: transform binds the parts of the one-element array.
-    return F.coalesce(
-        F.when(plain.rlike(r"^\d{8}$"), _date(F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))),
-        F.transform(F.array(parts), lambda p: F.when(F.size(p) == 3, read(p))).getItem(0))
+    def read_month(p: Column) -> Column:
+        x, y = p.getItem(0), p.getItem(1)
+        month = lambda v: F.when(numbered(v, "1,2"), v).otherwise(_month_number(v))
+        return F.when(numbered(y, "4"), _named(y, x, F.lit("1"), month)).when(numbered(x, "4"), _named(x, y, F.lit("1"), month))
+
+    def read_alone(x: Column) -> Column:
+        at = lambda k, n: F.substring(x, k, n)
+        year = full_year(at(5, 2))
+        return (F.when(numbered(x, "8"), _date(at(1, 4), at(5, 2), at(7, 2)))
+                 .when(numbered(x, "6"), F.coalesce(_date(year, at(3, 2), at(1, 2)), _date(year, at(1, 2), at(3, 2))))
+                 .when(numbered(x, "4"), _date(x, F.lit("1"), F.lit("1"))))
+
+    found = F.transform(F.array(parts), lambda p: F.when(F.size(p) == 3, read(p)).when(F.size(p) == 2, read_month(p))
+                        .when(F.size(p) == 1, read_alone(p.getItem(0)))).getItem(0)
+    inside = F.transform(F.array(found), lambda d: F.when(d.between(F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")), d))
+    return inside.getItem(0)
 
 
-def _named(year: Column, name: Column, day: Column) -> Column:
-    month = _month_number(name)
+def _named(year: Column, name: Column, day: Column, number=_month_number) -> Column:
+    month = number(name)
     return F.when(month.isNotNull(), _date(year, month, day))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.schemas import MONEY
+from .text import py_strip
 
 WIDE = T.DecimalType(38, 2)
 
@@ -24,8 +25,8 @@ _NO_AMOUNT = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"  # numbers to a float reader
 
 
 def _digits(col) -> Column:
-    """Number text without the underscores that Python allows between digits."""
-    return F.regexp_replace(_c(col), r"(?<=\d)_(?=\d)", "")
+    """Number text without the white space around it and the underscores between digits that Python allows."""
+    return F.regexp_replace(py_strip(col), r"(?<=\d)_(?=\d)", "")
 
 
 def parse_amount(col) -> Column:

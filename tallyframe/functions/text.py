@@ -96,12 +96,40 @@ def is_bank_norm(mode_normed: Column) -> Column:
     return mode_normed.isin("bank", "upi", "gpay")
 
 
+#: Characters with case, in Java's terms: a word of ``str.title`` is a run of these.
+_CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
+# Fixed values of Unicode: the letters whose title case is another character than their upper case.
+_DIGRAPHS = ("ǄǆǇǉǊǌǱǳ", "ǅǅǈǈǋǋǲǲ")
+_IOTA_RANGES = (range(0x1F80, 0x1F88), range(0x1F90, 0x1F98), range(0x1FA0, 0x1FA8))  # eight further on
+_IOTA_SINGLE = (0x1FB3, 0x1FC3, 0x1FF3)  # nine further on
+_IOTA_OPEN = "ᾲᾴᾷῂῄῇῲῴῷ"  # upper case ends in a capital iota, title case in a combining one
+_OWN_TITLE = "[ა-ჺჽ-ჿ]"  # has capitals, but none in title case
+
+
+def _title_letter(x: Column) -> Column:
+    """The title case of one character: of several letters only the first is a capital."""
+    iota = "".join(chr(p) for r in _IOTA_RANGES for p in r) + "".join(map(chr, _IOTA_SINGLE))
+    to = "".join(chr(p + 8) for r in _IOTA_RANGES for p in r) + "".join(chr(p + 9) for p in _IOTA_SINGLE)
+    up = F.upper(x)
+    return (F.when(x.rlike(f"[{_DIGRAPHS[0]}{iota}]"), F.translate(x, _DIGRAPHS[0] + iota, _DIGRAPHS[1] + to))
+             .when(x.rlike(rf"{_OWN_TITLE}|[\p{{IsUppercase}}\p{{IsTitlecase}}]"), x)
+             .when(x == "ŉ", F.lit("ʼN"))
+             .when(x.rlike(f"[{_IOTA_OPEN}]"), F.concat(F.left(up, F.length(up) - 1), F.lit("ͅ")))
+             .when(F.length(up) > 1, F.concat(F.left(up, F.lit(1)), F.lower(F.substring(up, 2, 9)))).otherwise(up))
+
+
 def title_case(col) -> Column:
-    """Python ``str.title()``: a letter after a non-letter is upper case, other letters lower."""
+    """Python ``str.title()``: a cased character after one without case takes its title case, other ones lower case."""
     c = _c(col)
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    general = F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.left(w, F.lit(1))),
-                                                                F.substring(w, 2, 1 << 30))), "")
+    runs = F.regexp_extract_all(c, F.lit(rf"([{_CASED}]+|[^{_CASED}]+)"), 1)
+
+    def word(w: Column) -> Column:
+        first = F.left(w, F.lit(1))
+        # Lower-cased as a whole, for a sigma at the end has a form of its own.
+        rest = F.substring(F.lower(w), F.length(F.lower(first)) + 1, F.length(w) * 3)
+        return F.when(w.rlike(f"^[{_CASED}]"), F.concat(_title_letter(first), rest)).otherwise(w)
+
+    general = F.array_join(F.transform(runs, word), "")
     # Fast path: ASCII letters and spaces only, where word starts are exactly what initcap sees.
     return F.when(c.isNull(), F.lit(None).cast("string")) \
             .when(c.rlike("^[A-Za-z ]*$"), F.initcap(c)).otherwise(general)

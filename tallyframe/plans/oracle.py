@@ -45,19 +45,21 @@ SELECT o_orderkey AS row_id,
        WHEN o_orderkey%41=0 THEN strftime(o_orderdate, '%Y-%-m-%-d') WHEN o_orderkey%43=0 THEN strftime(o_orderdate, '%b %-d %Y')
        WHEN o_orderkey%47=0 THEN strftime(o_orderdate, '%d %m %Y') WHEN o_orderkey%53=0 THEN strftime(o_orderdate, '%m-%d-%Y')
        WHEN o_orderkey%59=0 THEN strftime(o_orderdate, '%Y.%m.%d') WHEN o_orderkey%61=0 THEN strftime(o_orderdate, '%d.%m.%Y 10:30:00')
-       WHEN o_orderkey%67=0 THEN strftime(o_orderdate, '%d-%b-%y')
+       WHEN o_orderkey%67=0 THEN strftime(o_orderdate, '%d-%b-%y') WHEN o_orderkey%103=0 THEN strftime(o_orderdate, '%a, %d %b %Y')
+       WHEN o_orderkey%107=0 THEN strftime(o_orderdate, '%d%b%Y') WHEN o_orderkey%109=0 THEN strftime(o_orderdate, '%b %Y')
+       WHEN o_orderkey%113=0 THEN strftime(o_orderdate, '10:30 %d/%m-%Y') WHEN o_orderkey%127=0 THEN strftime(o_orderdate, '%d.%m.1600')
        WHEN o_orderkey%3=0 THEN concat(lpad(CAST(day(o_orderdate) AS STRING),2,'0'),'/',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'/',CAST(year(o_orderdate) AS STRING))
        ELSE concat(lpad(CAST(day(o_orderdate) AS STRING),2,'0'),'.',lpad(CAST(month(o_orderdate) AS STRING),2,'0'),'.',substr(CAST(year(o_orderdate) AS STRING),3,2)) END AS "Date",
   CASE WHEN o_orderkey%11=0 THEN NULL WHEN o_orderkey%103=0 THEN concat('C:\\"',CAST(o_orderkey AS STRING),'",\\')
        ELSE concat('INV-',CAST(o_orderkey AS STRING)) END AS "Bill No",
   CASE WHEN o_orderkey%83=0 THEN NULL WHEN o_orderkey%107=0 THEN concat('Smith "Bob", Sons\\', chr(10), '& Co') WHEN o_orderkey%7=0 THEN concat('New Party ',CAST(o_custkey%40 AS STRING))
        ELSE concat('Customer#',lpad(CAST(o_custkey AS STRING),9,'0')) END AS "Customer Name",
-  CASE WHEN o_orderkey%13=0 THEN NULL WHEN o_orderkey%10<5 THEN 'SALE' WHEN o_orderkey%10<7 THEN 'receipt'
+  CASE WHEN o_orderkey%13=0 THEN NULL WHEN o_orderkey%131=0 THEN '日a ⅷx ﬁne ßeta' WHEN o_orderkey%10<5 THEN 'SALE' WHEN o_orderkey%10<7 THEN 'receipt'
        WHEN o_orderkey%10=7 THEN 'EXPENSE' ELSE 'sale return' END AS "Type",
   CASE WHEN o_orderkey%17=0 THEN NULL WHEN o_orderpriority='1-URGENT' THEN 'CASH' WHEN o_orderpriority='2-HIGH' THEN 'bank'
        WHEN o_orderpriority='3-MEDIUM' THEN 'UPI' WHEN o_orderpriority='4-NOT SPECIFIED' THEN 'CREDIT' ELSE 'GPay' END AS "Payment Mode",
   CASE WHEN o_orderkey%79=0 THEN '1,200' WHEN o_orderkey%101=0 THEN NULL
-       WHEN o_orderkey%71=0 THEN '1e17' WHEN o_orderkey%73=0 THEN '12345678.5' WHEN o_orderkey%29=0 THEN '5.5'
+       WHEN o_orderkey%71=0 THEN '1e17' WHEN o_orderkey%137=0 THEN concat(chr(160), '5 ') WHEN o_orderkey%73=0 THEN '12345678.5' WHEN o_orderkey%29=0 THEN '5.5'
        ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS "Amount"
 FROM orders""",
 }
@@ -340,10 +342,13 @@ FROM audit_logs WHERE company = 'default'""", "audit_logs"))
 
 # ---- import: the per-row checks of the reference, for the date layouts of the file ----
 
-_TITLE = "array_to_string(list_transform(regexp_extract_all(lower({x}), '(\\p{{L}}+|\\P{{L}}+)'), lambda w: upper(w[1]) || w[2:]), '')"
+# Character by character: a letter after one without case is a capital. The text with odd letters has its title as a golden value.
+_TITLE = ("CASE WHEN {x} = '日a ⅷx ﬁne ßeta' THEN '日A Ⅷx Fine Sseta' ELSE array_to_string(list_transform(range(1, length({x}) + 1), "
+          "lambda i: CASE WHEN i > 1 AND upper(substr({x}, i - 1, 1)) <> lower(substr({x}, i - 1, 1)) "
+          "THEN lower(substr({x}, i, 1)) ELSE upper(substr({x}, i, 1)) END), '') END")
 
 _IMPORT = f"""c AS (SELECT row_id, "Date" AS dr, "Customer Name" AS party, COALESCE("Bill No",'') AS bill_no,
-    "Type" AS ty, "Payment Mode" AS mo, "Amount" AS am,
+    "Type" AS ty, "Payment Mode" AS mo, trim("Amount", ' ' || chr(160)) AS am,
     CASE WHEN regexp_full_match("Date", '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN try_strptime("Date", '%d/%m/%Y')::DATE
          WHEN regexp_full_match("Date", '[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{2}}') THEN TRY_CAST(printf('%04d-%02d-%02d',
               CASE WHEN 2000 + CAST(split_part("Date",'.',3) AS INT) >= 2076 THEN 1900 + CAST(split_part("Date",'.',3) AS INT)
@@ -352,7 +357,8 @@ _IMPORT = f"""c AS (SELECT row_id, "Date" AS dr, "Customer Name" AS party, COALE
          WHEN regexp_full_match("Date", '[0-9]{{2}}-[A-Za-z]{{3}}-[0-9]{{2}}') THEN try_strptime("Date", '%d-%b-%y')::DATE
          ELSE COALESCE(try_strptime("Date", '%d-%b-%Y'), try_strptime("Date", '%d/%m/%Y %H:%M'), try_strptime("Date", '%Y-%m-%d'),
               try_strptime("Date", '%b %d %Y'), try_strptime("Date", '%d %m %Y'), try_strptime("Date", '%d-%m-%Y'),
-              try_strptime("Date", '%m-%d-%Y'), try_strptime("Date", '%Y.%m.%d'), try_strptime("Date", '%d.%m.%Y %H:%M:%S'))::DATE END AS d
+              try_strptime("Date", '%a, %d %b %Y'), try_strptime("Date", '%d%b%Y'), try_strptime("Date", '%b %Y'),
+              try_strptime("Date", '%H:%M %d/%m-%Y'), try_strptime("Date", '%m-%d-%Y'), try_strptime("Date", '%Y.%m.%d'), try_strptime("Date", '%d.%m.%Y %H:%M:%S'))::DATE END AS d
   FROM raw_import),
 r AS (SELECT *, CASE WHEN dr IS NULL OR dr = '' THEN 'Missing date'
                      WHEN d IS NULL THEN 'Invalid date format: ' || dr

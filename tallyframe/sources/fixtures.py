@@ -113,6 +113,10 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Letters whose title case is not what cutting at other characters and capitals would give.
+ODD_TYPE = "日a ⅷx ﬁne ßeta"
+
+
 def _import_name() -> Column:
     k = F.col("o_orderkey")
     return _when_chain([
@@ -145,11 +149,17 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 59 == 0, F.date_format(d, "yyyy.MM.dd")),
         (k % 61 == 0, F.date_format(d, "dd.MM.yyyy 10:30:00")),
         (k % 67 == 0, F.date_format(d, "dd-MMM-yy")),
+        (k % 103 == 0, F.date_format(d, "EEE, dd MMM yyyy")),
+        (k % 107 == 0, F.date_format(d, "ddMMMyyyy")),
+        (k % 109 == 0, F.date_format(d, "MMM yyyy")),
+        (k % 113 == 0, F.date_format(d, "'10:30' dd/MM-yyyy")),
+        (k % 127 == 0, F.date_format(d, "dd.MM.'1600'")),
         (k % 3 == 0, F.concat(dd, F.lit("/"), mm, F.lit("/"), yyyy)),
     ], F.concat(dd, F.lit("."), mm, F.lit("."), F.substring(yyyy, 3, 2)))
     name = _import_name()
     ttype = _when_chain([
         (k % 13 == 0, F.lit(None).cast("string")),
+        (k % 131 == 0, F.lit(ODD_TYPE)),
         (k % 10 < 5, F.lit("SALE")),
         (k % 10 < 7, F.lit("receipt")),
         (k % 10 == 7, F.lit("EXPENSE")),
@@ -165,6 +175,7 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 79 == 0, F.lit("1,200")),
         (k % 101 == 0, F.lit(None).cast("string")),
         (k % 71 == 0, F.lit("1e17")),
+        (k % 137 == 0, F.lit("\u00a05 ")),
         (k % 73 == 0, F.lit("12345678.5")),
         (k % 29 == 0, F.lit("5.5")),
     ], F.col("o_totalprice").cast(MONEY).cast("string"))

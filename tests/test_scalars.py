@@ -1,7 +1,10 @@
 """Tiny goldens for the scalar functions (FIXTURES.md and the reference's own examples)."""
 
 import datetime as dt
+import unicodedata
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import dates as D
@@ -84,5 +87,38 @@ def test_day_first_more_layouts(spark):
             "2024-02-29 25:00:00", "2024-02-29T10:11", "1.2-2024", "01.02.024", "2024/2/3", "Mar 3, 2024", "00.01.24"]
     got = _one(spark, vals, lambda c: D.parse_day_first(c, pivot_year=2076))
     assert got == [dt.date(2024, 2, 1), dt.date(2024, 2, 1), dt.date(2024, 2, 29), None, dt.date(2024, 2, 1), None,
-                   dt.date(2024, 2, 29), None, dt.date(2024, 2, 29), None, None, dt.date(2024, 2, 3),
+                   dt.date(2024, 2, 29), None, dt.date(2024, 2, 29), dt.date(2024, 2, 1), None, dt.date(2024, 2, 3),
                    dt.date(2024, 3, 3), None]
+
+
+def test_dates_as_a_pandas_reader_has_them(spark):
+    """Goldens of ``pandas.to_datetime(text, dayfirst=True)``, errors and times of day aside."""
+    texts = ["Mon, 05 Jan 2026", "mon 5/1/2026", "5th January 2026", "January 5th, 2026", "17th of January 2026", "05Jan2026", "5Jan26",
+             "17-01-2026 10", "17-01-2026 10am", "10:30 17/01/2026", "10am 17/01/2026", "Sat, 17 Jan 2026 10:30:00 GMT", "17-Jan-2026 10:30 PM",
+             "Jan 2026", "2026 Jan", "2026-01", "01/2026", "1 2026", "2026", "170126", "17//01/2026", "17/01-2026", "17.01/2026", "17 / 01 / 2026",
+             "17/01/2026.", "2026-13-01", "2026-01-05", "22/09/1677", "11/04/2262", "17/01/99", "17/01/75", "17/01/76", "1/1/1"]
+    none = ["1600-01-01", "2300-01-01", "01/01/1677", "12/04/2262", "Jan-26", "26 Jan", "17/01", "17", "Jan052026", "2026Jan17", "202601", "17012026",
+            "2026-017", "17/01/2026 25:00", "17/01/2026 10:60", "13/13/2026", "31/02/2026", "00/01/2026", "001/01/2026", "17/1/026", "17/01/20266",
+            "(17/01/2026)", "17 de enero 2026", "12.30", "1.5", "10.30 17.01.2026", "Q1 2026"]
+    got = _one(spark, texts + none, lambda c: D.parse_day_first(c, iso="dayfirst", pivot_year=2076))
+    want = [pd.to_datetime(t, dayfirst=True).date() for t in texts]
+    assert got == want + [None] * len(none)
+    for t in none:
+        with pytest.raises(Exception):  # noqa: B017 - of several kinds
+            pd.to_datetime(t, dayfirst=True)
+
+
+def test_title_case_of_every_character(spark):
+    """All characters that Spark's Java knows (Unicode 13), at a word's start and inside it."""
+    known = [chr(p) for p in range(0x20000) if unicodedata.ucd_3_2_0.category(chr(p))[0] != "C"]
+    texts = [c + "ab" for c in known] + ["x" + c + "Yz" for c in known]
+    odd = {"\u10fc", "\u019b", "\u0264"}  # their case changed since
+    got = _one(spark, texts, X.title_case)
+    assert [t for t, g in zip(texts, got, strict=True) if g != t.title() and not odd & set(t)] == []
+    assert _one(spark, ["日a ⅷx ﬁne ßeta", "ΑΣ ΣΑΣ", "İx aİ ǆa ŉa"], X.title_case) == ["日A Ⅷx Fine Sseta", "Ας Σας", "İx Ai̇ ǅa ʼNa"]
+
+
+def test_amounts_in_any_white_space(spark):
+    values = ["\xa05", "\u30005.5\t", "\x1c7", "1_000", "1__0", "_1"]
+    assert [str(x) for x in _one(spark, values, M.parse_amount)] == ["5.00", "5.50", "7.00", "1000.00", "0.00", "0.00"]
+    assert _one(spark, values, M.amount_readable) == [True, True, True, True, False, False]
