@@ -126,17 +126,19 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
+        split = self.cache.pieces(texts)
         known = self.cache.known
         return [self._encode_unusual(text) if words is None else [i for w in words for i in known[w][0]]
-                for text, words in zip(texts, self.cache.pieces(texts), strict=True)]
+                for text, words in zip(texts, split, strict=True)]
 
     def digest_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: the number of ids, and the sha256 of their decimal text and of the decoded text.
 
         Ids decode one by one, joined by a blank, so a text decodes to its pre-tokens' decoded texts joined.
         """
-        out, known = [], self.cache.known
-        for text, words in zip(texts, self.cache.pieces(texts), strict=True):
+        split, out = self.cache.pieces(texts), []
+        known = self.cache.known
+        for text, words in zip(texts, split, strict=True):
             if words is None:
                 ids = self._encode_unusual(text)
                 shown, decoded = " ".join(map(str, ids)), self.decode(ids)

@@ -52,11 +52,11 @@ BYTE_LEVEL = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+
 #: Pre-tokens of the word tokenizer, on lower-cased text (white space is dropped).
 WORD_LEVEL = re.compile(f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
-#: Bytes of pre-tokens and their values a worker remembers before it starts over, by a rough count: workers live on between
-#: stages, so what each keeps must be small.
-CACHE_BYTES = 24 << 20
+#: Bytes of pre-tokens and their values a worker remembers, by a rough count: workers live on between stages, so what each
+#: keeps must be small.
+CACHE_BYTES = 64 << 20
 #: Of an entry besides its text and value: two object heads and a place in the table.
-ENTRY_BYTES = 200
+ENTRY_BYTES = 120
 #: Pre-tokens handed to an encoder at a time.
 LEARN_AT_ONCE = 4000
 #: Characters of texts that are Python objects at a time.
@@ -64,10 +64,14 @@ BLOCK = 1 << 20
 
 
 class PieceCache:
-    """Values of pre-tokens, filled for all missing ones of a block of texts at once; at most ``limit`` bytes are kept."""
+    """Values of pre-tokens, filled for all missing ones of a block of texts at once.
+
+    Two generations of at most half of ``limit`` bytes are kept: when ``known`` is full it becomes the old one, whose entries are
+    taken over as they are met again and else go when the next generation is full.
+    """
 
     def __init__(self, pattern: re.Pattern, values_of, specials: tuple[str, ...], lower: bool, limit: int = CACHE_BYTES):
-        self.limit, self.size = limit, 0
+        self.limit, self.size, self.old = limit, 0, {}
         self.findall, self.values_of, self.lower, self.known = pattern.findall, values_of, lower, {}
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
@@ -81,19 +85,27 @@ class PieceCache:
         return split
 
     def learn(self, split: list[list[str] | None]) -> None:
-        if self.size > self.limit:
-            self.known.clear()
-            self.size = 0
+        if self.size > self.limit // 2:
+            self.old, self.known, self.size = self.known, {}, 0
         found: set[str] = set()
         for words in split:
             if words:
                 found.update(words)
-        missing = [w for w in found if w not in self.known]
+        missing = []
+        for w in found:
+            if w not in self.known:
+                if (value := self.old.get(w)) is None:
+                    missing.append(w)
+                else:
+                    self._keep(w, value)
         for k in range(0, len(missing), LEARN_AT_ONCE):
             part = missing[k : k + LEARN_AT_ONCE]
-            values = self.values_of(part)
-            self.known.update(zip(part, values, strict=True))
-            self.size += sum(map(len, part)) + sum(map(_weight, values)) + ENTRY_BYTES * len(part)
+            for w, value in zip(part, self.values_of(part), strict=True):
+                self._keep(w, value)
+
+    def _keep(self, word: str, value) -> None:
+        self.known[word] = value
+        self.size += ENTRY_BYTES + len(word) + _weight(value)
 
 
 def _weight(value) -> int:

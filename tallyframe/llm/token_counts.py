@@ -48,7 +48,8 @@ class Counter:
         return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
-        known, split = self.cache.known, self.cache.pieces(texts)
+        split = self.cache.pieces(texts)
+        known = self.cache.known
         whole = iter(self._sizes([t for t, words in zip(texts, split, strict=True) if words is None]))
         return [next(whole) if words is None else sum([known[w] for w in words]) for words in split]
 

@@ -44,7 +44,7 @@ from .pieces import WORD_LEVEL, PieceCache, text_slices
 
 END_ID = 1
 DOCS_PER_FILE = 8192
-FILES_PER_PART = 128
+FILES_PER_PART = 4
 #: Frames that are Python objects at a time, in bytes.
 FRAMES_AT_ONCE = 1 << 20
 #: Subfolder of files that are not complete.
@@ -83,7 +83,8 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        known, split, end = self.cache.known, self.cache.pieces(texts), struct.pack("<I", end_id)
+        split, end = self.cache.pieces(texts), struct.pack("<I", end_id)
+        known = self.cache.known
         whole = iter(self._raw([t for t, words in zip(texts, split, strict=True) if words is None]))
         return [(next(whole) if words is None else b"".join([known[w] for w in words])) + end for words in split]
 
@@ -115,7 +116,7 @@ def part_cuts(docs: DataFrame, rows_per_part: int) -> tuple[np.ndarray, np.ndarr
     if parts < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = 2**63 - 1
-    found = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+    found = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], max(10_000, 5 * parts))).first()[0]
     cuts = {(i, last) for i in found}
     hot = ids.groupBy("id").count().where(F.col("count") > rows_per_part).collect()  # fewer than there are parts
     for r in hot:

@@ -5,6 +5,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,27 @@ def test_page_text_from_the_trained_network(spark):
         want = " ".join(b[1] for b, y in zip(blocks, html_blocks._labels(blocks), strict=True) if y)
         assert by[p.page_id].text == want and by[p.page_id].n_chars == len(want)
     assert {r.text for r in got if r.url in (None, "u", "v")} == {""}
+
+
+@pytest.mark.parametrize("limit", [0, 3000, 1 << 20])
+def test_piece_cache_of_any_size_gives_the_same(word, limit):
+    """Old and new generation, taken over or learned again; what is kept stays within bounds."""
+    rng = np.random.default_rng(limit)
+    made: list[str] = []
+    cache = pieces.PieceCache(pieces.WORD_LEVEL, lambda ws: (made.extend(ws), [len(w) for w in ws])[1], (), lower=True, limit=limit)
+    for _ in range(40):
+        block = [" ".join(f"{'abc'[i % 3]}{'x' * (i // 3)}" for i in rng.zipf(1.5, 30) % 90) for _ in range(3)]
+        split = cache.pieces(block)
+        assert all(cache.known[w] == len(w) for words in split for w in words)
+        assert cache.size <= limit // 2 + 100 * 400 and len(cache.known) + len(cache.old) <= 2 * 90
+    assert len(made) == len(set(made)) or limit < 1 << 20
+
+
+def test_slices_of_a_batch_cover_it():
+    texts = ["", None, "a" * 50, "é" * 30, "b", "", "c" * 200, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"])
+    for limit in (1, 10, 60, 1000):
+        got = [(k, t) for part, found in pieces.text_slices(batch, "t", limit) for k, t in zip(part.column("k").to_pylist(), found, strict=True)]
+        assert got == list(enumerate(texts))
+        assert all(len(found) == 1 or sum(len((t or "").encode()) for t in found) <= limit for _, found in pieces.text_slices(batch, "t", limit))
+    assert list(pieces.text_slices(batch.slice(0, 0), "t")) == []
