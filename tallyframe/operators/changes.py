@@ -22,6 +22,8 @@ from ..functions.dates import iso_text
 from ..session import materialized
 from ..sources.schemas import MONEY, TRANSACTIONS
 from .running import HOT_ROWS, dense_number, number_where, previous_value
+from .totals import KEYS as TOTAL_KEYS
+from .totals import signed
 
 
 @dataclass
@@ -29,6 +31,7 @@ class ChangeResult:
     table: DataFrame          # the table after the batch
     outcome: DataFrame        # every request with ``reason`` (null when applied)
     audit: DataFrame | None   # username, action, details (one row per applied request)
+    delta: DataFrame | None = None   # M1, M3, M4: the signed rows by which the batch changes stored totals (``totals.py``)
 
 
 def _scalar_max(df: DataFrame, col: str) -> Column:
@@ -61,7 +64,7 @@ def add_transactions(tx: DataFrame, parties: DataFrame, adds: DataFrame) -> Chan
                              "amount", "reason")
     new_rows = outcome.where(F.col("reason").isNull()).select(*[f.name for f in TRANSACTIONS.fields])
     table = tx.unionByName(new_rows)
-    return ChangeResult(table, outcome, None)
+    return ChangeResult(table, outcome, None, signed(new_rows, 1))
 
 
 # ---- M2: create parties -----------------------------------------------------------------
@@ -189,7 +192,12 @@ def edit_transactions(tx: DataFrame, edits: DataFrame, hot_rows: int = HOT_ROWS,
         F.when(F.col(f"__new_{f}").isNotNull(), _typed(f, F.col(f"__new_{f}"))).otherwise(F.col(f))
         .cast(TRANSACTIONS[f].dataType).alias(f) if f in X.EDITABLE_FIELDS else F.col(f)
         for f in [fl.name for fl in TRANSACTIONS.fields if fl.name != "txn_id"]])
-    return ChangeResult(table, checked, audit)
+    # What the edited rows were and what they are: written once, as the rows are found in the table by their ids.
+    old = tx.join(last, "txn_id")
+    both = old.select(*TOTAL_KEYS, "amount", *[F.col(f"__new_{f}") for f in X.EDITABLE_FIELDS])
+    new = both.select(*[F.coalesce(_typed(f, F.col(f"__new_{f}")), F.col(f)).cast(TRANSACTIONS[f].dataType).alias(f)
+                        if f in X.EDITABLE_FIELDS else F.col(f) for f in [*TOTAL_KEYS, "amount"]])
+    return ChangeResult(table, checked, audit, signed(both, -1).unionByName(signed(new, 1)))
 
 
 # ---- M4: delete transactions ------------------------------------------------------------
@@ -199,7 +207,7 @@ def delete_transactions(tx: DataFrame, deletes: DataFrame) -> ChangeResult:
     earlier request of the batch, is rejected; the audit keeps date, bill and amount."""
     first = deletes.groupBy("txn_id").agg(F.min("seq").alias("__first"))
     d = deletes.join(first, "txn_id")
-    found = tx.select("txn_id", "txn_date", "bill_no", "amount", F.lit(True).alias("__exists"))
+    found = tx.select(*[f.name for f in TRANSACTIONS.fields], F.lit(True).alias("__exists"))
     j = d.join(found, "txn_id", "left")
     reason = F.when(F.col("__exists").isNull() | (F.col("seq") != F.col("__first")), F.lit(NOT_FOUND))
     checked = j.withColumn("reason", reason)
@@ -210,7 +218,7 @@ def delete_transactions(tx: DataFrame, deletes: DataFrame) -> ChangeResult:
         F.concat(F.lit("Deleted Txn ID "), F.col("txn_id").cast("string"), F.lit(". Date: "),
                  X.py_str("txn_date"), F.lit(", Bill: "), X.py_str("bill_no"), F.lit(", Amount: "),
                  X.py_str("amount")).alias("details"))
-    return ChangeResult(table, checked.select("seq", "txn_id", "admin_user", "reason"), audit)
+    return ChangeResult(table, checked.select("seq", "txn_id", "admin_user", "reason"), audit, signed(ok, -1))
 
 
 # ---- M5: rename parties -----------------------------------------------------------------

@@ -587,6 +587,57 @@ def q_stream_import(spark, sf_dir):
     return accepted_contract(read_accepted(spark, f"{work}/out"))
 
 
+# ---- totals kept by deltas --------------------------------------------------------------
+
+def _kept_totals(spark, sf_dir):
+    """Totals of the table, then four batches (edits, deletes, adds, an import) of which only the changes are read, and one
+    compaction on the way."""
+    from ..operators.importing import as_transactions
+    from ..operators.totals import StoredTotals, signed
+    from ..session import shared_work_dir
+
+    b = Books(spark, sf_dir)
+    CH = _changes()
+    kept = StoredTotals(spark, shared_work_dir(spark, "totals"))
+    kept.create(b.transactions)
+    edited = CH.edit_transactions(b.transactions, b.batch("edits"))
+    kept.apply(1, edited.delta)
+    kept.apply(2, CH.delete_transactions(edited.table, b.batch("deletes")).delta)
+    kept.compact()
+    kept.apply(3, CH.add_transactions(b.transactions, b.parties, b.batch("adds")).delta)
+    _, accepted = _import(spark, sf_dir, materialize=True).with_ids()
+    kept.apply(4, signed(as_transactions(accepted), 1))
+    return b, kept
+
+
+@query("totals_by_deltas")
+def q_totals_by_deltas(spark, sf_dir):
+    """A6, A9, A11, A12 kept: the stored groups after four batches."""
+    from pyspark.sql import functions as F
+
+    from ..functions.dates import iso_text
+
+    _, kept = _kept_totals(spark, sf_dir)
+    return kept.totals().select("party_id", iso_text("txn_date").alias("date"), F.col("txn_type").alias("type"),
+                                F.col("payment_mode").alias("mode"), "n", F.col("amount").cast("double").alias("amount"))
+
+
+@query("reports_from_totals")
+def q_reports_from_totals(spark, sf_dir):
+    """P&L, trial balance, dashboard and outstanding of the books after the batches, from the stored totals alone."""
+    from pyspark.sql import functions as F
+
+    b, kept = _kept_totals(spark, sf_dir)
+    rows = kept.rows()
+    tall = lambda df, name: df.select(F.lit(name).alias("report"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in df.columns])))
+    balance = A.trial_balance(rows, b.parties)
+    out = tall(A.pnl(rows), "pnl").unionByName(tall(A.dashboard(rows, b.parties, AS_OF), "dashboard"))
+    out = out.unionByName(tall(A.outstanding_total(rows, b.parties), "outstanding"))
+    return out.unionByName(balance.select(F.lit("trial balance").alias("report"), F.col("account").alias("item"),
+                                          (F.col("debit") - F.col("credit")).alias("value")))
+
+
 @query("transactions_page_after")
 def q_transactions_page_after(spark, sf_dir):
     """O4, keyset form: the 100 rows after (1997-01-01, id 7000), a place inside that day, in (date desc, id desc) order."""

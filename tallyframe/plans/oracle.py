@@ -8,6 +8,8 @@ oracle is an independent formulation of what the Spark plans compute.
 
 from __future__ import annotations
 
+import re
+
 # Fixture views (FIXTURES.md), in DuckDB syntax.
 FIXTURE_SQL = {
     "parties": """
@@ -708,3 +710,68 @@ SELECT admin_user AS username, 'Set Opening Cash' AS action,
                                       ELSE CAST(v AS VARCHAR) END AS details
 FROM (SELECT admin_user, TRY_CAST(amount AS DOUBLE) AS v FROM opening_cash_requests) r
 WHERE v IS NOT NULL AND NOT isnan(v)""", "opening_cash_requests"))
+
+
+# ---- totals kept by deltas: the same batches applied to the rows themselves ---------------
+
+def _renamed(ctes: str, **names: str) -> str:
+    """CTE text with whole words replaced, so that parts with the same names can stand side by side."""
+    for old, new in names.items():
+        ctes = re.sub(rf"\b{old}\b", new, ctes)
+    return ctes
+
+
+_AFTER = ",\n".join([
+    _EDIT,
+    """edited AS (SELECT t.txn_id, COALESCE(CAST(p.n_date AS DATE), t.txn_date) AS txn_date, t.party_id, COALESCE(p.n_type, t.txn_type) AS txn_type,
+  COALESCE(p.n_mode, t.payment_mode) AS payment_mode, COALESCE(CAST(p.n_amount AS DECIMAL(18,2)), t.amount) AS amount
+  FROM transactions t LEFT JOIN piv p ON p.txn_id = t.txn_id)""",
+    _renamed(_ADD, a="add_a", chk="add_chk"),
+    _IMPORT,
+    """after_all AS (SELECT party_id, txn_date, txn_type, payment_mode, amount FROM edited WHERE txn_id NOT IN (SELECT txn_id FROM deletes)
+  UNION ALL SELECT pid, d, txn_type, mode, amt FROM add_chk WHERE reason IS NULL
+  UNION ALL SELECT COALESCE(p.party_id, n.party_id), o.d, o.type, o.mode, o.amount FROM ok o LEFT JOIN parties p ON p.normalized_name = o.party_key
+    LEFT JOIN (SELECT party_key, (SELECT max(party_id) FROM parties) + row_number() OVER (ORDER BY min(row_id)) AS party_id
+      FROM ok WHERE party_key NOT IN (SELECT normalized_name FROM parties) GROUP BY party_key) n ON n.party_key = o.party_key)"""])
+_AFTER_VIEWS = (TX, PT, "raw_import", "adds", "edits", "deletes")
+
+oracle("totals_by_deltas", with_views("""
+SELECT party_id, CAST(txn_date AS VARCHAR) AS date, txn_type AS type, payment_mode AS mode, count(*) AS n,
+  CAST(COALESCE(sum(amount), 0) AS DOUBLE) AS amount FROM after_all GROUP BY party_id, txn_date, txn_type, payment_mode""",
+                                      *_AFTER_VIEWS, extra=_AFTER))
+
+
+_FLOW = "CASE WHEN lower(txn_type) IN ('sale','receipt') THEN amount WHEN lower(txn_type) = 'expense' THEN -amount END"
+
+
+def _exact(expr: str, where: str) -> str:
+    return f"CAST(COALESCE(sum({expr}) FILTER (WHERE {where}), 0) AS DECIMAL(38,2))"
+
+
+_BOOKS_AFTER = _AFTER + f""",
+fig AS (SELECT {_exact("amount", "lower(txn_type) = 'sale'")} AS sales, {_exact("amount", "lower(txn_type) = 'expense'")} AS expenses,
+    {_exact("amount", "lower(txn_type) = 'sale' AND txn_date = DATE '1998-06-15'")} AS sales_today,
+    {_exact("amount", "lower(txn_type) = 'sale' AND year(txn_date) = 1998 AND month(txn_date) = 6")} AS sales_month,
+    {_exact(_FLOW, "lower(payment_mode) = 'cash'")} AS cash, {_exact(_FLOW, "lower(payment_mode) IN " + BANKS_LOWER)} AS bank,
+    {_exact(_FLOW, "lower(payment_mode) = 'upi'")} AS upi FROM after_all),
+who AS (SELECT p.party_id AS known, p.name, lower(p.type) AS ptype, x.* FROM after_all x LEFT JOIN parties p ON p.party_id = x.party_id),
+owed AS (SELECT {_exact("CASE WHEN lower(txn_type) = 'sale' THEN amount WHEN lower(txn_type) = 'receipt' THEN -amount END", "ptype = 'customer'")} AS receivables,
+    {_exact("CASE WHEN lower(txn_type) = 'sale' THEN amount ELSE -amount END", "known IS NOT NULL")} AS debtors,
+    {_exact("CASE WHEN lower(txn_type) = 'purchase' THEN amount ELSE -amount END", "known IS NOT NULL")} AS creditors FROM who),
+late AS (SELECT sum(CASE WHEN lower(txn_type) = 'sale' THEN amount ELSE -amount END) AS bal FROM who
+    WHERE ptype = 'credit customer' AND lower(txn_type) IN ('sale','receipt') GROUP BY name),
+accounts AS (SELECT 'Cash Account' AS item, cash AS value FROM fig UNION ALL SELECT 'Bank Account', bank FROM fig
+    UNION ALL SELECT 'UPI Account', upi FROM fig UNION ALL SELECT 'Sundry Debtors', debtors FROM owed UNION ALL SELECT 'Sundry Creditors', creditors FROM owed
+    UNION ALL SELECT 'Sales Account', -sales FROM fig UNION ALL SELECT 'Expense Account', expenses FROM fig)"""
+
+oracle("reports_from_totals", with_views("""
+SELECT report, item, CAST(value AS DOUBLE) AS value FROM (
+  SELECT 'pnl' AS report, 'sales' AS item, sales AS value FROM fig UNION ALL SELECT 'pnl', 'expenses', expenses FROM fig
+  UNION ALL SELECT 'pnl', 'net_profit', sales - expenses FROM fig
+  UNION ALL SELECT 'dashboard', 'sales_today', sales_today FROM fig UNION ALL SELECT 'dashboard', 'sales_month', sales_month FROM fig
+  UNION ALL SELECT 'dashboard', 'cash_balance', cash FROM fig UNION ALL SELECT 'dashboard', 'bank_balance', bank FROM fig
+  UNION ALL SELECT 'dashboard', 'receivables', receivables FROM owed UNION ALL SELECT 'dashboard', 'total_funds', cash + bank FROM fig
+  UNION ALL SELECT 'outstanding', 'total', COALESCE(sum(bal), 0) FROM late WHERE bal > 0 UNION ALL SELECT 'trial balance', item, value FROM accounts) x
+UNION ALL SELECT 'dashboard', 'cash_ratio', CASE WHEN cash + bank > 0 THEN CAST(cash AS DOUBLE) / CAST(cash + bank AS DOUBLE) * 100 ELSE 0 END FROM fig
+UNION ALL SELECT 'trial balance', 'TOTAL', CAST(sum(value) FILTER (WHERE value > 0) AS DOUBLE) - CAST(-sum(value) FILTER (WHERE value < 0) AS DOUBLE)
+  FROM accounts""", *_AFTER_VIEWS, extra=_BOOKS_AFTER))

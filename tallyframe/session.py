@@ -99,6 +99,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands directly in a folder; none where the folder is missing."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(where)] if store.exists(where) else []
+
+
 def copy_file(spark: SparkSession, source: str, target: str) -> None:
     """Copy one file, in whatever stores the paths name."""
     conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
