@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_arrow, text_or_empty
+from .common import documents, map_arrow, task_cache, text_or_empty
 from .pieces import WORD_LEVEL, PieceCache, text_slices
 
 #: Words merged together in one flat array.
@@ -178,6 +178,9 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+task_cache(word_bpe.cache_clear)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``ids`` and ``decoded`` of every document's whole text."""
     from pyspark.sql import types as T

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -167,10 +168,46 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+#: Bytes of a batch handed to Python: texts are long, and a batch stands in the executor and in the worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What empties the caches of this package's modules, called where a task ends.
+_TASK_CACHES: list = []
+
+
+def task_cache(clear):
+    """Have ``clear`` called at the end of every task: workers live on, and the next task may be of another step."""
+    _TASK_CACHES.append(clear)
+    return clear
+
+
+def give_back() -> None:
+    """Return what a task has used: caches, Arrow's pool, and the free memory that the allocator holds."""
+    for clear in _TASK_CACHES:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """``mapInArrow`` with this package at hand on the executors, batches bounded by bytes (unless the session sets a bound of
+    its own), and memory given back at the end of a task."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH_SETTING, "67108864b") in ("67108864b", "64MB", "64m"):  # Spark's default
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 def release(spark: SparkSession) -> None:

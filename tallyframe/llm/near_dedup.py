@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACE, documents, map_arrow, placed, places_written, release, rows_at, text_or_empty, written
+from .common import PLACE, documents, map_arrow, placed, places_written, release, rows_at, task_cache, text_or_empty, written
 from .pieces import text_slices
 
 K = 64
@@ -91,6 +91,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+task_cache(_words.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_arrow, text_or_empty, work_path, written
+from .common import documents, map_arrow, task_cache, text_or_empty, work_path, written
 from .pieces import BYTE_LEVEL, PieceCache, text_slices
 
 CACHE_SCHEMA = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
@@ -59,6 +59,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+task_cache(counter.cache_clear)
+
+
 def tokenizer_version(path: str) -> str:
     """Digest of the tokenizer's file and of the library's version."""
     import tokenizers

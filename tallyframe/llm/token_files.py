@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, map_arrow, shared_store, text_or_empty, work_path
+from .common import documents, map_arrow, shared_store, task_cache, text_or_empty, work_path
 from .pieces import WORD_LEVEL, PieceCache, text_slices
 
 END_ID = 1
@@ -94,6 +94,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+task_cache(encoder.cache_clear)
+
+
 def _order(ids: pa.Array) -> np.ndarray:
     """Ids as longs, null as the least."""
     return ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
