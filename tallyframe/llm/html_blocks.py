@@ -33,22 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, task_cache
 
 SAMPLE = 160
+#: Variants of each of them that are trained on too.
+VARIANTS = 8
 HIDDEN = 16
 EPOCHS = 24
 RATE = 0.02
 #: Blocks of a page read in one training sequence; longer pages give several.
 WINDOW = 48
-PATH_DIMS, WORD_DIMS, COUNTS = 128, 64, 5
+PATH_DIMS, WORD_DIMS, COUNTS = 256, 64, 5
 INPUT = PATH_DIMS + WORD_DIMS + COUNTS
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|textarea)(?=[\s/>])[^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S | re.I)
+    # A quote counts only after "=", and one that is never closed is a character like any other.
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|[^>])*))>"
+    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in ("script", "style", "title", "textarea")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INLINE = frozenset(
@@ -63,10 +66,16 @@ _OPTIONS = frozenset("hr optgroup option".split())
 # Blocks that close an open paragraph; list items and cells close their like.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-#: Words in class, id and role that name other things than the article.
-OTHER = re.compile(
-    r"(^|[-_ ])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter"
-    r"|notice|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|disqus|reply|replies|login|signup)([-_ ]|$)", re.I)
+#: Words of class, id and role that name other things than the article, and words that go with them. A name is of another thing
+#: if all its words are of these and one is of the first: ``cookie-notice`` and ``main-nav`` are, ``share-price`` is not.
+_OTHER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent footer header"
+    " masthead menu menus modal nav navbar navigation newsletter notice notices popup promo promos related share sharing sidebar social sponsor sponsored"
+    " subscribe toolbar widget widgets disqus reply replies login signup".split())
+_PLAIN_WORDS = frozenset(
+    "a and area articles bar bottom box block body button buttons container content entry form global group info inner item items left layout link links list main"
+    " outer page panel post posts primary right secondary section site slot sticky sub text top wrap wrapper".split())
+_ROLES = frozenset("banner complementary contentinfo dialog navigation search".split())
 _OTHER_TAGS = frozenset("nav header footer aside form button menu dialog fieldset".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 
@@ -149,6 +158,12 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
+def names_other(name: str) -> bool:
+    """Whether a class, id or role names something else than the article."""
+    words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+    return name in _ROLES or bool(words) and not _OTHER_WORDS.isdisjoint(words) and all(w in _OTHER_WORDS or w in _PLAIN_WORDS for w in words)
+
+
 def structural_label(path: tuple[str, ...], has_article: bool) -> bool:
     """Whether markup says that a block is main text: in the article (where the page has one) and in nothing else."""
     inside = False
@@ -156,7 +171,9 @@ def structural_label(path: tuple[str, ...], has_article: bool) -> bool:
         tag, _, names = entry.partition(" ")
         if tag in _MAIN_TAGS:
             inside = True
-        elif tag in _OTHER_TAGS and (tag != "header" or not inside) or names and OTHER.search(names):
+        elif tag in _OTHER_TAGS and (tag != "header" or not inside):
+            return False
+        if any(map(names_other, names.split())) and tag not in ("html", "body"):
             return False
     return inside or not has_article
 
@@ -173,29 +190,44 @@ class _Buckets(dict):
         self.dims = dims
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = k = zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.dims
         return k
 
 
-_word_bucket, _path_bucket = _Buckets(WORD_DIMS), _Buckets(PATH_DIMS)
+#: Of the numbers of a path, those for tags, for names, and for what the lexicon says of the path.
+TAG_DIMS, NAME_DIMS, SIGNS = 176, 72, 8
+
+_word_bucket, _tag_bucket, _name_bucket = _Buckets(WORD_DIMS), _Buckets(TAG_DIMS), _Buckets(NAME_DIMS)
 _path_rows: dict[tuple[str, ...], np.ndarray] = {}
 
 
+@task_cache
+def _forget() -> None:
+    for kept in (_word_bucket, _tag_bucket, _name_bucket, _path_rows):
+        kept.clear()
+
+
 def _path_row(path: tuple[str, ...]) -> np.ndarray:
     row = _path_rows.get(path)
     if row is None:
-        if len(_path_rows) > 50_000:
+        if len(_path_rows) > 20_000:
             _path_rows.clear()
         row = _path_rows[path] = np.zeros(PATH_DIMS)
-        for entry in path:
+        signs = row[TAG_DIMS + NAME_DIMS :]
+        for depth, entry in enumerate(path):
             tag, _, names = entry.partition(" ")
-            row[_path_bucket[f"<{tag}"]] = 1
-            for name in re.split(r"[\s_-]+", names) if names else ():
-                row[_path_bucket[f".{name}"]] = 1
+            row[_tag_bucket[f"<{tag}"]] = 1
+            for name in names.split():
+                row[TAG_DIMS + _name_bucket[name]] = 0.5
+                signs[0] += names_other(name)
+            signs[1 if tag in _OTHER_TAGS else 2 if tag in _MAIN_TAGS else 3] += 1
+            if tag in _OTHER_TAGS and signs[2]:
+                signs[4] = 1  # inside the article
+        signs[3] /= 8
         if path:
-            row[_path_bucket[f">{path[-1].split(' ', 1)[0]}"]] = 1
+            row[_tag_bucket[f">{path[-1].split(' ', 1)[0]}"]] = 1
     return row
 
 
@@ -346,34 +378,50 @@ class BlockLabeller:
                     w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
 
 
-#: Places and names for the other parts of a training page.
-_VARIANTS = [("nav",), ("header",), ("footer",), ("aside",), ("form",), ("div menu",), ("div sidebar",), ("div ad",), ("div advert",),
-             ("div cookie notice",), ("div comments", "div comment"), ("section comments", "ul", "li"), ("div share",), ("div related", "ul", "li"),
-             ("header", "nav", "ul", "li"), ("footer", "p"), ("aside", "p"), ("aside sidebar", "ul", "li"), ("div comments", "p"), ("div footer", "p"),
-             ("div newsletter", "form"), ("form", "fieldset"), ("div banner", "p"), ("div header",), ("div navigation", "a"), ("section related", "h2"),
-             ("div notice", "p"), ("article", "div comments", "p"), ("article", "aside"), ("article", "div ad"), ("article", "footer", "p"),
-             ("article", "form"), ("main", "nav", "ul", "li"), ("main", "aside", "p")]
-_HOMES = [("article",), ("main",), ("main", "article"), ("div wrapper", "article"), ("article post",), ("div container", "main content", "div")]
+#: Places and names for the other parts of a training page; ``~`` stands for a name of another thing.
+_PLACES = [("nav",), ("header",), ("footer",), ("aside",), ("form",), ("div ~",), ("section ~",), ("ul ~", "li"), ("nav", "ul", "li"), ("header", "nav", "ul", "li"),
+           ("footer", "p"), ("footer", "ul", "li"), ("aside", "p"), ("aside", "ul", "li"), ("div ~", "p"), ("div ~", "ul", "li"), ("div ~", "div", "p"),
+           ("section ~", "h2"), ("section ~", "ul", "li"), ("form", "fieldset"), ("form", "p"), ("div ~", "form"), ("div ~", "h3"), ("div ~", "div ~"),
+           ("nav ~", "div"), ("dialog",), ("menu", "li"), ("div ~", "figure", "figcaption"), ("div ~", "table", "tr", "td"), ("div ~", "article", "p")]
+_NAMED = ["ad", "ads", "advert", "banner", "breadcrumbs", "comments", "comment-list", "cookie notice", "cookie-consent", "site-footer", "site-header", "menu", "main-nav",
+          "navbar", "navigation", "newsletter", "newsletter-box", "notice", "promo", "popup", "related", "related-posts", "share", "share-buttons", "sidebar",
+          "left sidebar", "social-links", "sponsored", "subscribe", "widget", "login-form", "replies"]
+#: Homes of the article, with and without tags that say so, and names that pages give them and their parts.
+_HOMES = [("article",), ("main",), ("main", "article"), ("div ?", "article"), ("article ?",), ("div ?", "main ?", "div"), ("main ?", "section"), ("article ?", "div ?")]
+_BARE_HOMES = [(), ("div ?",), ("div ?", "div ?"), ("section ?",), ("table", "tr", "td ?"), ("div",), ("div ?", "section")]
+_OWN_NAMES = ["content", "post", "entry-content", "article-body", "main", "story", "wrapper", "container", "page", "text", "body-text", "share-price", "header-files",
+              "navigation-history", "comment-on-law", "menu-of-the-day", "ad-hoc", "column", "lead", "prose", "markdown", "chapter"]
+_LEAVES = [("p",), ("p",), ("p",), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("div",), ("div ?",), ("figure", "figcaption"),
+           ("table", "tr", "td"), ("table", "tbody", "tr", "th"), ("table", "caption"), ("dl", "dt"), ("dl", "dd"), ("pre",), ("section", "p"), ("section ?", "h2"),
+           ("div ?", "p"), ("header", "p"), ("details", "summary"), ("address",), ("ul", "li", "p"), ("object", "p"), ("noscript", "p")]
 
 
 def _variant(blocks, rng):
-    """The page's blocks, its main ones under another article, its others (and some main text) in other places."""
+    """The page's blocks, its main ones under another home and in leaves of any kind, its others in other places. Texts change
+    places too (a short one may be main, a long one not), so that where a block stands decides, not what it says."""
     labels = _labels(blocks)
     main = [b for b, y in zip(blocks, labels, strict=True) if y]
     texts = [b[1] for b in blocks]
-    home = ("html", "body", *_HOMES[rng.integers(len(_HOMES))])
-    leaves = [(*home, "h1" if k == 0 else ("p", "p", "p", "h2", "li", "blockquote", "div")[rng.integers(7)]) for k in range(len(main))]
-    out = [((path), b[1], b[2]) for path, b in zip(leaves, main, strict=True)]
+    pick = lambda of: of[rng.integers(len(of))]
+    named = lambda path: tuple(f"{e[:-1]}{pick(_NAMED)}" if e.endswith("~") else f"{e[:-1]}{pick(_OWN_NAMES)}" if e.endswith("?") else e for e in path)
+    bare = rng.random() < 0.45
+    home = named(("html", "body", *pick(_BARE_HOMES if bare else _HOMES)))
+    leaves_of = _LEAVES if not bare else [x for x in _LEAVES if x[0] != "header"]
+    few = [named(pick(leaves_of)) for _ in range(rng.integers(1, 5))]
 
     def others(inner: bool):
-        path = _VARIANTS[rng.integers(len(_VARIANTS))]
-        if path[0] in _MAIN_TAGS:
-            path = (*home, *path[1:]) if inner else path[1:]
-        elif inner:
-            path = (*home, *path)
-        return [(path if path[0] == "html" else ("html", "body", *path), texts[rng.integers(len(texts))], float(rng.random() < 0.5))
-                for _ in range(rng.integers(1, 5))]
-
+        path = named(pick(_PLACES))
+        if inner:
+            path = ("html", "body", *home[2:], *(path if path[0] != "header" else ("footer", *path[1:])))
+        else:
+            path = ("html", "body", *path)
+        return [(path, pick(texts), float(rng.random() < 0.5)) for _ in range(rng.integers(1, 7))]
+
+    out = []
+    for k, b in enumerate(main):
+        leaf = ("h1",) if k == 0 and rng.random() < 0.7 else named(("p",)) if rng.random() < 0.3 else pick(few)
+        for _ in range(rng.integers(1, 5) if leaf[-1].split(" ")[0] in ("li", "td", "th", "dt", "dd") else 1):
+            out.append(((*home, *leaf), b[1] if rng.random() < 0.5 else pick(texts), float(rng.random() < 0.1)))
     if len(out) > 2 and rng.random() < 0.5:
         k = int(rng.integers(1, len(out)))
         out = out[:k] + others(True) + out[k:]
@@ -385,13 +433,13 @@ def _variant(blocks, rng):
 
 
 def train(pages: list[str], epochs: int = EPOCHS, seed: int = 11) -> BlockLabeller:
-    """The network fitted to the pages and to two variants of each."""
+    """The network fitted to the pages and to ``VARIANTS`` variants of each."""
     rng = np.random.default_rng(seed)
     x, y = [], []
     for page in pages:
         blocks = blocks_of(page)
         if blocks:
-            for version in (blocks, _variant(blocks, rng), _variant(blocks, rng)):
+            for version in (blocks, *[_variant(blocks, rng) for _ in range(VARIANTS)]):
                 rows, truth = vectors(version), np.array(_labels(version), float)
                 for k in range(0, len(rows), WINDOW):
                     x.append(rows[k : k + WINDOW])
