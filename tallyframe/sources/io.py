@@ -8,15 +8,13 @@ update, so a changed table is written next to the old one and the caller switche
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sheet_name
-from ..session import path_exists
 from .import_files import RANGE_BYTES, cells_as_columns, header_names, read_records_of
 from .schemas import TABLES
+from .snapshots import restore, snapshot, snapshot_folder  # noqa: F401 - S7, S8
 
 
 def read_parquet_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
@@ -129,38 +127,6 @@ def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None, ke
     write_csv(w, path)
 
 
-def snapshot_folder(root: str, database: str, prefix: str = "", when: _dt.datetime | None = None) -> str:
-    """``{root}/{prefix}{database}_{yyyyMMdd_HHmmss}``."""
-    stamp = (when or _dt.datetime.now()).strftime("%Y%m%d_%H%M%S")
-    return f"{root.rstrip('/')}/{prefix}{database}_{stamp}"
-
-
-def snapshot(tables: dict[str, DataFrame], root: str, database: str, prefix: str = "",
-             when: _dt.datetime | None = None) -> str:
-    """Write every table below a new time-stamped folder; returns the folder. Each table
-    is written with overwrite, so re-running a failed snapshot into the same folder
-    replaces any partial output instead of failing."""
-    folder = snapshot_folder(root, database, prefix, when)
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return folder
-
-
-def restore(spark: SparkSession, folder: str, names: list[str], target_root: str) -> dict[str, DataFrame]:
-    """Read a snapshot and write it as the current tables at ``target_root`` (a new
-    location, never the one being read). A missing snapshot raises FileNotFoundError."""
-    out = {}
-    for name in names:
-        src = f"{folder.rstrip('/')}/{name}"
-        if not path_exists(spark, src):
-            raise FileNotFoundError(f"Backup file not found: {src}")
-        df = spark.read.schema(TABLES[name]).parquet(src) if name in TABLES else spark.read.parquet(src)
-        dst = f"{target_root.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(dst)
-        out[name] = spark.read.parquet(dst)
-    return out
-
-
 def write_rejects(rejected: DataFrame, path: str) -> None:
     """The reject report (row, reason) as CSV."""
     write_csv(rejected, path)
