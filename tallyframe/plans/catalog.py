@@ -643,6 +643,42 @@ def q_reports_from_totals(spark, sf_dir):
                                           (F.col("debit") - F.col("credit")).alias("value")))
 
 
+# ---- statements with the balance brought forward -----------------------------------------
+
+def _forward(spark, sf_dir, account: bool):
+    """Openings of the books, repaired by a batch of deletes, and a quarter's statement of the rows as a layout by day."""
+    from pyspark.sql import functions as F
+
+    from ..operators import carries as Y
+    from ..session import shared_work_dir
+    from ..sources import io
+
+    b = Books(spark, sf_dir)
+    known = b.parties.select("party_id")
+    own = (lambda df: Y.accounts_of(df.join(known, "party_id", "left_semi"))) if account else (lambda df: df.join(known, "party_id", "left_semi"))
+    key, value = ("account", Y.account_value) if account else ("party_id", Y.party_value)
+    work = shared_work_dir(spark, "forward")
+    deleted = _changes().delete_transactions(b.transactions, b.batch("deletes"))
+    io.write_transactions_layout(deleted.table, f"{work}/transactions")
+    openings = Y.MonthOpenings(spark, f"{work}/openings", [key], value)
+    openings.create(own(b.transactions))
+    openings.apply(own(deleted.delta))
+    rows = own(spark.read.parquet(f"{work}/transactions"))
+    return Y.statement_contract(openings.statement(rows, "1997-02-10", "1997-04-20"), key)
+
+
+@query("party_statement_forward")
+def q_party_statement_forward(spark, sf_dir):
+    """W1 for a date range, opening with the balance brought forward, from stored month openings."""
+    return _forward(spark, sf_dir, account=False)
+
+
+@query("account_statement_forward")
+def q_account_statement_forward(spark, sf_dir):
+    """W3 for a date range of all accounts, opening with the balance brought forward."""
+    return _forward(spark, sf_dir, account=True)
+
+
 @query("transactions_page_after")
 def q_transactions_page_after(spark, sf_dir):
     """O4, keyset form: the 100 rows after (1997-01-01, id 7000), a place inside that day, in (date desc, id desc) order."""

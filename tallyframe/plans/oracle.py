@@ -775,3 +775,27 @@ SELECT report, item, CAST(value AS DOUBLE) AS value FROM (
 UNION ALL SELECT 'dashboard', 'cash_ratio', CASE WHEN cash + bank > 0 THEN CAST(cash AS DOUBLE) / CAST(cash + bank AS DOUBLE) * 100 ELSE 0 END FROM fig
 UNION ALL SELECT 'trial balance', 'TOTAL', CAST(sum(value) FILTER (WHERE value > 0) AS DOUBLE) - CAST(-sum(value) FILTER (WHERE value < 0) AS DOUBLE)
   FROM accounts""", *_AFTER_VIEWS, extra=_BOOKS_AFTER))
+
+
+# ---- statements with the balance brought forward: from the first row on --------------------
+
+def _forward(key: str, rows: str, value: str) -> str:
+    order = f"PARTITION BY {key} ORDER BY txn_date NULLS FIRST, txn_id"
+    return f"""x AS ({rows}),
+s AS (SELECT *, sum({value}) OVER ({order} ROWS UNBOUNDED PRECEDING) AS bal FROM x),
+o AS (SELECT {key}, sum({value}) AS bal FROM x WHERE txn_date IS NULL OR txn_date < DATE '1997-02-10' GROUP BY {key})
+SELECT {key}, txn_id AS id, CAST(txn_date AS VARCHAR) AS date, txn_type AS type, CAST(amount AS DOUBLE) AS amount, CAST(bal AS DOUBLE) AS balance
+FROM s WHERE txn_date BETWEEN DATE '1997-02-10' AND DATE '1997-04-20'
+UNION ALL SELECT k.{key}, NULL, '1997-02-10', 'Opening', NULL, CAST(COALESCE(o.bal, 0) AS DOUBLE)
+FROM (SELECT {key} FROM o WHERE bal <> 0 UNION SELECT {key} FROM x WHERE txn_date BETWEEN DATE '1997-02-10' AND DATE '1997-04-20') k LEFT JOIN o ON o.{key} = k.{key}"""
+
+
+_LEFT = "FROM transactions t JOIN parties p ON p.party_id = t.party_id WHERE t.txn_id NOT IN (SELECT txn_id FROM deletes)"
+
+oracle("party_statement_forward", with_views("", TX, PT, "deletes", extra=_forward(
+    "party_id", f"SELECT t.* {_LEFT}", "CASE WHEN txn_type = 'Sale' THEN COALESCE(amount, 0) ELSE -COALESCE(amount, 0) END")))
+
+oracle("account_statement_forward", with_views("", TX, PT, "deletes", extra=_forward(
+    "account", f"""SELECT 'Cash' AS account, t.* {_LEFT} AND lower(payment_mode) = 'cash'
+  UNION ALL SELECT 'Bank', t.* {_LEFT} AND lower(payment_mode) IN {BANKS_LOWER} UNION ALL SELECT 'UPI', t.* {_LEFT} AND lower(payment_mode) = 'upi'""",
+    "CASE WHEN txn_type IN ('Sale', 'Receipt') THEN COALESCE(amount, 0) ELSE -COALESCE(amount, 0) END")))
