@@ -67,7 +67,8 @@ class WordBpe:
         self.pair_keys, self.pair_rank, self.made = keys[order], order.astype(np.int64), made
         self.unranked = len(pairs)
         #: Of each known pre-token: its ids, their decimal text, and the text they decode to.
-        self.cache = PieceCache(WORD_LEVEL, self._forms, tuple(self.special), lower=True)
+        self.cache = PieceCache(WORD_LEVEL, self._forms, tuple(self.special), lower=True,
+                                weight=lambda values: sum(250 + 36 * len(ids) + len(shown) + len(text) for ids, shown, text in values))
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -123,18 +123,23 @@ class _Places:
                 self.bits[bucket] = np.frombuffer(bits, np.uint8)
 
 
-def rows_at(docs: DataFrame, path: str, named: bool = True) -> DataFrame:
+def rows_at(docs: DataFrame, path: str, named: bool = True, then=None, schema=None) -> DataFrame:
     """The rows of ``docs`` (as ``placed`` gives them) that the bitmaps of ``path`` name, or (``named`` false) all others, without
-    the place. The task that reads a file asks the file's bitmaps, so no row is shuffled."""
-    schema = docs.drop(*PLACE).schema
+    the place. The task that reads a file asks the file's bitmaps, so no row is shuffled.
 
-    def run(batches):
+    With ``then`` (batches to batches of ``schema``) the rows, place included, go through it in the same worker.
+    """
+
+    def kept(batches):
         places = _Places(path)
         for batch in batches:
             hit = places.has(batch.column(PLACE[0]).to_numpy(), batch.column(PLACE[1]).to_numpy())
-            yield batch.drop_columns(list(PLACE)).filter(pa.array(hit if named else ~hit))
+            yield batch.filter(pa.array(hit if named else ~hit))
+
+    def run(batches):
+        yield from then(kept(batches)) if then else (b.drop_columns(list(PLACE)) for b in kept(batches))
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, schema if then else docs.drop(*PLACE).schema)
 
 
 def shared_store(uri: str) -> tuple[pa.fs.FileSystem, str]:

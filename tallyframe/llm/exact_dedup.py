@@ -175,8 +175,7 @@ def _grouped(rows: DataFrame, shard_rows: int) -> DataFrame:
     digests = written(_digested(rows), "dedup-digests")
     repeated = written(repeated_fingerprints(digests, shard_rows), "dedup-repeated")
     flagged = digests.join(repeated, "fp", "left_semi")
-    candidates = rows_at(rows.select("doc_id", "_raw", *[F.col(c).alias(f"_{c}") for c in PLACE], *PLACE), places_written(flagged, "dedup-candidates"))
-    kept = ["doc_id", *[f"_{c}" for c in PLACE]]
+    kept = ["doc_id", *PLACE]
 
     def normalise(batches):
         for batch in batches:
@@ -185,10 +184,12 @@ def _grouped(rows: DataFrame, shard_rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], text], [*kept, "text"])
 
     kind = dict(rows.dtypes)["doc_id"]
+    candidates = rows_at(rows.select("_raw", *kept), places_written(flagged, "dedup-candidates"), then=normalise,
+                         schema=f"doc_id {kind}, {PLACE[0]} long, {PLACE[1]} long, text binary")
     # Null ids come last, rows of one id in order of their places.
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *[F.col(c) for c in kept])).alias("stays")
     classes = (
-        map_arrow(candidates.select("_raw", *kept), normalise, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in kept[1:]) + ", text binary")
+        candidates
         .groupBy("text").agg(stays, F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
         .select(F.unhex(F.sha2("text", 256)).alias("sha"), "stays", "group_size")
@@ -213,7 +214,7 @@ def drop_copies(docs: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     """The documents that stay, one row a group, with their columns as they came."""
     docs = placed(docs, "dedup-rows")
     found = _grouped(_raw_rows(docs), shard_rows)
-    here = F.struct(*PLACE) == F.struct(*[F.col(f"stays._{c}") for c in PLACE])
+    here = F.struct(*PLACE) == F.struct(*[F.col(f"stays.{c}") for c in PLACE])
     return rows_at(docs, places_written(found.filter(F.col("stays").isNotNull() & ~here), "dedup-dropped"), named=False)
 
 

@@ -292,17 +292,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, digests: DataFrame, rule: Rule)
     length = rule.words
     one = digests.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(*PLACE)).alias("at"))
     one = written(one.select("cid", *[F.col(f"at.{c}").alias(c) for c in PLACE]), "near-chosen")
-    rows = docs.select(text_or_empty().cast("binary").alias("_raw"), *[F.col(c).alias(f"_{c}") for c in PLACE], *PLACE)
-    rows = rows_at(rows, places_written(one, "near-places"))
-    at = [f"_{c}" for c in PLACE]
-
     def run(batches):
         for batch in batches:
             for part, raw in text_slices(batch, "_raw"):
                 sets = [shingle_set(t, length).view(np.int64) for t in raw]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in at], pa.array(sets, pa.list_(pa.int64()))], [*PLACE, "shingles"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in PLACE], pa.array(sets, pa.list_(pa.int64()))], [*PLACE, "shingles"])
 
-    found = map_arrow(rows.select("_raw", *at), run, f"{PLACE[0]} long, {PLACE[1]} long, shingles array<long>")
+    rows = docs.select(text_or_empty().cast("binary").alias("_raw"), *PLACE)
+    found = rows_at(rows, places_written(one, "near-places"), then=run, schema=f"{PLACE[0]} long, {PLACE[1]} long, shingles array<long>")
     return found.join(one, list(PLACE)).select("cid", "shingles")
 
 

@@ -70,8 +70,9 @@ class PieceCache:
     taken over as they are met again and else go when the next generation is full.
     """
 
-    def __init__(self, pattern: re.Pattern, values_of, specials: tuple[str, ...], lower: bool, limit: int = CACHE_BYTES):
-        self.limit, self.size, self.old = limit, 0, {}
+    def __init__(self, pattern: re.Pattern, values_of, specials: tuple[str, ...], lower: bool, limit: int = CACHE_BYTES, weight=None):
+        """``weight`` gives the bytes of a list of values (numbers weigh nothing)."""
+        self.limit, self.size, self.old, self.weight = limit, 0, {}, weight or (lambda values: 0)
         self.findall, self.values_of, self.lower, self.known = pattern.findall, values_of, lower, {}
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
@@ -88,31 +89,18 @@ class PieceCache:
         if self.size > self.limit // 2:
             self.old, self.known, self.size = self.known, {}, 0
         found: set[str] = set()
-        for words in split:
-            if words:
-                found.update(words)
-        missing = []
-        for w in found:
-            if w not in self.known:
-                if (value := self.old.get(w)) is None:
-                    missing.append(w)
-                else:
-                    self._keep(w, value)
+        found.update(*[words for words in split if words])
+        fresh = found.difference(self.known)
+        taken = fresh.intersection(self.old)
+        self._keep(list(taken), list(map(self.old.__getitem__, taken)))
+        missing = list(fresh.difference(self.old))
         for k in range(0, len(missing), LEARN_AT_ONCE):
             part = missing[k : k + LEARN_AT_ONCE]
-            for w, value in zip(part, self.values_of(part), strict=True):
-                self._keep(w, value)
+            self._keep(part, self.values_of(part))
 
-    def _keep(self, word: str, value) -> None:
-        self.known[word] = value
-        self.size += ENTRY_BYTES + len(word) + _weight(value)
-
-
-def _weight(value) -> int:
-    """About the bytes of a value: a number, a byte string, or a tuple of ids and texts."""
-    if isinstance(value, int):
-        return 0
-    return len(value) if isinstance(value, (bytes, str)) else sum(_weight(v) if isinstance(v, (bytes, str, tuple)) else 8 for v in value) + 50 * len(value)
+    def _keep(self, words: list[str], values: list) -> None:
+        self.known.update(zip(words, values, strict=True))
+        self.size += ENTRY_BYTES * len(words) + sum(map(len, words)) + self.weight(values)
 
 
 def blocks(texts, limit: int = BLOCK):

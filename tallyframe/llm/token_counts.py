@@ -6,8 +6,8 @@ the library's. A run digests all texts, joins the digests to the stored counts,
 distinct content that has none once, appends those counts to the cache, and joins the
 cache to all documents.
 
-Scale: the first pass shuffles only digests. Texts are shuffled once, by (digest, id), which
-spreads groups of copies; copies never reach the encoder. The cache is a Parquet folder with
+Scale: only digests are shuffled. The row to encode of each content is named by its place in the input's files, and the
+task that reads the file picks it; copies never reach the encoder. The cache is a Parquet folder with
 one subfolder a tokenizer version, so a run reads only its version; appends go through Spark's
 committer, so a lost executor or a repeated task leaves no half-written counts, and counts that
 two runs both append are read once.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_arrow, task_cache, text_or_empty, work_path, written
+from .common import PLACE, documents, placed, places_written, rows_at, text_or_empty, work_path, written
 from .pieces import BYTE_LEVEL, PieceCache, text_slices
 
 CACHE_SCHEMA = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
@@ -59,9 +59,6 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-task_cache(counter.cache_clear)
-
-
 def tokenizer_version(path: str) -> str:
     """Digest of the tokenizer's file and of the library's version."""
     import tokenizers
@@ -77,38 +74,25 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(folder).dropDuplicates(["content"])
 
 
-def _encode(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """content, n_tokens of rows (content, text)."""
-
-    def run(batches):
-        tokens = counter(tokenizer)
-        for batch in batches:
-            for part, texts in text_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(tokens.count(texts), pa.int64())],
-                                                 ["content", "n_tokens"])
-
-    return map_arrow(rows, run, CACHE_SCHEMA)
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row of ``docs``; ``cache`` is the cache's folder."""
     spark = docs.sparkSession
     folder = f"{cache.rstrip('/')}/tokenizer={tokenizer_version(tokenizer)}"
     digest = F.unhex(F.sha2(F.col("_text").cast("binary"), 256))
-    rows = docs.select("doc_id", text_or_empty().alias("_text")).withColumn("content", digest)
-    digests = written(rows.select("doc_id", "content", F.octet_length("_text").cast("long").alias("n_bytes")),
-                      "content-digests")
-    # One row to encode for each content without a count: the one with the smallest id.
-    missing = written(
-        digests.groupBy("content").agg(F.min("doc_id").alias("_id"))
-        .join(_stored(spark, folder), "content", "left_anti"), "count-misses")
-    texts = rows.alias("r").join(
-        missing.alias("m"),
-        (F.col("r.content") == F.col("m.content")) & F.col("r.doc_id").eqNullSafe(F.col("m._id")), "left_semi",
-    ).select("content", F.col("_text").alias("text"))
-    if digests.groupBy("content", "doc_id").count().filter("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["content"])  # rows that repeat an id and its text: one of them is enough
-    _encode(texts, tokenizer).write.mode("append").parquet(folder)
+    rows = placed(docs, "count-rows").select("doc_id", text_or_empty().alias("_text"), *PLACE).withColumn("content", digest)
+    digests = written(rows.select("doc_id", "content", F.octet_length("_text").cast("long").alias("n_bytes"), *PLACE), "content-digests")
+    # One row to encode for each content without a count; the task that reads its file picks it.
+    missing = digests.groupBy("content").agg(F.min(F.struct(*PLACE)).alias("at")).join(_stored(spark, folder), "content", "left_anti")
+    chosen = places_written(missing.select("at.*"), "count-misses")
+
+    def encode(batches):
+        tokens = counter(tokenizer)
+        for batch in batches:
+            for part, texts in text_slices(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(tokens.count(texts), pa.int64())], ["content", "n_tokens"])
+
+    counted = rows_at(rows.select("content", "_text", *PLACE), chosen, then=encode, schema=CACHE_SCHEMA)
+    counted.write.mode("append").parquet(folder)
     counts = written(_stored(spark, folder), "token-counts")  # a table of its own, so that a hot content's rows can be split
     return digests.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 

@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, map_arrow, shared_store, task_cache, text_or_empty, work_path
+from .common import documents, map_arrow, shared_store, text_or_empty, work_path
 from .pieces import WORD_LEVEL, PieceCache, text_slices
 
 END_ID = 1
 DOCS_PER_FILE = 8192
 FILES_PER_PART = 4
+#: Bytes of pre-tokens and ids that a worker keeps, from task to task.
+KEPT_BYTES = 96 << 20
 #: Frames that are Python objects at a time, in bytes.
 FRAMES_AT_ONCE = 1 << 20
 #: Subfolder of files that are not complete.
@@ -63,7 +65,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.cache = PieceCache(WORD_LEVEL, self._words, specials, lower=True)
+        self.cache = PieceCache(WORD_LEVEL, self._words, specials, lower=True, limit=KEPT_BYTES, weight=lambda values: sum(map(len, values)))
         end = self.library.model.end_of_word_suffix
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
@@ -94,9 +96,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-task_cache(encoder.cache_clear)
-
-
 def _order(ids: pa.Array) -> np.ndarray:
     """Ids as longs, null as the least."""
     return ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
