@@ -26,6 +26,21 @@ from .totals import KEYS as TOTAL_KEYS
 from .totals import signed
 
 
+# Fixed values that must equal the reference's: why a request is rejected.
+BANK_MSG = "Only one Bank account is allowed."
+DUP_PARTY_MSG = "Party already exists"
+PARTY_NOT_FOUND = "Party not found"
+INVALID_FIELD = "Invalid field"
+NOT_FOUND = "Transaction not found"
+EMPTY_VALUE = "Enter a value"
+NEW_NAME_TAKEN = "New name already exists"
+NO_CASH = "Enter valid Cash In Hand"
+NO_OPENING_CASH = "Enter valid opening cash"
+# Fixed values of the audit log: the names of actions.
+EDIT_ACTION, DELETE_ACTION, RENAME_ACTION = "Edit Transaction", "Delete Transaction", "Rename Party"
+CASH_ACTION, OPENING_ACTION = "Set Cash In Hand", "Set Opening Cash"
+
+
 @dataclass
 class ChangeResult:
     table: DataFrame          # the table after the batch
@@ -52,7 +67,7 @@ def add_transactions(tx: DataFrame, parties: DataFrame, adds: DataFrame) -> Chan
     j = a.join(keys, "__key", "left")
     when = F.col("date").cast("string").try_cast("date")
     amount = F.col("amount").cast("string").try_cast(MONEY)
-    reason = (F.when(F.col("__pid").isNull(), F.lit("Party not found"))
+    reason = (F.when(F.col("__pid").isNull(), F.lit(PARTY_NOT_FOUND))
                .when(when.isNull(), F.lit("Invalid date"))
                .when(amount.isNull(), F.lit("Invalid amount")))
     checked = j.select("seq", when.alias("txn_date"), "bill_no", F.col("__pid").alias("party_id"),
@@ -69,10 +84,6 @@ def add_transactions(tx: DataFrame, parties: DataFrame, adds: DataFrame) -> Chan
 
 # ---- M2: create parties -----------------------------------------------------------------
 
-BANK_MSG = "Only one Bank account is allowed."
-DUP_PARTY_MSG = "Party already exists"
-
-
 def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
     """M2: creates (seq, name, ptype, credit) applied in ``seq`` order.
 
@@ -129,11 +140,6 @@ def create_parties(parties: DataFrame, creates: DataFrame) -> ChangeResult:
 
 # ---- M3: edit transactions --------------------------------------------------------------
 
-INVALID_FIELD = "Invalid field"
-NOT_FOUND = "Transaction not found"
-EMPTY_VALUE = "Enter a value"
-
-
 def _typed(field: str, text: Column) -> Column:
     if field == "txn_date":
         return text.try_cast("date")
@@ -179,7 +185,7 @@ def edit_transactions(tx: DataFrame, edits: DataFrame, hot_rows: int = HOT_ROWS,
         stored = F.when(F.col("field") == f, X.py_str(_typed(f, F.col("new_value")))).otherwise(stored)
     prev = previous_value(ok.withColumn("__stored", stored), ["txn_id", "field"], "seq", "__stored", "__prev", hot_rows, parts)
     audit = prev.select(
-        "seq", F.col("admin_user").alias("username"), F.lit("Edit Transaction").alias("action"),
+        "seq", F.col("admin_user").alias("username"), F.lit(EDIT_ACTION).alias("action"),
         F.concat(F.lit("Changed "), F.col("field"), F.lit(" from "),
                  F.coalesce(F.col("__prev"), F.col("__table_text")), F.lit(" to "), F.col("new_value"),
                  F.lit(" for Txn ID "), F.col("txn_id").cast("string")).alias("details"))
@@ -214,7 +220,7 @@ def delete_transactions(tx: DataFrame, deletes: DataFrame) -> ChangeResult:
     ok = checked.where(F.col("reason").isNull())
     table = tx.join(ok.select("txn_id"), "txn_id", "left_anti")
     audit = ok.select(
-        "seq", F.col("admin_user").alias("username"), F.lit("Delete Transaction").alias("action"),
+        "seq", F.col("admin_user").alias("username"), F.lit(DELETE_ACTION).alias("action"),
         F.concat(F.lit("Deleted Txn ID "), F.col("txn_id").cast("string"), F.lit(". Date: "),
                  X.py_str("txn_date"), F.lit(", Bill: "), X.py_str("bill_no"), F.lit(", Amount: "),
                  X.py_str("amount")).alias("details"))
@@ -223,10 +229,6 @@ def delete_transactions(tx: DataFrame, deletes: DataFrame) -> ChangeResult:
 
 # ---- M5: rename parties -----------------------------------------------------------------
 
-NEW_NAME_TAKEN = "New name already exists"
-PARTY_NOT_FOUND = "Party not found"
-
-
 def _first_wins(requests: DataFrame) -> DataFrame:
     """The requests (seq, pid, key) that apply in ``seq`` order when one applies only if neither
     its party nor its new key is taken by an applied one before it.
@@ -279,7 +281,7 @@ def rename_parties(parties: DataFrame, renames: DataFrame) -> ChangeResult:
     table = t.select("party_id", F.coalesce("__new_name", "name").alias("name"),
                      F.coalesce("__new_key", "normalized_name").alias("normalized_name"), "type", "credit_allowed")
     audit = checked.where(F.col("reason").isNull()).select(
-        "seq", F.col("admin_user").alias("username"), F.lit("Rename Party").alias("action"),
+        "seq", F.col("admin_user").alias("username"), F.lit(RENAME_ACTION).alias("action"),
         F.concat(F.lit("Renamed "), F.col("old_name"), F.lit(" to "), F.col("new_name")).alias("details"))
     outcome = checked.select("seq", "old_name", "new_name", F.col("__pid").alias("party_id"), "reason")
     return ChangeResult(table, outcome, audit)
@@ -296,18 +298,24 @@ def upsert_latest(table: DataFrame, changes: DataFrame, key: str, value: str) ->
     return j.select(key, F.when(F.col("__new").isNotNull(), F.col(f"__new.{value}")).otherwise(F.col(value)).alias(value))
 
 
-def upsert_cash(daily_cash: DataFrame, counts: DataFrame) -> ChangeResult:
-    """M6: cash counts (seq, date, cash_in_hand, admin_user); an unreadable count is rejected."""
+def upsert_cash(daily_cash: DataFrame, counts: DataFrame, now: Column | None = None) -> ChangeResult:
+    """M6: cash counts (seq, date, cash_in_hand, admin_user); an unreadable count is rejected. A table with ``updated_at`` has
+    ``now`` (the current time, if not given) on the days that the batch counts."""
     c = counts.select("seq", F.col("date").cast("string").try_cast("date").alias("cash_date"),
                       F.col("cash_in_hand").cast("string").try_cast(MONEY).alias("cash_in_hand"),
                       "admin_user", F.col("cash_in_hand").cast("string").alias("__text"),
                       F.col("date").cast("string").alias("__date_text"))
     reason = (F.when(F.col("cash_date").isNull(), F.lit("Invalid date"))
-               .when(F.col("cash_in_hand").isNull(), F.lit("Enter valid Cash In Hand")))
+               .when(F.col("cash_in_hand").isNull(), F.lit(NO_CASH)))
     checked = c.withColumn("reason", reason)
     ok = checked.where(F.col("reason").isNull())
     table = upsert_latest(daily_cash.select("cash_date", "cash_in_hand"), ok, "cash_date", "cash_in_hand")
-    audit = ok.select("seq", F.col("admin_user").alias("username"), F.lit("Set Cash In Hand").alias("action"),
+    if "updated_at" in daily_cash.columns:
+        kind = daily_cash.schema["updated_at"].dataType
+        counted = ok.select("cash_date").distinct().withColumn("__at", (F.current_timestamp() if now is None else now).cast(kind))
+        times = daily_cash.select("cash_date", "updated_at").join(counted, "cash_date", "full_outer")
+        table = table.join(times.select("cash_date", F.coalesce("__at", "updated_at").alias("updated_at")), "cash_date", "left")
+    audit = ok.select("seq", F.col("admin_user").alias("username"), F.lit(CASH_ACTION).alias("action"),
                       F.concat(F.col("__date_text"), F.lit(" = "), py_float_text(F.col("__text").try_cast("double")))
                       .alias("details"))
     return ChangeResult(table, checked.drop("__text", "__date_text"), audit)
@@ -325,12 +333,12 @@ def set_opening_cash(settings: DataFrame, requests: DataFrame) -> ChangeResult:
     is stored as ``str(float)`` text under ``opening_cash_seed`` and each is audited."""
     r = requests.select("seq", "admin_user", F.col("amount").cast("string").try_cast("double").alias("__v"))
     checked = r.withColumn("reason", F.when(F.col("__v").isNull() | F.isnan("__v"),
-                                            F.lit("Enter valid opening cash")))
+                                            F.lit(NO_OPENING_CASH)))
     ok = checked.where(F.col("reason").isNull()).select(
         "seq", "admin_user", F.lit("opening_cash_seed").alias("setting_key"),
         py_float_text("__v").alias("setting_value"))
     table = upsert_settings(settings, ok.select("seq", "setting_key", "setting_value"))
-    audit = ok.select("seq", F.col("admin_user").alias("username"), F.lit("Set Opening Cash").alias("action"),
+    audit = ok.select("seq", F.col("admin_user").alias("username"), F.lit(OPENING_ACTION).alias("action"),
                       F.concat(F.lit("Opening Cash Seed set to "), F.col("setting_value")).alias("details"))
     return ChangeResult(table, checked.select("seq", "admin_user", F.col("__v").alias("amount"), "reason"), audit)
 

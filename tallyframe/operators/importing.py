@@ -33,6 +33,12 @@ PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 
 NEW_PARTY_TYPE = "Customer"
 
+# Fixed values that must equal the reference's: why a row or an entry is rejected.
+MISSING_DATE, INVALID_DATE, MISSING_PARTY = "Missing date", "Invalid date format: ", "Missing party name"
+REQUIRED_MSG = "All fields (Date, Party, Type, Mode, Amount) are mandatory."
+NO_CREDIT = ("Credit Mode is NOT allowed for '", "' (Type: ", "). Only 'Credit Customer' can take credit.")
+NO_PARTY = ("Party '", "' not found. Create it in 'Manage > Add Party' first.")
+
 
 def _known_cell(cell: Column) -> Column:
     return F.when(~cell.isin(PANDAS_NA_TOKENS), cell)
@@ -118,9 +124,9 @@ def clean_import(raw: DataFrame, iso: str = "ymd", pivot_year: int | None = None
     first = first.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in first.columns]))))
     d, p, t, m, a = (F.col(c) for c in ("__date_raw", "party", "__type", "__mode", "__amount"))
     reason = (F.when(F.col("__problem").isNotNull(), F.col("__problem"))
-               .when(d.isNull() | (d == ""), F.lit("Missing date"))
-               .when(F.col("txn_date").isNull(), F.concat(F.lit("Invalid date format: "), d))
-               .when(p.isNull() | (p == ""), F.lit("Missing party name"))
+               .when(d.isNull() | (d == ""), F.lit(MISSING_DATE))
+               .when(F.col("txn_date").isNull(), F.concat(F.lit(INVALID_DATE), d))
+               .when(p.isNull() | (p == ""), F.lit(MISSING_PARTY))
                .when(M.amount_out_of_range(a), F.concat(F.lit("Amount out of range: "), a)))
     return first.select(
         "row_id", "file", "row_order", "txn_date", "bill_no", "party",
@@ -189,9 +195,6 @@ def first_rejects(rejected: DataFrame, n: int = 20) -> DataFrame:
 
 # ---- M12: client entry validation -------------------------------------------------------
 
-REQUIRED_MSG = "All fields (Date, Party, Type, Mode, Amount) are mandatory."
-
-
 def validate_entries(entries: DataFrame, parties: DataFrame, strict: bool = True) -> DataFrame:
     """The client's checks on entries (row_id, date, bill_no, party, txn_type, mode, amount).
 
@@ -216,10 +219,8 @@ def validate_entries(entries: DataFrame, parties: DataFrame, strict: bool = True
     required = (empty(F.col("date")) | empty(F.col("amount")) | empty(F.col("txn_type"))
                 | empty(F.col("mode")) | empty(F.col("__party")))
     credit_bad = (F.col("mode") == "Credit") & ptype.isNotNull() & (ptype != "") & (ptype != "Credit Customer")
-    credit_msg = F.concat(F.lit("Credit Mode is NOT allowed for '"), F.col("__party"), F.lit("' (Type: "),
-                          ptype, F.lit("). Only 'Credit Customer' can take credit."))
-    missing_msg = F.concat(F.lit("Party '"), F.col("__party"),
-                           F.lit("' not found. Create it in 'Manage > Add Party' first."))
+    credit_msg = F.concat(F.lit(NO_CREDIT[0]), F.col("__party"), F.lit(NO_CREDIT[1]), ptype, F.lit(NO_CREDIT[2]))
+    missing_msg = F.concat(F.lit(NO_PARTY[0]), F.col("__party"), F.lit(NO_PARTY[1]))
     reason = F.when(required, F.lit(REQUIRED_MSG)).when(credit_bad, credit_msg)
     if strict:
         reason = reason.when(~known, missing_msg)

@@ -433,7 +433,8 @@ def q_display_formats(spark, sf_dir):
     rows = joined_list(b.transactions, b.parties)
     return rows.select("id", D.date_text("date").alias("date_text"), D.month_key("date").alias("month"),
                        M.indian_money("amount").alias("money_text"), M.fixed2("amount").alias("fixed_text"),
-                       M.balance_label("amount").alias("label"), X.sheet_name("party").alias("sheet_name"))
+                       M.balance_label("amount").alias("label"), X.sheet_name("party").alias("sheet_name"),
+                       D.stamp_text(F.col("date").cast("timestamp")).alias("stamp"))
 
 
 # ---- sinks, snapshots and the streaming import ------------------------------------------

@@ -649,7 +649,7 @@ SELECT txn_id AS id, strftime(txn_date, '%d-%m-%Y') AS date_text, substr(CAST(tx
   CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR) AS fixed_text,
   CASE WHEN amount < 0 THEN CAST(CAST(-amount AS DECIMAL(38,2)) AS VARCHAR) || ' Cr'
        ELSE CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR) || ' Dr' END AS label,
-  left(regexp_replace(name, '[/\\\\?*\\[\\]]', '_', 'g'), 31) AS sheet_name
+  left(regexp_replace(name, '[/\\\\?*\\[\\]]', '_', 'g'), 31) AS sheet_name, strftime(txn_date, '%Y%m%d_%H%M%S') AS stamp
 FROM m""", TX, PT))
 
 def _sum_sql(table: str, cols: list[str]) -> str:

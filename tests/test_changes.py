@@ -202,3 +202,19 @@ def test_opening_cash_and_float_text(spark):
     assert sorted(r.details for r in res.audit.collect()) == ["Opening Cash Seed set to 75000.0",
                                                              "Opening Cash Seed set to 80000.5"]
     assert {r.seq: r.reason for r in res.outcome.collect()}[2] == "Enter valid opening cash"
+
+
+def test_cash_counts_set_their_time(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(dt.date(2026, 1, k), 5, dt.datetime(2026, 1, k)) for k in (1, 2)],
+                                  "cash_date date, cash_in_hand long, updated_at timestamp_ntz").withColumn("cash_in_hand", F.col("cash_in_hand").cast("decimal(18,2)"))
+    counts = spark.createDataFrame([(1, "2026-01-02", "7", "a"), (2, "2026-01-03", "8", "a"), (3, "2026-01-01", "x", "a")],
+                                   "seq long, date string, cash_in_hand string, admin_user string")
+    now = F.lit("2026-02-01 10:00:00").cast("timestamp_ntz")
+    rows = CH.upsert_cash(table, counts, now).table.orderBy("cash_date").collect()
+    assert [(r.cash_date.day, float(r.cash_in_hand), str(r.updated_at)) for r in rows] == [
+        (1, 5.0, "2026-01-01 00:00:00"), (2, 7.0, "2026-02-01 10:00:00"), (3, 8.0, "2026-02-01 10:00:00")]
+    assert CH.upsert_cash(table.drop("updated_at"), counts).table.columns == ["cash_date", "cash_in_hand"]
