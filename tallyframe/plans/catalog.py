@@ -644,6 +644,22 @@ def q_reports_from_totals(spark, sf_dir):
                                           (F.col("debit") - F.col("credit")).alias("value")))
 
 
+# ---- changes that rewrite what they touch -------------------------------------------------
+
+@query("changes_by_bucket")
+def q_changes_by_bucket(spark, sf_dir):
+    """M3, M4, M1 on a table in buckets of ids: each batch rewrites the buckets it touches; the table after all three."""
+    from ..session import shared_work_dir
+    from ..sources.buckets import BucketedTransactions
+
+    b = Books(spark, sf_dir)
+    table = BucketedTransactions(spark, shared_work_dir(spark, "bucketed"))
+    table.create(b.transactions)
+    table.edit(b.batch("edits"))
+    table.delete(b.batch("deletes"))
+    return _changes().transactions_contract(table.add(b.parties, b.batch("adds")).table)
+
+
 # ---- statements with the balance brought forward -----------------------------------------
 
 def _forward(spark, sf_dir, account: bool):

@@ -799,3 +799,16 @@ oracle("account_statement_forward", with_views("", TX, PT, "deletes", extra=_for
     "account", f"""SELECT 'Cash' AS account, t.* {_LEFT} AND lower(payment_mode) = 'cash'
   UNION ALL SELECT 'Bank', t.* {_LEFT} AND lower(payment_mode) IN {BANKS_LOWER} UNION ALL SELECT 'UPI', t.* {_LEFT} AND lower(payment_mode) = 'upi'""",
     "CASE WHEN txn_type IN ('Sale', 'Receipt') THEN COALESCE(amount, 0) ELSE -COALESCE(amount, 0) END")))
+
+
+# ---- changes that rewrite what they touch: the batches on the rows, one after another ------
+
+oracle("changes_by_bucket", with_views("""
+SELECT txn_id, CAST(txn_date AS VARCHAR) AS txn_date, bill_no, party_id, txn_type, payment_mode, CAST(amount AS DOUBLE) AS amount FROM kept
+UNION ALL SELECT (SELECT max(txn_id) FROM kept) + row_number() OVER (ORDER BY seq), CAST(d AS VARCHAR), bill_no, pid, txn_type, mode, CAST(amt AS DOUBLE)
+FROM add_chk WHERE reason IS NULL""", TX, PT, "raw_import", "adds", "edits", "deletes", extra=",\n".join([
+    _EDIT,
+    """kept AS (SELECT t.txn_id, COALESCE(CAST(p.n_date AS DATE), t.txn_date) AS txn_date, COALESCE(p.n_bill, t.bill_no) AS bill_no, t.party_id,
+  COALESCE(p.n_type, t.txn_type) AS txn_type, COALESCE(p.n_mode, t.payment_mode) AS payment_mode, COALESCE(CAST(p.n_amount AS DECIMAL(18,2)), t.amount) AS amount
+  FROM transactions t LEFT JOIN piv p ON p.txn_id = t.txn_id WHERE t.txn_id NOT IN (SELECT txn_id FROM deletes))""",
+    _renamed(_ADD, a="add_a", chk="add_chk")])))
