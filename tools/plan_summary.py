@@ -12,16 +12,16 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-WRITERS = {"snapshot_roundtrip", "export_csv_roundtrip", "stream_import"}
+WRITERS = {"snapshot_roundtrip", "export_csv_roundtrip", "import_csv_roundtrip", "stream_import"}
 
 
 def summarize(plan: str) -> dict:
     scans, exchanges, broadcasts = [], [], 0
     current_table = None
     for line in plan.splitlines():
-        m = re.match(r"Location: InMemoryFileIndex \[file:.*/(\w+)\.parquet\]", line)
-        if m:
-            current_table = m.group(1)
+        m = re.match(r"Location: InMemoryFileIndex(?:\(\d+ paths\))? ?\[file:[^,\]]*/([\w=-]+?)(\.parquet|-[0-9a-f]{12}|)[,\]]", line)
+        if m:  # a table of the data set, or one that the query has written
+            current_table = m.group(1) if m.group(2) == ".parquet" else f"written:{m.group(1)}"
         if line.startswith("ReadSchema:") and current_table:
             cols = re.findall(r"(\w+):", line[len("ReadSchema: struct<"):])
             scans.append(f"{current_table}({len(cols)} cols)")
@@ -51,7 +51,8 @@ def main(argv) -> int:
     print(f"Generated by `tools/plan_summary.py` from `explain(\"formatted\")` on `{sf_dir}` (local[8], AQE on;")
     print("the initial plan, before AQE replaces joins with broadcasts at runtime). `single` marks an")
     print("exchange into one partition; every one here carries one row per day, block or aggregate,")
-    print("never one row per transaction.\n")
+    print("never one row per transaction. `written:` marks tables that the query itself wrote before (numbered rows, day totals, batches);")
+    print("queries whose jobs run when they are built show their last plan.\n")
     print("| Query | Scans (columns read) | Exchanges | Broadcasts | Python UDF |")
     print("| --- | --- | --- | --- | --- |")
     for name, fn in registry().items():
