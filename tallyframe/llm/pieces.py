@@ -90,10 +90,10 @@ class PieceCache:
             self.old, self.known, self.size = self.known, {}, 0
         found: set[str] = set()
         found.update(*[words for words in split if words])
-        fresh = found.difference(self.known)
-        taken = fresh.intersection(self.old)
-        self._keep(list(taken), list(map(self.old.__getitem__, taken)))
-        missing = list(fresh.difference(self.old))
+        old, fresh = self.old, found.difference(self.known)
+        taken = [w for w in fresh if w in old]
+        self._keep(taken, list(map(old.__getitem__, taken)))
+        missing = list(fresh.difference(old))
         for k in range(0, len(missing), LEARN_AT_ONCE):
             part = missing[k : k + LEARN_AT_ONCE]
             self._keep(part, self.values_of(part))

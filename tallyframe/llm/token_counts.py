@@ -51,7 +51,7 @@ class Counter:
         split = self.cache.pieces(texts)
         known = self.cache.known
         whole = iter(self._sizes([t for t, words in zip(texts, split, strict=True) if words is None]))
-        return [next(whole) if words is None else sum([known[w] for w in words]) for words in split]
+        return [next(whole) if words is None else sum(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(2)

@@ -46,7 +46,9 @@ END_ID = 1
 DOCS_PER_FILE = 8192
 FILES_PER_PART = 4
 #: Bytes of pre-tokens and ids that a worker keeps, from task to task.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 160 << 20
+#: Bytes of texts that are encoded together.
+TEXTS_AT_ONCE = 4 << 20
 #: Frames that are Python objects at a time, in bytes.
 FRAMES_AT_ONCE = 1 << 20
 #: Subfolder of files that are not complete.
@@ -88,7 +90,7 @@ class Encoder:
         split, end = self.cache.pieces(texts), struct.pack("<I", end_id)
         known = self.cache.known
         whole = iter(self._raw([t for t, words in zip(texts, split, strict=True) if words is None]))
-        return [(next(whole) if words is None else b"".join([known[w] for w in words])) + end for words in split]
+        return [(next(whole) if words is None else b"".join(map(known.__getitem__, words))) + end for words in split]
 
 
 @lru_cache(2)
@@ -136,7 +138,7 @@ def _frames(docs: DataFrame, tokenizer: str, end_id: int, cuts: tuple[np.ndarray
     def run(batches):
         ids, press = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part, texts in text_slices(batch, "_text"):
+            for part, texts in text_slices(batch, "_text", TEXTS_AT_ONCE):
                 raw, doc_ids = ids.encode(texts, end_id), part.column("doc_id")
                 hashes = np.array([xxhash.xxh64_intdigest(x) - 2**63 for x in raw], np.int64)  # in unsigned order
                 yield pa.RecordBatch.from_arrays(
