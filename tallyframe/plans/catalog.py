@@ -703,6 +703,22 @@ def q_transactions_page_after(spark, sf_dir):
     return R.transactions_page_after(b.transactions, b.parties, "1997-01-01", 7000, limit=100)
 
 
+@query("transactions_page_direct")
+def q_transactions_page_direct(spark, sf_dir):
+    """O4 by the order-statistics index: page 3 of 100 rows and the last page, each read from the ranges that have it."""
+    from pyspark.sql import functions as F
+
+    from ..operators.paging import PageIndex
+    from ..session import shared_work_dir
+
+    b = Books(spark, sf_dir)
+    index = PageIndex(spark, shared_work_dir(spark, "pages"))
+    index.build(b.transactions, b.parties)
+    last = index.info(1, 100)[3]
+    pages = [index.page(n, 100).withColumn("page", F.lit(name)) for n, name in ((3, "third"), (last, "last"))]
+    return pages[0].unionByName(pages[1])
+
+
 @query("import_first_rejects")
 def q_import_first_rejects(spark, sf_dir):
     """The first 20 rejects of the import in file order (the limit is the report)."""

@@ -812,3 +812,8 @@ FROM add_chk WHERE reason IS NULL""", TX, PT, "raw_import", "adds", "edits", "de
   COALESCE(p.n_type, t.txn_type) AS txn_type, COALESCE(p.n_mode, t.payment_mode) AS payment_mode, COALESCE(CAST(p.n_amount AS DECIMAL(18,2)), t.amount) AS amount
   FROM transactions t LEFT JOIN piv p ON p.txn_id = t.txn_id WHERE t.txn_id NOT IN (SELECT txn_id FROM deletes))""",
     _renamed(_ADD, a="add_a", chk="add_chk")])))
+
+oracle("transactions_page_direct", with_views(f"""
+SELECT * FROM (SELECT {_LIST}, 'third' AS page FROM {_J1} ORDER BY t.txn_date DESC, t.txn_id DESC LIMIT 100 OFFSET 200) a
+UNION ALL SELECT * FROM (SELECT {_LIST}, 'last' AS page FROM {_J1} ORDER BY t.txn_date, t.txn_id
+  LIMIT (SELECT (count(*) - 1) % 100 + 1 FROM {_J1})) b""", TX, PT))
