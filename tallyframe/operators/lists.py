@@ -83,6 +83,17 @@ def _shown(col) -> F.Column:
     return F.coalesce(col.cast("string"), F.lit("null"))
 
 
+def shown_cells() -> list[F.Column]:
+    """The cells of a list row as a search sees them: date as DD-MM-YYYY, amount with two decimals."""
+    return [F.date_format("txn_date", "dd-MM-yyyy"), F.col("bill_no"), _shown(F.col("party")), _shown(F.col("type")),
+            _shown(F.col("mode")), F.coalesce(M.fixed2("amount"), F.lit(""))]
+
+
+def matches(query: str) -> F.Column:
+    """Whether any displayed cell of a list row contains ``query``, case-insensitively."""
+    return reduce(lambda a, b: a | b, [F.upper(c).contains(F.lit(query.upper())) for c in shown_cells()])
+
+
 def search(tx: DataFrame, parties: DataFrame, query: str) -> DataFrame:
     """Rows where any displayed cell contains ``query``, case-insensitively.
 
@@ -90,13 +101,7 @@ def search(tx: DataFrame, parties: DataFrame, query: str) -> DataFrame:
     An empty query keeps every row.
     """
     rows = joined_list(tx, parties)
-    if query:
-        q = F.lit(query.upper())
-        cells = [F.date_format("txn_date", "dd-MM-yyyy"), F.col("bill_no"), _shown(F.col("party")),
-                 _shown(F.col("type")), _shown(F.col("mode")),
-                 F.coalesce(M.fixed2("amount"), F.lit(""))]
-        rows = rows.where(reduce(lambda a, b: a | b, [F.upper(c).contains(q) for c in cells]))
-    return _finish(rows)
+    return _finish(rows.where(matches(query)) if query else rows)
 
 
 def party_list(parties: DataFrame) -> DataFrame:

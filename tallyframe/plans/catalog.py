@@ -719,6 +719,24 @@ def q_transactions_page_direct(spark, sf_dir):
     return pages[0].unionByName(pages[1])
 
 
+@query("search_indexed")
+def q_search_indexed(spark, sf_dir):
+    """P13 by the trigram index: a common text, a rare one, and one too short for it (which scans)."""
+    from pyspark.sql import functions as F
+
+    from ..operators.search_index import SearchIndex
+    from ..session import shared_work_dir
+
+    b = Books(spark, sf_dir)
+    index = SearchIndex(spark, shared_work_dir(spark, "search"))
+    index.build(b.transactions, b.parties)
+    found = None
+    for text in ("gpay", "inv-1234", "99"):
+        rows = index.search(text).withColumn("searched", F.lit(text))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("import_first_rejects")
 def q_import_first_rejects(spark, sf_dir):
     """The first 20 rejects of the import in file order (the limit is the report)."""

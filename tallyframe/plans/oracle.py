@@ -327,12 +327,16 @@ oracle("page_info", with_views("""
 SELECT CAST(3 AS BIGINT) AS page, CAST(100 AS BIGINT) AS "limit", CAST(COUNT(*) AS BIGINT) AS total,
   CAST((COUNT(*) + 99) // 100 AS BIGINT) AS total_pages FROM transactions""", TX))
 
-oracle("search", with_views(f"""
-SELECT {_LIST} FROM {_J1}
-WHERE contains(upper(strftime(t.txn_date, '%d-%m-%Y')), 'GPAY') OR contains(upper(COALESCE(t.bill_no,'')), 'GPAY')
-   OR contains(upper(COALESCE(p.name,'null')), 'GPAY') OR contains(upper(COALESCE(t.txn_type,'null')), 'GPAY')
-   OR contains(upper(COALESCE(t.payment_mode,'null')), 'GPAY')
-   OR contains(upper(COALESCE(CAST(CAST(t.amount AS DECIMAL(38,2)) AS VARCHAR),'')), 'GPAY')""", TX, PT))
+def _search(text: str) -> str:
+    cells = ["strftime(t.txn_date, '%d-%m-%Y')", "COALESCE(t.bill_no,'')", "COALESCE(p.name,'null')", "COALESCE(t.txn_type,'null')",
+             "COALESCE(t.payment_mode,'null')", "COALESCE(CAST(CAST(t.amount AS DECIMAL(38,2)) AS VARCHAR),'')"]
+    return " OR ".join(f"contains(upper({c}), '{text.upper()}')" for c in cells)
+
+
+oracle("search", with_views(f"SELECT {_LIST} FROM {_J1} WHERE {_search('gpay')}", TX, PT))
+
+oracle("search_indexed", with_views(" UNION ALL ".join(
+    f"SELECT {_LIST}, '{text}' AS searched FROM {_J1} WHERE {_search(text)}" for text in ("gpay", "inv-1234", "99")), TX, PT))
 
 oracle("party_list", with_views("SELECT name, type FROM parties", PT))
 
