@@ -35,11 +35,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, release, text_or_empty, written
+from .common import documents, map_arrow, release, shared_store, text_or_empty, work_path, written
 
 LENGTH = 100
 ANCHOR = 16
@@ -158,7 +159,22 @@ def _pieces(batch, column: str):
         yield run, offs, b"".join(parts), np.array([len(p) for p in parts])
 
 
-def _anchor_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+class _Hot:
+    """The hot anchors, a written table that a task reads when it first asks: 8 bytes each, at most one for ``HOT_ROWS`` ranges."""
+
+    def __init__(self, path: str):
+        self.path, self.found = path, None
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if self.found is None:
+            store, path = shared_store(self.path)
+            self.found = np.sort(pq.read_table(path, filesystem=store, columns=["h"]).column("h").to_numpy())
+        at = np.searchsorted(self.found, h)
+        at[at == len(self.found)] = 0
+        return self.found[at] == h if len(self.found) else np.zeros(len(h), bool)
+
+
+def _anchor_rows(docs: DataFrame, hot: _Hot | None) -> DataFrame:
     """h, g, uid, s (first start), n (starts) and reps of every anchor range of (uid, raw), those of hot anchors left out."""
 
     def run(batches):
@@ -166,8 +182,8 @@ def _anchor_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             uid = batch.column("uid").to_numpy()
             for rows, offs, raw, sizes in _pieces(batch, "raw"):
                 text, start, n, reps, h, g = anchors(np.frombuffer(raw, np.uint8), sizes)
-                if len(hot):
-                    cold = ~np.isin(h.view(np.int64), hot)
+                if hot is not None:
+                    cold = ~hot.has(h.view(np.int64))
                     text, start, n, reps, h, g = text[cold], start[cold], n[cold], reps[cold], h[cold], g[cold]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(uid[np.array(rows)[text]]),
@@ -177,16 +193,18 @@ def _anchor_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return map_arrow(docs, run, "h long, g long, uid long, s long, n int, reps int")
 
 
-def hot_anchors(docs: DataFrame, share: int = HOT_SAMPLE, least: int = HOT_ROWS) -> np.ndarray:
-    """Anchors that would fill a task of their own, judged by one document in ``share``. They only take another
-    way to the same result, so the estimate decides where work is done, never what comes out. At
-    most anchors / ``least`` of them are hot."""
+def hot_anchors(docs: DataFrame, share: int = HOT_SAMPLE, least: int = HOT_ROWS) -> _Hot | None:
+    """Anchors that would fill a task of their own, judged by one document in ``share``; None if there are none. They only take
+    another way to the same result, so the estimate decides where work is done, never what comes out. At
+    most anchors / ``least`` of them are hot; they stay in a table of the shared folder."""
     sample = docs.filter(F.pmod(F.xxhash64("uid"), F.lit(share)) == 0)
-    counts = _anchor_rows(sample, np.zeros(0, np.int64)).groupBy("h").agg(F.sum("reps").alias("n"))
-    return np.array(sorted(r.h for r in counts.filter(F.col("n") * share > least).select("h").collect()), np.int64)
+    counts = _anchor_rows(sample, None).groupBy("h").agg(F.sum("reps").alias("n"))
+    path = work_path(docs.sparkSession, "suffix-hot-anchors")
+    counts.filter(F.col("n") * share > least).select("h").write.parquet(path)
+    return _Hot(path) if docs.sparkSession.read.schema("h long").parquet(path).limit(1).count() else None
 
 
-def _hot_starts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def _hot_starts(docs: DataFrame, hot: _Hot) -> DataFrame:
     """a, b (two hashes of the 100 bytes), uid and s of every start of a hot anchor."""
 
     def run(batches):
@@ -195,7 +213,7 @@ def _hot_starts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             for rows, offs, raw, sizes in _pieces(batch, "raw"):
                 buf = np.frombuffer(raw, np.uint8)
                 text, start, n, reps, h, _ = anchors(buf, sizes)
-                k = np.flatnonzero(np.isin(h.view(np.int64), hot))
+                k = np.flatnonzero(hot.has(h.view(np.int64)))
                 size = n[k] * reps[k]
                 begin = np.r_[0, np.cumsum(sizes)[:-1]]
                 s = np.arange(int(size.sum())) + np.repeat(start[k] - (np.cumsum(size) - size), size)
@@ -465,7 +483,7 @@ def repeated_spans(docs: DataFrame, bucket: int = BUCKET, hot_sample: int = HOT_
         F.when((F.col("uid") != F.col("uid0")) | (lo != F.col("s0")), F.struct(lo.alias("lo"), hi.alias("hi"))),
         F.when((F.col("reps") > 1) & (F.col("lo") == 0), F.struct(end.alias("lo"), stop.alias("hi"))))
     spans = spans.union(here.select("uid", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("x")).select("uid", "x.lo", "x.hi"))
-    if len(hot):
+    if hot is not None:
         starts = written(_hot_starts(docs, hot), "suffix-hot")
         firsts = starts.groupBy("a", "b").agg(F.min(F.struct("uid", "s")).alias("f"))
         firsts = written(firsts.select("a", "b", F.col("f.uid").alias("uid0"), F.col("f.s").alias("s0")), "suffix-hot-first")
