@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sheet_name
+from ..session import list_folders, path_exists
 from .import_files import RANGE_BYTES, cells_as_columns, header_names, read_records_of
 from .schemas import TABLES
 from .snapshots import restore, snapshot, snapshot_folder  # noqa: F401 - S7, S8
@@ -112,7 +113,8 @@ def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None, ke
     (the party id; two parties whose names agree in the 31 characters of a sheet name stay
     two sheets), ``sheet`` names the sheet, and rows are range-partitioned and sorted by
     (key, order), so each sheet is contiguous and a file holds many sheets. (One folder per
-    sheet would mean one file per party -- millions of tiny files at scale.)
+    sheet would mean one file per party -- millions of tiny files at scale.) ``_sheets`` beside the files tells which
+    ranges hold a sheet, for ``read_sheet``.
     """
     if sheet_col is None:
         write_csv(df, path)
@@ -123,8 +125,27 @@ def export_report_csv(df: DataFrame, path: str, sheet_col: str | None = None, ke
     # Ranges on (key, order columns): a sheet holding a third of the rows is split
     # over several tasks and files, still contiguous and in order.
     keys = [key_col, *(order_by or [])]
-    w = w.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    write_csv(w, path)
+    w = w.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("range", F.spark_partition_id())
+    w.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("range").csv(path)
+    spark = df.sparkSession
+    if list_folders(spark, path) != ["_SUCCESS"]:  # the index: which ranges hold a sheet, a row a sheet and range
+        found = _read_sheets(spark, path).groupBy("sheet", "range").agg(F.count(F.lit(1)).alias("rows"))
+        found.sort("sheet", "range").write.mode("overwrite").parquet(f"{path}/_sheets")
+
+
+def _read_sheets(spark: SparkSession, paths: str | list[str], base: str | None = None) -> DataFrame:
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    return (reader.option("basePath", base) if base else reader).csv(paths)
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """One sheet of an export, from the files that its index names. An unknown sheet raises KeyError."""
+    ranges = spark.read.parquet(f"{path}/_sheets").where(F.col("sheet") == sheet).select("range").collect() if path_exists(
+        spark, f"{path}/_sheets/_SUCCESS") else []
+    if not ranges:
+        raise KeyError(f"no sheet {sheet!r} at {path}")
+    rows = _read_sheets(spark, [f"{path}/range={r.range}" for r in ranges], path)
+    return rows.where(F.col("sheet") == sheet).drop("range")
 
 
 def write_rejects(rejected: DataFrame, path: str) -> None:
