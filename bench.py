@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 WRITERS = {"snapshot_roundtrip", "export_csv_roundtrip", "import_csv_roundtrip", "stream_import", "totals_by_deltas", "reports_from_totals",
-           "party_statement_forward", "account_statement_forward", "changes_by_bucket", "transactions_page_direct", "search_indexed"}
+           "party_statement_forward", "account_statement_forward", "changes_by_bucket", "transactions_page_direct", "search_indexed", "cash_month_after_counts"}
 
 
 def main() -> int:

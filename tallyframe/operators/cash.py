@@ -8,7 +8,7 @@ data -- goes through the ordered carry-forward window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money as M
@@ -66,7 +66,7 @@ def carry_forward(days: DataFrame, seed) -> DataFrame:
     when no day before was counted. Every window has the same (date) order, so they run
     in one pass over the per-day table -- bounded by the calendar, not by the data.
     """
-    seed_col = F.lit(seed).cast(M.WIDE)
+    seed_col = (seed if isinstance(seed, Column) else F.lit(seed)).cast(M.WIDE)
     zero = F.lit(0).cast(M.WIDE)
     net = (F.col("cash_in") - F.col("cash_expense")).cast(M.WIDE)
     order = Window.orderBy("date")
@@ -94,21 +94,24 @@ def carry_forward(days: DataFrame, seed) -> DataFrame:
     ).drop("__net", "__s", "__s_incl", "__last_count", "__s_at_count")
 
 
-def daily_cash_summary_decimal(tx: DataFrame, parties: DataFrame, daily_cash: DataFrame,
-                               seed) -> DataFrame:
-    """R4 with DECIMAL figures and a DATE column, for further composition."""
+def cash_days(tx: DataFrame, parties: DataFrame, daily_cash: DataFrame) -> DataFrame:
+    """Every day that has transactions or a cash count, its figures (A5) and its count (null where not counted)."""
     per_day = daily_cash_aggregate(tx, parties)
     counts = daily_cash.where(F.col("cash_date").isNotNull()).select(
         F.col("cash_date").alias("date"), "cash_in_hand")
-    # Every day that has transactions or a cash count.
     days = per_day.join(counts, "date", "full_outer")
     zero = F.lit(0).cast(M.WIDE)
-    days = days.select(
+    return days.select(
         "date",
         *[F.coalesce(F.col(c).cast(M.WIDE), zero).alias(c)
           for c in ["cash_in", "cash_expense", "bank", "credit_sale", "total_sales"]],
         "cash_in_hand")
-    return carry_forward(days, seed)
+
+
+def daily_cash_summary_decimal(tx: DataFrame, parties: DataFrame, daily_cash: DataFrame,
+                               seed) -> DataFrame:
+    """R4 with DECIMAL figures and a DATE column, for further composition."""
+    return carry_forward(cash_days(tx, parties, daily_cash), seed)
 
 
 def daily_cash_summary(tx: DataFrame, parties: DataFrame, daily_cash: DataFrame, seed) -> DataFrame:

@@ -95,6 +95,25 @@ def q_total_short(spark, sf_dir):
     return C.total_short(b.transactions, b.parties, b.daily_cash, OPENING_CASH_SEED)
 
 
+@query("cash_month_after_counts")
+def q_cash_month_after_counts(spark, sf_dir):
+    """R4 of March 1997 after a batch of counts (M6), from the stored months: those that the batch counts are recomputed."""
+    from pyspark.sql import functions as F
+
+    from ..operators.carries import month_number
+    from ..operators.cash_months import CashMonths
+    from ..session import materialized, shared_work_dir
+
+    b = Books(spark, sf_dir)
+    months = CashMonths(spark, shared_work_dir(spark, "cash-months"))
+    months.create(b.transactions, b.parties, b.daily_cash)
+    done = _changes().upsert_cash(b.daily_cash, b.batch("cash_counts"))
+    counts = materialized(done.table, "daily-cash")
+    changed = done.outcome.where("reason IS NULL").select(month_number(F.col("cash_date")).alias("m")).distinct()
+    months.update(b.transactions, b.parties, counts, [r.m for r in changed.collect()])  # one row a month
+    return months.summary(b.transactions, b.parties, counts, 1997 * 12 + 2, OPENING_CASH_SEED)
+
+
 # ---- running balances -------------------------------------------------------------------
 
 @query("party_ledger")

@@ -821,3 +821,11 @@ oracle("transactions_page_direct", with_views(f"""
 SELECT * FROM (SELECT {_LIST}, 'third' AS page FROM {_J1} ORDER BY t.txn_date DESC, t.txn_id DESC LIMIT 100 OFFSET 200) a
 UNION ALL SELECT * FROM (SELECT {_LIST}, 'last' AS page FROM {_J1} ORDER BY t.txn_date, t.txn_id
   LIMIT (SELECT (count(*) - 1) % 100 + 1 FROM {_J1})) b""", TX, PT))
+
+_SUMMARY_BODY = _ORACLE["daily_cash_summary"][_ORACLE["daily_cash_summary"].rindex("\nSELECT CAST(d AS VARCHAR)"):]
+
+oracle("cash_month_after_counts", with_views(
+    _SUMMARY_BODY + " WHERE d BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'", TX, PT, "cash_counts", recursive=True, extra=",\n".join([
+        f"counted0 AS ({FIXTURE_SQL['daily_cash']})", _CASH_UPSERT,
+        """counted AS (SELECT COALESCE(l.cash_date, d.cash_date) AS cash_date, COALESCE(l.v, d.cash_in_hand) AS cash_in_hand
+  FROM counted0 d FULL OUTER JOIN lastc l ON l.cash_date = d.cash_date)""", _renamed(_CASH_DAYS, daily_cash="counted")])))
