@@ -47,6 +47,8 @@ def test_edits_replay(spark, books):
             continue
         value = e.new_value
         if e.field == "amount":
+            if "\u00a0" in value:  # an edit's text is cast by the database, which takes no such blank
+                continue
             try:
                 value = Decimal(value).quantize(Decimal("0.01"))
             except InvalidOperation:
