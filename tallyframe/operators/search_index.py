@@ -6,6 +6,9 @@ three. A text is in a cell only if all its trigrams are, so the blocks to look a
 read and compared as ``lists.search`` does, which settles what the blocks only make possible. The lists are a block's distinct
 trigrams and so far smaller than the rows' own.
 
+A task collects the trigrams of whole blocks, and the lists are dealt out by shard and run of consecutive blocks, for a fixed number
+of rows a task: a larger table has more tasks and files, not larger ones.
+
 A text of fewer than three characters has no trigram and scans. The index belongs to the table version that it was built from.
 """
 
@@ -20,6 +23,8 @@ from .lists import LIST_COLUMNS, _finish, joined_list, matches, shown_cells
 #: Ids of a block, and blocks of a folder of rows.
 BLOCK_IDS, BLOCKS_PER_PART = 256, 64
 SHARDS = 64
+#: Rows of the list for each task that makes or writes trigrams, and blocks of a run of the lists.
+TASK_ROWS, BLOCKS_PER_RUN = 1 << 16, 1 << 13
 GRAM = 3
 ROWS = ("id long, date string, bill_no string, party string, type string, mode string, amount decimal(18,2), txn_date date, "
         "block long, part long")
@@ -29,22 +34,27 @@ LISTS = "gram string, part long, block long, shard int"
 class SearchIndex:
     """The list below ``root``: ``rows/part=<p>`` and ``grams/shard=<s>`` (gram, part, block)."""
 
-    def __init__(self, spark: SparkSession, root: str, block_ids: int = BLOCK_IDS, blocks_per_part: int = BLOCKS_PER_PART):
+    def __init__(self, spark: SparkSession, root: str, block_ids: int = BLOCK_IDS, blocks_per_part: int = BLOCKS_PER_PART,
+                 task_rows: int = TASK_ROWS, blocks_per_run: int = BLOCKS_PER_RUN):
         self.spark, self.root, self.block_ids, self.per_part = spark, root.rstrip("/"), block_ids, blocks_per_part
+        self.task_rows, self.per_run = task_rows, blocks_per_run
 
     def build(self, tx: DataFrame, parties: DataFrame) -> None:
-        """Write rows and lists. A row's trigrams meet as (trigram, block) before the shuffle, so a common one is a row a task."""
+        """Write rows and lists. A block's rows meet in one task, which drops its repeated cells and trigrams before the next shuffle."""
         rows = joined_list(tx, parties).select(*dict.fromkeys([*LIST_COLUMNS, "txn_date", "amount"]),
                                                F.expr(f"id DIV {self.block_ids}").alias("block"))
         rows = rows.withColumn("part", F.expr(f"block DIV {self.per_part}"))
         rows.repartitionByRange("part", "id").sortWithinPartitions("part", "id").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/rows")
+        rows = self.spark.read.schema(ROWS).parquet(f"{self.root}/rows")
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-rows.count() // self.task_rows))  # the count is in the files' footers
         cell = F.explode(F.array(*[F.upper(c) for c in shown_cells()])).alias("cell")
-        cells = self.spark.read.schema(ROWS).parquet(f"{self.root}/rows").select("part", "block", cell)
+        cells = rows.repartition(tasks, "part", "block").select("part", "block", cell)
         cells = cells.where(F.char_length("cell") >= GRAM).distinct()  # types and modes repeat in a block
         grams = F.transform(F.sequence(F.lit(1), F.char_length("cell") - (GRAM - 1)), lambda k: F.substring(F.col("cell"), k, F.lit(GRAM)))
         lists = cells.select("part", "block", F.explode(F.array_distinct(grams)).alias("gram")).distinct()
         lists = lists.withColumn("shard", self._shard("gram"))
-        lists.repartition("shard").sortWithinPartitions("shard", "gram", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{self.root}/grams")
+        lists = lists.repartition(tasks, "shard", F.expr(f"block DIV {self.per_run}")).sortWithinPartitions("shard", "gram", "block")
+        lists.write.mode("overwrite").partitionBy("shard").parquet(f"{self.root}/grams")
 
     @staticmethod
     def _shard(column: str):

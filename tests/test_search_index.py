@@ -5,6 +5,7 @@ import re
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.operators import lists as R
 from tallyframe.operators.search_index import SearchIndex
@@ -51,3 +52,22 @@ def test_a_rare_text_reads_few_folders(spark):
     lists = next(b for b in plan.split("\n\n") if "/grams]" in b)
     assert "shard" in lists.split("PartitionFilters: [")[1].split("]")[0] and "gram" in lists.split("PushedFilters: [")[1].split("]")[0]
     assert found.count() == R.search(tx, parties, bill).count() >= 1
+
+
+def test_a_larger_table_has_more_tasks_of_lists(spark):
+    def lists(n, name):
+        tx, parties = _books(spark, n)
+        index = SearchIndex(spark, tempfile.mkdtemp(prefix="tf-search-") + "/s", block_ids=8, blocks_per_part=4, task_rows=32, blocks_per_run=16)
+        index.build(tx, parties)
+        for text in ("inv-37", "smith & co"):
+            assert sorted(map(str, index.search(text).collect())) == sorted(map(str, R.search(tx, parties, text).collect())), (name, text)
+        stored = spark.read.parquet(f"{index.root}/grams")
+        assert stored.count() == stored.select("gram", "part", "block").distinct().count()
+        assert stored.where("part != block DIV 4").count() == 0
+        files = stored.select("shard", "block", F.input_file_name().alias("file"))
+        writers = files.select(F.regexp_extract("file", r"/part-(\d+)-", 1)).distinct().count()
+        return writers, files.groupBy("shard").agg(F.countDistinct("file").alias("n")).agg(F.max("n")).first()[0]
+
+    (few, one), (many, runs) = lists(120, "small"), lists(1200, "large")
+    assert one <= 2 and runs >= 4  # a shard's list is cut into runs of blocks
+    assert many >= 3 * few
